@@ -1,0 +1,28 @@
+from tickloom.llm import pii
+from tickloom.llm.common import table
+
+
+def test_matches_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = {r.doc_id: r for r in pii.digest(pii.find_spans(docs)).collect()}
+    for r in docs.collect():
+        counts, digest = pii.brute_force(r.text)
+        g = got[r.doc_id]
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == counts and g.base_sha256 == digest
+
+
+def test_edges(spark):
+    text = "x" * 70_000 + " é a.b@c-d.ef 999.1.1.1 10.0.0.255; 4111 1111 1111 1111; +1 (555) 555-0100, IBAN GB82 WEST 1234 5698 7654 32"
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, text, 7), (3, text, 7)], "doc_id long, text string, spans int")
+    rows = pii.digest(pii.find_spans(docs)).collect()
+    assert len(rows) == 4
+    assert [r.spans for r in rows if r.doc_id < 3] == ["", ""]
+    assert {s.split(":")[0] for s in rows[-1].spans.split(",")} == {"email", "ip", "card", "phone", "iban"}
+    clean = pii.redact(docs).collect()
+    assert clean[0].text is None and "[IBAN]" in clean[2].text and clean[2].spans == 7
+    assert pii.find_spans(docs.limit(0)).count() == 0
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
