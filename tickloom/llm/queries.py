@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing
+from tickloom.llm import license_scan, packing, pii
 from tickloom.llm.common import table
 
 
@@ -14,8 +14,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
+    "op5_pii": op5_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.sql(),
+}
