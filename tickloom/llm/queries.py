@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import license_scan, packing, pii, toxicity
+from tickloom.llm import license_scan, packing, pii, topk_search, toxicity
 from tickloom.llm.common import table
 
 
@@ -26,13 +27,19 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op5_pii": op5_pii,
+    "op7_topk_search": op7_topk_search,
 }
 
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.sql(),
+    "op7_topk_search": topk_search.sql(),
 }
