@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import license_scan, packing, pii, topk_search, toxicity
+from tickloom.llm import lattice_dedup, license_scan, packing, pii, topk_search, toxicity
 from tickloom.llm.common import table
 
 
@@ -31,12 +31,17 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op5_pii": op5_pii,
     "op7_topk_search": op7_topk_search,
+    "op8_lattice_dedup": op8_lattice_dedup,
 }
 
 SQL: dict[str, str] = {
