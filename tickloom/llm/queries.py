@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import lattice_dedup, license_scan, packing, pii, topk_search, toxicity
+from tickloom.llm import lattice_dedup, license_scan, mixing, packing, pii, topk_search, toxicity
 from tickloom.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -42,9 +46,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_topk_search": op7_topk_search,
     "op8_lattice_dedup": op8_lattice_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.sql(),
     "op7_topk_search": topk_search.sql(),
+    "op10_mixing": mixing.sql(),
 }
