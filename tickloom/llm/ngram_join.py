@@ -10,7 +10,7 @@ bounded from above by counting the bits of hashed bitmaps; what passes is decide
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,28 +141,26 @@ def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def groups(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id, its own if none).
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
-    Null and empty texts and texts of white space alone have no shingles and link with nothing. Repeated rows under one doc_id
-    each give a row. An empty table gives none. Columns other than doc_id and text are not read. Texts are taken whole.
+
+def join_tiles(listed: DataFrame, share: tuple[int, int], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (h, id, n) of sets of size n listed under keys h to (id, component_id) of sets that link.
+
+    `verify` takes stored pairs (a, b) and returns those that link. Keys that list one set go first, by counts; then each set
+    meets the smallest set of its keys (of those, the one it shares most keys with); then all pairs of different groups that
+    still share a key and whose sizes allow a link. Only ids move here.
     """
-    signed = stored(signatures(docs, share, common_shingles(docs, k), k), "signatures")
-    classes = stored(signed.filter("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    reps = signed.join(classes.select("f", "g", "n", F.col("id").alias("doc_id")), ["f", "g", "n", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
-    listed = reps.select("id", "n", F.explode("prefix").alias("h"))
-    # One sum a shingle: whatever is alone goes before rows are kept or sorted.
+    p, q = share
     counted = listed.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("n", "id")).alias("lead")).filter("m > 1")
     tiles = stored(listed.join(counted, "h").select("h", "id", "n", "lead"), "tiles")
-    p, q = share
-    fits = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
-    first = tiles.filter((F.col("lead.id") != F.col("id")) & fits(F.col("n"), F.col("lead.n"))).groupBy("id", "lead").count()
-    one = first.groupBy("id").agg(F.max(F.struct("count", -F.col("lead.id"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
-    one = stored(one, "leaders")
-    sets = stored(_sets(docs, one.select(F.col("a").alias("id")).union(one.select(F.col("b"))).distinct(), k), "sets")
-    joined = stored(_verified(one, sets, share), "links")
+    near = F.least("n", "lead.n") * q >= F.greatest("n", "lead.n") * p
+    first = tiles.filter((F.col("lead.id") != F.col("id")) & near).groupBy("id", "lead").count()
+    one = first.groupBy("id").agg(F.max(F.struct(F.col("count").alias("k"), (-F.col("lead.id")).alias("lead"))).alias("best"))
+    one = stored(one.select((-F.col("best.lead")).alias("a"), F.col("id").alias("b")), "leaders")
+    joined = stored(verify(one), "links")
     parts = stored(components(joined), "parts")
-    # Every other pair: tiles where different groups still meet, by size band.
     comp = F.coalesce("component_id", "id")
     named = tiles.join(parts, "id", "left").select("h", "id", "n", comp.alias("c"), _band(F.col("n"), share).alias("band"))
     mixed = named.groupBy("h").agg((F.min("c") != F.max("c")).alias("open")).filter("open").select("h")
@@ -171,9 +169,22 @@ def groups(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> Data
     high = open_.select("h", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     meet = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * q >= F.col("nb") * p)
     rest = stored(low.join(high, ["h", "band"]).filter(meet).select("a", "b").distinct(), "rest")
-    more_ids = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()
-    more = _verified(rest, stored(_sets(docs, more_ids, k), "sets"), share)
-    linked_all = components(joined.unionByName(more))
+    return components(joined.unionByName(verify(rest)))
+
+
+def groups(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id, its own if none).
+
+    Null and empty texts and texts of white space alone have no shingles and link with nothing. Repeated rows under one doc_id
+    each give a row. An empty table gives none. Columns other than doc_id and text are not read. Texts are taken whole.
+    """
+    signed = stored(signatures(docs, share, common_shingles(docs, k), k), "signatures")
+    classes = stored(signed.filter("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    reps = signed.join(classes.select("f", "g", "n", F.col("id").alias("doc_id")), ["f", "g", "n", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
+    linked_all = join_tiles(
+        reps.select("id", "n", F.explode("prefix").alias("h")), share,
+        lambda pairs: _verified(pairs, stored(_sets(docs, _ids(pairs), k), "sets"), share),
+    )
     known = classes.select("f", "g", "n", "id").join(linked_all, "id", "left").select("f", "g", "n", F.coalesce("component_id", "id").alias("component_id"))
     return signed.select("doc_id", "f", "g", "n").join(known, ["f", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
