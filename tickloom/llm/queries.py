@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import lattice_dedup, license_scan, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
+from tickloom.llm import lattice_dedup, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
 from tickloom.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
+    "op6_lm_score": op6_lm_score,
     "op7_topk_search": op7_topk_search,
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_substring_dedup": op9_substring_dedup,
