@@ -48,6 +48,18 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Stands for a null id inside Python functions, where nulls would turn ids into floating point numbers.
+NO_ID = -(1 << 63)
+
+
+def safe_id(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name), F.lit(NO_ID)).cast("long").alias(name)
+
+
+def real_id(name: str = "doc_id") -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone; every other character stays as it is. Null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -133,7 +133,21 @@ def mix(docs: DataFrame, target_share: tuple[int, int] = (3, 4), max_epochs: int
 
 def prefix_of(text: Column, take: Column) -> Column:
     """The first `take` tokens of a text with the white space between them as it is."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?s)(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,"), take.cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(pieces, F.lit(1), take.cast("int")), "")
+
+
+def mixture(docs: DataFrame, target_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 10) -> DataFrame:
+    """The mixed documents themselves, with the columns of docs: a row an epoch, texts cut to their taken prefix.
+
+    n_chars, where there is one, is that of the cut text. Rows without doc_id are not taken; rows repeated under one doc_id
+    share their largest take.
+    """
+    takes = mix(docs.filter("doc_id IS NOT NULL"), target_share, max_epochs, seed).groupBy("doc_id", "epoch").agg(F.max("take").alias("_take"), F.max("n_tokens").alias("_all"))
+    out = docs.join(takes.drop("epoch"), "doc_id").withColumn("text", F.when(F.col("_take") < F.col("_all"), prefix_of(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_take") < F.col("_all"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql(target_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 10) -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import hash_words, mix64, shingle_hashes, small, stored, utf8
+from tickloom.llm.common import NO_ID, hash_words, mix64, real_id, safe_id, shingle_hashes, small, stored, utf8
 from tickloom.llm.components import components
 
 #: A shingle that stands in this share of a task's documents counts as common, and goes last in the order.
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, share: tuple[int, int], common: np.ndarray, k: i
                 rows.append((doc_id, n, int(np.uint64(f).view(np.int64)), int(np.uint64(g).view(np.int64)), first.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "f", "g", "prefix"])
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n long, f long, g long, prefix array<long>")
+    return docs.select(safe_id(), "text").mapInPandas(sign, "doc_id long, n long, f long, g long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             own = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["doc_id"], "s": [x.tobytes() for x in own]})
 
-    return docs.select("doc_id", "text").join(small(ids.select(F.col("id").alias("doc_id")), n), "doc_id", "left_semi").mapInPandas(sets, "id long, s binary")
+    return docs.select(safe_id(), "text").join(small(ids.select(F.col("id").alias("doc_id")), n), "doc_id", "left_semi").mapInPandas(sets, "id long, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -176,20 +176,20 @@ def groups(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> Data
     """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id, its own if none).
 
     Null and empty texts and texts of white space alone have no shingles and link with nothing. Repeated rows under one doc_id
-    each give a row. An empty table gives none. Columns other than doc_id and text are not read. Texts are taken whole.
+    each give a row; rows without doc_id get no component and join nothing. An empty table gives none. Columns other than doc_id and text are not read. Texts are taken whole.
     """
     signed = stored(signatures(docs, share, common_shingles(docs, k), k), "signatures")
-    classes = stored(signed.filter("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    classes = stored(signed.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     reps = signed.join(classes.select("f", "g", "n", F.col("id").alias("doc_id")), ["f", "g", "n", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
     linked_all = join_tiles(
         reps.select("id", "n", F.explode("prefix").alias("h")), share,
         lambda pairs: _verified(pairs, stored(_sets(docs, _ids(pairs), k), "sets"), share),
     )
     known = classes.select("f", "g", "n", "id").join(linked_all, "id", "left").select("f", "g", "n", F.coalesce("component_id", "id").alias("component_id"))
-    return signed.select("doc_id", "f", "g", "n").join(known, ["f", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "f", "g", "n").join(known, ["f", "g", "n"], "left").select(real_id(), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") != NO_ID, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is its group's smallest; same columns. Rows without doc_id stay."""
-    gone = groups(docs, share, k).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(groups(docs, share, k).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stored
+from tickloom.llm.common import real_id, safe_id, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces of one length that one window task ranks at most, on average.
@@ -90,7 +90,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, quantum: int = 64, r
                     rows.append((doc_id, at, to - at, zlib.crc32(ids[4 * at : 4 * to]), n))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return docs.select(safe_id(), "text").mapInPandas(cut, PIECES)
 
 
 # --- the linear program over the histogram -----------------------------------------------------------------------
@@ -274,7 +274,7 @@ def pack(docs: DataFrame, capacity: int = 1024, quantum: int = 64, ranks_path: s
     return (
         ranked.join(F.broadcast(places.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
         .select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+            real_id(), "start", "length", "ids_crc32", "doc_tokens",
             (F.col("first_sequence") + F.floor(at / F.col("copies"))).alias("sequence_id"),
             (F.col("first_offset") + F.pmod(at, F.col("copies")) * F.col("length")).alias("offset"),
         )

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import real_id, safe_id
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 
@@ -112,7 +114,8 @@ def find_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
             spans = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans_of(t, least)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
+    found = docs.select(safe_id(), "text").mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
+    return found.select(real_id(), "spans")
 
 
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import hash_words, mix64, shingle_hashes, small, stored, utf8
+from tickloom.llm.common import hash_words, mix64, safe_id, shingle_hashes, small, stored, utf8
 from tickloom.llm.ngram_join import _ids, _verified, join_tiles
 
 BANDS, ROWS = 14, 4
@@ -60,7 +60,7 @@ def paragraphs(docs: DataFrame, least: int, k: int) -> DataFrame:
                     sets = [r[5] for r in rows]
                     yield out.assign(n=list(map(len, sets)), f=[r[6] for r in rows], bands=list(signature(sets)))
 
-    return docs.select("doc_id", "text").mapInPandas(scan, _SCHEMA)
+    return docs.filter("doc_id IS NOT NULL").select(safe_id(), "text").mapInPandas(scan, _SCHEMA)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, least: int, k: int) -> DataFrame:
@@ -83,7 +83,7 @@ def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5),
 
     Offsets are code points, ends exclusive. The cluster is named by its first paragraph (smallest doc_id, then number), which
     stays; the others are marked removed. `across` leaves clusters within one document out. Lines of fewer than `least` words
-    are too short to judge. Null and empty texts have no paragraphs. Repeated rows under one doc_id are one document. An empty
+    are too short to judge. Rows without doc_id are left alone. Null and empty texts have no paragraphs. Repeated rows under one doc_id are one document. An empty
     table gives no rows; columns other than doc_id and text are not read.
     """
     rows = stored(paragraphs(docs, least, k), "paragraphs")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,14 +80,15 @@ _SECOND = frozenset(SECOND_PERSON)
 
 
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and the features array of every document."""
+    """docs with the array column _features."""
+    kept: dict[str, Weights] = {}
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = Weights(lexicon)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "features": [features_of(t, weights) for t in batch["text"]]})
+    @F.pandas_udf("array<double>")
+    def scan(texts: pd.Series) -> pd.Series:
+        weights = kept.setdefault("weights", Weights(lexicon))
+        return pd.Series([features_of(t, weights) for t in texts])
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, features array<double>")
+    return docs.withColumn("_features", scan("text"))
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -128,20 +128,17 @@ class Model:
     calibration: object | None
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, features and score of every document."""
+        """docs with the column _score."""
         rows = features(docs, self.lexicon)
         if self.trees is None:  # too few labels of one kind to learn from: the lexicon alone
-            return rows.withColumn("score", F.least(F.lit(1.0), F.expm1(F.col("features")[2]) * 0.3))
-        return self._calibrated(rows)
-
-    def _calibrated(self, rows: DataFrame) -> DataFrame:
-        out = self.trees.transform(rows.withColumn("_vector", array_to_vector("features")))
-        raw = vector_to_array("rawPrediction")[1]
-        if self.calibration is None:
-            return out.select(*rows.columns, (1 / (1 + F.exp(-2 * raw))).alias("score"))
-        fine = 1 / (1 + F.exp(-2 * raw))  # keeps the trees' order where the isotonic steps are flat
-        out = self.calibration.transform(out.withColumn("_margin", raw))
-        return out.select(*rows.columns, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("_level") + 0.001 * fine)).alias("score"))
+            return rows.withColumn("_score", F.least(F.lit(1.0), F.expm1(F.col("_features")[2]) * 0.3)).drop("_features")
+        out = self.trees.transform(rows.withColumn("_vector", array_to_vector("_features")))
+        out = out.withColumn("_margin", vector_to_array("_raw")[1])
+        level = fine = 1 / (1 + F.exp(-2 * F.col("_margin")))
+        if self.calibration is not None:
+            out = self.calibration.transform(out)
+            level = 0.999 * F.col("_level") + 0.001 * fine  # keeps the trees' order where the isotonic steps are flat
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.least(F.lit(1.0), F.greatest(F.lit(0.0), level)).alias("_score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 30_000) -> Model:
@@ -156,17 +153,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 30_
     # At most `most_rows` rows of three numbers: a proven bound for the broadcast.
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("_part", part).drop("_hash")), "doc_id"), "labelled")
     lexicon = find_lexicon(rows.filter("_part < 4"))
-    known = stored(features(rows.filter("_part >= 4"), lexicon).join(rows.select("doc_id", "toxic", "_part"), "doc_id"), "features").coalesce(4)
+    known = stored(features(rows.filter("_part >= 4"), lexicon).drop("text"), "features").coalesce(4)
     grow, settle = known.filter("_part < 8"), known.filter("_part >= 8")
     counts = {r["toxic"]: r["count"] for r in grow.groupBy("toxic").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 5:
         return Model(lexicon, None, None)
-    vector = lambda df: df.select(array_to_vector("features").alias("_vector"), F.col("toxic").cast("double").alias("label"))
-    trees = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, seed=7, maxBins=64).fit(vector(grow))
+    vector = lambda df: df.select(array_to_vector("_features").alias("_vector"), F.col("toxic").cast("double").alias("label"))
+    trees = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, seed=7, maxBins=64, predictionCol="_prediction")
+    trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(vector(grow))
     counts = {r["toxic"]: r["count"] for r in settle.groupBy("toxic").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 20:
         return Model(lexicon, trees, None)
-    margins = trees.transform(vector(settle)).select(vector_to_array("rawPrediction")[1].alias("_margin"), "label")
+    margins = trees.transform(vector(settle)).select(vector_to_array("_raw")[1].alias("_margin"), "label")
     calibration = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_level").fit(margins)
     return Model(lexicon, trees, calibration)
 
@@ -178,6 +176,11 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 3
     Repeated rows give equal rows; an empty documents table gives none; without labels of both kinds the lexicon alone scores.
     Columns other than doc_id, text and toxic are not read.
     """
-    scored = fit(docs, labels, folds, most_rows).score(docs)
+    scored = fit(docs, labels, folds, most_rows).score(docs.select("doc_id", "text"))
     held = F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= at).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 30_000, at: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `at`; same columns."""
+    return fit(docs, labels, folds, most_rows).score(docs).filter(F.col("_score") < at).select(*[F.col(f"`{c}`") for c in docs.columns])
