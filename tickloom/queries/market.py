@@ -1,14 +1,797 @@
-"""Queries over the driver's tables, by operator id."""
+"""Queries over the driver's tables, by operator id, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom.functions import scalar as fn
+from tickloom.operators import candles as cd
+from tickloom.operators import fanout as fo
+from tickloom.operators import ledger as lg
+from tickloom.operators import metrics as mt
+from tickloom.operators import quality as ql
+from tickloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+ARRIVAL = ["arrival", "event_id"]
+CANDLE = ["symbol", "open_time", "open", "high", "low", "close", "n"]
+_C = ", ".join(CANDLE)
+#: The instant that queries with an "as of" use.
+NOW = "TIMESTAMP '2024-01-20 12:00:30'"
+
+
+def now():
+    return F.lit(NOW[11:-1]).cast("timestamp_ntz")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; `sql` follows the fixture views' common table expressions."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = fx.CTES + ", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else fx.CTES + sql
+        return f
+
+    return register
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Quotes, validated, first deliveries, minute candles, closed hours, the newest five of each symbol."""
+    rows = ql.validate(fx.deliveries(s, d), ql.quote_rules()).filter("errors = ''")
+    minutes = cd.candles_1m(ql.first_seen(rows, "event_id", ["arrival"]))
+    return cd.last_n(cd.rollup_candles(minutes, "1h"), 5).select(*CANDLE)
+
+
+_ROLL = "SELECT symbol, time_bucket(INTERVAL {0}, open_time) AS open_time, arg_min(open, (first_ts, first_id)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (last_ts, last_id)) AS close, sum(n)::BIGINT AS n FROM {1} GROUP BY ALL"
+
+QUERIES["flagship_hourly"] = flagship
+SQL["flagship_hourly"] = fx.CTES.replace("FROM quotes GROUP BY ALL)", "FROM quotes WHERE price > 0 AND bid > 0 AND sequence >= 0 GROUP BY ALL)") + f", h AS ({_ROLL.format('1 HOUR', 'c1')}) SELECT {_C} FROM h QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 5"
+
+
+# --- candles --------------------------------------------------------------------------------------------------------
+
+
+@query("A1_candles_1m", f"SELECT {_C}, first_id, last_id FROM c1")
+def _(s, d):
+    return cd.candles_1m(fx.quotes(s, d)).select(*CANDLE, "first_id", "last_id")
+
+
+@query("A2_merge_candles", f"SELECT {_C}, first_id, last_id FROM c1")
+def _(s, d):
+    q = fx.quotes(s, d)
+    return cd.merge_candles(cd.candles_1m(q.filter("k < 50")).unionByName(cd.candles_1m(q.filter("k >= 50")))).select(*CANDLE, "first_id", "last_id")
+
+
+for _tf, _iv in (("5m", "5 MINUTE"), ("15m", "15 MINUTE"), ("1h", "1 HOUR"), ("4h", "4 HOUR"), ("1d", "1 DAY")):
+    query(f"A3_rollup_{_tf}", f"SELECT * FROM ({_ROLL.format(_iv, 'c1')}) WHERE open_time + INTERVAL {_iv} <= {NOW}")(
+        lambda s, d, tf=_tf: cd.rollup_candles(cd.candles_1m(fx.quotes(s, d)), tf, end=now()).select(*CANDLE)
+    )
+
+_DELTA = """v AS (SELECT *, CASE WHEN last_size IS NOT NULL THEN last_size WHEN cumulative IS NOT NULL THEN CASE WHEN prev IS NULL THEN 0 WHEN cumulative < prev THEN cumulative ELSE cumulative - prev END ELSE 1 END::DECIMAL(18,1) AS volume,
+ CASE WHEN last_size IS NOT NULL THEN 'last_size' WHEN cumulative IS NOT NULL THEN 'cumulative' ELSE 'updates' END AS source
+ FROM (SELECT *, last_value(cumulative IGNORE NULLS) OVER (PARTITION BY user_id, symbol ORDER BY {0} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM points))"""
+_BARS = """b AS (SELECT user_id, symbol, time_bucket(INTERVAL {1}, provider_timestamp) AS open_time, arg_min(price, ({0})) AS open, max(price) AS high, min(price) AS low, arg_max(price, ({0})) AS close, sum(volume)::DECIMAL(18,1) AS volume,
+ CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS volume_source, count(*) AS update_count, arg_min(event_id, ({0})) AS first_id, arg_max(event_id, ({0})) AS last_id FROM v GROUP BY ALL)"""
+_KEYS = ["user_id", "symbol"]
+
+
+def _bars(order: list[str], interval: str) -> str:
+    o = ", ".join(order)
+    return "WITH " + _DELTA.format(o) + ", " + _BARS.format(o, interval) + " SELECT *, open_time < max(open_time) OVER (PARTITION BY user_id, symbol) AS complete FROM b"
+
+
+@query("A4_ohlcv_client_5s", _bars(ARRIVAL, "5 SECOND"))
+def _(s, d):
+    return cd.ohlcv(fx.points(s, d), 5, _KEYS, ARRIVAL)
+
+
+_REBUILD = ["provider_timestamp", "received_at", "event_id"]
+
+
+@query("A5_rebuild_ohlcv_1d", _bars(_REBUILD, "1 DAY"))
+def _(s, d):
+    return cd.ohlcv(fx.points(s, d), 86_400, _KEYS, _REBUILD)
+
+
+@query("W5_cumulative_volume_delta", "WITH " + _DELTA.format("arrival, event_id") + " SELECT event_id, volume, source FROM v")
+def _(s, d):
+    return cd.volume_delta(fx.points(s, d), _KEYS, ARRIVAL).select("event_id", "volume", "source")
+
+
+@query("W6_candle_completeness", "SELECT symbol, open_time, open_time < max(open_time) OVER (PARTITION BY symbol) AS complete FROM c1")
+def _(s, d):
+    return cd.completeness(cd.candles_1m(fx.quotes(s, d)).select("symbol", "open_time"), ["symbol"])
+
+
+_TWO = f"""WITH a AS (SELECT {_C} FROM c1 WHERE n > 0 AND open_time < TIMESTAMP '2024-01-25'), h AS (SELECT {_C.replace("close, n", "close + 1 AS close, n")} FROM c1 WHERE open_time >= TIMESTAMP '2024-01-10')"""
+
+
+def _two(s, d):
+    c = cd.candles_1m(fx.quotes(s, d)).select(*CANDLE)
+    hot = c.filter("open_time >= TIMESTAMP_NTZ '2024-01-10 00:00:00'").withColumn("close", (F.col("close") + 1).cast("decimal(18,2)"))
+    return c.filter("open_time < TIMESTAMP_NTZ '2024-01-25 00:00:00'"), hot
+
+
+@query("J5_hybrid_overlay", _TWO + f""" SELECT symbol, open_time, {", ".join(f"CASE WHEN h.n IS NOT NULL AND (open_time >= TIMESTAMP '2024-01-17 12:01:00' OR a.n IS NULL) THEN h.{c} ELSE coalesce(a.{c}, h.{c}) END::{t} AS {c}" for c, t in (("open", "DECIMAL(18,2)"), ("high", "DECIMAL(18,2)"), ("low", "DECIMAL(18,2)"), ("close", "DECIMAL(18,2)"), ("n", "BIGINT")))} FROM a FULL JOIN h USING (symbol, open_time)""")
+def _(s, d):
+    archive, hot = _two(s, d)
+    return cd.hybrid_overlay(archive, hot, now(), 3 * 86_400, "1m")
+
+
+@query("J6_stitch_history_live", _TWO + f" SELECT {_C} FROM a UNION ALL SELECT {_C.replace('close', 'close::DECIMAL(18,2) AS close')} FROM h WHERE open_time > (SELECT max(open_time) FROM a WHERE a.symbol = h.symbol) OR symbol NOT IN (SELECT symbol FROM a)")
+def _(s, d):
+    return cd.stitch_history_live(*_two(s, d))
+
+
+@query("U1_union_layers", _TWO + f" SELECT symbol, open_time, count(*) AS layers FROM (SELECT {_C} FROM a UNION ALL SELECT {_C} FROM h) GROUP BY ALL")
+def _(s, d):
+    a, h = _two(s, d)
+    return a.unionByName(h).groupBy("symbol", "open_time").agg(F.count("*").alias("layers"))
+
+
+@query("K1_last_n_candles", f"SELECT {_C} FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 20")
+def _(s, d):
+    return cd.last_n(cd.candles_1m(fx.quotes(s, d)), 20).select(*CANDLE)
+
+
+@query("K2_history_window", f"WITH r AS ({_ROLL.format('1 HOUR', 'c1')}) SELECT * FROM r WHERE open_time >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR AND open_time + INTERVAL 1 HOUR <= {NOW}")
+def _(s, d):
+    start = (fn.floor_micros(now(), 3600) - F.expr("INTERVAL 48 HOUR")).cast("timestamp_ntz")
+    return cd.rollup_candles(cd.candles_1m(fx.quotes(s, d).filter(F.col("provider_timestamp") >= start)), "1h", start, now()).select(*CANDLE)
+
+
+@query("K3_retain_hot", f"SELECT {_C} FROM c1 WHERE open_time + INTERVAL 60 SECOND + INTERVAL 5 DAY > {NOW}")
+def _(s, d):
+    return cd.retained(cd.candles_1m(fx.quotes(s, d)), now(), 5 * 86_400).select(*CANDLE)
+
+
+@query("K4_retain_archive", f"SELECT {_C} FROM c1 WHERE open_time >= {NOW} - INTERVAL 10 DAY")
+def _(s, d):
+    return cd.candles_1m(fx.quotes(s, d)).filter(F.col("open_time") >= now() - F.expr("INTERVAL 10 DAY")).select(*CANDLE)
+
+
+@query("K5_retain_last_k", "SELECT symbol, event_id FROM quotes QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival DESC, event_id DESC) <= 5")
+def _(s, d):
+    w = Window.partitionBy(*_KEYS).orderBy(F.desc("arrival"), F.desc("event_id"))
+    return fx.quotes(s, d).withColumn("r", F.row_number().over(w)).filter("r <= 5").select("symbol", "event_id")
+
+
+@query("K6_cap_log", "SELECT event_id, arrival FROM quotes ORDER BY arrival DESC, event_id DESC LIMIT 500")
+def _(s, d):
+    return fx.quotes(s, d).orderBy(F.desc("arrival"), F.desc("event_id")).limit(500).select("event_id", "arrival")
+
+
+@query("K7_ordered_unique", "SELECT symbol, provider_timestamp, arg_max(price, arrival) AS price FROM deliveries GROUP BY ALL")
+def _(s, d):
+    return fx.deliveries(s, d).groupBy("symbol", "provider_timestamp").agg(F.max_by("price", "arrival").alias("price"))
+
+
+@query("K8_first_n_records", "SELECT user_id, event_id FROM quotes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) <= 10")
+def _(s, d):
+    w = Window.partitionBy("user_id").orderBy(*ARRIVAL)
+    return fx.quotes(s, d).withColumn("r", F.row_number().over(w)).filter("r <= 10").select("user_id", "event_id")
+
+
+@query("A25_series_envelope", "WITH k AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 10) SELECT symbol, 10 AS requested_limit, count(*) AS returned_count, min(open_time) AS period_start, max(open_time) AS period_end, string_agg(close::VARCHAR, ',' ORDER BY open_time) AS closes FROM k GROUP BY symbol")
+def _(s, d):
+    return cd.series_envelope(cd.candles_1m(fx.quotes(s, d)), 10)
+
+
+@query("P12_validate_candle_series", "SELECT symbol, open_time, CASE WHEN low <= 0 THEN 'prices' ELSE '' END AS errors FROM c1")
+def _(s, d):
+    return cd.validate_series(cd.candles_1m(fx.quotes(s, d)), 60).select("symbol", "open_time", "errors")
+
+
+@query("P14_chart_candles", "WITH " + _DELTA.format("arrival, event_id") + ", " + _BARS.format("arrival, event_id", "1 DAY") + " SELECT user_id, symbol, open_time, CASE volume_source WHEN 'updates' THEN 'updates' WHEN 'mixed' THEN 'mixed' ELSE 'volume' END AS activity_source, CASE WHEN volume_source = 'updates' THEN update_count ELSE volume END::DECIMAL(18,1) AS activity FROM b")
+def _(s, d):
+    bars = cd.ohlcv(fx.points(s, d), 86_400, _KEYS, ARRIVAL)
+    src = F.when(F.col("volume_source").isin("updates", "mixed"), F.col("volume_source")).otherwise("volume")
+    return bars.select("user_id", "symbol", "open_time", src.alias("activity_source"), F.when(F.col("volume_source") == "updates", F.col("update_count")).otherwise(F.col("volume")).cast("decimal(18,1)").alias("activity"))
+
+
+@query("A23_activity_label", "WITH " + _DELTA.format("arrival, event_id") + " SELECT user_id, symbol, CASE WHEN count(DISTINCT source) > 1 THEN 'Activity' WHEN min(source) = 'updates' THEN 'Updates' ELSE 'Volume' END AS label FROM v GROUP BY ALL")
+def _(s, d):
+    v = cd.volume_delta(fx.points(s, d), _KEYS, ARRIVAL)
+    return v.groupBy(*_KEYS).agg(F.when(F.countDistinct("source") > 1, "Activity").when(F.min("source") == "updates", "Updates").otherwise("Volume").alias("label"))
+
+
+@query("A24_price_precision", "SELECT symbol, least(8, greatest(2, max(length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1)))))::INT AS places FROM quotes WHERE price > 0 GROUP BY symbol")
+def _(s, d):
+    return fx.quotes(s, d).filter("price > 0").groupBy("symbol").agg(F.least(F.lit(8), F.greatest(F.lit(2), F.max(fn.decimal_places(F.col("price"))))).alias("places"))
+
+
+# --- sources, validation, projections -------------------------------------------------------------------------------
+
+
+@query("S1_read_quotes", "SELECT event_id, symbol, price, bid, sequence FROM quotes")
+def _(s, d):
+    from tickloom.sources.readers import QUOTE_SCHEMA, parse_quotes
+
+    lines = fx.quotes(s, d).select(F.to_json(F.struct("event_id", "symbol", "price", "bid", "ask", "sequence", "provider")).alias("value"))
+    return parse_quotes(lines, QUOTE_SCHEMA).select("event_id", "symbol", "price", "bid", "sequence")
+
+
+@query("S2_read_provider_messages", "SELECT message, product, count(*) AS n FROM trades GROUP BY ALL")
+def _(s, d):
+    from tickloom.sources.readers import explode_trades, trade_messages
+
+    return explode_trades(trade_messages(fx.trades(s, d))).groupBy("message", "product").agg(F.count("*").alias("n"))
+
+
+_PLAIN = "concat_ws(',', CASE WHEN price <= 0 THEN 'V3' END, CASE WHEN bid <= 0 OR ask <= 0 THEN 'V4' END, CASE WHEN sequence < 0 THEN 'V6' END, CASE WHEN bid > ask THEN 'V8' END)"
+
+
+@query("P2_validate_quotes", f"SELECT event_id, {_PLAIN} AS errors FROM quotes")
+def _(s, d):
+    return ql.validate(fx.quotes(s, d), ql.quote_rules()).select("event_id", "errors")
+
+
+def rich(s, d):
+    """Quotes with capabilities, volumes and depth; violations planted by k."""
+    q, k = fx.quotes(s, d), F.col("k")
+    dec = lambda c: c.cast("decimal(18,2)")
+    caps = F.array_compact(F.array(F.lit("level1_quote"), F.when(k % 19 != 0, F.lit("volume")), F.when(k % 7 != 0, F.lit("aggressor_flow")), F.lit("top_of_book_depth")))
+    return q.withColumns({
+        "schema_version": F.when(k % 31 == 0, "1.0").otherwise("1.1"), "capabilities": caps, "volume": dec(k), "volume_kind": F.lit("interval"), "window_ms": F.when(k % 29 != 0, F.lit(1000)),
+        "volume_unit": F.lit("base_asset"), "volume_currency": F.when(k % 37 == 0, F.lit("USD")), "buy_volume": dec(k * 0.6), "sell_volume": dec(F.when(k % 41 == 0, k).otherwise(k * 0.4)), "trade_count": F.lit(None).cast("long"),
+        "bid_depth": dec(F.lit(6)), "ask_depth": F.when(k % 43 != 0, dec(F.lit(5))), "depth_unit": F.lit("base_asset"), "depth_currency": F.lit(None).cast("string"), "depth_levels": F.lit(1),
+    })
+
+
+@query("P3_validate_semantics", """SELECT event_id, concat_ws(',', CASE WHEN k % 29 = 0 THEN 'V10' END, CASE WHEN k % 37 = 0 THEN 'V13' END, CASE WHEN k % 31 = 0 THEN 'V18' END, CASE WHEN k % 19 = 0 THEN 'V20' END,
+ CASE WHEN k % 7 = 0 OR (k % 41 = 0 AND k > 0) THEN 'V21' END, CASE WHEN k % 43 = 0 THEN 'V22' END) AS errors FROM quotes""")
+def _(s, d):
+    return ql.validate(rich(s, d), ql.evidence_rules()).select("event_id", "errors")
+
+
+@query("P4_validate_wire_quotes", "SELECT event_id, CASE WHEN price > 0 THEN '' ELSE 'price' END AS errors FROM quotes")
+def _(s, d):
+    lines = fx.quotes(s, d).select("event_id", F.to_json(F.struct(F.col("price").cast("string").alias("price"), F.col("bid").cast("string").alias("bid"), F.col("ask").cast("string").alias("ask"), F.concat(F.date_format("provider_timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("at"), F.lit(1).alias("extra"))).alias("value"))
+    q = lines.withColumn("q", F.from_json("value", "price string, bid string, ask string, at string")).select("event_id", "q.*")
+    price, bid, ask = (fn.parse_decimal(F.col(c)) for c in ("price", "bid", "ask"))
+    rules = {"price": price.isNull() | (price <= 0), "crossed": bid > ask, "at": fn.parse_timestamp(F.col("at")).isNull()}
+    return ql.validate(q, rules).select("event_id", "errors")
+
+
+@query("P1_normalize_symbol", "SELECT event_id, CASE WHEN k % 5 = 0 THEN NULL ELSE symbol END AS symbol FROM quotes")
+def _(s, d):
+    raw = F.when(F.col("k") % 5 == 0, F.concat("symbol", F.lit(" !"))).otherwise(F.concat(F.lit("  "), F.lower("symbol"), F.lit(" ")))
+    return fx.quotes(s, d).select("event_id", fn.normalize_symbol(raw).alias("symbol"))
+
+
+@query("P5_drop_unavailable", "SELECT event_id, '{\"event_id\":' || event_id || CASE WHEN k % 3 = 0 THEN ',\"volume\":' || k ELSE '' END || '}' AS value FROM quotes")
+def _(s, d):
+    q = fx.quotes(s, d).withColumn("volume", F.when(F.col("k") % 3 == 0, F.col("k")))
+    return q.select("event_id", F.to_json(F.struct("event_id", "volume"), {"ignoreNullFields": "true"}).alias("value"))
+
+
+@query("P6_filter_symbols", "SELECT event_id, symbol FROM quotes WHERE symbol IN ('CLICK', 'ERROR')")
+def _(s, d):
+    wanted = s.createDataFrame([(" click ",), ("ERROR",), ("error",)], "symbol string").select(fn.normalize_symbol(F.col("symbol")).alias("symbol")).distinct()
+    return fx.quotes(s, d).join(F.broadcast(wanted), "symbol", "left_semi").select("event_id", "symbol")
+
+
+@query("P7_entitlement_filter", "SELECT event_id, user_id % 4 = 0 OR symbol IN ('CLICK', 'VIEW') AS allowed FROM quotes")
+def _(s, d):
+    allowed = F.when(F.col("user_id") % 4 != 0, F.array(F.lit("CLICK"), F.lit("VIEW")))
+    return fx.quotes(s, d).select("event_id", F.coalesce(F.array_contains(allowed, F.col("symbol")), F.lit(True)).alias("allowed"))
+
+
+@query("P8_history_tier_gate", "SELECT client_id, symbol FROM subscriptions WHERE tier <> 'basic'")
+def _(s, d):
+    return fo.with_policy(fx.subscriptions(s, d)).filter("history").select("client_id", "symbol")
+
+
+@query("P9_aggressor_side", "SELECT message, pos, CASE side WHEN 'SELL' THEN 'buy' WHEN 'BUY' THEN 'sell' END AS aggressor FROM trades")
+def _(s, d):
+    return fx.trades(s, d).select("message", "pos", F.when(F.col("side") == "SELL", "buy").when(F.col("side") == "BUY", "sell").alias("aggressor"))
+
+
+@query("P10_freshness", f"SELECT event_id, greatest(0, (epoch_us({NOW}) - epoch_us(received_at)) // 1000) AS age_ms, greatest(0, (epoch_us({NOW}) - epoch_us(received_at)) // 1000) > 5000 AS stale FROM quotes")
+def _(s, d):
+    return ql.freshness(fx.quotes(s, d), now()).select("event_id", "age_ms", "stale")
+
+
+@query("P11_local_freshness", "SELECT event_id, k + 1000 AS age_ms, k % 9 = 0 OR k + 1000 > 1050 AS stale FROM quotes")
+def _(s, d):
+    age = F.col("k") + 1000
+    return fx.quotes(s, d).select("event_id", age.alias("age_ms"), ((F.col("k") % 9 == 0) | (age > 1050)).alias("stale"))
+
+
+@query("P13_redact_sensitive", "SELECT event_id, '[redacted]' AS token, symbol FROM quotes")
+def _(s, d):
+    m = F.create_map(F.lit("auth_token"), F.col("provider"), F.lit("symbol"), F.col("symbol"))
+    clean = F.transform_values(m, lambda k, v: F.when(k.rlike("(?i)authorization|token|secret|password|credential|api_key"), F.lit("[redacted]")).otherwise(v))
+    return fx.quotes(s, d).select("event_id", clean["auth_token"].alias("token"), clean["symbol"].alias("symbol"))
+
+
+@query("P15_add_provenance", "SELECT event_id, 'tickloom' AS provenance_system, 'recorder' AS provenance_component FROM quotes")
+def _(s, d):
+    from tickloom.sources.readers import add_provenance
+
+    return add_provenance(fx.quotes(s, d)).select("event_id", "provenance_system", "provenance_component")
+
+
+@query("P16_unwrap_envelope", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'quote' ELSE 'snapshot' END AS message_type FROM quotes WHERE k % 10 <> 9")
+def _(s, d):
+    q = fx.quotes(s, d)
+    kind = F.when(F.col("k") % 10 == 9, "heartbeat").when(F.col("k") % 2 == 0, "quote").otherwise("snapshot")
+    lines = q.select(F.to_json(F.struct(kind.alias("type"), F.struct(F.when(F.col("k") % 2 == 0, F.col("event_id")).alias("event_id"), F.when(F.col("k") % 2 == 1, F.struct("event_id")).alias("quote")).alias("data"))).alias("value"))
+    m = lines.withColumn("m", F.from_json("value", "type string, data struct<event_id:long, quote:struct<event_id:long>>")).filter("m.type in ('quote', 'snapshot')")
+    return m.select(F.coalesce("m.data.quote.event_id", "m.data.event_id").alias("event_id"), F.col("m.type").alias("message_type"))
+
+
+@query("P17_command_normalise", "SELECT client_id, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM subscriptions GROUP BY client_id")
+def _(s, d):
+    rows = fx.subscriptions(s, d).groupBy("client_id").agg(F.sort_array(F.collect_list("symbol")).alias("a"))
+    raw = F.concat(F.transform("a", lambda x: F.concat(F.lit(" "), F.lower(x))), F.array(F.lit(" ")), F.col("a"))
+    return rows.select("client_id", F.array_join(F.array_distinct(F.filter(F.transform(raw, lambda x: F.upper(F.trim(x))), lambda x: x != "")), ",").alias("symbols"))
+
+
+@query("P19_delivery_latency", "SELECT event_id, greatest(0, epoch_ms(received_at) - epoch_ms(provider_timestamp)) AS latency_ms FROM quotes")
+def _(s, d):
+    ms = F.unix_millis(F.col("received_at").cast("timestamp")) - F.unix_millis(F.col("provider_timestamp").cast("timestamp"))
+    return fx.quotes(s, d).select("event_id", F.greatest(F.lit(0), ms).alias("latency_ms"))
+
+
+@query("S7_dead_letter_sink", f"SELECT 'quotes' AS source, event_id AS entry_id, {_PLAIN} AS error FROM quotes WHERE {_PLAIN} <> ''")
+def _(s, d):
+    return ql.dead_letters(ql.validate(fx.quotes(s, d), ql.quote_rules()), "quotes", "event_id", F.to_json(F.struct("symbol"))).drop("payload")
+
+
+@query("S10_replay_slice", "SELECT event_id, arrival FROM quotes WHERE symbol IN ('CLICK', 'VIEW') AND provider_timestamp >= TIMESTAMP '2024-01-05' AND provider_timestamp < TIMESTAMP '2024-01-12'")
+def _(s, d):
+    q = fx.quotes(s, d).filter("symbol IN ('CLICK', 'VIEW') AND provider_timestamp >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND provider_timestamp < TIMESTAMP_NTZ '2024-01-12 00:00:00'")
+    return q.orderBy("provider_timestamp", "event_id").select("event_id", "arrival")
+
+
+@query("S11_control_stream", "SELECT user_id AS connection, symbol, k % 6 = 0 AS rejected FROM quotes")
+def _(s, d):
+    q = fx.quotes(s, d).withColumn("action", F.when(F.col("k") % 6 == 0, "noop").otherwise("subscribe"))
+    return q.select(F.col("user_id").alias("connection"), "symbol", (~F.col("action").isin("subscribe", "unsubscribe")).alias("rejected"))
+
+
+@query("S12_capture_summary", "SELECT user_id AS session, count(*) AS records, min(provider_timestamp) AS started_at, max(provider_timestamp) AS finished_at, CASE WHEN count(*) >= 10 THEN 'max_records' ELSE 'stream_ended' END AS reason FROM quotes GROUP BY user_id")
+def _(s, d):
+    return fx.quotes(s, d).groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("records"), F.min("provider_timestamp").alias("started_at"), F.max("provider_timestamp").alias("finished_at"), F.when(F.count("*") >= 10, "max_records").otherwise("stream_ended").alias("reason"))
+
+
+# --- sequence, duplicates, latest -------------------------------------------------------------------------------------
+
+_PREV = "SELECT *, max(sequence) OVER (PARTITION BY {0} ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM {1}"
+
+
+@query("W1_sequence_anomalies", f"SELECT event_id, arrival, greatest(0, sequence - previous - 1) AS gap, sequence <= previous AS out_of_order FROM ({_PREV.format('provider, symbol', 'deliveries')}) WHERE previous IS NOT NULL AND sequence <> previous + 1")
+def _(s, d):
+    return ql.sequence_anomalies(fx.deliveries(s, d), ["provider", "symbol"], ARRIVAL).select("event_id", "arrival", "gap", "out_of_order")
+
+
+_W2 = f"WITH w2 AS (SELECT *, coalesce(sequence <= previous, false) AS duplicate, CASE WHEN previous IS NULL OR sequence <= previous THEN 0 ELSE sequence - previous - 1 END AS gap_size FROM ({_PREV.format('user_id, symbol', 'deliveries')}))"
+
+
+@query("W2_recorder_sequence_filter", _W2 + " SELECT event_id, arrival, duplicate, gap_size FROM w2")
+def _(s, d):
+    return ql.recorder_filter(fx.deliveries(s, d), _KEYS, ARRIVAL).select("event_id", "arrival", "duplicate", "gap_size")
+
+
+@query("A18_recorder_counters", _W2 + " SELECT symbol, count(*) AS received, count(*) FILTER (NOT duplicate) AS written, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (gap_size > 0) AS gaps FROM w2 GROUP BY symbol")
+def _(s, d):
+    w = ql.recorder_filter(fx.deliveries(s, d), _KEYS, ARRIVAL)
+    return w.groupBy("symbol").agg(F.count("*").alias("received"), F.count_if(~F.col("duplicate")).alias("written"), F.count_if("duplicate").alias("duplicates"), F.count_if(F.col("gap_size") > 0).alias("gaps"))
+
+
+@query("W3_temporal_integrity")
+def _(s, d):
+    return ql.temporal_integrity(fx.points(s, d), ["provider", "symbol"], ARRIVAL).select("event_id", "outcome", "reason", "missing")
+
+
+@query("W3b_timestamp_rollback_fast", "SELECT event_id FROM (SELECT *, max(provider_timestamp) OVER (PARTITION BY provider, symbol ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM quotes) WHERE provider_timestamp < latest")
+def _(s, d):
+    return ql.rollbacks(fx.quotes(s, d), ["provider", "symbol"], ARRIVAL).select("event_id")
+
+
+@query("A19_duplicate_counts", "SELECT symbol, count(*) - count(DISTINCT event_id) AS duplicates FROM deliveries GROUP BY symbol")
+def _(s, d):
+    per = fx.deliveries(s, d).groupBy("symbol", "event_id").agg((F.count("*") - 1).alias("x"))
+    return per.groupBy("symbol").agg(F.sum("x").alias("duplicates"))
+
+
+@query("W4_latest_quote", "SELECT symbol, arg_max(event_id, (arrival, event_id)) AS event_id, arg_max(price, (arrival, event_id)) AS price FROM deliveries GROUP BY symbol")
+def _(s, d):
+    return ql.latest(fx.deliveries(s, d), "symbol", ARRIVAL, ["event_id", "price"])
+
+
+@query("S8_latest_table_sink", "SELECT provider, arg_max(event_id, (arrival, event_id)) AS event_id FROM deliveries GROUP BY provider")
+def _(s, d):
+    rows = fx.deliveries(s, d)
+    old, new = (ql.latest(rows.filter(c), "provider", ARRIVAL, ["event_id", "arrival"]) for c in ("k < 50", "k >= 50"))
+    return ql.latest(old.unionByName(new), "provider", ARRIVAL, ["event_id"])
+
+
+@query("J4_latest_many", "WITH l AS (SELECT symbol, arg_max(event_id, (arrival, event_id)) AS event_id FROM quotes GROUP BY symbol) SELECT ord, r.symbol, event_id, CASE WHEN event_id IS NULL THEN 'not_found' ELSE 'ok' END AS status FROM (VALUES (0, 'CLICK'), (1, 'UNKNOWN'), (2, 'VIEW')) r(ord, symbol) LEFT JOIN l USING (symbol)")
+def _(s, d):
+    wanted = s.createDataFrame([(0, "CLICK"), (1, "UNKNOWN"), (2, "VIEW")], "ord int, symbol string")
+    rows = ql.latest(fx.quotes(s, d), "symbol", ARRIVAL, ["event_id"])
+    return wanted.join(rows, "symbol", "left").select("ord", "symbol", "event_id", F.when(F.col("event_id").isNull(), "not_found").otherwise("ok").alias("status"))
+
+
+@query("J7_skip_seen_events", "SELECT event_id, arrival FROM deliveries WHERE event_id NOT IN (SELECT event_id FROM quotes WHERE k < 30)")
+def _(s, d):
+    seen = fx.quotes(s, d).filter("k < 30").select("event_id")
+    return fx.deliveries(s, d).join(seen, "event_id", "left_anti").select("event_id", "arrival")
+
+
+@query("J8_duplicate_refresh", "WITH l AS (SELECT user_id, symbol, arg_max(event_id, (arrival, event_id)) AS event_id FROM quotes GROUP BY ALL) SELECT l.user_id, l.symbol, l.event_id, max(d.arrival) AS refreshed_at FROM l JOIN deliveries d USING (user_id, symbol, event_id) GROUP BY ALL")
+def _(s, d):
+    rows = fx.quotes(s, d).groupBy(*_KEYS).agg(F.max_by("event_id", F.struct(*ARRIVAL)).alias("event_id"))
+    return rows.join(fx.deliveries(s, d), [*_KEYS, "event_id"]).groupBy(*_KEYS, "event_id").agg(F.max("arrival").alias("refreshed_at"))
+
+
+@query("J9_generation_fence", "SELECT event_id FROM points QUALIFY generation = max(generation) OVER (PARTITION BY provider)")
+def _(s, d):
+    p = fx.points(s, d)
+    return p.join(p.groupBy("provider").agg(F.max("generation").alias("generation")), ["provider", "generation"], "left_semi").select("event_id")
+
+
+@query("W7_local_sequence", "SELECT event_id, row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) AS local_sequence FROM quotes")
+def _(s, d):
+    return fx.quotes(s, d).select("event_id", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)).cast("long").alias("local_sequence"))
+
+
+@query("W15_dedupe_first", "SELECT event_id, min(arrival) AS arrival FROM deliveries GROUP BY event_id")
+def _(s, d):
+    return ql.first_seen(fx.deliveries(s, d), "event_id", ["arrival"]).select("event_id", "arrival")
+
+
+@query("W15_dedupe_ttl")
+def _(s, d):
+    return ql.dedupe_ttl(fx.deliveries(s, d), "event_id", "received_at", 3600).select("event_id", "arrival", "accepted")
+
+
+@query("W20_stream_health", f"WITH a AS (SELECT * FROM ({_PREV.format('provider, symbol', 'quotes')}) WHERE previous IS NOT NULL AND sequence <> previous + 1) SELECT provider, symbol, max(received_at) AS last_anomaly, max(received_at) > {NOW} - INTERVAL 86400 SECOND AND max(received_at) <= {NOW} AS degraded FROM a GROUP BY ALL")
+def _(s, d):
+    a = ql.sequence_anomalies(fx.quotes(s, d), ["provider", "symbol"], ARRIVAL).groupBy("provider", "symbol").agg(F.max("received_at").alias("last_anomaly"))
+    return a.withColumn("degraded", (F.col("last_anomaly") > now() - F.expr("INTERVAL 86400 SECOND")) & (F.col("last_anomaly") <= now()))
+
+
+@query("W21_retry_dlq", "SELECT user_id, event_id FROM quotes WHERE k % 4 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) = 3")
+def _(s, d):
+    w = Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)
+    return fx.quotes(s, d).filter("k % 4 = 0").withColumn("r", F.row_number().over(w)).filter("r = 3").select("user_id", "event_id")
+
+
+# --- normaliser -------------------------------------------------------------------------------------------------------
+
+
+@query("J3_asof_ticker_join", "SELECT t.message, t.pos, k.bid AS ticker_bid, k.bid_qty FROM trades t ASOF LEFT JOIN tickers k ON t.product = k.product AND t.arrival >= k.arrival")
+def _(s, d):
+    from tickloom.operators.normalise import asof_tickers
+
+    return asof_tickers(fx.trades(s, d), fx.tickers(s, d)).select("message", "pos", F.col("ticker.bid").alias("ticker_bid"), F.col("ticker.bid_qty").alias("bid_qty"))
+
+
+_A6 = "WITH b AS (SELECT message, max(CASE WHEN price <= 0 THEN 1 ELSE 0 END) AS bad FROM trades GROUP BY message) SELECT message, product, arg_max(price, pos) AS price, sum(size)::DECIMAL(18,2) AS volume, sum(CASE WHEN side = 'SELL' THEN size ELSE 0 END)::DECIMAL(18,2) AS buy_volume, sum(CASE WHEN side = 'BUY' THEN size ELSE 0 END)::DECIMAL(18,2) AS sell_volume, count(*) AS trade_count, max(time) AS provider_timestamp FROM trades WHERE message NOT IN (SELECT message FROM b WHERE bad = 1) GROUP BY ALL"
+
+
+@query("A6_trade_batches", _A6)
+def _(s, d):
+    from tickloom.operators.normalise import trade_batches
+
+    return trade_batches(fx.trades(s, d)).drop("trade_ids")
+
+
+@query("N1_normalizer", "WITH x AS (" + _A6[5:].replace("b AS", "WITH b AS", 1) + ") SELECT x.*, k.bid, k.ask, row_number() OVER (PARTITION BY product ORDER BY message) AS local_sequence FROM x ASOF LEFT JOIN (SELECT product AS p, arrival, bid, ask FROM tickers) k ON x.product = k.p AND x.message >= k.arrival")
+def _(s, d):
+    from tickloom.operators.normalise import normalize
+
+    return normalize(fx.trades(s, d), fx.tickers(s, d)).drop("trade_ids", "event_id")
+
+
+@query("F3_uuid5")
+def _(s, d):
+    return fx.quotes(s, d).select("event_id", fn.uuid5(F.concat_ws(":", "provider", "symbol", F.col("event_id").cast("string"))).alias("uuid"))
+
+
+# --- fan-out, subscriptions, limits -----------------------------------------------------------------------------------
+
+
+@query("J1_fanout_join", "SELECT client_id, symbol, count(*) AS deliveries FROM quotes JOIN subscriptions USING (symbol) GROUP BY ALL")
+def _(s, d):
+    per = fx.quotes(s, d).groupBy("symbol").agg(F.count("*").alias("n"))
+    return fo.fanout(per, fx.subscriptions(s, d)).select("client_id", "symbol", F.col("n").alias("deliveries"))
+
+
+@query("J2_tier_policy_join", "SELECT client_id, symbol, CASE tier WHEN 'basic' THEN 1.0 WHEN 'pro' THEN 0.2 ELSE 0.1 END::DOUBLE AS interval_seconds FROM subscriptions")
+def _(s, d):
+    return fo.with_policy(fx.subscriptions(s, d)).select("client_id", "symbol", F.col("interval_seconds").cast("double").alias("interval_seconds"))
+
+
+@query("W10_tier_decimation", "WITH n AS (SELECT event_id, symbol, user_id, row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) - 1 AS n FROM quotes) SELECT event_id, tier FROM n, (VALUES ('basic', 10), ('pro', 2), ('premium', 1)) t(tier, divisor) WHERE n % divisor = 0")
+def _(s, d):
+    n = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)) - 1
+    tiers = fo.policies(s).select("tier", fo.divisor(F.col("rate")).alias("divisor"))
+    kept = F.broadcast(tiers.agg(F.collect_list(F.struct("tier", "divisor")).alias("tiers")))  # three rows as one
+    rows = fx.quotes(s, d).withColumn("n", n).crossJoin(kept)
+    return rows.select("event_id", "n", F.inline("tiers")).filter("n % divisor = 0").select("event_id", "tier")
+
+
+_A11 = """WITH e AS (SELECT symbol, count(*) AS events FROM quotes GROUP BY 1), s AS (SELECT symbol, tier, count(*) AS subs, CASE tier WHEN 'basic' THEN 10 WHEN 'pro' THEN 2 ELSE 1 END AS divisor FROM subscriptions GROUP BY ALL),
+r AS (SELECT symbol, subs, events * subs AS a, CAST(ceil(events / divisor) AS BIGINT) * subs AS b FROM s JOIN e USING (symbol)),
+t AS (SELECT sum(subs)::BIGINT AS baseline_subscriptions, count(DISTINCT symbol) AS smart_subscriptions, sum(a)::BIGINT AS baseline_deliveries, sum(b)::BIGINT AS smart_deliveries, (sum(a) * 256)::BIGINT AS baseline_bytes, (sum(b) * 256)::BIGINT AS smart_bytes FROM r)"""
+
+
+@query("A11_fanout_accounting", _A11 + " SELECT * FROM t")
+def _(s, d):
+    return fo.fanout_accounting(fx.quotes(s, d), fx.subscriptions(s, d))
+
+
+@query("A12_savings", _A11 + " SELECT (1 - smart_deliveries / baseline_deliveries) * 100 AS delivery_savings, (1 - smart_subscriptions / baseline_subscriptions) * 100 AS subscription_savings FROM t")
+def _(s, d):
+    t = fo.fanout_accounting(fx.quotes(s, d), fx.subscriptions(s, d))
+    saved = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise((1 - F.col(a) / F.col(b)) * 100)
+    return t.select(saved("smart_deliveries", "baseline_deliveries").alias("delivery_savings"), saved("smart_subscriptions", "baseline_subscriptions").alias("subscription_savings"))
+
+
+@query("W12_conflate_window", "SELECT symbol, time_bucket(INTERVAL 10 SECOND, provider_timestamp) AS slot, arg_max(price, (arrival, event_id)) AS price, arg_max(event_id, (arrival, event_id)) AS event_id, count(*) - 1 AS coalesced FROM quotes GROUP BY ALL")
+def _(s, d):
+    return fo.conflate_window(fx.quotes(s, d), 10)
+
+
+@query("W11_conflate_latest")
+def _(s, d):
+    rows = fx.quotes(s, d).withColumn("interval_seconds", F.lit(3600.0))
+    return fo.conflate_latest(rows, _KEYS, "received_at").select("event_id", "sent_at", "replaced")
+
+
+@query("W13_bounded_buffer", "WITH m AS (SELECT user_id, symbol, max(received_at) AS received_at, arg_max(event_id, (received_at, arrival)) AS event_id FROM quotes GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY received_at DESC, symbol) <= 2")
+def _(s, d):
+    return fo.bounded_buffer(fx.quotes(s, d), "user_id", 2)
+
+
+@query("W14_slow_consumer_warnings", "WITH t AS (SELECT user_id, event_id, k, sum(k) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) AS total FROM quotes) SELECT user_id, event_id, total::BIGINT AS total FROM t WHERE total // 100 > (total - k) // 100")
+def _(s, d):
+    return fo.slow_consumer_warnings(fx.quotes(s, d).withColumn("coalesced", F.col("k")), "user_id", ARRIVAL, 100).select("user_id", "event_id", "total")
+
+
+@query("W19_symbol_limit", "SELECT client_id, count(DISTINCT symbol) AS symbols, count(DISTINCT symbol) > 3 AS violation FROM subscriptions GROUP BY client_id")
+def _(s, d):
+    return fx.subscriptions(s, d).groupBy("client_id").agg(F.countDistinct("symbol").alias("symbols"), (F.countDistinct("symbol") > 3).alias("violation"))
+
+
+_W8 = """WITH i AS (SELECT connection, symbol, start, expires, max(expires) OVER (PARTITION BY connection, symbol ORDER BY start, expires ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + INTERVAL 3 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY connection, symbol ORDER BY start, expires ROWS UNBOUNDED PRECEDING) AS island FROM i)
+SELECT connection || symbol AS symbol, min(start) AS activate_at, max(expires) + INTERVAL 3 SECOND AS release_at, count(*) AS subscriptions FROM n GROUP BY connection, symbol, island"""
+
+
+@query("W8_upstream_activation", _W8)
+def _(s, d):
+    return fo.activations(fx.intervals(s, d).withColumn("symbol", F.concat(F.col("connection").cast("string"), "symbol")))
+
+
+_A8 = f"WITH l AS (SELECT DISTINCT connection, symbol FROM intervals WHERE start <= {NOW} AND expires > {NOW}), t AS (SELECT count(*) AS client_subscriptions, count(DISTINCT symbol) AS unique_symbols FROM l)"
+
+
+@query("A8_subscription_stats", _A8 + " SELECT client_subscriptions, unique_symbols, CASE WHEN unique_symbols > 0 THEN client_subscriptions / unique_symbols ELSE 0 END::DOUBLE AS ratio FROM t")
+def _(s, d):
+    return fo.subscription_stats(fx.intervals(s, d), now()).drop("reduction")
+
+
+@query("A9_subscription_reduction", _A8 + " SELECT 1 - unique_symbols / greatest(client_subscriptions, 1) AS reduction FROM t")
+def _(s, d):
+    return fo.subscription_stats(fx.intervals(s, d), now()).select("reduction")
+
+
+@query("A10_desired_symbols", "SELECT symbol, count(*) AS consumers, min(client_id) AS first_consumer, symbol IN ('CLICK', 'VIEW') AS live FROM subscriptions GROUP BY symbol")
+def _(s, d):
+    acked = F.array(F.lit("CLICK"), F.lit("VIEW"))
+    return fx.subscriptions(s, d).groupBy("symbol").agg(F.count("*").alias("consumers"), F.min("client_id").alias("first_consumer")).withColumn("live", F.array_contains(acked, F.col("symbol")))
+
+
+@query("U2_subscription_diff", "WITH o AS (SELECT user_id, symbol FROM quotes WHERE k < 50), n AS (SELECT user_id, symbol FROM quotes WHERE k >= 50) SELECT 'added' AS change, * FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'removed', * FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT 'kept', * FROM (SELECT * FROM o INTERSECT SELECT * FROM n)")
+def _(s, d):
+    q = fx.quotes(s, d)
+    old, new = q.filter("k < 50").select("user_id", "symbol"), q.filter("k >= 50").select("user_id", "symbol")
+    parts = {"added": new.subtract(old), "removed": old.subtract(new), "kept": old.intersect(new)}
+    out = [df.select(F.lit(name).alias("change"), "user_id", "symbol") for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("U3_denied_symbols", "SELECT client_id, symbol FROM subscriptions WHERE client_id % 4 <> 0 AND symbol NOT IN ('CLICK', 'VIEW')")
+def _(s, d):
+    allowed = F.array(F.lit("CLICK"), F.lit("VIEW"))
+    return fx.subscriptions(s, d).filter(F.col("client_id") % 4 != 0).groupBy("client_id").agg(F.collect_set("symbol").alias("wanted")).select("client_id", F.explode(F.array_except("wanted", allowed)).alias("symbol"))
+
+
+@query("U4_distinct_symbols", "SELECT DISTINCT symbol FROM quotes")
+def _(s, d):
+    return fx.quotes(s, d).select("symbol").distinct()
+
+
+@query("U5_unique_warnings", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'stale,gap' ELSE 'gap,stale' END AS warnings FROM quotes")
+def _(s, d):
+    a, b = F.array(F.lit("stale"), F.lit("gap")), F.array(F.lit("gap"), F.lit("stale"))
+    return fx.quotes(s, d).select("event_id", F.array_join(F.array_distinct(F.when(F.col("k") % 2 == 0, F.concat(a, b)).otherwise(F.concat(b, a))), ",").alias("warnings"))
+
+
+@query("W16_token_bucket")
+def _(s, d):
+    return fo.token_bucket(fx.events(s, d).select("user_id", "ts", "event_id"), "user_id", "ts", 30).select("event_id", "allowed", "remaining")
+
+
+@query("W17_anchored_window_limit")
+def _(s, d):
+    return fo.anchored_window_limit(fx.events(s, d).select("user_id", "ts", "event_id"), "user_id", "ts", 2, 86_400).select("event_id", "allowed")
+
+
+@query("W18_connection_limit")
+def _(s, d):
+    return fo.connection_limit(fx.intervals(s, d), "connection", 2).select("connection", "start", "expires", "allowed")
+
+
+# --- usage, metrics, alerts -------------------------------------------------------------------------------------------
+
+_USAGE = "WITH u AS (SELECT DISTINCT ON (idempotency_key) * FROM usage ORDER BY idempotency_key, event_id)"
+
+
+@query("S6_usage_sink", _USAGE + " SELECT idempotency_key, quantity FROM u")
+def _(s, d):
+    return ql.first_seen(fx.usage(s, d), "idempotency_key", ["event_id"]).select("idempotency_key", "quantity")
+
+
+@query("A7_usage_totals", _USAGE + " SELECT client_id, event_type, CAST(created_at AS DATE) AS day, count(*) AS records, sum(quantity)::BIGINT AS quantity FROM u GROUP BY ALL")
+def _(s, d):
+    u = ql.first_seen(fx.usage(s, d), "idempotency_key", ["event_id"])
+    return u.groupBy("client_id", "event_type", F.to_date("created_at").alias("day")).agg(F.count("*").alias("records"), F.sum("quantity").alias("quantity"))
+
+
+_BOUNDS = ", ".join(f"({b})" for b in mt.LATENCY_BOUNDS)
+_HIST = f"WITH l AS (SELECT symbol, k / 1000.0 AS seconds FROM quotes), h AS (SELECT symbol, le::DOUBLE AS le, count(*) FILTER (seconds <= le) AS n, count(*) AS total FROM l, (VALUES {_BOUNDS}) b(le) GROUP BY ALL)"
+
+
+def _hist(s, d):
+    return mt.histogram(fx.quotes(s, d).withColumn("seconds", F.col("k") / 1000.0), ["symbol"], "seconds")
+
+
+@query("A13_latency_histogram", _HIST + " SELECT symbol, total, le, n FROM h")
+def _(s, d):
+    return _hist(s, d)
+
+
+@query("A14_histogram_quantile", _HIST + ", w AS (SELECT *, coalesce(lag(le) OVER (PARTITION BY symbol ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY symbol ORDER BY le), 0) AS before FROM h) SELECT symbol, round(min(low + (le - low) * (0.95 * total - before) / (n - before)) FILTER (n >= 0.95 * total), 9) AS value FROM w GROUP BY symbol")
+def _(s, d):
+    return mt.histogram_quantile(_hist(s, d), ["symbol"], 0.95).select("symbol", F.round("value", 9).alias("value"))
+
+
+@query("A15_percentiles_nearest_rank", "WITH r AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM quotes) SELECT user_id, max(k) FILTER (r = round_even((n - 1) * 0.5, 0) + 1) AS p50, max(k) FILTER (r = round_even((n - 1) * 0.95, 0) + 1) AS p95 FROM r GROUP BY user_id")
+def _(s, d):
+    return mt.nearest_rank(fx.quotes(s, d), ["user_id"], "k", (0.5, 0.95))
+
+
+@query("A16_throughput", "WITH s AS (SELECT symbol, unnest([time_bucket(INTERVAL 60 SECOND, provider_timestamp) - to_seconds(60 * i) for i in range(5)]) AS window_start FROM quotes) SELECT symbol, window_start, count(*) AS n, count(*) / 300 AS per_second FROM s GROUP BY ALL")
+def _(s, d):
+    return mt.throughput(fx.quotes(s, d), "provider_timestamp", ["symbol"], 300, 60)
+
+
+@query("A17_stream_diagnostics", "WITH g AS (SELECT *, epoch_us(provider_timestamp) - epoch_us(lag(provider_timestamp) OVER (PARTITION BY user_id ORDER BY provider_timestamp, event_id)) AS gap FROM quotes) SELECT user_id, count(*) AS messages, count(DISTINCT symbol) AS channels, min(provider_timestamp) AS first_at, max(provider_timestamp) AS last_at, max(gap) AS max_gap_micros FROM g GROUP BY user_id")
+def _(s, d):
+    return mt.session_diagnostics(fx.quotes(s, d), "user_id", "symbol", "provider_timestamp")
+
+
+@query("A20_consumer_backlog", "WITH g(\"group\", p) AS (VALUES ('live', 1), ('archive', 2), ('missing', 0)), a AS (SELECT 'live' AS \"group\", event_id, k % 3 <> 0 AS acked FROM quotes UNION ALL SELECT 'archive', event_id, true FROM quotes WHERE k < 40), t AS (SELECT \"group\", count(event_id) AS delivered, count(*) FILTER (acked) AS acked, (SELECT count(*) FROM quotes) AS entries FROM g LEFT JOIN a USING (\"group\") GROUP BY ALL) SELECT \"group\", delivered - acked AS pending, entries - delivered AS undelivered, entries - acked AS backlog, (entries - acked) / 100000 AS ratio, greatest(0, 100000 - (entries - acked)) AS headroom FROM t")
+def _(s, d):
+    q = fx.quotes(s, d)
+    live = q.select(F.lit("live").alias("group"), F.col("event_id").alias("entry_id"), F.when(F.col("k") % 3 != 0, F.col("received_at")).alias("acked_at"))
+    archive = q.filter("k < 40").select(F.lit("archive").alias("group"), F.col("event_id").alias("entry_id"), F.col("received_at").alias("acked_at"))
+    groups = s.createDataFrame([("live",), ("archive",), ("missing",)], "group string")
+    return mt.consumer_backlog(q.select(F.col("event_id").alias("entry_id")), live.unionByName(archive), groups, 100_000)
+
+
+_ISLANDS = "WITH t AS (SELECT *, CASE WHEN {0} <> coalesce(lag({0}) OVER w, false) THEN 1 ELSE 0 END AS turn FROM quotes WINDOW w AS (PARTITION BY user_id ORDER BY {1})), i AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY {1} ROWS UNBOUNDED PRECEDING) AS island FROM t)"
+
+
+@query("A22_outage_durations", _ISLANDS.format("(k < 60)", "provider_timestamp, event_id") + " SELECT user_id, min(provider_timestamp) AS since, max(provider_timestamp) AS until, count(*) AS samples FROM i WHERE k < 60 GROUP BY user_id, island")
+def _(s, d):
+    return _islands(fx.quotes(s, d), F.col("k") < 60, 0)
+
+
+def _islands(q, condition, seconds):
+    rows = q.withColumn("_at", F.struct("provider_timestamp", "event_id"))
+    w = Window.partitionBy("user_id").orderBy("_at")
+    rows = rows.withColumn("_rank", F.row_number().over(w))
+    out = mt.true_for(rows, ["user_id"], "provider_timestamp", condition, seconds)
+    return out
+
+
+@query("W9_alert_for", _ISLANDS.format("(k > 20)", "provider_timestamp, event_id") + " SELECT user_id, min(provider_timestamp) AS since, max(provider_timestamp) AS until, count(*) AS samples FROM i WHERE k > 20 GROUP BY user_id, island HAVING floor(epoch(max(provider_timestamp))) - floor(epoch(min(provider_timestamp))) >= 7200")
+def _(s, d):
+    return _islands(fx.quotes(s, d), F.col("k") > 20, 7200)
+
+
+@query("A26_gateway_metrics", f"SELECT 'provider_events' AS metric, symbol AS label, count(*) AS value FROM deliveries GROUP BY symbol UNION ALL SELECT 'deduplicated', symbol, count(*) - count(DISTINCT event_id) FROM deliveries GROUP BY symbol UNION ALL SELECT 'stale_reads', symbol, count(*) FILTER (k > 50) FROM quotes GROUP BY symbol UNION ALL SELECT 'gaps', symbol, count(*) FROM ({_PREV.format('provider, symbol', 'quotes')}) WHERE sequence > previous + 1 GROUP BY symbol")
+def _(s, d):
+    q, r = fx.quotes(s, d), fx.deliveries(s, d)
+    row = lambda df, name, value: df.groupBy("symbol").agg(value.alias("value")).select(F.lit(name).alias("metric"), F.col("symbol").alias("label"), "value")
+    gaps = ql.sequence_anomalies(q, ["provider", "symbol"], ARRIVAL).filter("gap > 0")
+    parts = [row(r, "provider_events", F.count("*")), row(r, "deduplicated", F.count("*") - F.countDistinct("event_id")), row(q, "stale_reads", F.count_if(F.col("k") > 50)), row(gaps, "gaps", F.count("*"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query("F1_F2_floor_ceil_time", "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, provider_timestamp) AS floor_15m, CASE WHEN time_bucket(INTERVAL 4 HOUR, provider_timestamp) < provider_timestamp THEN time_bucket(INTERVAL 4 HOUR, provider_timestamp) + INTERVAL 4 HOUR ELSE provider_timestamp END AS ceil_4h FROM quotes")
+def _(s, d):
+    at = F.col("provider_timestamp")
+    return fx.quotes(s, d).select("event_id", fn.floor_micros(at, 900).alias("floor_15m"), fn.ceil_time(at, 14_400).alias("ceil_4h"))
+
+
+@query("F5_F7_parsing", "SELECT event_id, CASE WHEN k % 3 = 0 THEN NULL ELSE price END::DECIMAL(18,2) AS price, k % 4 <> 0 AS dated, CASE WHEN k % 5 = 0 THEN 0 ELSE 1000 - k END AS age FROM quotes")
+def _(s, d):
+    k = F.col("k")
+    text = F.when(k % 3 == 0, F.lit("")).otherwise(F.col("price").cast("string"))
+    at = F.concat(F.date_format("provider_timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 4 == 0, "").otherwise("+00:00"))
+    entry = F.when(k % 5 == 0, "bad-0").otherwise(F.concat(k.cast("string"), F.lit("-1")))
+    return fx.quotes(s, d).select("event_id", fn.parse_decimal(text).cast("decimal(18,2)").alias("price"), fn.parse_timestamp(at).isNotNull().alias("dated"), fn.stream_id_age(entry, F.lit(1000)).alias("age"))
+
+
+@query("F8_F11_limits", "SELECT client_id, symbol, CASE tier WHEN 'basic' THEN 40 WHEN 'pro' THEN 200 ELSE 512 END::BIGINT AS capacity FROM subscriptions")
+def _(s, d):
+    return fo.with_policy(fx.subscriptions(s, d)).select("client_id", "symbol", F.col("capacity").cast("long").alias("capacity"))
+
+
+@query("F9_F10_text", "SELECT event_id, length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1))::INT AS places, k % 2 = 0 AS hex FROM quotes")
+def _(s, d):
+    h = F.sha2(F.col("symbol").cast("binary"), 256)
+    return fx.quotes(s, d).select("event_id", fn.decimal_places(F.col("price")).alias("places"), fn.is_sha256_hex(F.when(F.col("k") % 2 == 0, h).otherwise(F.upper(F.concat(F.lit("x"), h)))).alias("hex"))
+
+
+# --- ledger -----------------------------------------------------------------------------------------------------------
+
+_PAYLOAD = ["event_id", "symbol", "price_text", "provider"]
+
+
+def ledger(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.quotes(s, d).select("event_id", "symbol", F.col("price").cast("string").alias("price_text"), "provider", "arrival")
+    return lg.build_ledger(rows, "provider", ARRIVAL, _PAYLOAD)
+
+
+@query("L1_build_ledger")
+def _(s, d):
+    return ledger(s, d).select("provider", "ledger_index", "event_id", "previous_record_hash", "record_hash")
+
+
+def _lines(s, d):
+    """Ledger lines with every 97th record's price tampered with."""
+    bad = F.when(F.col("event_id") % 97 == 0, F.regexp_replace("value", r'"price_text":"[0-9.]+"', '"price_text":"1.00"')).otherwise(F.col("value"))
+    return ledger(s, d).select("provider", F.col("ledger_index").alias("line"), bad.alias("value"))
+
+
+@query("L2_verify_ledger")
+def _(s, d):
+    return lg.verify_ledger(_lines(s, d), "provider", "line").select("provider", "line", "violation")
+
+
+@query("L3_first_violation", "WITH b AS (SELECT provider, event_id, price, row_number() OVER (PARTITION BY provider ORDER BY arrival, event_id) - 1 AS line FROM quotes) SELECT provider, min(line) AS line, 'record_hash mismatch' AS violation FROM b WHERE event_id % 97 = 0 AND price > 0 AND price <> 1 GROUP BY provider")
+def _(s, d):
+    return lg.first_violation(lg.verify_ledger(_lines(s, d), "provider", "line"), "provider", "line")
+
+
+@query("A21_ledger_summary", "SELECT provider, count(*) AS records, true AS verified FROM quotes GROUP BY provider")
+def _(s, d):
+    lines = ledger(s, d).select("provider", F.col("ledger_index").alias("line"), "value")
+    return lg.summary(lg.verify_ledger(lines, "provider", "line"), "provider", "line").drop("head_hash")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+@query("L4_continue_ledger", "SELECT provider, count(*) AS records, true AS verified FROM quotes GROUP BY provider")
+def _(s, d):
+    rows = fx.quotes(s, d).select("event_id", "symbol", F.col("price").cast("string").alias("price_text"), "provider", "arrival")
+    one = lg.build_ledger(rows.filter("arrival < 20000"), "provider", ARRIVAL, _PAYLOAD)
+    heads = one.groupBy("provider").agg(F.max("ledger_index").alias("ledger_index"), F.max_by("record_hash", "ledger_index").alias("record_hash"))
+    two = lg.build_ledger(rows.filter("arrival >= 20000"), "provider", ARRIVAL, _PAYLOAD, heads)
+    lines = one.unionByName(two).select("provider", F.col("ledger_index").alias("line"), "value")
+    return lg.summary(lg.verify_ledger(lines, "provider", "line"), "provider", "line").drop("head_hash")
