@@ -662,7 +662,7 @@ def _(s, d):
     return _hist(s, d)
 
 
-@query("A14_histogram_quantile", _HIST + ", w AS (SELECT *, coalesce(lag(le) OVER (PARTITION BY symbol ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY symbol ORDER BY le), 0) AS before FROM h) SELECT symbol, round(min(low + (le - low) * (0.95 * total - before) / (n - before)) FILTER (n >= 0.95 * total), 9) AS value FROM w GROUP BY symbol")
+@query("A14_histogram_quantile", _HIST + ", w AS (SELECT *, coalesce(lag(le) OVER (PARTITION BY symbol ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY symbol ORDER BY le), 0) AS before FROM h) SELECT symbol, round(min(low + (le - low) * (0.95 * total - before) / (n - before)) FILTER (n >= 0.95 * total AND n > before), 9) AS value FROM w GROUP BY symbol")
 def _(s, d):
     return mt.histogram_quantile(_hist(s, d), ["symbol"], 0.95).select("symbol", F.round("value", 9).alias("value"))
 
