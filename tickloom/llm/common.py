@@ -36,6 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()  # Spark's cleaner then deletes the shuffle files behind what is written now
     return spark.read.schema(df.schema).parquet(path)
 
 

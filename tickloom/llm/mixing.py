@@ -128,7 +128,7 @@ def mix(docs: DataFrame, target_share: tuple[int, int] = (3, 4), max_epochs: int
     keyed = stored(docs.select("doc_id", default_domain(source).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "tokens")
     leaves = keyed.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
     total = F.expr(f"sum(tokens) * {target_share[0]} DIV {target_share[1]}")
-    return select(keyed, budgets(leaves, default_weights(), total, max_epochs), seed)
+    return select(keyed, stored(budgets(leaves, default_weights(), total, max_epochs), "budgets"), seed)
 
 
 def prefix_of(text: Column, take: Column) -> Column:

@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import NO_ID, hash_words, mix64, real_id, safe_id, shingle_hashes, small, stored, utf8
 from tickloom.llm.components import components
 
-#: A shingle that stands in this share of a task's documents counts as common, and goes last in the order.
-COMMON = 1 / 500
-#: Most common shingles that are sent along (they steer speed, never results).
-COMMON_MOST = 400_000
+#: Documents that make a shingle common; common ones go last in the order (which steers speed, never results).
+COMMON = 8
+#: Most common shingles that are sent along, the most frequent first.
+COMMON_MOST = 1_000_000
+#: Times that large groups may take in others by one member before pairs are made, and the new links that make a next time
+#: worth it (steers speed, never results).
+ROUNDS, WORTH = 5, 500
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -40,14 +43,13 @@ def common_shingles(docs: DataFrame, k: int = 5) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
-            least = max(4, math.ceil(len(sets) * COMMON))
-            if len(sets) >= least and (total := sum(map(len, sets))):
+            if sum(map(len, sets)):
                 value, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= least
+                often = n >= 2
                 yield pd.DataFrame({"h": value[often].view("int64"), "n": n[often]})
             del sets
 
-    rows = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     top = rows.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toPandas()  # bounded by COMMON_MOST numbers
     return np.sort(top["h"].to_numpy("int64").view("uint64"))
 
@@ -73,10 +75,15 @@ def _band(n: Column, share: tuple[int, int]) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(share[1] / share[0]) + F.lit(1e-9)).cast("int")
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """One signed 64-bit number for a set of hashes."""
+    with np.errstate(over="ignore"):
+        return int(mix64(mix64(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, share: tuple[int, int], common: np.ndarray, k: int) -> DataFrame:
-    """doc_id, n, f, g (hashes of the set) and prefix (its first shingles in the global order)."""
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(common)  # at most COMMON_MOST numbers
+    """doc_id, n, f (fingerprint of the set) and prefix (its first shingles in the global order)."""
+    last = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST numbers
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = last.value
@@ -91,24 +98,23 @@ def signatures(docs: DataFrame, share: tuple[int, int], common: np.ndarray, k: i
                     rare = often[at] != s
                     if not rare[: len(first)].all():
                         first = np.concatenate([s[rare], s[~rare]])[: len(first)]
-                with np.errstate(over="ignore"):
-                    f, g = mix64(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))) if n else np.uint64(0)
-                rows.append((doc_id, n, int(np.uint64(f).view(np.int64)), int(np.uint64(g).view(np.int64)), first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "f", "g", "prefix"])
+                rows.append((doc_id, n, fingerprint(s), first.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "f", "prefix"])
 
-    return docs.select(safe_id(), "text").mapInPandas(sign, "doc_id long, n long, f long, g long, prefix array<long>")
+    return docs.select(safe_id(), "text").mapInPandas(sign, "doc_id long, n long, f long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The whole sorted sets and bitmaps of the named documents, from their texts."""
+    """(id, s): the whole sorted sets of the classes (id, doc_id), from their first documents' texts."""
     n = ids.count()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingle_set(t, k) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [x.tobytes() for x in own]})
+            yield pd.DataFrame({"id": [fingerprint(x) for x in own], "s": [x.tobytes() for x in own]})
 
-    return docs.select(safe_id(), "text").join(small(ids.select(F.col("id").alias("doc_id")), n), "doc_id", "left_semi").mapInPandas(sets, "id long, s binary")
+    found = docs.select(safe_id(), "text").join(small(ids.select("doc_id"), n), "doc_id", "left_semi").mapInPandas(sets, "id long, s binary")
+    return found.groupBy("id").agg(F.first("s").alias("s"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -145,30 +151,55 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def join_tiles(listed: DataFrame, share: tuple[int, int], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def enough(shared: Column, na: Column, nb: Column, share: tuple[int, int]) -> Column:
+    """Whether sets with so many common listed shingles may link.
+
+    Of the set whose list ends first, what comes after its list is all that the other can add: n less the list's length,
+    which is ceil(share n) - 1. An exact bound from above, so it drops no link.
+    """
+    p, q = share
+    most = shared + F.greatest(F.ceil(na * p / q), F.ceil(nb * p / q)) - 1
+    return most >= F.ceil((na + nb) * p / (p + q))
+
+
+def join_tiles(listed: DataFrame, share: tuple[int, int], verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Rows (h, id, n) of sets of size n listed under keys h to (id, component_id) of sets that link.
 
-    `verify` takes stored pairs (a, b) and returns those that link. Keys that list one set go first, by counts; then each set
-    meets the smallest set of its keys (of those, the one it shares most keys with); then all pairs of different groups that
-    still share a key and whose sizes allow a link. Only ids move here.
+    `verify` takes stored pairs (a, b) and returns those that link; `may_link` tells from the number of shared keys and both
+    sizes whether a pair can (always true where keys do not bound it). Keys that list one set go first; then each set meets the
+    smallest id under its keys (of those, the one it shares most keys with); then, in rounds, what shares a key with a large
+    group meets another member of it; then all pairs of different groups that still share a key and whose sizes allow a link.
+    Only ids move here.
     """
     p, q = share
-    counted = listed.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("n", "id")).alias("lead")).filter("m > 1")
-    tiles = stored(listed.join(counted, "h").select("h", "id", "n", "lead"), "tiles")
-    near = F.least("n", "lead.n") * q >= F.greatest("n", "lead.n") * p
-    first = tiles.filter((F.col("lead.id") != F.col("id")) & near).groupBy("id", "lead").count()
-    one = first.groupBy("id").agg(F.max(F.struct(F.col("count").alias("k"), (-F.col("lead.id")).alias("lead"))).alias("best"))
-    one = stored(one.select((-F.col("best.lead")).alias("a"), F.col("id").alias("b")), "leaders")
+    shared = listed.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last").select("h", "lead")
+    tiles = stored(listed.join(shared, "h"), "tiles")
+    first = tiles.filter("lead <> id").groupBy("id", "lead", "n").count().filter(may_link(F.col("count"), F.col("n"), F.col("n")))
+    best = first.groupBy("id").agg(F.max("count").alias("count"))
+    one = first.join(best, ["id", "count"]).groupBy("id").agg(F.min("lead").alias("a"))
+    one = stored(one.select("a", F.col("id").alias("b")), "leaders")
     joined = stored(verify(one), "links")
-    parts = stored(components(joined), "parts")
-    comp = F.coalesce("component_id", "id")
-    named = tiles.join(parts, "id", "left").select("h", "id", "n", comp.alias("c"), _band(F.col("n"), share).alias("band"))
-    mixed = named.groupBy("h").agg((F.min("c") != F.max("c")).alias("open")).filter("open").select("h")
-    open_ = stored(named.join(mixed, "h", "left_semi"), "open")
+    for turn in range(ROUNDS + 1):
+        parts = stored(components(joined), "parts")
+        named = tiles.join(parts, "id", "left").select("h", "id", "n", F.coalesce("component_id", "id").alias("c"))
+        sizes = named.groupBy("h", "c").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("one"))
+        tops = F.max_by(F.struct("one", "c"), F.struct("m", "c"))
+        open_tiles = sizes.groupBy("h").agg(F.count("*").alias("groups"), F.sum("m").alias("m"), F.max("m").alias("largest"), tops.alias("lead")).filter("groups > 1")
+        open_ = stored(named.join(open_tiles, "h"), "open")
+        # A large group in a tile may still take in others: its next member meets them before any pairs are made.
+        if turn == ROUNDS or not open_.filter("largest >= 8").take(1):
+            break
+        again = open_.filter("largest >= 8 AND c <> lead.c").groupBy("id", "n", "lead.one").agg(F.count("*").alias("k")).filter(may_link(F.col("k"), F.col("n"), F.col("n"))).groupBy("id").agg(F.max_by("one", F.struct("k", "one")).alias("one"))
+        more = stored(verify(stored(again.select(F.col("one").alias("a"), F.col("id").alias("b")), "leaders")), "links")
+        joined = joined.unionByName(more)
+        if more.count() < WORTH:
+            break
+    open_ = open_.select("h", "id", "n", "c", _band(F.col("n"), share).alias("band"))
     low = open_.select("h", "band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     high = open_.select("h", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     meet = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * q >= F.col("nb") * p)
-    rest = stored(low.join(high, ["h", "band"]).filter(meet).select("a", "b").distinct(), "rest")
+    met = low.join(high, ["h", "band"]).filter(meet).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    rest = stored(met.filter(may_link(F.col("k"), F.col("na"), F.col("nb"))).select("a", "b"), "rest")
     return components(joined.unionByName(verify(rest)))
 
 
@@ -179,14 +210,20 @@ def groups(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> Data
     each give a row; rows without doc_id get no component and join nothing. An empty table gives none. Columns other than doc_id and text are not read. Texts are taken whole.
     """
     signed = stored(signatures(docs, share, common_shingles(docs, k), k), "signatures")
-    classes = stored(signed.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID)).groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    reps = signed.join(classes.select("f", "g", "n", F.col("id").alias("doc_id")), ["f", "g", "n", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
-    linked_all = join_tiles(
-        reps.select("id", "n", F.explode("prefix").alias("h")), share,
-        lambda pairs: _verified(pairs, stored(_sets(docs, _ids(pairs), k), "sets"), share),
+    named = signed.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID))
+    # Map-side aggregation joins copies before they move, so a large group of copies is one row a task.
+    classes = stored(named.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    homes = classes.select(F.col("f").alias("id"), "doc_id")
+    parts = join_tiles(
+        classes.select(F.col("f").alias("id"), "n", F.explode("prefix").alias("h")), share,
+        lambda pairs: _verified(pairs, stored(_sets(docs, stored(_ids(pairs).join(homes, "id"), "wanted"), k), "sets"), share),
+        lambda k, na, nb: enough(k, na, nb, share),
     )
-    known = classes.select("f", "g", "n", "id").join(linked_all, "id", "left").select("f", "g", "n", F.coalesce("component_id", "id").alias("component_id"))
-    return signed.select("doc_id", "f", "g", "n").join(known, ["f", "g", "n"], "left").select(real_id(), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") != NO_ID, F.coalesce("component_id", "doc_id")).alias("component_id"))
+    whole = stored(homes.join(parts, "id"), "parts")
+    least = whole.groupBy("component_id").agg(F.min("doc_id").alias("first"))
+    known = homes.join(whole.join(least, "component_id").select("id", "first"), "id", "left").select(F.col("id").alias("f"), F.coalesce("first", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & (F.col("doc_id") != NO_ID), F.col("f")).alias("f")).join(known, "f", "left")
+    return out.select(real_id(), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") != NO_ID, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, share: tuple[int, int] = (4, 5), k: int = 5) -> DataFrame:

@@ -22,15 +22,22 @@ _SCHEMA = "doc_id long, paragraph long, start long, end long, n_words long, n lo
 
 def paragraphs_of(text: str | None, least: int, k: int = 5) -> list[tuple[int, int, int, int, np.ndarray, int]]:
     """(number, start, end, words, shingle set, hash of the words) of each line with at least `least` words; code points."""
-    out, at = [], 0
-    for number, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * least - 1:
-            words = hash_words(utf8(line))[0]
-            if len(words) >= least:
-                with np.errstate(over="ignore"):
-                    f = int(mix64(words + mix64(np.arange(len(words), dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
-                out.append((number, at, at + len(line), len(words), np.unique(shingle_hashes(words, k)), f))
-        at += len(line) + 1
+    if not text:
+        return []
+    raw = utf8(text)
+    words, starts, _ = hash_words(raw)
+    breaks = np.flatnonzero(raw == 10)
+    first = np.searchsorted(starts, breaks)  # words before each line break
+    edges = np.concatenate([[0], first, [len(words)]])
+    chars = np.cumsum((raw & 0xC0) != 0x80)  # code points up to each byte
+    out = []
+    for number in np.flatnonzero(np.diff(edges) >= least):
+        own = words[edges[number] : edges[number + 1]]
+        lo = 0 if number == 0 else int(chars[breaks[number - 1]])
+        hi = int(chars[breaks[number]]) - 1 if number < len(breaks) else int(chars[-1])
+        with np.errstate(over="ignore"):
+            f = int(mix64(own + mix64(np.arange(len(own), dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
+        out.append((int(number), lo, hi, len(own), np.unique(shingle_hashes(own, k)), f))
     return out
 
 
@@ -87,10 +94,10 @@ def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5),
     table gives no rows; columns other than doc_id and text are not read.
     """
     rows = stored(paragraphs(docs, least, k), "paragraphs")
-    classes = stored(rows.groupBy("f").agg(F.min(F.struct("doc_id", "paragraph")).alias("at"), F.min("n").alias("n")).select("f", "at.doc_id", "at.paragraph", "n"), "classes")
-    reps = rows.join(classes.select("f", "doc_id", "paragraph"), ["f", "doc_id", "paragraph"]).dropDuplicates(["f"])
-    listed = reps.select(F.col("f").alias("id"), "n", F.explode("bands").alias("h"))
-    parts = join_tiles(listed, share, lambda pairs: _verified(pairs, stored(_sets(docs, _ids(pairs), classes, least, k), "sets"), share))
+    # Map-side aggregation joins equal paragraphs before they move.
+    classes = stored(rows.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    listed = classes.select(F.col("f").alias("id"), "n", F.explode("bands").alias("h"))
+    parts = join_tiles(listed, share, lambda pairs: _verified(pairs, stored(_sets(docs, _ids(pairs), classes, least, k), "sets"), share), lambda k, na, nb: k >= 1)
     plain = rows.select("doc_id", "paragraph", "start", "end", "n_words", "f")
     named = stored(plain.join(parts.withColumnRenamed("id", "f"), "f", "left").withColumn("c", F.coalesce("component_id", "f")).drop("component_id", "f").distinct(), "named")
     docs_of = named.select("c", "doc_id").distinct().groupBy("c").agg(F.count("*").alias("n_docs"))
