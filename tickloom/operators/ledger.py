@@ -46,7 +46,7 @@ def build_ledger(rows: DataFrame, ledger: str, order: list[str], payload: list[s
 def read_lines(lines: DataFrame) -> DataFrame:
     """Ledger lines (value) with the chain fields parsed and the own hash recomputed natively for canonical lines."""
     field = lambda name: F.get_json_object("value", f"$.{name}")
-    own = F.sha2(F.regexp_replace("value", r'"record_hash":"[0-9a-f]{64}",?', "").cast("binary"), 256)
+    own = F.sha2(F.regexp_replace("value", r'"record_hash":"[0-9a-f]{64}",|,"record_hash":"[0-9a-f]{64}"(?=\}$)', "").cast("binary"), 256)
     return lines.withColumn("_index", field("ledger_index").try_cast("long")).withColumn("_previous", field("previous_record_hash")).withColumn("_stored", field("record_hash")).withColumn("_version", field("ledger_version")).withColumn("_algorithm", field("ledger_algorithm")).withColumn("_own", own)
 
 
