@@ -147,6 +147,28 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+def test_ledger_files_round_trip(spark, tmp_path):
+    from tickloom.sources.readers import read_ledger, write_ledger
+
+    rows = spark.createDataFrame([(k, i, "1.50") for k in ("a", "b") for i in range(20)], "ledger string, arrival long, price string")
+    built = lg.build_ledger(rows, "ledger", ["arrival"], ["price"])
+    write_ledger(built, str(tmp_path / "l"), "ledger", "ledger_index")
+    back = read_ledger(spark, str(tmp_path / "l")).select("ledger", F.get_json_object("value", "$.ledger_index").cast("long").alias("line"), "value")
+    verified = lg.verify_ledger(back, "ledger", "line")
+    assert [(r.records, r.verified) for r in lg.summary(verified, "ledger", "line").collect()] == [(20, True), (20, True)]
+
+
+def test_closed_candles_and_first_deliveries(spark, tmp_path):
+    q = quotes(spark, [(0, 1, "1"), (10, 2, "2"), (10, 2, "2"), (7 * 3600, 3, "3")])
+    q.write.parquet(str(tmp_path / "in"))
+    stream = jobs.quote_stream(spark, str(tmp_path / "in"), q.schema)
+    for name, rows in (("closed", jobs.closed_candles(stream)), ("firsts", jobs.first_deliveries(stream))):
+        run = rows.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert [(r.open, r.close, r.n) for r in spark.table("closed").collect()] == [(1, 2, 3)]
+    assert sorted(r.event_id for r in spark.table("firsts").collect()) == [1, 2, 3]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -465,6 +465,15 @@ def _(s, d):
     return fx.quotes(s, d).filter("k % 4 = 0").withColumn("r", F.row_number().over(w)).filter("r = 3").select("user_id", "event_id")
 
 
+@query("S5_candle_archive_sink", f"SELECT {_C} FROM c1")
+def _(s, d):
+    """Two batches with repeated events: what the first has archived is skipped, the rest is merged into its candles."""
+    rows = fx.deliveries(s, d)
+    one = ql.first_seen(rows.filter("k < 60"), "event_id", ["arrival"])
+    two = ql.first_seen(rows.join(one.select("event_id"), "event_id", "left_anti"), "event_id", ["arrival"])
+    return cd.merge_candles(cd.candles_1m(one).unionByName(cd.candles_1m(two))).select(*CANDLE)
+
+
 # --- normaliser -------------------------------------------------------------------------------------------------------
 
 
