@@ -12,7 +12,9 @@ from tickloom.llm import lm_score, toxicity
 from tickloom.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-HELD = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+def is_held():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+
 
 
 def test_lm_base_and_better_model(spark, sf_dir):
@@ -20,7 +22,7 @@ def test_lm_base_and_better_model(spark, sf_dir):
     tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOWER)), None] for r in docs.collect()}
     counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
     n, v = sum(counts.values()), len(counts)
-    rows = lm_score.score(docs, HELD, heads_most=3000, arcs_most=1000).collect()
+    rows = lm_score.score(docs, is_held(), heads_most=3000, arcs_most=1000).collect()
     for r in rows:
         ws = tokens[r.doc_id]
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
