@@ -26,7 +26,7 @@ COMMON = 8
 COMMON_MOST = 1_000_000
 #: Times that large groups may take in others by one member before pairs are made, and the new links that make a next time
 #: worth it (steers speed, never results).
-ROUNDS, WORTH = 5, 500
+ROUNDS, WORTH = 5, 200
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -172,8 +172,10 @@ def join_tiles(listed: DataFrame, share: tuple[int, int], verify: Callable[[Data
     Only ids move here.
     """
     p, q = share
-    shared = listed.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last").select("h", "lead")
+    shared = listed.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("_last"), F.count("*").alias("m")).filter("lead < _last").select("h", "lead", "m")
     tiles = stored(listed.join(shared, "h"), "tiles")
+    # What shares most with others is near the text that copies were made from, and so links to most of them.
+    central = stored(tiles.groupBy("id").agg(F.sum("m").alias("weight")), "central")
     first = tiles.filter("lead <> id").groupBy("id", "lead", "n").count().filter(may_link(F.col("count"), F.col("n"), F.col("n")))
     best = first.groupBy("id").agg(F.max("count").alias("count"))
     one = first.join(best, ["id", "count"]).groupBy("id").agg(F.min("lead").alias("a"))
@@ -181,11 +183,13 @@ def join_tiles(listed: DataFrame, share: tuple[int, int], verify: Callable[[Data
     joined = stored(verify(one), "links")
     for turn in range(ROUNDS + 1):
         parts = stored(components(joined), "parts")
-        named = tiles.join(parts, "id", "left").select("h", "id", "n", F.coalesce("component_id", "id").alias("c"))
-        sizes = named.groupBy("h", "c").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("one"))
+        rank = F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        known = central.join(parts, "id", "left").select("id", F.coalesce("component_id", "id").alias("c"), rank.alias("rank"))
+        named = tiles.select("h", "id", "n").join(known, "id")
+        sizes = named.groupBy("h", "c").agg(F.count("*").alias("m"), F.max_by("id", "rank").alias("one"))
         tops = F.max_by(F.struct("one", "c"), F.struct("m", "c"))
         open_tiles = sizes.groupBy("h").agg(F.count("*").alias("groups"), F.sum("m").alias("m"), F.max("m").alias("largest"), tops.alias("lead")).filter("groups > 1")
-        open_ = stored(named.join(open_tiles, "h"), "open")
+        open_ = stored(named.drop("rank").join(open_tiles, "h"), "open")
         # A large group in a tile may still take in others: its next member meets them before any pairs are made.
         if turn == ROUNDS or not open_.filter("largest >= 8").take(1):
             break
