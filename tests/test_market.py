@@ -100,7 +100,7 @@ def test_volume_sources(spark):
 
 
 def test_uuid5_equals_python(spark):
-    names = ["coinbase:BTC-USD:1", "é:日本", ""]
+    names = ["feed:BTC-USD:1", "é:日本", ""]
     got = [r.u for r in spark.createDataFrame([(n,) for n in names], "n string").select(fn.uuid5(F.col("n")).alias("u")).collect()]
     assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
 
