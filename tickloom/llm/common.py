@@ -69,7 +69,7 @@ def lower_ascii(text: Column) -> Column:
 # --- word hashes straight from UTF-8 bytes ------------------------------------------------------------------------
 
 _U = np.uint64
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
