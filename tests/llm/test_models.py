@@ -39,6 +39,40 @@ def test_lm_arcs_and_rest_sum_to_one():
     assert math.isclose(total, 1.0) and one[0] == 0
 
 
+def test_lm_keeps_every_repeated_arc(spark):
+    """Pairs and triples that occur twice are arcs, however many tokens there are besides; a plain backoff model agrees."""
+    filler = [(100 + i, " ".join(f"f{i}x{j}" for j in range(5000))) for i in range(100)]  # half a million words
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green blue"), (3, "Red green blue red"), (4, "blue green"), *filler], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") == 3).collect()}
+    texts = {r.doc_id: ["<s>", *r.text.lower().split(), "</s>"] for r in docs.collect()}
+    n = [Counter(), Counter(), Counter(), Counter()]
+    for d, ws in texts.items():
+        if d != 3:
+            for k in (1, 2, 3):
+                n[k].update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    n[2], n[3] = ({g: c for g, c in n[k].items() if c >= 2} for k in (2, 3))
+    tokens = sum(n[1].values()) - n[1][("<s>",)]
+    scale = tokens + len(n[1]) - 1 + 1
+    after = {}
+    for k in (2, 3):
+        for g in n[k]:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def p(h, w):
+        if not h:
+            return (n[1][(w,)] + 1) / scale
+        if (*h, w) in n[len(h) + 1]:
+            return (n[len(h) + 1][(*h, w)] - 0.5) / n[len(h)][h]
+        if h not in after:
+            return p(h[1:], w)
+        return p(h[1:], w) * (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+
+    for d in (1, 2, 3, 4, 100):
+        ws = texts[d]
+        assert math.isclose(got[d].score, sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws))), rel_tol=1e-6)
+    assert got[3].score > got[3].base_score + 5
+
+
 def test_lm_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "A a b " * 30_000, 3), (3, "x", 3), (None, "a", 4)], "doc_id long, text string, score int")
     rows = lm_score.score(docs, F.lit(False)).collect()

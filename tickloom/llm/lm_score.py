@@ -1,159 +1,111 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-Every training word and the end of a text is counted over all training documents. Words, pairs and triples whose relative
-frequency reaches a threshold become states and arcs of an automaton: at most 1 / threshold of each can exist, at any corpus
-size, so the automaton can be sent to every executor. A missing arc follows the failure arc to the shorter history, at the
-history's backoff weight; the last history has every counted word. Texts pass through it once, from left to right. Words below
-the threshold have no arcs; their counts come by a join with the whole vocabulary, which no word of that kind can make uneven.
+Every training word, begin and end of a text is counted over all training documents. Pairs and triples that occur twice or more
+are arcs, at every corpus size. A missing arc follows the failure arc to the shorter history, at the history's backoff weight;
+the last history has every word. The automaton is never held in one place: texts are cut into chunks, each chunk asks the
+shards of the key space for the counts of its distinct words, pairs and triples, then for the backoff weights of the histories
+among them, and passes through its texts with these from left to right. Of the chunks that hold an arc, one adds it to its history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import lower_ascii, real_id, safe_id, stored
+from tickloom.llm import shards
+from tickloom.llm.common import hash_words, mix64, real_id, safe_id, stored, utf8
 
-#: Inverse thresholds: a word is a state from 1 / HEADS of all tokens on, pairs and triples from 1 / ARCS on.
-HEADS, ARCS = 500_000, 200_000
+#: Occurrences that make a pair or triple an arc, at every size.
+LEAST = 2
 #: Taken off each arc's count and given to the failure arc.
 DISCOUNT = 0.5
-_SHIFT = 21
+#: Bytes of text that close a chunk.
+CHUNK_BYTES = 4_000_000
+_BEGIN, _END = np.uint64(0x5BE6137A0C4D92F1), np.uint64(0xE4D1A2B39C587F06)
+_FACTOR = (None, None, np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407))
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Documents in bounded chunks: ids, which are held out, where each starts, the distinct words' hashes, the words' places there."""
+
+    def chunk(docs: list[tuple]) -> tuple:
+        raws = [utf8(t) for _, t, _ in docs]
+        gap = np.array([32], np.uint8)
+        words, at, _ = hash_words(np.concatenate([x for raw in raws for x in (raw, gap)]))
+        first = np.searchsorted(at, np.cumsum([0, *(len(raw) + 1 for raw in raws)]))
+        starts = first[:-1] + 2 * np.arange(len(docs))
+        flat = np.empty(len(words) + 2 * len(docs), np.uint64)
+        edge = np.zeros(len(flat), bool)
+        ends = np.append(starts[1:], len(flat)) - 1
+        flat[starts], flat[ends] = _BEGIN, _END
+        edge[starts] = edge[ends] = True
+        flat[~edge] = words
+        known, codes = np.unique(flat, return_inverse=True)
+        held = np.array([h for _, _, h in docs])
+        train = int(((ends - starts) * ~held).sum())
+        codes = codes.astype("uint16" if len(known) <= 1 << 16 else "uint32")
+        return np.array([d for d, _, _ in docs], "int64").tobytes(), held.tobytes(), starts.astype("int64").tobytes(), shards.packed(known), shards.planes(codes), len(flat), train, int((~held).sum())
 
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case: what bytes.lower and bytes.split do, other characters untouched."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class Ids(dict):
-    """Word to its id from 1 by falling count; 0 below the threshold."""
-
-    def __init__(self, heads: list[str]):
-        super().__init__((w.encode("utf-8", "surrogatepass"), i) for i, w in enumerate(heads, 1))
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-@dataclass
-class Automaton:
-    """Words (ids 1..H, then end and begin), pair arcs and triple arcs as sorted keys with log10 weights."""
-
-    heads: list[str]
-    one: np.ndarray  # log10 probability by id; 0 for id 0, which the join adds
-    tokens: int  # N
-    unseen: float  # log10 of an uncounted word
-    pair_keys: np.ndarray
-    pair_count: np.ndarray
-    pair: np.ndarray
-    pair_back: np.ndarray  # by id of the history
-    triple_keys: np.ndarray
-    triple: np.ndarray
-    triple_back: np.ndarray  # by place of the pair
-
-    @property
-    def end(self) -> int:
-        return len(self.heads) + 1
-
-    @property
-    def begin(self) -> int:
-        return len(self.heads) + 2
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the wanted keys in sorted keys, -1 where missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _stream(texts: list[str | None], ids: Ids, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """All texts as ids, each between begin and end; where each starts; the words of each."""
-    flat: list[int] = []
-    starts, words = [], []
-    for text in texts:
-        own = words_of(text)
-        starts.append(len(flat))
-        flat.append(begin)
-        flat.extend(map(ids.__getitem__, own))
-        flat.append(end)
-        words.append(own)
-    return np.array(flat, "int64"), np.array(starts, "int64"), words
-
-
-def _pairs(flat: np.ndarray, begin: int, most: int) -> np.ndarray:
-    """Key of each place with its predecessor; -1 at a begin or where either has no state among the first `most` words."""
-    before = np.concatenate([[0], flat[:-1]])
-    fine = (flat != begin) & (flat > 0) & (before > 0)
-    for side in (flat, before):
-        fine &= (side <= most) | (side >= begin - 1)
-    return np.where(fine, (before << _SHIFT) | flat, -1)
-
-
-def _frequent(docs: DataFrame, keys_of, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys over all texts that occur at least `least` times, with their counts, in order of the keys."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, size = [], 0
         for batch in batches:
-            texts = batch["text"].to_list()
-            for at in range(0, len(texts), 5000):
-                keys = keys_of(texts[at : at + 5000])
-                key, n = np.unique(keys[keys >= 0], return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n})
-
-    rows = docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    rows = rows.sort_values("key")
-    return rows["key"].to_numpy("int64"), rows["n"].to_numpy("int64")
-
-
-def learn(train: DataFrame, vocabulary: DataFrame, heads_most: int = HEADS, arcs_most: int = ARCS) -> Automaton:
-    """The automaton of training documents (text) whose words are counted in vocabulary (word, c)."""
-    spark = train.sparkSession
-    n_docs = train.count()
-    words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = words["n"] + n_docs, words["v"] + (n_docs > 0)
-    scale = tokens + distinct + 1
-    least_word, least_arc = max(1, -(-tokens // heads_most)), max(2, -(-tokens // arcs_most))
-    head = vocabulary.filter(F.col("c") >= least_word).orderBy(F.desc("c"), "word").toPandas()  # at most heads_most rows
-    heads, counts = head["word"].to_list(), head["c"].to_numpy("int64")
-    end, begin, most = len(heads) + 1, len(heads) + 2, int((counts >= least_arc).sum())
-    seen = np.concatenate([[0], counts, [n_docs, n_docs]]).astype("float64")
-    one = np.log10((seen + 1) / scale)
-    one[0] = one[begin] = 0.0
-    sent = spark.sparkContext.broadcast(heads)
-    kept: dict = {}
-
-    def stream(texts: list) -> np.ndarray:
-        if "ids" not in kept:
-            kept["ids"] = Ids(sent.value)
-        return _stream(texts, kept["ids"], begin, end)[0]
-
-    keys2, n2 = _frequent(train, lambda texts: _pairs(stream(texts), begin, most), least_arc)
-
-    def triples(texts: list) -> np.ndarray:
-        flat = stream(texts)
-        at = _find(keys2, _pairs(flat, begin, most))
-        history = np.concatenate([[-1], at[:-1]])
-        return np.where((history >= 0) & (at >= 0), (history << _SHIFT) | flat, -1)
-
-    keys3, n3 = _frequent(train, triples, least_arc)
-    p1 = 10.0**one
-    p1[0] = p1[begin] = 0.0
-    u, w = keys2 >> _SHIFT, keys2 & ((1 << _SHIFT) - 1)
-    p2 = (n2 - DISCOUNT) / np.maximum(seen[u], 1)
-    back2 = _backoff(u, p2, p1[w], len(seen))
-    uv, w3 = keys3 >> _SHIFT, keys3 & ((1 << _SHIFT) - 1)
-    p3 = (n3 - DISCOUNT) / np.maximum(n2[uv], 1) if len(keys3) else np.zeros(0)
-    low = _find(keys2, (w[uv] << _SHIFT) | w3)  # both pairs of a triple are frequent
-    back3 = _backoff(uv, p3, p2[low], len(keys2))
-    return Automaton(heads, one, int(tokens), float(np.log10(1 / scale)), keys2, n2, np.log10(p2), back2, keys3, np.log10(p3), back3)
+            for row in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
+                own.append(row)
+                size += len(row[1] or "") + 1
+                if size >= CHUNK_BYTES:
+                    yield pd.DataFrame([chunk(own)], columns=_COLUMNS)
+                    own, size = [], 0
+        if own:
+            yield pd.DataFrame([chunk(own)], columns=_COLUMNS)
+
+    return rows.mapInPandas(run, "ids binary, held binary, starts binary, words binary, codes binary, places long, train long, n_docs long").withColumn("chunk", F.monotonically_increasing_id())
+
+
+_COLUMNS = ["ids", "held", "starts", "words", "codes", "places", "train", "n_docs"]
+
+
+class _Stream:
+    """A chunk's places, its distinct words (1), pairs (2) and triples (3), and where each place's gram is among them."""
+
+    def __init__(self, row):
+        self.ids, self.held, self.starts = np.frombuffer(row.ids, "int64"), np.frombuffer(row.held, bool), np.frombuffer(row.starts, "int64")
+        words = shards.unpacked(row.words)
+        one = shards.unplanes(row.codes, "uint16" if len(words) <= 1 << 16 else "uint32").astype("int64")
+        self.n = len(one)
+        flat = words[one]
+        self.begin = np.zeros(self.n, bool)
+        self.begin[self.starts] = True
+        self.keys, self.at, self.first = {1: words}, {1: one}, {}
+        gram, fine = flat, np.ones(self.n, bool)
+        for k in (2, 3):
+            fine = ~self.begin & np.concatenate([[False], fine[:-1]])
+            with np.errstate(over="ignore"):
+                gram = mix64(np.concatenate([gram[:1], gram[:-1]]) * _FACTOR[k] + flat)
+            places = np.flatnonzero(fine)
+            self.keys[k], first, inverse = np.unique(gram[places], return_index=True, return_inverse=True)
+            self.first[k] = places[first]
+            self.at[k] = np.full(self.n, -1)
+            self.at[k][places] = inverse
+
+    def counts(self, k: int) -> np.ndarray:
+        """Times that each distinct gram occurs in documents that are learned from."""
+        train = np.repeat(~self.held, np.diff(np.append(self.starts, self.n))) & (self.at[k] >= 0)
+        return np.bincount(self.at[k][train], minlength=len(self.keys[k])).astype("uint64")
+
+
+def _total(k: int, keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[list[np.ndarray], int]:
+    """Twice the whole count of each key, and one more at one of its places; pairs and triples below `least` have 0."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, counts).astype("uint64")
+    if k > 1:
+        total[total < least] = 0
+    out = total[inverse] * np.uint64(2)
+    out[first] += (total > 0).astype("uint64")
+    return [out], int((total > 0).sum()) if k == 1 else 0
 
 
 def _backoff(history: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
@@ -163,65 +115,89 @@ def _backoff(history: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> n
     return np.log10(np.maximum(left, 1e-9) / np.maximum(free, 1e-9))
 
 
-def traverse(model: Automaton, flat: np.ndarray, most: int) -> np.ndarray:
-    """log10 weight of every place of a stream: the arc of the longest history that has one, after its failure arcs."""
-    at = _find(model.pair_keys, _pairs(flat, model.begin, most))
-    before, history = np.concatenate([[0], flat[:-1]]), np.concatenate([[-1], at[:-1]])
-    out = np.where(at >= 0, model.pair[at] if len(model.pair) else 0.0, model.pair_back[before] + model.one[flat])
-    if len(model.pair_keys):
-        triple = _find(model.triple_keys, np.where(history >= 0, (history << _SHIFT) | flat, -1))
-        out += np.where(history >= 0, model.triple_back[history], 0.0)
-        if len(model.triple):
-            out = np.where(triple >= 0, model.triple[triple], out)
-    out[flat == model.begin] = 0.0
-    return out
+def _weight(_k: int, keys: np.ndarray, p: np.ndarray, lower: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Backoff weight of each history, from the sums over its arcs that chunks give."""
+    known, history = np.unique(keys, return_inverse=True)
+    return [_backoff(history, p, lower, len(known))[history].astype("float32")], 0
+
+
+class _Arcs:
+    """Whole counts and probabilities of a chunk's grams; 0 for pairs and triples that are no arcs."""
+
+    def __init__(self, s: _Stream, answers, scale: int):
+        self.count, self.owned, self.p = {}, {}, {}
+        for k in (1, 2, 3):
+            x = shards.numbers_of(answers, k, 0, "uint64")
+            self.count[k], self.owned[k] = (x >> np.uint64(1)).astype("float64"), (x & np.uint64(1)).astype(bool)
+        self.p[1] = (self.count[1] + 1) / scale
+        self.history = {k: s.at[k - 1][s.first[k] - 1] for k in (2, 3)}
+        for k in (2, 3):
+            self.p[k] = np.where(self.count[k] > 0, self.count[k] - DISCOUNT, 0) / np.maximum(self.count[k - 1][self.history[k]], 1)
 
 
-def score(docs: DataFrame, held_out: Column, heads_most: int = HEADS, arcs_most: int = ARCS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, heads_most: int | None = None, arcs_most: int | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with `held_out` true are scored but not learned from. Null and empty texts are one token, the end. Repeated rows
     give a row each and count each. An empty table gives no rows; without training documents every word is unseen. Columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read. Callers may ask for at most `arcs_most` pairs and triples; by default none that
+    occurs LEAST times is left out. `heads_most` has no effect: every word is counted.
     """
-    spark = docs.sparkSession
     rows = docs.select(safe_id(), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    vocabulary = stored(train.select(F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "vocabulary")
-    model = learn(train, vocabulary, heads_most, arcs_most)
-    least_arc = max(2, -(-model.tokens // arcs_most))
-    scale = 1 / 10.0**model.unseen
-    most = int((10.0 ** model.one[1 : model.end] * scale - 1 >= least_arc - 0.5).sum())
-    sent = spark.sparkContext.broadcast(model)
-    kept: dict = {}
+    chunks = stored(_chunks(rows), "chunks")
+    sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("places", "train", "n_docs")]).first()
+    tokens, least = sizes["train"], max(LEAST, -(-sizes["train"] // arcs_most) if arcs_most else 0)
+    bits = shards.shard_bits(sizes["places"])
+
+    def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                s = _Stream(row)
+                out = [r for k in (1, 2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k], s.counts(k))]
+                yield pd.DataFrame(out, columns=["n", "shard", "chunk", "keys", "numbers"])
+
+    totals = stored(shards.answered(chunks.mapInPandas(ask_counts, shards.REQUEST), ["uint64"], lambda k, keys, n: _total(k, keys, n, least)), "totals")
+    distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] - (sizes["n_docs"] > 0)  # begin is no word
+    scale = tokens + distinct + 1
+    counted = stored(chunks.join(shards.by_chunk(totals, "counts"), "chunk"), "counted")
+
+    def ask_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                s = _Stream(row)
+                arcs, out = _Arcs(s, row.counts, scale), []
+                for k in (2, 3):
+                    own = arcs.owned[k] & (arcs.count[k] > 0)
+                    lower = arcs.p[k - 1][s.at[k - 1][s.first[k]]]
+                    n = len(s.keys[k - 1])
+                    p, low = (np.bincount(arcs.history[k][own], x[own], n) for x in (arcs.p[k], lower))
+                    asked = arcs.count[k - 1] >= least
+                    out += shards.requests(k - 1, row.chunk, bits, s.keys[k - 1][asked], p[asked], low[asked])
+                yield pd.DataFrame(out, columns=["n", "shard", "chunk", "keys", "numbers"])
+
+    weights = shards.answered(counted.mapInPandas(ask_weights, shards.REQUEST), ["float64", "float64"], _weight)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        if "ids" not in kept:
-            kept["ids"] = Ids(m.heads)
-        ids = kept["ids"]
-        for whole in batches:
-            for a in range(0, len(whole), 1000):
-                batch = whole.iloc[a : a + 1000]
-                flat, starts, words = _stream(batch["text"].to_list(), ids, m.begin, m.end)
-                base, weight = np.add.reduceat(m.one[flat], starts), np.add.reduceat(traverse(m, flat, most), starts)
-                seen = (flat > 0) & (flat != m.begin) & ((flat != m.end) | (m.one[m.end] > m.unseen))
-                rare: list[list[str]] = [[] for _ in words]
-                places = np.flatnonzero(flat == 0)
-                for place, doc in zip(places.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist(), strict=True):
-                    rare[doc].append(words[doc][place - int(starts[doc]) - 1].decode("utf-8", "surrogatepass"))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [len(w) + 1 for w in words], "n_known": np.add.reduceat(seen.astype("int64"), starts), "base_score": base, "score": weight, "rare": rare})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>"
-    scored = stored(rows.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    counted = tail.join(vocabulary.filter(F.col("c") < max(1, -(-model.tokens // heads_most))), "word", "left")
-    sums = counted.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(scale)))).alias("weight"),
-    )
-    extra = F.coalesce("weight", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
-        real_id(), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + extra).alias("base_score"), (F.col("score") + extra).alias("score"),
-    )
+        for batch in batches:
+            for row in batch.itertuples():
+                s = _Stream(row)
+                arcs = _Arcs(s, row.counts, scale)
+                one = np.where(s.begin, 0.0, np.log10(arcs.p[1])[s.at[1]])
+                weight = one
+                for k in (2, 3):
+                    back = np.zeros(len(s.keys[k - 1]) + 1)  # 0 for histories without arcs, and at the end for no history
+                    asked = np.flatnonzero(arcs.count[k - 1] >= least)
+                    back[asked] = shards.numbers_of(row.weights, k - 1, 0, "float32")
+                    p = np.append(arcs.p[k], 0.0)[s.at[k]]
+                    history = np.concatenate([[-1], s.at[k - 1][:-1]])
+                    with np.errstate(divide="ignore"):
+                        weight = np.where(p > 0, np.log10(p), np.where(s.at[k] >= 0, back[history], 0.0) + weight)
+                known = (arcs.count[1] > 0)[s.at[1]] & ~s.begin
+                yield pd.DataFrame({
+                    "doc_id": s.ids, "held_out": s.held, "n_tokens": np.diff(np.append(s.starts, s.n)) - 1, "n_known": np.add.reduceat(known.astype("int64"), s.starts),
+                    "base_score": np.add.reduceat(one, s.starts), "score": np.add.reduceat(weight, s.starts),
+                })
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = counted.join(shards.by_chunk(weights, "weights"), "chunk", "left").mapInPandas(run, schema)
+    return out.select(real_id(), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
