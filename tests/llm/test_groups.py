@@ -77,3 +77,38 @@ def test_repeated_edges(spark):
     clean = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
     assert clean[4] == "q" and clean[3] == rows[2][1] and clean[1] is None
     assert substring_dedup.repeated(docs.limit(0)).count() == 0
+
+
+def test_passages_across_line_breaks(spark):
+    """Every word in a run of 50 that another document has too is found, whatever lines it stands in, and nothing else is."""
+    run = [f"r{i}" for i in range(54)]
+    own = lambda d, n: [f"d{d}x{i}" for i in range(n)]
+    texts = {
+        39: " ".join(own(39, 30) + run[:15]) + "\n" + " ".join(run[15:26]) + "\n" + " ".join(run[26:] + own(38, 20)),  # across lines, of 15 and 11 words of it
+        900: "é " + " ".join(own(900, 200) + run + own(901, 300)),  # inside one long line
+        901: " ".join(x.upper() + "\n" for x in run[:50]),  # lines of a word
+        902: " ".join(own(902, 40) + run[:49] + own(903, 40)),  # one word too few
+        903: " ".join(own(904, 60) * 2),  # repeats itself alone
+        904: None,
+    }
+    docs = spark.createDataFrame([*texts.items(), (None, texts[900])], "doc_id long, text string")
+    rows = substring_dedup.passages(docs).collect()
+    got = {r.doc_id: (texts[r.doc_id][r.start : r.end].lower().split(), r.n_words, r.cluster_doc, r.removed) for r in rows}
+    assert len(rows) == 3 and got == {39: (run, 54, 39, False), 900: (run, 54, 39, True), 901: (run[:50], 50, 39, True)}
+    assert max(r.n_docs for r in rows) == 3
+    assert {r.doc_id for r in substring_dedup.found(docs).collect()} == {39, 900, 901}
+    clean = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect() if r.doc_id}
+    assert clean[39] == texts[39] and clean[901].split() == [] and clean[900].split() == ["é", *own(900, 200), *own(901, 300)]
+    assert substring_dedup.passages(docs.limit(0)).count() == 0
+
+
+def test_passages_against_every_run(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = {r.doc_id: [(m.group().translate(LOWER), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text)] for r in docs.collect()}
+    holders = {}
+    for d, ws in words.items():
+        for i in range(len(ws) - 49):
+            holders.setdefault(tuple(w for w, _, _ in ws[i : i + 50]), set()).add(d)
+    true = {(d, i + j) for d, ws in words.items() for i in range(len(ws) - 49) if len(holders[tuple(w for w, _, _ in ws[i : i + 50])]) > 1 for j in range(50)}
+    got = {(r.doc_id, i) for r in substring_dedup.passages(docs).collect() for i, (_, a, b) in enumerate(words[r.doc_id]) if r.start <= a and b <= r.end}
+    assert true and got == true

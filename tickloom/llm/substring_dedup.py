@@ -1,6 +1,8 @@
-"""Repeated passages: MinHash banding of paragraphs, verified by exact Jaccard, clustered by components.
+"""Repeated passages: exact runs of words wherever they stand, and similar lines by MinHash banding.
 
-Paragraphs are the lines of a text. Equal ones (by their words) are one class; a class is listed under its bands and joined by
+Runs: every window of 50 words of every text is asked for in the shards of the key space, which tell the first document that
+holds it; windows in a row make a passage, whatever lines it stands in. Lines: banding, verified by exact Jaccard, clustered by
+components. Paragraphs are the lines of a text. Equal ones (by their words) are one class; a class is listed under its bands and joined by
 the same tile join as whole documents. 14 bands of 4 rows find a pair of similarity 0.8 with probability 0.9994, more above.
 """
 
@@ -13,10 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm import shards
 from tickloom.llm.common import hash_words, mix64, safe_id, shingle_hashes, small, stored, utf8
 from tickloom.llm.ngram_join import _ids, _verified, join_tiles
 
 BANDS, ROWS = 14, 4
+#: Words of a window: a run of so many that stands in two documents is found.
+RUN = 50
+#: Bytes of text that close a chunk.
+CHUNK_BYTES = 4_000_000
 _SCHEMA = "doc_id long, paragraph long, start long, end long, n_words long, n long, f long, bands array<long>"
 
 
@@ -109,9 +116,131 @@ def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5),
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_doc"), F.col("first.paragraph").alias("cluster_paragraph"), "n_docs", removed.alias("removed"))
 
 
-def without_repeats(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5), k: int = 5) -> DataFrame:
-    """docs with the removed paragraphs cut out of their texts; same rows and columns."""
-    gone = repeated(docs, least, share, k).filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
+def _text_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, texts, windows): documents in bounded chunks, and an upper bound of each chunk's windows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield pd.DataFrame({"ids": [ids], "texts": [texts], "windows": [sum(t.count(" ") + t.count("\n") + 1 for t in texts)]})
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield pd.DataFrame({"ids": [ids], "texts": [texts], "windows": [sum(t.count(" ") + t.count("\n") + 1 for t in texts)]})
+
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(safe_id(), "text")
+    return rows.mapInPandas(run, "ids array<long>, texts array<string>, windows long").withColumn("chunk", F.monotonically_increasing_id())
+
+
+class _Windows:
+    """Words of a chunk's texts, and the distinct (window, document) pairs, sorted by window."""
+
+    def __init__(self, ids, texts, run: int):
+        raws = [utf8(t) for t in texts]
+        gap = np.array([32], np.uint8)
+        self.raw = np.concatenate([x for r in raws for x in (r, gap)])
+        self.bytes = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        words, self.start, self.end = hash_words(self.raw)
+        first = np.searchsorted(self.start, self.bytes)
+        doc = np.repeat(np.arange(len(texts)), np.diff(first))
+        own = np.asarray(ids, "int64")
+        n = max(0, len(words) - run + 1)
+        self.place = np.flatnonzero(doc[:n] == doc[run - 1 :]) if n else np.zeros(0, "int64")
+        keys = shingle_hashes(words, run)[self.place] if n else np.zeros(0, np.uint64)
+        self.doc = own[doc[self.place]]
+        order = np.lexsort((self.doc, keys))
+        k, d = keys[order], self.doc[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        self.keys, self.docs = k[new], d[new]
+        self.at = np.empty(len(k), "int64")
+        self.at[order] = np.cumsum(new) - 1
+        self.row = doc[self.place]
+
+
+def _first_of(_n: int, keys: np.ndarray, docs: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """The smallest document and the number of documents of each window that two or more hold; 0 and 0 for others."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    new_key = np.ones(len(k), bool)
+    new_key[1:] = k[1:] != k[:-1]
+    new = new_key.copy()
+    new[1:] |= d[1:] != d[:-1]
+    group = np.cumsum(new_key) - 1
+    n_docs = np.bincount(group, new).astype("int64")
+    lead = np.where(n_docs > 1, d[new_key], 0)
+    out = np.empty((2, len(k)), "int64")
+    out[:, order] = lead[group], np.where(n_docs > 1, n_docs, 0)[group]
+    return [out[0], out[1]], 0
+
+
+def passages(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """One row a passage whose every window of `run` words stands in another document too: doc_id, start, end, n_words, cluster_doc, n_docs, removed.
+
+    Words are compared without case and white space, so line breaks do not matter. A passage is as long as its windows follow
+    each other and have the same first document (smallest doc_id), which names the cluster and keeps it; passages with different
+    first documents may overlap. n_docs is the most documents of a window in it. Offsets are code points, ends exclusive. Rows
+    without doc_id are left alone; repeated rows under one doc_id are one document.
+    """
+    chunks = stored(_text_chunks(docs), "texts")
+    bits = shards.shard_bits(chunks.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                w = _Windows(row.ids, row.texts, run)
+                yield pd.DataFrame(shards.requests(1, row.chunk, bits, w.keys, w.docs), columns=["n", "shard", "chunk", "keys", "numbers"])
+
+    answers = shards.by_chunk(shards.answered(chunks.mapInPandas(ask, shards.REQUEST), ["int64"], _first_of), "found")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                w = _Windows(row.ids, row.texts, run)
+                lead, n_docs = (shards.numbers_of(row.found, 1, i, "int64")[w.at] for i in (0, 1))
+                hit = np.flatnonzero(n_docs > 1)
+                if not len(hit):
+                    continue
+                place, lead, n_docs, doc, of = w.place[hit], lead[hit], n_docs[hit], w.doc[hit], w.row[hit]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(lead) != 0) | (np.diff(of) != 0)]))
+                last = np.append(new[1:], len(hit)) - 1
+                points = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)])
+                base = points[w.bytes[of[new]]]
+                yield pd.DataFrame({
+                    "doc_id": doc[new], "start": points[w.start[place[new]]] - base, "end": points[w.end[place[last] + run - 1]] - base, "n_words": place[last] - place[new] + run,
+                    "cluster_doc": lead[new], "n_docs": np.maximum.reduceat(n_docs, new), "removed": lead[new] != doc[new],
+                })
+
+    schema = "doc_id long, start long, end long, n_words long, cluster_doc long, n_docs long, removed boolean"
+    return chunks.join(answers, "chunk").mapInPandas(tell, schema).distinct()
+
+
+def found(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5), k: int = 5, run: int = RUN) -> DataFrame:
+    """Rows of repeated() for similar lines and of passages() for runs of words, these without paragraph numbers."""
+    none = F.lit(None).cast("long")
+    runs = passages(docs, run).select("doc_id", none.alias("paragraph"), "start", "end", "n_words", "cluster_doc", none.alias("cluster_paragraph"), "n_docs", "removed")
+    return repeated(docs, least, share, k).unionByName(runs)
+
+
+def _without(text: str | None, spans: list | None) -> str | None:
+    """Text without the spans (start, end, is_line); a line goes with its line break."""
+    if text is None or spans is None:
+        return text
+    kept, at = [], 0
+    for a, b in sorted((s["start"], s["end"] + s["line"]) for s in spans):
+        kept.append(text[at : max(at, a)])
+        at = max(at, b)
+    out = "".join(kept) + text[at:]
+    return out[:-1] if at > len(text) and out.endswith("\n") else out
+
+
+def without_repeats(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5), k: int = 5, run: int = RUN) -> DataFrame:
+    """docs with the removed paragraphs and passages cut out of their texts; same rows and columns."""
+    gone = found(docs, least, share, k, run).filter("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", F.col("paragraph").isNotNull().cast("int").alias("line"))).alias("_gone"))
+    cut = F.udf(_without, "string")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut("text", "_gone"))
     return docs.join(gone, "doc_id", "left").withColumn("text", text).select(*docs.columns)
