@@ -94,6 +94,23 @@ def test_activation_survives_gaps_within_grace(spark):
     assert [r.subscriptions for r in fo.activations(df).orderBy("activate_at").collect()] == [2, 1]
 
 
+def test_symbol_stays_active_while_any_connection_holds_it(spark, sf_dir):
+    import duckdb
+
+    from tickloom.queries import QUERIES, SQL
+
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(1, "A", at(0), at(10)), (2, "A", at(5), at(30)), (1, "A", at(33), at(40)), (1, "A", at(60), at(70)), (2, "B", at(0), at(1))], "connection long, symbol string, start timestamp_ntz, expires timestamp_ntz")
+    got = sorted((r.symbol, r.activate_at, r.release_at, r.subscriptions) for r in fo.symbol_activations(df).collect())
+    assert got == [("A", at(0), at(43), 3), ("A", at(60), at(73), 1), ("B", at(0), at(4), 1)]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    for t in ("lineitem", "part", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    rows = QUERIES["W8_symbol_activation"](spark, sf_dir).select("symbol", "activate_at", "release_at", "subscriptions").collect()
+    assert sorted(map(tuple, rows)) == sorted(db.execute(SQL["W8_symbol_activation"]).fetchall())
+
+
 def test_volume_sources(spark):
     df = spark.createDataFrame([("s", 1, D("100"), None), ("s", 2, D("105"), None), ("s", 3, D("107"), D("2"))], "k string, arrival long, cumulative decimal(18,1), last_size decimal(18,1)")
     assert [float(r.volume) for r in cd.volume_delta(df, ["k"], ["arrival"]).orderBy("arrival").collect()] == [0, 5, 2]

@@ -80,14 +80,26 @@ def slow_consumer_warnings(rows: DataFrame, client: str, order: list[str], thres
     return rows.withColumn("total", total).withColumn("level", F.floor(F.col("total") / threshold)).withColumn("before", F.floor((F.col("total") - F.col("coalesced")) / threshold)).filter("level > before")
 
 
-def activations(intervals: DataFrame, grace_seconds: int = 3) -> DataFrame:
+def activations(intervals: DataFrame, grace_seconds: int = 3, number: Column | None = None) -> DataFrame:
     """Islands of a symbol's live subscriptions, joined over gaps up to the grace: activate_at, release_at, number."""
     before = Window.partitionBy("symbol").orderBy("start", "expires", "connection").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("symbol").orderBy("start", "expires", "connection").rowsBetween(Window.unboundedPreceding, 0)
     grace = F.expr(f"INTERVAL {grace_seconds} SECOND")
     reach = F.max("expires").over(before)
     rows = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + grace), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(upto))
-    return rows.groupBy("symbol", "_island").agg(F.min("start").alias("activate_at"), (F.max("expires") + grace).alias("release_at"), F.count("*").alias("subscriptions")).drop("_island")
+    return rows.groupBy("symbol", "_island").agg(F.min("start").alias("activate_at"), (F.max("expires") + grace).alias("release_at"), (F.count("*") if number is None else number).alias("subscriptions")).drop("_island")
+
+
+def symbol_activations(intervals: DataFrame, grace_seconds: int = 3) -> DataFrame:
+    """Islands of a symbol over all its connections: each connection's islands first, then these fewer rows by symbol.
+
+    An island stands for its intervals here: gaps within it are no longer than the grace, and its end comes without grace.
+    """
+    pair = intervals.select(F.struct("connection", "symbol").alias("symbol"), "connection", "start", "expires")
+    own = activations(pair, grace_seconds)
+    grace = F.expr(f"INTERVAL {grace_seconds} SECOND")
+    few = own.select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.connection").alias("connection"), F.col("activate_at").alias("start"), (F.col("release_at") - grace).alias("expires"), "subscriptions")
+    return activations(few, grace_seconds, F.sum("subscriptions"))
 
 
 def subscription_stats(intervals: DataFrame, at: Column) -> DataFrame:

@@ -582,6 +582,16 @@ def _(s, d):
     return fo.activations(fx.intervals(s, d).withColumn("symbol", F.concat(F.col("connection").cast("string"), "symbol")))
 
 
+_W8_SYMBOL = """WITH i AS (SELECT symbol, start, expires, max(expires) OVER (PARTITION BY symbol ORDER BY start, expires ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + INTERVAL 3 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY start, expires ROWS UNBOUNDED PRECEDING) AS island FROM i)
+SELECT symbol, min(start) AS activate_at, max(expires) + INTERVAL 3 SECOND AS release_at, count(*) AS subscriptions FROM n GROUP BY symbol, island"""
+
+
+@query("W8_symbol_activation", _W8_SYMBOL)
+def _(s, d):
+    return fo.symbol_activations(fx.intervals(s, d))
+
+
 _A8 = f"WITH l AS (SELECT DISTINCT connection, symbol FROM intervals WHERE start <= {NOW} AND expires > {NOW}), t AS (SELECT count(*) AS client_subscriptions, count(DISTINCT symbol) AS unique_symbols FROM l)"
 
 
