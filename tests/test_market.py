@@ -111,6 +111,14 @@ def test_symbol_stays_active_while_any_connection_holds_it(spark, sf_dir):
     assert sorted(map(tuple, rows)) == sorted(db.execute(SQL["W8_symbol_activation"]).fetchall())
 
 
+def test_buffer_counts(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, x, at(i), i) for i, x in enumerate("AABC")] + [(2, x, at(i), i) for i, x in enumerate("ABACB")]
+    df = spark.createDataFrame(rows, "user_id long, symbol string, received_at timestamp_ntz, arrival long")
+    got = {r.user_id: (r.coalesced, r.dropped, r.depth) for r in fo.buffer_counts(df, "user_id", 2).collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 2)}
+
+
 def test_volume_sources(spark):
     df = spark.createDataFrame([("s", 1, D("100"), None), ("s", 2, D("105"), None), ("s", 3, D("107"), D("2"))], "k string, arrival long, cumulative decimal(18,1), last_size decimal(18,1)")
     assert [float(r.volume) for r in cd.volume_delta(df, ["k"], ["arrival"]).orderBy("arrival").collect()] == [0, 5, 2]

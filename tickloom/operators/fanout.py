@@ -73,6 +73,22 @@ def bounded_buffer(rows: DataFrame, client: str, n: int) -> DataFrame:
     return newest.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def buffer_counts(rows: DataFrame, client: str, n: int) -> DataFrame:
+    """What a client's buffer of n symbols did between sends: coalesced, dropped, depth; the oldest received goes first."""
+
+    def step(state, row):
+        held = state or {}
+        coalesced = row["symbol"] in held
+        dropped = not coalesced and len(held) >= n
+        if dropped:
+            del held[min(held, key=held.get)]
+        held[row["symbol"]] = row["received_at"]
+        return held, (coalesced, dropped, len(held))
+
+    done = keyed_fold(rows.select(client, "symbol", "received_at", "arrival"), [client], ["arrival"], step, {"coalesced": "boolean", "dropped": "boolean", "depth": "long"})
+    return done.groupBy(client).agg(F.count_if("coalesced").alias("coalesced"), F.count_if("dropped").alias("dropped"), F.max_by("depth", "arrival").alias("depth"))
+
+
 def slow_consumer_warnings(rows: DataFrame, client: str, order: list[str], threshold: int) -> DataFrame:
     """One row each time a client's running count of coalesced quotes passes a multiple of the threshold."""
     w = Window.partitionBy(client).orderBy(*order)
