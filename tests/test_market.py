@@ -1,6 +1,7 @@
 """The reference's expected values on tiny tables, and properties it states."""
 
 import datetime as dt
+import json
 import uuid
 from decimal import Decimal as D
 
@@ -59,15 +60,95 @@ def test_recorder_sequences(spark):
     assert got == [(1, False), (0, True)]
 
 
-def test_temporal_integrity(spark):
+def points(spark, rows):
     at = lambda s: T0 + dt.timedelta(seconds=s)
-    rows = [(1, 1, at(0), 1, 1), (2, 1, at(1), 4, 2), (3, 1, at(1), 4, 2), (4, 1, at(0), 5, 3), (5, 1, at(2), 4, 4), (6, 1, at(1), 9, 5), (7, 2, at(0), 1, 6), (8, 1, at(9), 9, 7)]
-    df = spark.createDataFrame([("k", *r) for r in rows], "key string, arrival long, generation long, provider_timestamp timestamp_ntz, sequence long, event_id long")
-    got = [(r.outcome, r.reason, r.missing) for r in ql.temporal_integrity(df, ["key"], ["arrival"]).orderBy("arrival").collect()]
-    assert got == [
-        ("accepted", "initial", 0), ("accepted", "sequence_gap", 2), ("duplicate", None, 0), ("quarantined", "timestamp_rollback", 0), ("quarantined", "sequence_regression", 0),
-        ("accepted", "sequence_gap", 4), ("accepted", "generation_advanced", 0), ("quarantined", "stale_generation", 0),
+    return spark.createDataFrame([("k", i, g, at(t), s, e) for i, (g, t, s, e) in enumerate(rows)], "key string, arrival long, generation long, provider_timestamp timestamp_ntz, sequence long, event_id long")
+
+
+def judged(spark, rows):
+    return [(r.outcome, r.reason, r.missing) for r in ql.temporal_integrity(points(spark, rows), ["key"], ["arrival"]).orderBy("arrival").collect()]
+
+
+def test_temporal_integrity(spark):
+    assert judged(spark, [(1, 1, 1, 1), (1, 4, 4, 4), (1, 4, 4, 4)]) == [("accepted", "initial", 0), ("accepted", "sequence_gap", 2), ("duplicate", "duplicate_event", 0)]
+    assert judged(spark, [(1, 5, 5, 5), (1, 4, 6, 6), (1, 7, 4, 7)])[1:] == [("quarantined", "timestamp_rollback", 0), ("quarantined", "sequence_regression", 0)]
+    assert judged(spark, [(1, 10, 10, 10), (1, 10, 15, 15)])[1] == ("accepted", "sequence_gap", 4)
+    # A snapshot of a new generation at an earlier time is quarantined and does not move the state.
+    assert judged(spark, [(1, 10, 10, 10), (2, 2, 2, 2), (1, 11, 11, 11), (2, 12, 1, 12), (1, 13, 13, 13)])[1:] == [
+        ("quarantined", "timestamp_rollback", 0), ("accepted", "advanced", 0), ("accepted", "generation_advanced", 0), ("quarantined", "stale_generation", 0),
     ]
+    # A null sequence leaves the last one, also when the generation advances.
+    assert judged(spark, [(1, 1, 5, 1), (2, 2, None, 2), (2, 3, 5, 3), (2, 3, 6, 4)])[2:] == [("quarantined", "sequence_regression", 0), ("accepted", "advanced", 0)]
+
+
+def test_temporal_guard_forgets_the_oldest_ids():
+    state, row = None, {"generation": 1, "sequence": None}
+    for i in range(4):
+        state, _ = ql.temporal_step(state, row | {"provider_timestamp": i, "event_id": i}, retention=3)
+    assert list(state[3]) == [1, 2, 3]
+
+
+def test_temporal_integrity_over_the_table(spark, sf_dir):
+    """The fold against a plain loop over all points."""
+    got = {(r.provider, r.symbol, r.arrival, r.event_id): (r.outcome, r.reason, r.missing) for r in ql.temporal_integrity(fx.points(spark, sf_dir), ["provider", "symbol"], ["arrival", "event_id"]).collect()}
+    last, want = {}, {}
+    for r in sorted(fx.points(spark, sf_dir).collect(), key=lambda r: (r.arrival, r.event_id)):
+        k = (r.provider, r.symbol)
+        w = last.get(k)
+        if w is None:
+            out = ("accepted", "initial", 0)
+        elif r.generation < w["g"]:
+            out = ("quarantined", "stale_generation", 0)
+        elif r.event_id in w["ids"]:
+            out = ("duplicate", "duplicate_event", 0)
+        elif r.provider_timestamp < w["t"]:
+            out = ("quarantined", "timestamp_rollback", 0)
+        elif r.generation > w["g"]:
+            out = ("accepted", "generation_advanced", 0)
+        elif None not in (r.sequence, w["s"]) and r.sequence <= w["s"]:
+            out = ("quarantined", "sequence_regression", 0)
+        else:
+            gap = r.sequence - w["s"] - 1 if None not in (r.sequence, w["s"]) else 0
+            out = ("accepted", "sequence_gap" if gap else "same_timestamp" if r.provider_timestamp == w["t"] else "advanced", gap)
+        want[*k, r.arrival, r.event_id] = out
+        if out[0] == "accepted":
+            w = last.setdefault(k, {"ids": set(), "s": None})
+            w.update(g=r.generation, t=r.provider_timestamp, s=w["s"] if r.sequence is None else r.sequence)
+            w["ids"].add(r.event_id)
+    assert got == want and len({o[1] for o in want.values()}) > 2
+
+
+def test_slow_consumer_warns_by_growth_since_the_last_warning(spark):
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate([60, 60, 30, 60, 10, 100, 0])] + [(2, 0, 150), (2, 1, 60)], "user_id long, arrival long, coalesced long")
+    got = sorted((r.user_id, r.arrival, r.total) for r in fo.slow_consumer_warnings(rows, "user_id", ["arrival"], 100).collect())
+    assert got == [(1, 1, 120), (1, 4, 220), (1, 5, 320), (2, 0, 150)]
+
+
+def test_outages_end_at_the_next_success(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = spark.createDataFrame([("p", at(i), i, x) for i, x in enumerate("oofffoofof")] + [("q", at(0), 0, "o")], "provider string, at timestamp_ntz, event_id long, state string")
+    got = sorted(((r.since - T0).seconds, r.until and (r.until - T0).seconds, r.reconnects) for r in mt.outages(rows, ["provider"], ["at", "event_id"], F.col("state") == "f").collect())
+    assert got == [(2, 5, 3), (7, 8, 1), (9, None, 1)]
+
+
+def test_alert_rules(spark):
+    rows = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=10 * i), 0 if 2 <= i <= 6 else 1, 0.9) for i in range(20)], "gateway long, at timestamp_ntz, provider_connected int, archive_backlog_ratio double")
+    got = {(r.alert, r.severity): r.samples for r in mt.alerts(rows, ["gateway"], "at").collect()}
+    assert got == {("provider_disconnected", "critical"): 5, ("archive_trim_imminent", "critical"): 20}
+    with pytest.raises(ValueError):
+        mt.alerts(rows.select("gateway", "at"), ["gateway"], "at")
+
+
+def test_nulls_break_the_rules_that_need_a_value(spark):
+    base = {"symbol": "A", "price": D(1), "bid": None, "ask": None, "provider_timestamp": T0, "received_at": T0, "sequence": 1, "provider": None}
+    rows = spark.createDataFrame([base], "symbol string, price decimal(9,2), bid decimal(9,2), ask decimal(9,2), provider_timestamp timestamp_ntz, received_at timestamp_ntz, sequence long, provider string")
+    assert ql.validate(rows, ql.quote_rules()).first().errors == "V7"
+    schema = "schema_version string, capabilities array<string>, volume decimal(9,2), volume_kind string, window_ms long, volume_unit string, volume_currency string, buy_volume decimal(9,2), sell_volume decimal(9,2), trade_count long, bid_depth decimal(9,2), ask_depth decimal(9,2), depth_unit string, depth_currency string, depth_levels int"
+    row = lambda v, caps, buy: (v, caps, None, None, None, None, None, buy, buy, None, None, None, None, None, None)
+    rows = spark.createDataFrame([row(None, None, None), row("1.0", ["level1_quote", "aggressor_flow"], D(1)), row("1.0", ["level1_quote"], None)], schema)
+    assert [r.errors for r in ql.validate(rows, ql.evidence_rules()).collect()] == ["V1,V9", "V18,V19", ""]
+    lines = spark.createDataFrame([('{"a":1,"zz":2}',), ('{"a":1}',)], "value string")
+    assert [r.unknown for r in ql.unknown_fields(lines, ["a", "b"]).collect()] == ["zz", ""]
 
 
 def test_fold_equals_window(spark, sf_dir):
@@ -138,13 +219,45 @@ def test_validation_rules(spark, sf_dir):
     assert rows.filter("k = 1").filter("errors <> ''").count() == 0
 
 
-def test_ledger_chain_and_tampering(spark):
+def tampered(spark, change):
+    """The violation of the second of three lines, whose record `change` alters."""
     rows = spark.createDataFrame([("l", i, "1.50") for i in range(3)], "ledger string, arrival long, price string")
-    built = lg.build_ledger(rows, "ledger", ["arrival"], ["price"])
-    lines = built.select("ledger", F.col("ledger_index").alias("line"), "value")
-    assert lg.verify_ledger(lines, "ledger", "line").filter("violation IS NOT NULL").count() == 0
-    bad = lines.withColumn("value", F.when(F.col("line") == 1, F.replace("value", F.lit("1.50"), F.lit("9.50"))).otherwise(F.col("value")))
-    assert lg.first_violation(lg.verify_ledger(bad, "ledger", "line"), "ledger", "line").first().violation == "record_hash mismatch"
+    lines = [json.loads(r.value) for r in lg.build_ledger(rows, "ledger", ["arrival"], ["price"]).orderBy("ledger_index").collect()]
+    text = change(lines[1])
+    values = [json.dumps(lines[0]), text if isinstance(text, str) else json.dumps(lines[1] | text), json.dumps(lines[2])]
+    df = spark.createDataFrame([("l", i, v) for i, v in enumerate(values)], "ledger string, line long, value string")
+    first = lg.first_violation(lg.verify_ledger(df, "ledger", "line"), "ledger", "line").first()
+    return first and (first.line, first.violation)
+
+
+def test_ledger_chain_and_tampering(spark):
+    # Key order and white space do not matter; nested fields of the same name are kept.
+    assert tampered(spark, lambda r: json.dumps(dict(reversed(r.items())), indent=1).replace("\n", " ")) is None
+    assert tampered(spark, lambda r: {"price": "9.50"}) == (1, "record_hash mismatch")
+    assert tampered(spark, lambda r: {"price": {"record_hash": "0" * 64}}) == (1, "record_hash mismatch")
+    assert tampered(spark, lambda r: "[1]") == (1, "not a record") and tampered(spark, lambda r: "{") == (1, "not a record")
+    assert tampered(spark, lambda r: {"ledger_version": "2.0"}) == (1, "version") and tampered(spark, lambda r: {"ledger_algorithm": "md5"}) == (1, "algorithm")
+    assert tampered(spark, lambda r: {"ledger_index": 7}) == (1, "index") and tampered(spark, lambda r: {"ledger_index": "1"}) == (1, "index")
+    assert tampered(spark, lambda r: {"provenance_component": "x"}) == (1, "provenance_component")
+    assert tampered(spark, lambda r: {"recorder_session_id": " "}) == (1, "recorder_session_id")
+    assert tampered(spark, lambda r: {"previous_record_hash": "A" * 64}) == (1, "previous_record_hash form") and tampered(spark, lambda r: {"previous_record_hash": "a" * 64}) == (1, "previous_record_hash mismatch")
+    assert tampered(spark, lambda r: {"record_hash": "x"}) == (1, "record_hash form")
+    rows = spark.createDataFrame([("l", 1, "x")], "ledger string, arrival long, ledger_index string")
+    for payload, session in ((["ledger_index"], "s"), (["arrival"], " ")):
+        with pytest.raises(ValueError):
+            lg.build_ledger(rows, "ledger", ["arrival"], payload, session)
+
+
+def test_ledger_goes_on_after_a_sound_chain_alone(spark):
+    rows = spark.createDataFrame([("l", i, "1.50") for i in range(5)], "ledger string, arrival long, price string")
+    as_lines = lambda built: built.select("ledger", F.col("ledger_index").alias("line"), "value")
+    one = as_lines(lg.build_ledger(rows.filter("arrival < 3"), "ledger", ["arrival"], ["price"]))
+    two = as_lines(lg.continue_ledger(one, rows.filter("arrival >= 3"), "ledger", "line", ["arrival"], ["price"], "later"))
+    got = lg.summary(lg.verify_ledger(one.unionByName(two), "ledger", "line"), "ledger", "line").first()
+    assert (got.records, got.sessions, got.verified) == (5, ["later", "session-1"], True)
+    bad = one.withColumn("value", F.replace("value", F.lit("1.50"), F.lit("9.50")))
+    with pytest.raises(Exception, match="broken ledger"):
+        lg.continue_ledger(bad, rows, "ledger", "line", ["arrival"], ["price"], "later").collect()
 
 
 def test_backlog_without_group(spark):
@@ -172,15 +285,57 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+def test_sinks_take_each_event_once(spark, sf_dir, tmp_path):
+    """Events delivered again in other batches, and batches that run again, change nothing."""
+    q = fx.quotes(spark, sf_dir).select("symbol", "provider_timestamp", "event_id", "price", "arrival").withColumn("provider_timestamp", F.col("provider_timestamp").cast("timestamp"))
+    batches = [q.filter("event_id % 2 = 0"), q.filter("event_id % 3 = 0"), q]
+    archive, rows, newest = jobs.archive_batch(str(tmp_path / "a")), jobs.append_new(str(tmp_path / "r"), ["event_id"]), jobs.keep_latest(str(tmp_path / "l"), "symbol", ["arrival", "event_id"], ["price"])
+    for n in (0, 1, 1, 2, 2):
+        for sink in (archive, rows, newest):
+            sink(batches[n], n)
+    got = jobs.read_archive(spark, str(tmp_path / "a")).select("symbol", F.col("open_time").cast("timestamp_ntz"), "open", "close", "n")
+    want = cd.candles_1m(fx.quotes(spark, sf_dir)).select("symbol", "open_time", "open", "close", "n")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    kept = spark.read.parquet(str(tmp_path / "r" / "rows"))
+    assert kept.count() == kept.select("event_id").distinct().count() == q.count()
+    latest = {r.symbol: r.event_id for r in jobs.latest_table(spark, str(tmp_path / "l")).collect()}
+    assert latest == {r.symbol: r.event_id for r in ql.latest(q, "symbol", ["arrival", "event_id"], ["event_id"]).collect()}
+
+
+def test_stateful_stream_equals_fold_and_lag_is_kept(spark, sf_dir, tmp_path):
+    p = fx.points(spark, sf_dir).select("provider", "symbol", "arrival", "event_id", "generation", "sequence", "provider_timestamp")
+    cut = p.agg(F.percentile_approx("arrival", 0.5)).first()[0]
+    listener = jobs.LagListener()
+    spark.streams.addListener(listener)
+    try:
+        for part in (p.filter(F.col("arrival") <= cut), p.filter(F.col("arrival") > cut)):  # two runs over one checkpoint: state survives a restart
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = jobs.stateful(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")), ["provider", "symbol"], ["arrival", "event_id"], ql.temporal_step, ql.TEMPORAL)
+            run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            run.awaitTermination()
+    finally:
+        spark.streams.removeListener(listener)
+    got = spark.read.parquet(str(tmp_path / "out")).select("arrival", "event_id", "outcome", "reason", "missing")
+    want = ql.temporal_integrity(p, ["provider", "symbol"], ["arrival", "event_id"]).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert listener.table(spark).agg(F.sum("rows")).first()[0] == p.count()
+
+
 def test_ledger_files_round_trip(spark, tmp_path):
     from tickloom.sources.readers import read_ledger, write_ledger
 
     rows = spark.createDataFrame([(k, i, "1.50") for k in ("a", "b") for i in range(20)], "ledger string, arrival long, price string")
     built = lg.build_ledger(rows, "ledger", ["arrival"], ["price"])
     write_ledger(built, str(tmp_path / "l"), "ledger", "ledger_index")
-    back = read_ledger(spark, str(tmp_path / "l")).select("ledger", F.get_json_object("value", "$.ledger_index").cast("long").alias("line"), "value")
-    verified = lg.verify_ledger(back, "ledger", "line")
+    verified = lg.verify_ledger(read_ledger(spark, str(tmp_path / "l")), "ledger", "line")
     assert [(r.records, r.verified) for r in lg.summary(verified, "ledger", "line").collect()] == [(20, True), (20, True)]
+    # The file's own order is judged: lines that changed places are found.
+    file = next((tmp_path / "l" / "ledger=a").glob("part-*"))
+    lines = file.read_text().splitlines()
+    (tmp_path / "swapped").mkdir()
+    (tmp_path / "swapped" / "x.jsonl").write_text("\n".join([*lines[:5], lines[6], lines[5], *lines[7:]]) + "\n")
+    bad = lg.first_violation(lg.verify_ledger(read_ledger(spark, str(tmp_path / "swapped")), "ledger", "line"), "ledger", "line").first()
+    assert (bad.line, bad.violation) == (5, "index")
 
 
 def test_closed_candles_and_first_deliveries(spark, tmp_path):

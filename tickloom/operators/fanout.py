@@ -90,10 +90,15 @@ def buffer_counts(rows: DataFrame, client: str, n: int) -> DataFrame:
 
 
 def slow_consumer_warnings(rows: DataFrame, client: str, order: list[str], threshold: int) -> DataFrame:
-    """One row each time a client's running count of coalesced quotes passes a multiple of the threshold."""
-    w = Window.partitionBy(client).orderBy(*order)
-    total = F.sum("coalesced").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total", total).withColumn("level", F.floor(F.col("total") / threshold)).withColumn("before", F.floor((F.col("total") - F.col("coalesced")) / threshold)).filter("level > before")
+    """One row each time a client's running count of coalesced quotes has grown by the threshold since its last warning."""
+
+    def step(state, row):
+        total, warned = state or (0, 0)
+        total += row["coalesced"] or 0
+        warns = total - warned >= threshold
+        return (total, total if warns else warned), (total, warns)
+
+    return keyed_fold(rows, [client], order, step, {"total": "long", "warns": "boolean"}).filter("warns").drop("warns")
 
 
 def activations(intervals: DataFrame, grace_seconds: int = 3, number: Column | None = None) -> DataFrame:

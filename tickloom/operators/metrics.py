@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +49,67 @@ def session_diagnostics(rows: DataFrame, session: str, channel: str, at: str) ->
     return rows.withColumn("_gap", gap).groupBy(session).agg(F.count("*").alias("messages"), F.countDistinct(channel).alias("channels"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("_gap").alias("max_gap_micros"))
 
 
-def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen: int) -> DataFrame:
-    """Pending, undelivered, backlog, its share of maxlen and the headroom of each group; a group without rows has seen nothing."""
+def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen: int, now: Column | None = None) -> DataFrame:
+    """Pending, undelivered, backlog, its share of maxlen and the headroom of each group; a group without rows has seen nothing.
+
+    With `now`, and entered_at in the log: group_present, and the age in seconds of the oldest entry not acked (0 if none).
+    """
     total = log.agg(F.count("*").alias("entries"))
-    seen = acks.join(log.select("entry_id"), "entry_id", "left_semi").groupBy("group").agg(F.count("*").alias("delivered"), F.count("acked_at").alias("acked"))
-    out = groups.join(seen, "group", "left").crossJoin(F.broadcast(total)).na.fill(0, ["delivered", "acked"])  # total is one row
+    mine = acks.join(log.select("entry_id"), "entry_id", "left_semi")
+    seen = mine.groupBy("group").agg(F.count("*").alias("delivered"), F.count("acked_at").alias("acked"))
+    out = groups.join(seen, "group", "left").withColumn("group_present", F.col("delivered").isNotNull())
+    out = out.crossJoin(F.broadcast(total)).na.fill(0, ["delivered", "acked"])  # total is one row
     out = out.withColumn("pending", F.col("delivered") - F.col("acked")).withColumn("undelivered", F.col("entries") - F.col("delivered"))
     out = out.withColumn("backlog", F.col("pending") + F.col("undelivered"))
-    return out.select("group", "pending", "undelivered", "backlog", (F.col("backlog") / maxlen).alias("ratio"), F.greatest(F.lit(0), maxlen - F.col("backlog")).alias("headroom"))
+    columns = ["group", "pending", "undelivered", "backlog", (F.col("backlog") / maxlen).alias("ratio"), F.greatest(F.lit(0), maxlen - F.col("backlog")).alias("headroom")]
+    if now is None:
+        return out.select(*columns)
+    # The groups are few; each entry is looked up once a group.
+    open_ = log.select("entry_id", "entered_at").join(F.broadcast(groups.select("group")), how="cross").join(mine.filter("acked_at IS NOT NULL").select("group", "entry_id"), ["group", "entry_id"], "left_anti")
+    oldest = open_.groupBy("group").agg(F.min("entered_at").alias("oldest"))
+    age = F.coalesce(F.greatest(F.lit(0), F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("oldest").cast("timestamp"))), F.lit(0))
+    return out.join(oldest, "group", "left").select(*columns, "group_present", age.alias("oldest_age_seconds"))
+
+
+def outages(samples: DataFrame, keys: list[str], at: list[str], failed: Column) -> DataFrame:
+    """From the first failed attempt to the next success: since, until (null while it lasts) and reconnects (failed attempts)."""
+    w = Window.partitionBy(*keys).orderBy(*at)
+    rows = samples.withColumn("_bad", F.coalesce(failed, F.lit(False)))
+    rows = rows.withColumn("_turn", (F.col("_bad") & ~F.coalesce(F.lag("_bad").over(w), F.lit(False))).cast("int"))
+    rows = rows.withColumn("_outage", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_outage > 0")
+    return rows.groupBy(*keys, "_outage").agg(F.min(F.when(F.col("_bad"), F.col(at[0]))).alias("since"), F.min(F.when(~F.col("_bad"), F.col(at[0]))).alias("until"), F.count_if("_bad").alias("reconnects")).drop("_outage")
+
+
+#: Alert rules over sampled metrics: name, condition, seconds that it must hold, severity.
+ALERTS = (
+    ("provider_disconnected", "provider_connected = 0", 30, "critical"),
+    ("no_active_upstream_subscriptions", "client_subscriptions > 0 AND unique_upstream_subscriptions = 0", 30, "critical"),
+    ("high_delivery_latency", "delivery_latency_p95 > 0.25", 120, "warning"),
+    ("high_coalescing", "coalesced_rate > 100", 120, "warning"),
+    ("consumer_lag", "pending_entries > 1000", 60, "critical"),
+    ("authentication_failures", "auth_failure_rate > 5", 120, "warning"),
+    ("stale_reads", "stale_read_rate > 1", 120, "warning"),
+    ("usage_buffer_drops", "usage_dropped_increase > 0", 60, "warning"),
+    ("archive_exporter_down", "archive_up = 0", 60, "critical"),
+    ("archive_monitor_unavailable", "archive_monitor_up = 0", 60, "critical"),
+    ("archive_group_missing", "archive_group_present = 0", 60, "critical"),
+    ("archive_no_consumers", "archive_consumers = 0 AND archive_backlog > 0", 60, "critical"),
+    ("archive_backlog_stale", "archive_oldest_age > 300 AND archive_backlog > 0", 300, "warning"),
+    ("archive_trim_risk", "archive_backlog_ratio > 0.5 AND archive_backlog_ratio < 0.8", 300, "warning"),
+    ("archive_trim_imminent", "archive_backlog_ratio >= 0.8", 120, "critical"),
+)
+
+
+def alerts(samples: DataFrame, keys: list[str], at: str, rules: tuple = ALERTS) -> DataFrame:
+    """Firing stretches of every rule whose columns the samples have: alert, severity, keys, since, until, samples."""
+    out = []
+    for name, condition, seconds, severity in rules:
+        if all(word in samples.columns for word in re.findall(r"[a-z_][a-z_0-9]*", condition)):
+            fired = true_for(samples, keys, at, F.expr(condition), seconds)
+            out.append(fired.select(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), *keys, "since", "until", "samples"))
+    if not out:
+        raise ValueError("the samples have the columns of no rule")
+    return reduce(DataFrame.unionByName, out)
 
 
 def true_for(samples: DataFrame, keys: list[str], at: str, condition: Column, least_seconds: int) -> DataFrame:

@@ -18,35 +18,44 @@ def quote_rules() -> dict[str, Column]:
     c = F.col
     return {
         "V2": ~c("symbol").rlike(r"^[A-Z0-9._:-]{1,32}$") | c("symbol").isNull(), "V3": (c("price") <= 0) | c("price").isNull(), "V4": (c("bid") <= 0) | (c("ask") <= 0),
-        "V5": c("provider_timestamp").isNull() | c("received_at").isNull(), "V6": c("sequence") < 0, "V7": ~F.length("provider").between(1, 64), "V8": c("bid") > c("ask"),
+        "V5": c("provider_timestamp").isNull() | c("received_at").isNull(), "V6": c("sequence") < 0, "V7": ~F.coalesce(F.length("provider").between(1, 64), F.lit(False)), "V8": c("bid") > c("ask"),
     }
 
 
 def evidence_rules() -> dict[str, Column]:
     """Rules of rich quotes: semantics, capabilities, sizes and versions; true where broken."""
     c, has = F.col, lambda name: F.array_contains("capabilities", name)
-    rich = c("volume").isNotNull() | c("trade_count").isNotNull() | c("bid_depth").isNotNull() | c("ask_depth").isNotNull()
+    there = lambda *names: F.coalesce(*[c(n).cast("string") for n in names]).isNotNull()
+    volumes, flow, depth = there("volume", "buy_volume", "sell_volume", "trade_count"), there("buy_volume", "sell_volume"), there("bid_depth", "ask_depth")
+    rich = volumes | depth | there("volume_kind", "volume_unit", "depth_unit", "depth_levels")
     return {
-        "V1": ~c("schema_version").rlike(r"^1\.[0-9]+$"), "V9": ~has("level1_quote"), "V10": (c("volume_kind") == "interval") & c("window_ms").isNull(),
+        "V1": ~F.coalesce(c("schema_version").rlike(r"^1\.[0-9]+$"), F.lit(False)), "V9": ~F.coalesce(has("level1_quote"), F.lit(False)), "V10": (c("volume_kind") == "interval") & c("window_ms").isNull(),
         "V11": (c("volume_kind") == "cumulative") & c("window_ms").isNotNull(), "V12": (c("volume_unit") == "quote_notional") & c("volume_currency").isNull(),
         "V13": (c("volume_unit") != "quote_notional") & c("volume_currency").isNotNull(), "V14": c("window_ms") <= 0,
         "V15": (c("depth_unit") == "quote_notional") & c("depth_currency").isNull(), "V16": (c("depth_unit") != "quote_notional") & c("depth_currency").isNotNull(), "V17": ~c("depth_levels").between(1, 20),
-        "V18": rich & (F.regexp_extract("schema_version", r"^1\.([0-9]+)$", 1).try_cast("int") < 1), "V19": c("volume").isNotNull() & c("volume_kind").isNull(),
+        "V18": rich & (F.regexp_extract("schema_version", r"^1\.([0-9]+)$", 1).try_cast("int") < 1), "V19": volumes & c("volume_kind").isNull(),
         "V20": (c("volume").isNotNull() & ~has("volume")) | (c("trade_count").isNotNull() & ~has("trade_count")),
-        "V21": (c("buy_volume").isNull() != c("sell_volume").isNull()) | (c("buy_volume").isNotNull() & ~has("aggressor_flow")) | (c("buy_volume") + c("sell_volume") > c("volume")),
-        "V22": (c("bid_depth").isNull() != c("ask_depth").isNull()) | (c("bid_depth").isNotNull() & (c("depth_levels").isNull() | (c("depth_levels") != 1) | ~has("top_of_book_depth"))),
+        "V21": (c("buy_volume").isNull() != c("sell_volume").isNull()) | (flow & ~has("aggressor_flow")) | (c("buy_volume") + c("sell_volume") > c("volume")),
+        "V22": (c("bid_depth").isNull() != c("ask_depth").isNull()) | (depth & (c("depth_levels").isNull() | (c("depth_levels") != 1) | ~has("top_of_book_depth"))),
         "V23": (c("volume") < 0) | (c("buy_volume") < 0) | (c("sell_volume") < 0) | (c("bid_depth") < 0) | (c("ask_depth") < 0) | (c("trade_count") < 0),
     }
 
 
+def unknown_fields(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Raw JSON objects (value) with rule V24: the fields outside the contract, comma-joined; empty where there are none."""
+    names = F.coalesce(F.json_object_keys("value"), F.array())
+    return rows.withColumn("unknown", F.array_join(F.array_sort(F.array_except(names, F.array(*map(F.lit, known)))), ","))
+
+
 def validate(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds errors; empty where the row is accepted."""
     return rows.withColumn("errors", reasons(rules))
 
 
-def dead_letters(rows: DataFrame, source: str, key: str, payload: Column) -> DataFrame:
-    """Rejected rows as dead letters."""
-    return rows.filter("errors <> ''").select(F.lit(source).alias("source"), F.col(key).alias("entry_id"), payload.alias("payload"), F.col("errors").alias("error"))
+def dead_letters(rows: DataFrame, source: str, key: str, payload: Column, failed_at: Column, retry_count: Column | int = 0) -> DataFrame:
+    """Rejected rows as dead letters: source, entry_id, payload, error, retry_count, failed_at."""
+    retries = retry_count if isinstance(retry_count, Column) else F.lit(retry_count)
+    return rows.filter("errors <> ''").select(F.lit(source).alias("source"), F.col(key).alias("entry_id"), payload.alias("payload"), F.col("errors").alias("error"), retries.alias("retry_count"), failed_at.alias("failed_at"))
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -81,33 +90,43 @@ def recorder_filter(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.withColumn("duplicate", dup).withColumn("gap_size", F.when(dup | prev.isNull() | F.col("sequence").isNull(), 0).otherwise(F.col("sequence") - prev - 1).cast("long"))
 
 
-def temporal_integrity(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds outcome and reason of the state machine: generation, then duplicate, then timestamp, then sequence.
+#: Event ids of a key that the temporal guard remembers.
+SEEN = 10_000
+
 
-    Quarantined rows and duplicates do not move the state.
+def temporal_step(state, row, retention: int = SEEN):
+    """One step of the temporal guard, for the fold and for the stream: (next state, (outcome, reason, missing)).
+
+    Checked in order: generation, repeated event, timestamp (whatever the generation), sequence (unless the generation has
+    advanced). Only accepted rows move the state; a null sequence leaves the last one. The `retention` newest ids are kept.
     """
+    gen, ts, seq, eid = row["generation"], row["provider_timestamp"], row["sequence"], row["event_id"]
+    if state is None:
+        return (gen, ts, seq, {eid: None}), ("accepted", "initial", 0)
+    g, t, s, seen = state
+    if gen < g:
+        return state, ("quarantined", "stale_generation", 0)
+    if eid in seen:
+        return state, ("duplicate", "duplicate_event", 0)
+    if ts < t:
+        return state, ("quarantined", "timestamp_rollback", 0)
+    both = seq is not None and s is not None
+    if gen == g and both and seq <= s:
+        return state, ("quarantined", "sequence_regression", 0)
+    gap = seq - s - 1 if gen == g and both else 0
+    reason = "generation_advanced" if gen > g else "sequence_gap" if gap > 0 else "same_timestamp" if ts == t else "advanced"
+    seen[eid] = None
+    if len(seen) > retention:
+        del seen[next(iter(seen))]
+    return (gen, ts, seq if seq is not None else s, seen), ("accepted", reason, max(0, gap))
+
+
+TEMPORAL = {"outcome": "string", "reason": "string", "missing": "long"}
 
-    def step(state, row):
-        gen, ts, seq, eid = row["generation"], row["provider_timestamp"], row["sequence"], row["event_id"]
-        if state is None:
-            return (gen, ts, seq, {eid}), ("accepted", "initial", 0)
-        g, t, s, seen = state
-        if gen < g:
-            return state, ("quarantined", "stale_generation", 0)
-        if eid in seen:
-            return state, ("duplicate", None, 0)
-        if gen > g:
-            return (gen, ts, seq, seen | {eid}), ("accepted", "generation_advanced", 0)
-        if ts < t:
-            return state, ("quarantined", "timestamp_rollback", 0)
-        if seq is not None and s is not None and seq <= s:
-            return state, ("quarantined", "sequence_regression", 0)
-        seen.add(eid)
-        gap = seq - s - 1 if seq is not None and s is not None else 0
-        reason = "sequence_gap" if gap > 0 else "same_timestamp" if ts == t else "advanced"
-        return (gen, ts, seq if seq is not None else s, seen), ("accepted", reason, max(0, gap))
-
-    return keyed_fold(points, keys, order, step, {"outcome": "string", "reason": "string", "missing": "long"})
+
+def temporal_integrity(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds outcome, reason and missing of the temporal guard's state machine."""
+    return keyed_fold(points, keys, order, temporal_step, TEMPORAL)
 
 
 def rollbacks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

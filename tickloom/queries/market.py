@@ -339,9 +339,9 @@ def _(s, d):
     return fx.quotes(s, d).select("event_id", F.greatest(F.lit(0), ms).alias("latency_ms"))
 
 
-@query("S7_dead_letter_sink", f"SELECT 'quotes' AS source, event_id AS entry_id, {_PLAIN} AS error FROM quotes WHERE {_PLAIN} <> ''")
+@query("S7_dead_letter_sink", f"SELECT 'quotes' AS source, event_id AS entry_id, '{{\"symbol\":\"' || symbol || '\"}}' AS payload, {_PLAIN} AS error, 0 AS retry_count, received_at AS failed_at FROM quotes WHERE {_PLAIN} <> ''")
 def _(s, d):
-    return ql.dead_letters(ql.validate(fx.quotes(s, d), ql.quote_rules()), "quotes", "event_id", F.to_json(F.struct("symbol"))).drop("payload")
+    return ql.dead_letters(ql.validate(fx.quotes(s, d), ql.quote_rules()), "quotes", "event_id", F.to_json(F.struct("symbol")), F.col("received_at"))
 
 
 @query("S10_replay_slice", "SELECT event_id, arrival FROM quotes WHERE symbol IN ('CLICK', 'VIEW') AND provider_timestamp >= TIMESTAMP '2024-01-05' AND provider_timestamp < TIMESTAMP '2024-01-12'")
@@ -562,7 +562,11 @@ def _(s, d):
     return fo.bounded_buffer(fx.quotes(s, d), "user_id", 2)
 
 
-@query("W14_slow_consumer_warnings", "WITH t AS (SELECT user_id, event_id, k, sum(k) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) AS total FROM quotes) SELECT user_id, event_id, total::BIGINT AS total FROM t WHERE total // 100 > (total - k) // 100")
+@query("W14_slow_consumer_warnings", """SELECT user_id, event_id, total::BIGINT AS total FROM (
+ WITH RECURSIVE r AS (SELECT user_id, event_id, k, row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) AS i FROM quotes),
+ s AS (SELECT user_id, i, event_id, k::BIGINT AS total, CASE WHEN k >= 100 THEN k ELSE 0 END::BIGINT AS warned, k >= 100 AS warns FROM r WHERE i = 1
+  UNION ALL SELECT r.user_id, r.i, r.event_id, s.total + r.k, CASE WHEN s.total + r.k - s.warned >= 100 THEN s.total + r.k ELSE s.warned END, s.total + r.k - s.warned >= 100 FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+ SELECT * FROM s) WHERE warns""")
 def _(s, d):
     return fo.slow_consumer_warnings(fx.quotes(s, d).withColumn("coalesced", F.col("k")), "user_id", ARRIVAL, 100).select("user_id", "event_id", "total")
 
@@ -713,9 +717,11 @@ def _(s, d):
 _ISLANDS = "WITH t AS (SELECT *, CASE WHEN {0} <> coalesce(lag({0}) OVER w, false) THEN 1 ELSE 0 END AS turn FROM quotes WINDOW w AS (PARTITION BY user_id ORDER BY {1})), i AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY {1} ROWS UNBOUNDED PRECEDING) AS island FROM t)"
 
 
-@query("A22_outage_durations", _ISLANDS.format("(k < 60)", "provider_timestamp, event_id") + " SELECT user_id, min(provider_timestamp) AS since, max(provider_timestamp) AS until, count(*) AS samples FROM i WHERE k < 60 GROUP BY user_id, island")
+@query("A22_outage_durations", """SELECT user_id, since, (SELECT min(e.provider_timestamp) FROM quotes e WHERE e.user_id = f.user_id AND e.k >= 60 AND (e.provider_timestamp, e.event_id) > (f.since, f.first_id)) AS until, reconnects
+ FROM (SELECT user_id, outage, min(provider_timestamp) AS since, arg_min(event_id, (provider_timestamp, event_id)) AS first_id, count(*) AS reconnects FROM
+  (SELECT q.user_id, q.provider_timestamp, q.event_id, (SELECT count(*) FROM quotes g WHERE g.user_id = q.user_id AND g.k >= 60 AND (g.provider_timestamp, g.event_id) < (q.provider_timestamp, q.event_id)) AS outage FROM quotes q WHERE q.k < 60) GROUP BY user_id, outage) f""")
 def _(s, d):
-    return _islands(fx.quotes(s, d), F.col("k") < 60, 0)
+    return mt.outages(fx.quotes(s, d), ["user_id"], ["provider_timestamp", "event_id"], F.col("k") < 60)
 
 
 def _islands(q, condition, seconds):
@@ -800,17 +806,17 @@ def _(s, d):
     return lg.first_violation(lg.verify_ledger(_lines(s, d), "provider", "line"), "provider", "line")
 
 
-@query("A21_ledger_summary", "SELECT provider, count(*) AS records, true AS verified FROM quotes GROUP BY provider")
+@query("A21_ledger_summary", "SELECT provider, count(*) AS records, 'session-1' AS sessions, true AS verified FROM quotes GROUP BY provider")
 def _(s, d):
     lines = ledger(s, d).select("provider", F.col("ledger_index").alias("line"), "value")
-    return lg.summary(lg.verify_ledger(lines, "provider", "line"), "provider", "line").drop("head_hash")
+    return lg.summary(lg.verify_ledger(lines, "provider", "line"), "provider", "line").drop("head_hash").withColumn("sessions", F.array_join("sessions", ","))
 
 
-@query("L4_continue_ledger", "SELECT provider, count(*) AS records, true AS verified FROM quotes GROUP BY provider")
+@query("L4_continue_ledger", "SELECT provider, count(*) AS records, string_agg(DISTINCT CASE WHEN arrival < 20000 THEN 'session-1' ELSE 'session-2' END, ',' ORDER BY CASE WHEN arrival < 20000 THEN 'session-1' ELSE 'session-2' END) AS sessions, true AS verified FROM quotes GROUP BY provider")
 def _(s, d):
     rows = fx.quotes(s, d).select("event_id", "symbol", F.col("price").cast("string").alias("price_text"), "provider", "arrival")
-    one = lg.build_ledger(rows.filter("arrival < 20000"), "provider", ARRIVAL, _PAYLOAD)
-    heads = one.groupBy("provider").agg(F.max("ledger_index").alias("ledger_index"), F.max_by("record_hash", "ledger_index").alias("record_hash"))
-    two = lg.build_ledger(rows.filter("arrival >= 20000"), "provider", ARRIVAL, _PAYLOAD, heads)
-    lines = one.unionByName(two).select("provider", F.col("ledger_index").alias("line"), "value")
-    return lg.summary(lg.verify_ledger(lines, "provider", "line"), "provider", "line").drop("head_hash")
+    as_lines = lambda built: built.select("provider", F.col("ledger_index").alias("line"), "value")
+    one = as_lines(lg.build_ledger(rows.filter("arrival < 20000"), "provider", ARRIVAL, _PAYLOAD))
+    two = as_lines(lg.continue_ledger(one, rows.filter("arrival >= 20000"), "provider", "line", ARRIVAL, _PAYLOAD, "session-2"))
+    both = lg.verify_ledger(one.unionByName(two), "provider", "line")
+    return lg.summary(both, "provider", "line").drop("head_hash").withColumn("sessions", F.array_join("sessions", ","))

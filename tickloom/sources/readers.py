@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUOTE_SCHEMA = "event_id long, symbol string, price decimal(18,2), bid decimal(18,2), ask decimal(18,2), sequence long, provider string, provider_timestamp timestamp_ntz, received_at timestamp_ntz"
@@ -38,8 +38,13 @@ def explode_trades(lines: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger files of JSON lines: ledger (its folder or file), line text."""
-    return spark.read.text(path).withColumn("ledger", F.input_file_name())
+    """Ledger files of JSON lines: ledger (its file), line (place in the file from 0) and value, the text.
+
+    Files are read in splits side by side; a line's place follows from its split's start and its order there.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("ledger"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    place = F.row_number().over(Window.partitionBy("ledger").orderBy("_start", "_at")) - 1
+    return rows.select("ledger", place.cast("long").alias("line"), "value")
 
 
 def write_ledger(ledger: DataFrame, path: str, key: str, order: str) -> None:

@@ -1,12 +1,20 @@
-"""Structured Streaming twins: closed candles, duplicates within a watermark, idempotent sinks, fan-out."""
+"""Structured Streaming twins: closed candles, duplicates within a watermark, idempotent sinks, keyed state, fan-out, lag."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pickle
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tickloom.operators.candles import merge_candles
+from tickloom.operators.quality import latest
 
 
 def quote_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -34,27 +42,147 @@ def fanout(quotes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return quotes.join(subscriptions, "symbol")
 
 
+def _fresh(batch: DataFrame, batch_id: int, keys: list[str], store: str, day: Column | None = None) -> DataFrame:
+    """The batch's rows whose keys no other batch has stored, once each; their keys are stored under this batch's number.
+
+    A batch that runs again sees the keys of the others alone and replaces its own, so it gives the same rows again. With `day`,
+    keys are stored by day and only the days of the batch are read.
+    """
+    rows = batch.withColumn("_day", F.lit("all") if day is None else F.date_format(day, "yyyy-MM-dd")).dropDuplicates(keys)
+    rows = rows.persist()
+    try:
+        known = rows.sparkSession.read.schema(StructType([*[f for f in rows.schema if f.name in keys], StructField("batch", LongType()), StructField("_day", StringType())])).parquet(store)
+        known = known.filter(F.col("batch") != batch_id).join(F.broadcast(rows.select("_day").distinct()), "_day", "left_semi")  # a batch has few days
+        rows_new = rows.join(known.select(*keys), keys, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows_new = rows
+    rows_new = rows_new.persist()
+    rows_new.select(*keys, "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{store}/batch={batch_id}")
+    rows.unpersist()
+    return rows_new.drop("_day")
+
+
 def archive_batch(target: str):
     """A foreachBatch function that adds partial candles, one folder a batch: a batch that runs again replaces its own.
 
-    Readers merge the partials (they are associative and commutative), so late rows of any age count and nothing is dropped.
+    Each event counts once, also when another batch delivers it again. Readers merge the partials (they are associative and
+    commutative), so late rows of any age count and nothing is dropped.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = F.struct("provider_timestamp", "event_id")
         minute = F.date_trunc("minute", "provider_timestamp").alias("open_time")
-        part = batch.dropDuplicates(["event_id"]).groupBy("symbol", minute).agg(
+        fresh = _fresh(batch, batch_id, ["event_id"], f"{target}/events", F.col("provider_timestamp"))
+        part = fresh.groupBy("symbol", minute).agg(
             F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").alias("n"),
             F.min("provider_timestamp").alias("first_ts"), F.max("provider_timestamp").alias("last_ts"), F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id"),
         )
-        part.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        part.write.mode("overwrite").parquet(f"{target}/candles/batch={batch_id}")
+        fresh.unpersist()
 
     return write
 
 
 def read_archive(spark: SparkSession, target: str) -> DataFrame:
     """The merged minute candles of an archive written by archive_batch."""
-    return merge_candles(spark.read.parquet(target).drop("batch"))
+    return merge_candles(spark.read.parquet(f"{target}/candles").drop("batch"))
+
+
+def append_new(target: str, keys: list[str]):
+    """A foreachBatch function that stores each key's first row and skips keys already stored, by whichever batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = _fresh(batch, batch_id, keys, f"{target}/keys")
+        fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        fresh.unpersist()
+
+    return write
+
+
+def keep_latest(target: str, key: str, order: list[str], values: list[str]):
+    """A foreachBatch function that keeps the last row of each key: each batch writes the whole table (a row a key) anew, from
+    the newest before its own, so a batch that runs again gives the same table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(key, *order, *[v for v in values if v not in order])
+        before = latest_table(batch.sparkSession, target, batch_id)
+        if before is not None:
+            rows = rows.unionByName(before)
+        names = rows.columns[1:]
+        latest(rows, key, order, names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return write
+
+
+def latest_table(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The newest table that keep_latest wrote (before a batch); None where there is none."""
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = (rows if before is None else rows.filter(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+    return None if newest is None else rows.filter(F.col("batch") == newest).drop("batch")
+
+
+class Fold(StatefulProcessor):
+    """A fold's step function over a stream: the state of a key lives in the state store from batch to batch."""
+
+    def __init__(self, step: Callable, order: list[str], added: list[str]):
+        self.step, self.order, self.added = step, order, added
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("state", "value binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else None
+        out = []
+        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            state, new = self.step(state, row)
+            out.append(new)
+        self.kept.update((pickle.dumps(state),))
+        yield pd.concat([batch, pd.DataFrame(out, columns=self.added, dtype=object)], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(rows: DataFrame, keys: list[str], order: list[str], step: Callable, added: dict[str, str]) -> DataFrame:
+    """keyed_fold over a stream, with the same step functions: a batch's rows of a key are taken in order, batches as they come.
+
+    Needs the RocksDB state store, which it names in the session's settings.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{n}` {t}" for n, t in added.items()])
+    return rows.groupBy(*keys).transformWithStateInPandas(Fold(step, order, list(added)), schema, "Append", "None")
+
+
+class LagListener(StreamingQueryListener):
+    """Keeps the newest progress of each query: batches, rows, speeds and what its sources still hold."""
+
+    def __init__(self, most: int = 1000):
+        self.progress: deque[tuple] = deque(maxlen=most)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        left = [int(v) for s in p.sources for k, v in s.metrics.items() if k in ("numFilesOutstanding", "maxOffsetsBehindLatest")]
+        self.progress.append((p.name or str(p.id), p.batchId, p.timestamp, p.numInputRows, float(p.inputRowsPerSecond), float(p.processedRowsPerSecond), sum(left) if left else None))
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.progress), "query string, batch long, at string, rows long, arriving double, processed double, backlog long")
 
 
 def run_available(rows: DataFrame, checkpoint: str, sink) -> StreamingQuery:
