@@ -1,11 +1,13 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust their score.
 
-Fixed values: the base patterns and their order are the contract's; the further kinds are IBANs (mod-97), US social security
-numbers (group rules and context) and access keys or tokens (entropy of their alphabet and context).
+Fixed values: the base patterns and their order are the contract's; the further kinds are IBANs (length by country, mod-97), US
+social security numbers (group rules and context) and access keys or tokens (form, entropy of their alphabet and context).
+Patterns are searched in time that grows with the text's length alone: see _FIND.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -24,10 +26,17 @@ PATTERNS = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9])",
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 #: Words near a span that speak for its kind, and words that speak against personal data.
 CONTEXT = {
     "email": ("mail", "contact", "write", "reply"),
@@ -75,7 +84,38 @@ CONFIRMED: dict[str, Callable[[str], bool]] = {
     "secret": lambda s: len(set(s)) >= 8,
 }
 CHECKSUM = {"card", "iban"}
-_FIND = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_IBAN = {c: re.compile(rf"{c}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTH.items()}
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern, from each @ to both sides: what may stand before it is looked at once."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            yield start, m.end()
+            last = m.end()
+        at = text.find("@", at + 1)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Places that start as an IBAN, up to the length of their country."""
+    for m in _PLAIN["iban"].finditer(text):
+        if (whole := _IBAN.get(m[0][:2])) and (found := whole.match(text, m.start())):
+            yield found.span()
+
+
+def _plain(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+_PLAIN = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+#: Spans by kind. A match of the ip pattern starts where digits start and no part of it can be shorter, so neither is tried.
+_FIND = {kind: _plain(p) for kind, p in _PLAIN.items()} | {"email": _emails, "iban": _ibans, "ip": _plain(re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"))}
 #: A text without a match of this has no match of the kind's pattern: cheaper to look for.
 _SIGN = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile("[0-9](?:[ -]?[0-9]){11}"), "phone": re.compile(r"\+[0-9]"), "iban": re.compile("[A-Z]{2}[0-9]{2}"), "ssn": re.compile("-[0-9]{2}-"), "secret": re.compile("AKIA|gh[pousr]_|sk-|[0-9a-f]{40}")}
 
@@ -83,31 +123,62 @@ _SIGN = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower()
     score = WEIGHT[kind] + 0.3 * (kind in CHECKSUM)
+    if kind == "secret" and text[start] in "0123456789abcdef" and end - start in (40, 64):
+        score -= 0.2  # bare hexadecimal digits are hashes more often than secrets: they need a word that says so
     score += 0.2 * any(w in near for w in CONTEXT[kind])
     score -= 0.2 * any(w in near for w in AGAINST)
     return round(min(1.0, max(0.0, score)), 3)
 
 
+class _Taken:
+    """Places that spans cover, as disjoint intervals in order."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        starts, ends = [], []
+        for a, b in sorted([*zip(self.starts, self.ends, strict=True), *spans]):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        self.starts, self.ends = starts, ends
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b) - 1
+        return i < 0 or self.ends[i] <= a
+
+
 def spans_of(text: str | None, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of one text, by start and then kind; offsets in code points, ends exclusive.
 
-    Base spans always stay. The further kinds need a score of `least` and stay clear of base spans.
+    Base spans always stay. The further kinds need a score of `least` and stay clear of base spans and of each other.
     """
     out: list[tuple[str, int, int, float]] = []
     if not text:
         return out
+    taken = _Taken()
     for kind in KINDS:
         if not _SIGN[kind].search(text):
             continue
-        found = [(kind, m.start(), m.end(), _score(text, kind, m.start(), m.end())) for m in _FIND[kind].finditer(text) if CONFIRMED[kind](m[0])]
+        found = [(kind, a, b, _score(text, kind, a, b)) for a, b in _FIND[kind](text) if CONFIRMED[kind](text[a:b])]
         if kind not in BASE:
-            found = [s for s in found if s[3] >= least and not any(s[1] < o[2] and o[1] < s[2] for o in out)]
-        out += found
+            found = [s for s in found if s[3] >= least and taken.free(s[1], s[2])]
+        if found:
+            taken.add([(a, b) for _, a, b, _ in found])
+            out += found
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def find_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row a document: doc_id, spans array<struct<kind, start, end, score>>. Null or empty text: an empty array."""
+    """One row a document: doc_id, spans array<struct<kind, start, end, score>>.
+
+    Null or empty text: an empty array. Repeated rows give equal rows, null ids a row each, an empty table none. Texts of any
+    length are scanned whole, in time that grows with their length. Spans that start together go by kind. Columns other than
+    doc_id and text are not read.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +192,9 @@ def find_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The same rows and columns with every span replaced by its kind in brackets; overlapping spans become one.
 
-    n_chars, where there is one, becomes the length of the new text (null stays null).
+    n_chars, where there is one, becomes the length of the new text (null stays null). Null and empty texts stay; repeated rows
+    and rows without doc_id are redacted alike; other columns are kept whatever their names; an empty table stays empty. Of spans
+    that overlap the one that starts first (then by kind) names them.
     """
     names, schema = docs.columns, docs.schema
 
