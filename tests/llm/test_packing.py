@@ -32,7 +32,6 @@ def whole(rows, ids):
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for d, x in texts}
 
 
@@ -45,7 +44,7 @@ def test_round_trip(spark, sf_dir):
 
 
 def test_edges(spark):
-    texts = [(1, None), (2, ""), (3, "word " * 30_000), (4, "a <|endoftext|> é 日本"), (None, "b")]
+    texts = [(1, None), (2, ""), (3, "word " * 30_000), (4, "a <|endoftext|> é 日本"), (5, "<|endoftext|><|endoftext|>  x  <|endoftext|"), (None, "b")]
     docs = spark.createDataFrame([(d, t, 5) for d, t in texts], "doc_id long, text string, length int")
     whole(packing.pack(docs).collect(), ids_of(texts))
     assert packing.pack(docs.limit(0)).count() == 0

@@ -9,7 +9,6 @@ rank intervals for each length; every piece finds its place by its rank among th
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,24 +28,29 @@ _CACHE: dict = {}
 
 
 class PieceEncoder:
-    """Byte-level BPE of whole texts. The ids of each pre-token are kept, as most of a text is frequent words.
-
-    The vocabulary is the ranks file; the result equals the library `tokenizers` on the JSON file of the same vocabulary,
-    with the strings of special tokens taken as ordinary text (tests compare both).
+    """Byte-level BPE of whole texts by the library `tokenizers`. The ids of each pre-token are kept, as most of a text is
+    frequent words. Strings of the vocabulary's added tokens are single ids, as the library takes them, and are split off first.
     """
 
-    def __init__(self, ranks_path: str | None, most_kept: int = 300_000):
+    def __init__(self, tokenizer_path: str | None, most_kept: int = 300_000):
         import public_tokenizers
         import regex
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._words = regex.compile(public_tokenizers.PATTERN).findall
+        self._tokens = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        added = sorted((t.content for t in self._tokens.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._split = regex.compile(f"({'|'.join(map(regex.escape, added))})").split if added else None
+        self._added = added
+        self._find = regex.compile(public_tokenizers.PATTERN).findall
         self._kept: dict[str, bytes] = {}
         self._most = most_kept
 
+    def _words(self, text: str) -> list[str]:
+        """Pre-tokens, and added tokens whole; a pre-token ends where an added token begins."""
+        if not any(t in text for t in self._added):
+            return self._find(text)
+        return [w for i, part in enumerate(self._split(text)) for w in ([part] if i % 2 else self._find(part))]
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         kept, words = self._kept, self._words(text)
@@ -57,14 +61,14 @@ class PieceEncoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     w = words[i]
-                    ids = kept.get(w) or np.asarray(self._bpe.encode_ordinary(w), "<u4").tobytes()
+                    ids = kept.get(w) or np.asarray(self._tokens.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
                     if len(w) < 64:
                         kept[w] = ids
                     out[i] = ids
         return b"".join(out)
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = 1024, quantum: int = 64, ranks_path: str | None = None, end_id: int = 0) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, capacity: int = 1024, quantum: int = 64, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
     """doc_id and text to one row a piece: full pieces of `capacity` ids from the start, a multiple of `quantum`, the tail.
 
     Null text counts as empty; every document ends with `end_id`, so an empty one is a single id.
@@ -78,9 +82,9 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, quantum: int = 64, r
         return edges if edges[-1] == n else [*edges, n]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if ranks_path not in _CACHE:
-            _CACHE[ranks_path] = PieceEncoder(ranks_path)
-        encode = _CACHE[ranks_path]
+        if tokenizer_path not in _CACHE:
+            _CACHE[tokenizer_path] = PieceEncoder(tokenizer_path)
+        encode = _CACHE[tokenizer_path]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -248,14 +252,14 @@ def intervals(patterns: list[tuple[Counter, int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, capacity: int = 1024, quantum: int = 64, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, quantum: int = 64, tokenizer_path: str | None = None) -> DataFrame:
     """Pack every id of every document into sequences of at most `capacity` ids.
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null texts are empty; a document
     without text is one piece of one id. Repeated rows are packed each on their own (their ranks are tied: any order of them
     is a right result). An empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    pieces = stored(tokenized_pieces(docs, capacity, quantum, ranks_path), "pieces")
+    pieces = stored(tokenized_pieces(docs, capacity, quantum, tokenizer_path), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     spark = docs.sparkSession
     places = spark.createDataFrame(intervals(plan(histogram, capacity)), "length long, low long, high long, copies long, first_sequence long, first_offset long")
