@@ -29,6 +29,22 @@ def test_search_edges(spark):
     assert topk_search.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_scores_few_exactly(spark, sf_dir):
+    """Phase 3 sees less than a tenth of all pairs at the cutoff that phase 1 gives."""
+    rows = table(spark, sf_dir, "embeddings").collect()
+    v = np.floor(1024 * np.array([r.embedding for r in rows], "float64"))
+    q = v[[r.vec_id % 100 == 0 for r in rows]]
+    score = np.sort(q @ v.T, axis=1)
+    reach = topk_search.reached(q, v, score[:, -11], 2)
+    assert (reach.sum(axis=1) >= 11).all() and reach.mean() < 0.1
+
+
+def test_search_repeated_and_huge(spark):
+    rows = [(0, [1.0], 1), (1, [3e38], 1), (2, [-3e38], 1), (3, [0.5], 1), (3, [0.25], 1), (3, [0.5], 1)]
+    got = sorted(map(tuple, topk_search.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0).collect()))
+    assert [r[2] for r in got] == [1, 3, 2] and [r[3] for r in got] == [2**63 - 1, 1024 * 256, -(2**63)]
+
+
 def planted(n=300, copies=12, seed=3):
     """Random unit vectors, each with noisy copies around cosine 0.98, some exact."""
     rng = np.random.default_rng(seed)
