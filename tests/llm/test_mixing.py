@@ -33,6 +33,20 @@ def test_edges(spark):
     got = mixing.mix(docs).collect()
     assert sum(r["take"] for r in got) == (3 + 3 + 60_000 + 2) * 3 // 4
     out = mixing.mixture(docs, (1, 1), 1)
-    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {3, 4}
+    assert out.columns == docs.columns and sorted((r.doc_id or 0, r.text[:3]) for r in out.collect()) == [(0, "q r"), (3, "a b"), (3, "a b"), (4, "w w")]
     assert mixing.mix(docs.limit(0)).count() == 0
     assert docs.filter("doc_id = 3").select(mixing.prefix_of(F.col("text"), F.lit(2)).alias("p")).first().p == "a b"
+
+
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    """What comes out holds the tokens that mix() takes, row by row, whatever ids and columns are called."""
+    rows = [(1, f"t{i} " * (i + 1), "en", "src1", None, {"k": i}) for i in range(20)] + [(None, "n " * 30, "en", "src1", 5, {}), (None, "m " * 30, "en", "src1", 5, {}), (7, "r r r", "en", "src1", 1, {}), (7, "r r r", "en", "src1", 1, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `_take.x` int, mark map<string,int>")
+    total = sum(len(r[1].split()) for r in rows)
+    for share, epochs in (((3, 4), 1), ((1, 1), 1), ((3, 2), 2)):
+        out = mixing.mixture(docs, share, epochs)
+        got = [r.text.split() for r in out.collect()]
+        assert out.columns == docs.columns and sum(map(len, got)) == total * share[0] // share[1]
+        assert sum(len(set(g)) != 1 for g in got) == 0
+        if share == (1, 1):
+            assert sorted(map(len, got)) == sorted(len(r[1].split()) for r in rows)

@@ -22,7 +22,7 @@ def test_lm_base_and_better_model(spark, sf_dir):
     tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOWER)), None] for r in docs.collect()}
     counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
     n, v = sum(counts.values()), len(counts)
-    rows = lm_score.score(docs, is_held(), heads_most=3000, arcs_most=1000).collect()
+    rows = lm_score.score(docs, is_held()).collect()
     for r in rows:
         ws = tokens[r.doc_id]
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
@@ -95,6 +95,8 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     rows = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     assert len(rows) == 5 and rows[3].predicted == 1 and rows[4].predicted == 0 and rows[1].score == rows[2].score == 0.0
+    clash = docs.withColumns({"_features": F.lit(1), "_raw": F.lit("x"), "row": F.lit(2), "a.b": F.lit(3)})
+    assert toxicity.without_toxic(clash, labels).columns == clash.columns and toxicity.without_toxic(clash, labels).count() == 4
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 4
     assert toxicity.score(docs.limit(0), labels).count() == 0

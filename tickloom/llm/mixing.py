@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stored
+from pyspark.sql.types import MapType
+
+from tickloom.llm.common import small, stored
 
 LEVELS = ("domain", "lang", "source")
 #: Characters of the seeded hash that name a bucket of a leaf; only the bucket at the cut is sorted.
@@ -74,7 +76,7 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], total: Column, max_ep
 
 
 def select(keyed: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
-    """Rows doc_id, domain, lang, source, n_tokens and leaf budgets to taken rows with epoch and take.
+    """Rows doc_id, domain, lang, source, n_tokens (and columns to carry) and leaf budgets to taken rows with epoch and take.
 
     Whole epochs repeat every row. In the cut epoch, buckets of the seeded hash below the cut are taken whole, the bucket at
     the cut is ordered and its rows take what is left, and later ones drop out: a hot leaf is never sorted whole.
@@ -88,10 +90,11 @@ def select(keyed: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     sums = sums.withColumn("_below", below).filter("_below < part").select(*LEVELS, "_b", "_below", (F.col("_below") + F.col("s") <= F.col("part")).alias("_whole"))
     last = last.join(sums, [*LEVELS, "_b"])
     inside = last.filter("_whole").withColumn("take", F.col("n_tokens"))
-    order = Window.partitionBy(*LEVELS, "_b").orderBy("_h", "doc_id", "n_tokens").rowsBetween(_ALL, -1)
+    carried = [c for c in keyed.columns if c not in ("doc_id", *LEVELS, "n_tokens")]
+    order = Window.partitionBy(*LEVELS, "_b").orderBy("_h", "doc_id", "n_tokens", *carried).rowsBetween(_ALL, -1)
     at_cut = last.filter("NOT _whole").withColumn("_at", F.col("_below") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     at_cut = at_cut.withColumn("take", F.least(F.col("n_tokens"), F.col("part") - F.col("_at"))).filter("take > 0")
-    out = ["doc_id", *LEVELS, "n_tokens", "epoch", "take"]
+    out = ["doc_id", *LEVELS, "n_tokens", *carried, "epoch", "take"]
     return full.select(*out).unionByName(inside.select(*out)).unionByName(at_cut.select(*out))
 
 
@@ -124,8 +127,16 @@ def mix(docs: DataFrame, target_share: tuple[int, int] = (3, 4), max_epochs: int
     meet its budget in `max_epochs` epochs passes the rest to its siblings, then upwards. An empty table gives no rows.
     Columns other than doc_id, text, lang and source are not read.
     """
+    return _mixed(_keyed(docs), target_share, max_epochs, seed)
+
+
+def _keyed(docs: DataFrame, *carried: Column) -> DataFrame:
     source = F.coalesce("source", F.lit("-"))
-    keyed = stored(docs.select("doc_id", default_domain(source).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens")), "tokens")
+    keys = ["doc_id", default_domain(source).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens")]
+    return stored(docs.select(*keys, *carried), "tokens")
+
+
+def _mixed(keyed: DataFrame, target_share: tuple[int, int], max_epochs: int, seed: int) -> DataFrame:
     leaves = keyed.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
     total = F.expr(f"sum(tokens) * {target_share[0]} DIV {target_share[1]}")
     return select(keyed, stored(budgets(leaves, default_weights(), total, max_epochs), "budgets"), seed)
@@ -140,14 +151,26 @@ def prefix_of(text: Column, take: Column) -> Column:
 def mixture(docs: DataFrame, target_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 10) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: a row an epoch, texts cut to their taken prefix.
 
-    n_chars, where there is one, is that of the cut text. Rows without doc_id are not taken; rows repeated under one doc_id
-    share their largest take.
+    n_chars, where there is one, is that of the cut text. Rows are taken one by one, also those without doc_id and those that
+    share one: a row is known by a hash of all its columns (but maps), and equal rows stand for each other. Null and empty texts
+    hold no tokens and are not taken; an empty table stays empty; columns may have any names.
     """
-    takes = mix(docs.filter("doc_id IS NOT NULL"), target_share, max_epochs, seed).groupBy("doc_id", "epoch").agg(F.max("take").alias("_take"), F.max("n_tokens").alias("_all"))
-    out = docs.join(takes.drop("epoch"), "doc_id").withColumn("text", F.when(F.col("_take") < F.col("_all"), prefix_of(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    mark = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns[::-1]).alias("b"))
+    keyed = _keyed(docs, mark.alias("mark"))
+    takes = _mixed(keyed, target_share, max_epochs, seed).groupBy("mark", "n_tokens", "epoch", "take").agg(F.count("*").alias("times"))
+    rows = docs.select(mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    equal = stored(keyed.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "equal")
+    if n := equal.count():
+        one = rows.join(small(equal, n), "mark", "left_semi").groupBy("mark").agg(F.first("row").alias("row"))
+        rows = rows.join(small(equal, n), "mark", "left_anti").unionByName(one)
+    rows = rows.join(takes, "mark").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    cut = F.col("take") < F.col("n_tokens")
+    text = F.when(cut, prefix_of(F.col("row.text"), F.col("take"))).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_take") < F.col("_all"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(cut, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def sql(target_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 10) -> str:

@@ -80,7 +80,7 @@ _SECOND = frozenset(SECOND_PERSON)
 
 
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """docs with the array column _features."""
+    """docs, which have a column text, with the array column _features."""
     kept: dict[str, Weights] = {}
 
     @F.pandas_udf("array<double>")
@@ -128,17 +128,17 @@ class Model:
     calibration: object | None
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with the column _score."""
-        rows = features(docs, self.lexicon)
+        """(row, score): each row of docs as one struct, so that no name of its columns matters here."""
+        rows = features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), self.lexicon).drop("text")
         if self.trees is None:  # too few labels of one kind to learn from: the lexicon alone
-            return rows.withColumn("_score", F.least(F.lit(1.0), F.expm1(F.col("_features")[2]) * 0.3)).drop("_features")
+            return rows.select("row", F.least(F.lit(1.0), F.expm1(F.col("_features")[2]) * 0.3).alias("score"))
         out = self.trees.transform(rows.withColumn("_vector", array_to_vector("_features")))
         out = out.withColumn("_margin", vector_to_array("_raw")[1])
         level = fine = 1 / (1 + F.exp(-2 * F.col("_margin")))
         if self.calibration is not None:
             out = self.calibration.transform(out)
             level = 0.999 * F.col("_level") + 0.001 * fine  # keeps the trees' order where the isotonic steps are flat
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.least(F.lit(1.0), F.greatest(F.lit(0.0), level)).alias("_score"))
+        return out.select("row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), level)).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 30_000) -> Model:
@@ -177,10 +177,15 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 3
     Columns other than doc_id, text and toxic are not read.
     """
     scored = fit(docs, labels, folds, most_rows).score(docs.select("doc_id", "text"))
-    held = F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= at).cast("int").alias("predicted"))
+    doc_id = F.col("row.doc_id")
+    held = F.coalesce(remainder(doc_id, folds) == 0, F.lit(True))
+    return scored.select(doc_id.alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 30_000, at: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `at`; same columns."""
-    return fit(docs, labels, folds, most_rows).score(docs).filter(F.col("_score") < at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that score below `at`; same columns, whatever their names.
+
+    Null and empty texts score like any text without a sign of toxicity; rows without doc_id are judged and never learned from;
+    repeated rows go or stay together; texts are read whole; an empty table stays empty.
+    """
+    return fit(docs, labels, folds, most_rows).score(docs).filter(F.col("score") < at).select("row.*")
