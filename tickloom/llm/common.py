@@ -2,42 +2,97 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side (rows of one or two numbers) that is sent to every executor; larger sides are shuffled instead.
 BROADCAST_ROWS = 500_000
+#: Spark's own setting that removes shuffle files when the query that wrote them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOLDERS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tickloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset: a temporary folder in local mode, which has one machine, else a folder of the warehouse, which is shared.
+    """
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        one_machine = context.master == "local" or context.master.startswith("local[")
+        _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tickloom-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/tickloom-scratch"
+    return _FOLDERS[context.applicationId]
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system; PySpark has no public call for either."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, and survives lost executors.
 
-    The files go when the session's file system closes.
+    Shuffle files behind it go at once; the files themselves with discard(), or else when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()  # Spark's cleaner then deletes the shuffle files behind what is written now
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more: what was made from them has to be stored itself by now."""
+    for df in tables:
+        at, files = _file_system(df.sparkSession, _PATHS.pop(df))
+        files.delete(at, True)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come sorted by `key`, in pieces that hold whole groups, with the edges of the groups in each."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        keys = rest[key].to_numpy()
+        end = len(keys) if not len(keys) else int(np.searchsorted(keys, keys[-1]))
+        if end:
+            yield rest.iloc[:end], _edges(keys[:end])
+            rest = rest.iloc[end:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, _edges(rest[key].to_numpy())
+
+
+def _edges(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +125,7 @@ def lower_ascii(text: Column) -> Column:
 
 _U = np.uint64
 _CHUNK = 1 << 19
+_LONG = 1 << 12
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -101,23 +157,31 @@ _CACHE: dict = {}
 
 
 def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word in raw; at most _CHUNK bytes."""
-    up, down, byte = _powers()
+    """Hash, first byte and end byte of each word in raw; at most _CHUNK bytes, or one word of any length."""
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.zeros(0, _U), start, end
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[_U(0)], np.cumsum(byte[_LOWER[raw]] * up[: len(raw)], dtype=_U)])
-        value = (total[end] - total[start]) * down[start]
-        return mix64(value + (end - start).astype(_U) * _U(0xA24BAED4963EE407)), start, end
+    size = end - start
+    long = np.flatnonzero(size > _LONG)
+    if len(raw) > _CHUNK:  # one long word
+        value = np.zeros(len(start), _U)
+    else:
+        up, down, byte = _powers()
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[_U(0)], np.cumsum(byte[_LOWER[raw]] * up[: len(raw)], dtype=_U)])
+            value = mix64((total[end] - total[start]) * down[start] + size.astype(_U) * _U(0xA24BAED4963EE407))
+    for i in long:
+        value[i] = xxhash.xxh3_64_intdigest(_LOWER[raw[start[i] : end[i]]].tobytes())
+    return value, start, end
 
 
 def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, first bytes and end bytes of the words [^ \\t-\\r]+ of UTF-8 bytes with A-Z in lower case.
 
-    Long inputs are taken in pieces cut at white space; a single word longer than a piece is hashed by its bytes.
+    Inputs are taken in pieces cut at white space. A word's hash depends on its bytes alone: words of more than _LONG bytes go
+    to another hash, wherever they stand.
     """
     if len(raw) <= _CHUNK:
         return _hash_chunk(raw)
@@ -129,20 +193,50 @@ def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if len(gaps):
                 stop = at + int(gaps[-1]) + 1
             else:  # one word fills the piece
-                import xxhash
-
                 after = np.flatnonzero(_SPACE[raw[stop:]])
                 stop = stop + int(after[0]) if len(after) else len(raw)
-                value = xxhash.xxh3_64_intdigest(_LOWER[raw[at:stop]].tobytes())
-                parts.append((np.array([value], _U), np.array([at]), np.array([stop])))
-                at = stop
-                continue
         h, s, e = _hash_chunk(raw[at:stop])
         parts.append((h, s + at, e + at))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+@dataclass
+class Words:
+    """The words of several texts in a row: hash, first and end byte of each in `raw`, and each text's first word and byte."""
+
+    raw: np.ndarray
+    hash: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+
+    def places(self, run: int) -> np.ndarray:
+        """Words from which `run` words of one text stand."""
+        n = max(0, len(self.hash) - run + 1)
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return np.flatnonzero(text[:n] == text[run - 1 :]) if n else np.zeros(0, np.int64)
+
+
+def words_of(texts: list[str | None]) -> Words:
+    raws = [utf8(t) for t in texts]
+    gap = np.array([32], np.uint8)
+    raw = np.concatenate([x for r in raws for x in (r, gap)]) if raws else gap[:0]
+    at = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    value, start, end = hash_words(raw)
+    return Words(raw, value, start, end, np.searchsorted(start, at), at)
+
+
+def pieces_of(batches: Iterator[pd.DataFrame], size: int, column: str = "text") -> Iterator[pd.DataFrame]:
+    """The rows again, in pieces of about `size` characters of text or one longer text."""
+    for batch in batches:
+        n = batch[column].map(lambda t: len(t) if t else 0).to_numpy("int64")
+        piece = (np.cumsum(n) - n) // size
+        for a, b in pairwise(_edges(piece)) if len(piece) else ():
+            yield batch.iloc[a:b]
+
+
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Hash of each run of k word hashes; with fewer words one hash of the whole sequence, without words none."""
     if not len(words):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stored
+from tickloom.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = stored(small.distinct(), "edges")
+        then, now = now, stored(small.distinct(), "edges")
+        discard(then)
         before, state = state, _state(now)
         if state == before:
             break
