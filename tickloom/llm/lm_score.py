@@ -2,9 +2,11 @@
 
 Every training word, begin and end of a text is counted over all training documents. Pairs and triples that occur twice or more
 are arcs, at every corpus size. A missing arc follows the failure arc to the shorter history, at the history's backoff weight;
-the last history has every word. The automaton is never held in one place: texts are cut into chunks, each chunk asks the
-shards of the key space for the counts of its distinct words, pairs and triples, then for the backoff weights of the histories
-among them, and passes through its texts with these from left to right. Of the chunks that hold an arc, one adds it to its history.
+the last history has every word. The automaton is never held in one place: texts are cut into chunks, and each chunk asks the
+shards of the key space. First it sends a few bits of each distinct pair and triple, which rules out most that occur once; then
+the whole keys of words and of what is left, for their counts; then the histories among them, for their backoff weights. With
+these it passes through its texts from left to right: the state at a place is the longest history there that has arcs. Of the
+chunks that hold an arc, one adds it to its history.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import shards
-from tickloom.llm.common import hash_words, mix64, real_id, safe_id, stored, utf8
+from tickloom.llm.common import discard, hash_words, mix64, real_id, safe_id, stored, utf8
 
 #: Occurrences that make a pair or triple an arc, at every size.
 LEAST = 2
 #: Taken off each arc's count and given to the failure arc.
 DISCOUNT = 0.5
+#: Bits of a key, after those that name its shard, that tell apart what occurs once: of two million keys of a shard, one in
+#: sixty shares them with another by chance, and is then asked for whole as well.
+SHORT = 27
 #: Bytes of text that close a chunk.
 CHUNK_BYTES = 4_000_000
 _BEGIN, _END = np.uint64(0x5BE6137A0C4D92F1), np.uint64(0xE4D1A2B39C587F06)
@@ -65,13 +70,17 @@ def _chunks(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "ids binary, held binary, starts binary, words binary, codes binary, places long, train long, n_docs long").withColumn("chunk", F.monotonically_increasing_id())
 
 
+_REQUEST = ["n", "shard", "chunk", "keys", "numbers"]
 _COLUMNS = ["ids", "held", "starts", "words", "codes", "places", "train", "n_docs"]
 
 
 class _Stream:
-    """A chunk's places, its distinct words (1), pairs (2) and triples (3), and where each place's gram is among them."""
+    """A chunk's places, its distinct words (1), pairs (2) and triples (3), and where each place's gram is among them.
 
-    def __init__(self, row):
+    `sieve` holds the answers to the short keys, if they are there: pairs and triples that occur once are then left out (-1).
+    """
+
+    def __init__(self, row, sieve=None):
         self.ids, self.held, self.starts = np.frombuffer(row.ids, "int64"), np.frombuffer(row.held, bool), np.frombuffer(row.starts, "int64")
         words = shards.unpacked(row.words)
         one = shards.unplanes(row.codes, "uint16" if len(words) <= 1 << 16 else "uint32").astype("int64")
@@ -79,15 +88,19 @@ class _Stream:
         flat = words[one]
         self.begin = np.zeros(self.n, bool)
         self.begin[self.starts] = True
-        self.keys, self.at, self.first = {1: words}, {1: one}, {}
-        gram, fine = flat, np.ones(self.n, bool)
+        self.keys, self.at, self.first, self.whole = {1: words}, {1: one}, {}, {}
+        gram, whole = flat, np.ones(self.n, bool)
         for k in (2, 3):
-            fine = ~self.begin & np.concatenate([[False], fine[:-1]])
+            whole = ~self.begin & np.concatenate([[False], whole[:-1]])
             with np.errstate(over="ignore"):
                 gram = mix64(np.concatenate([gram[:1], gram[:-1]]) * _FACTOR[k] + flat)
-            places = np.flatnonzero(fine)
-            self.keys[k], first, inverse = np.unique(gram[places], return_index=True, return_inverse=True)
-            self.first[k] = places[first]
+            places = np.flatnonzero(whole)
+            keys, first, inverse = np.unique(gram[places], return_index=True, return_inverse=True)
+            if sieve is not None:
+                kept = shards.numbers_of(sieve, k, 0, "uint8").astype(bool)
+                inverse = np.where(kept, np.cumsum(kept) - 1, -1)[inverse] if len(keys) else inverse
+                keys, first = keys[kept], first[kept]
+            self.keys[k], self.first[k], self.whole[k] = keys, places[first], whole
             self.at[k] = np.full(self.n, -1)
             self.at[k][places] = inverse
 
@@ -97,12 +110,18 @@ class _Stream:
         return np.bincount(self.at[k][train], minlength=len(self.keys[k])).astype("uint64")
 
 
-def _total(k: int, keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[list[np.ndarray], int]:
-    """Twice the whole count of each key, and one more at one of its places; pairs and triples below `least` have 0."""
+def _repeats(_k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """1 for each short key that occurs twice or more, or that shares its bits with others that do."""
+    _, inverse = np.unique(keys, return_inverse=True)
+    return [(np.bincount(inverse, counts) >= LEAST).astype("uint8")[inverse]], 0
+
+
+def _total(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Twice the whole count of each key, and one more at one of its places; pairs and triples that occur once have 0."""
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     total = np.bincount(inverse, counts).astype("uint64")
     if k > 1:
-        total[total < least] = 0
+        total[total < LEAST] = 0
     out = total[inverse] * np.uint64(2)
     out[first] += (total > 0).astype("uint64")
     return [out], int((total > 0).sum()) if k == 1 else 0
@@ -135,63 +154,75 @@ class _Arcs:
             self.p[k] = np.where(self.count[k] > 0, self.count[k] - DISCOUNT, 0) / np.maximum(self.count[k - 1][self.history[k]], 1)
 
 
-def score(docs: DataFrame, held_out: Column, heads_most: int | None = None, arcs_most: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with `held_out` true are scored but not learned from. Null and empty texts are one token, the end. Repeated rows
     give a row each and count each. An empty table gives no rows; without training documents every word is unseen. Columns
-    other than doc_id and text are not read. Callers may ask for at most `arcs_most` pairs and triples; by default none that
-    occurs LEAST times is left out. `heads_most` has no effect: every word is counted.
+    other than doc_id and text are not read. Texts of any length are taken whole; a long one is a chunk of its own.
     """
     rows = docs.select(safe_id(), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     chunks = stored(_chunks(rows), "chunks")
     sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("places", "train", "n_docs")]).first()
-    tokens, least = sizes["train"], max(LEAST, -(-sizes["train"] // arcs_most) if arcs_most else 0)
+    tokens = sizes["train"]
     bits = shards.shard_bits(sizes["places"])
+    short = bits + SHORT
 
-    def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 s = _Stream(row)
+                out = [r for k in (2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k] >> np.uint64(64 - short), np.minimum(s.counts(k), LEAST).astype("uint8"), width=short)]
+                yield pd.DataFrame(out, columns=_REQUEST)
+
+    asked = chunks.mapInPandas(ask_repeats, shards.REQUEST)
+    sieve = stored(shards.by_chunk(shards.answered(asked, ["uint8"], _repeats), "sieve"), "sieve")
+    sieved = chunks.join(sieve, "chunk", "left")
+
+    def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                s = _Stream(row, row.sieve)
                 out = [r for k in (1, 2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k], s.counts(k))]
-                yield pd.DataFrame(out, columns=["n", "shard", "chunk", "keys", "numbers"])
+                yield pd.DataFrame(out, columns=_REQUEST)
 
-    totals = stored(shards.answered(chunks.mapInPandas(ask_counts, shards.REQUEST), ["uint64"], lambda k, keys, n: _total(k, keys, n, least)), "totals")
+    totals = stored(shards.answered(sieved.mapInPandas(ask_counts, shards.REQUEST), ["uint64"], _total), "totals")
     distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] - (sizes["n_docs"] > 0)  # begin is no word
     scale = tokens + distinct + 1
-    counted = stored(chunks.join(shards.by_chunk(totals, "counts"), "chunk"), "counted")
+    counted = sieved.join(shards.by_chunk(totals, "counts"), "chunk")
 
     def ask_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                s = _Stream(row)
+                s = _Stream(row, row.sieve)
                 arcs, out = _Arcs(s, row.counts, scale), []
                 for k in (2, 3):
                     own = arcs.owned[k] & (arcs.count[k] > 0)
                     lower = arcs.p[k - 1][s.at[k - 1][s.first[k]]]
                     n = len(s.keys[k - 1])
                     p, low = (np.bincount(arcs.history[k][own], x[own], n) for x in (arcs.p[k], lower))
-                    asked = arcs.count[k - 1] >= least
+                    asked = arcs.count[k - 1] >= LEAST
                     out += shards.requests(k - 1, row.chunk, bits, s.keys[k - 1][asked], p[asked], low[asked])
-                yield pd.DataFrame(out, columns=["n", "shard", "chunk", "keys", "numbers"])
+                yield pd.DataFrame(out, columns=_REQUEST)
 
     weights = shards.answered(counted.mapInPandas(ask_weights, shards.REQUEST), ["float64", "float64"], _weight)
+    weights = stored(shards.by_chunk(weights, "weights"), "weights")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                s = _Stream(row)
+                s = _Stream(row, row.sieve)
                 arcs = _Arcs(s, row.counts, scale)
                 one = np.where(s.begin, 0.0, np.log10(arcs.p[1])[s.at[1]])
                 weight = one
                 for k in (2, 3):
                     back = np.zeros(len(s.keys[k - 1]) + 1)  # 0 for histories without arcs, and at the end for no history
-                    asked = np.flatnonzero(arcs.count[k - 1] >= least)
+                    asked = np.flatnonzero(arcs.count[k - 1] >= LEAST)
                     back[asked] = shards.numbers_of(row.weights, k - 1, 0, "float32")
                     p = np.append(arcs.p[k], 0.0)[s.at[k]]
                     history = np.concatenate([[-1], s.at[k - 1][:-1]])
                     with np.errstate(divide="ignore"):
-                        weight = np.where(p > 0, np.log10(p), np.where(s.at[k] >= 0, back[history], 0.0) + weight)
+                        weight = np.where(p > 0, np.log10(p), np.where(s.whole[k], back[history], 0.0) + weight)
                 known = (arcs.count[1] > 0)[s.at[1]] & ~s.begin
                 yield pd.DataFrame({
                     "doc_id": s.ids, "held_out": s.held, "n_tokens": np.diff(np.append(s.starts, s.n)) - 1, "n_known": np.add.reduceat(known.astype("int64"), s.starts),
@@ -199,5 +230,6 @@ def score(docs: DataFrame, held_out: Column, heads_most: int | None = None, arcs
                 })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = counted.join(shards.by_chunk(weights, "weights"), "chunk", "left").mapInPandas(run, schema)
+    out = stored(counted.join(weights, "chunk", "left").mapInPandas(run, schema), "scores")
+    discard(chunks, sieve, totals, weights)
     return out.select(real_id(), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

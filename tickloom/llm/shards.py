@@ -45,9 +45,9 @@ def shard_bits(keys: int) -> int:
     return max(0, (-(-keys // SHARD_KEYS) - 1).bit_length())
 
 
-def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray) -> Iterator[tuple]:
-    """Rows (n, shard, chunk, keys, numbers) of sorted keys, one a shard that has any."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray, width: int = 64) -> Iterator[tuple]:
+    """Rows (n, shard, chunk, keys, numbers) of sorted keys of so many bits, one a shard that has any."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)) if bits else []
     edges = [0, *cuts, len(keys)]
     for shard, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
