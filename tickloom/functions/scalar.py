@@ -71,6 +71,16 @@ def decimal_places(x: Column) -> Column:
     return F.length(F.regexp_extract(F.regexp_replace(x.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.([0-9]+)$", 1))
 
 
+def format_price(x: Column, places: Column | int) -> Column:
+    """A price with so many places (0 to 12), a dash where there is none; halves away from zero, no negative zero."""
+    places = F.lit(places) if isinstance(places, int) else places
+    cut = F.least(F.lit(12), F.greatest(F.lit(0), places)).cast("int")
+    forms = F.when(F.lit(False), F.lit(""))
+    for n in range(13):
+        forms = forms.when(cut == n, F.round(x.cast("decimal(38,12)"), n).cast(f"decimal(38,{n})").cast("string"))
+    return F.coalesce(forms, F.lit("\u2014"))
+
+
 def is_sha256_hex(s: Column) -> Column:
     return F.coalesce(s.rlike("^[0-9a-f]{64}$"), F.lit(False))
 

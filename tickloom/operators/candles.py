@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalar import TIMEFRAMES, ceil_time, floor_time
+from tickloom.functions.scalar import TIMEFRAMES, ceil_time, decimal_places, floor_time
 
 
 def candles_1m(quotes: DataFrame, seconds: int = 60) -> DataFrame:
@@ -42,14 +42,18 @@ def rollup_candles(minutes: DataFrame, timeframe: str, start: Column | None = No
     return out
 
 
-def hybrid_overlay(archive: DataFrame, hot: DataFrame, now: Column, retention_seconds: int, timeframe: str) -> DataFrame:
-    """Archive candles with hot ones over them: hot wins from the first whole hot bucket on, or where the archive has none."""
+def hybrid_overlay(archive: DataFrame, hot: DataFrame, now: Column, retention_seconds: int, timeframe: str, limit: int | None = None) -> DataFrame:
+    """Archive candles with hot ones over them: hot wins from the first whole hot bucket on, or where the archive has none.
+
+    With `limit`, the newest so many buckets of each symbol.
+    """
     since = ceil_time(now - F.make_dt_interval(secs=F.lit(retention_seconds)), TIMEFRAMES[timeframe])
     values = [c for c in archive.columns if c not in ("symbol", "open_time")]
     a = archive.select("symbol", "open_time", F.struct(*values).alias("a"))
     h = hot.select("symbol", "open_time", F.struct(*values).alias("h"))
     best = F.when(F.col("h").isNotNull() & ((F.col("open_time") >= since) | F.col("a").isNull()), F.col("h")).otherwise(F.coalesce("a", "h"))
-    return a.join(h, ["symbol", "open_time"], "full_outer").select("symbol", "open_time", best.alias("v")).select("symbol", "open_time", "v.*")
+    out = a.join(h, ["symbol", "open_time"], "full_outer").select("symbol", "open_time", best.alias("v")).select("symbol", "open_time", "v.*")
+    return out if limit is None else last_n(out, limit)
 
 
 def stitch_history_live(history: DataFrame, live: DataFrame) -> DataFrame:
@@ -66,14 +70,49 @@ def last_n(candles: DataFrame, n: int) -> DataFrame:
 
 
 def series_envelope(candles: DataFrame, limit: int) -> DataFrame:
-    """One nested row a symbol: requested_limit, returned_count, period and the ordered closes."""
+    """One nested row a symbol: requested_limit, returned_count, period, the candles in order and warnings; at most `limit` candles."""
+    values = [c for c in candles.columns if c not in ("symbol", "open_time")]
     kept = last_n(candles, limit)
     return kept.groupBy("symbol").agg(
         F.lit(limit).alias("requested_limit"), F.count("*").alias("returned_count"), F.min("open_time").alias("period_start"), F.max("open_time").alias("period_end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_time", "close"))), lambda c: c["close"].cast("string")), ",").alias("closes"),
+        F.array_sort(F.collect_list(F.struct("open_time", *values))).alias("candles"), F.array_compact(F.array(F.when(F.count("*") < limit, "fewer_candles_than_requested"))).alias("warnings"),
     )
 
 
+def validate_envelope(series: DataFrame) -> DataFrame:
+    """Adds errors of a nested series: count is not its size, times not ascending, outside the period, prices not positive."""
+    c = F.col("candles")
+    ascending = F.forall(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i - 1)["open_time"] < F.get(c, i)["open_time"])
+    checks = {
+        "count": F.col("returned_count") == F.size(c), "order": (F.size(c) < 2) | ascending,
+        "period": F.forall(c, lambda x: x["open_time"].between(F.col("period_start"), F.col("period_end"))), "prices": F.forall(c, lambda x: x["low"] > 0),
+    }
+    return series.withColumn("errors", F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+
+
+def chart_activity(source: Column, updates: Column, volume: Column) -> tuple[Column, Column]:
+    """What a chart shows as activity: its source (updates, mixed or volume) and value."""
+    name = F.when(source.isin("updates", "mixed"), source).otherwise("volume")
+    return name, F.when(source == "updates", updates).otherwise(volume)
+
+
+def activity_label(points: DataFrame, keys: list[str], source: str = "source") -> DataFrame:
+    """Label of each key's points: Updates or Volume if they have one source, else Activity."""
+    one = F.min(source) == F.max(source)
+    return points.groupBy(*keys).agg(F.when(~one, "Activity").when(F.min(source) == "updates", "Updates").otherwise("Volume").alias("label"))
+
+
+def price_precision(quotes: DataFrame, ticks: DataFrame | None = None, fallback: int = 2, most: int = 8) -> DataFrame:
+    """Places and least move of each symbol: by its tick size if `ticks` (symbol, tick_size) has one, else by its positive prices."""
+    seen = quotes.groupBy("symbol").agg(F.max(F.when(F.col("price") > 0, decimal_places(F.col("price")))).alias("_seen"))
+    by_price = F.least(F.lit(most), F.greatest(F.lit(fallback), F.coalesce("_seen", F.lit(0))))
+    if ticks is None:
+        return seen.select("symbol", by_price.alias("places"), F.pow(F.lit(10.0), -by_price).alias("min_move"))
+    tick = F.when(F.col("tick_size") > 0, F.col("tick_size"))
+    out = seen.join(ticks, "symbol", "left")
+    return out.select("symbol", F.when(tick.isNotNull(), F.least(F.lit(most), decimal_places(tick))).otherwise(by_price).alias("places"), F.coalesce(tick.cast("double"), F.pow(F.lit(10.0), -by_price)).alias("min_move"))
+
+
 def retained(rows: DataFrame, now: Column, seconds: int, bucket_seconds: int = 60) -> DataFrame:
     """Buckets whose end plus the retention lies after `now`."""
     return rows.filter(F.col("open_time") + F.expr(f"INTERVAL {bucket_seconds + seconds} SECOND") > now)

@@ -29,6 +29,37 @@ def divisor(rate: Column, provider_rate: int = 10) -> Column:
     return F.greatest(F.lit(1), F.bround(F.lit(float(provider_rate)) / rate)).cast("long")
 
 
+def decimated(rows: DataFrame, keys: list[str], order: list[str], provider_rate: int = 10) -> DataFrame:
+    """A row for each quote and tier that gets it: of a key's quotes, tier t gets those whose number (from 0) its divisor divides."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(max(1, round(provider_rate / v[2]))).alias("divisor")) for t, v in TIERS.items()])
+    return rows.withColumn("n", n).select("*", F.inline(tiers)).filter("n % divisor = 0").drop("divisor")
+
+
+def savings(before: Column, after: Column) -> Column:
+    """Percent saved; 0 where there was nothing before."""
+    return F.when(before == 0, 0.0).otherwise((1 - after / before) * 100)
+
+
+def symbol_limits(subs: DataFrame, client: str, limit: Column | str = "max_symbols") -> DataFrame:
+    """Distinct symbols of each client and whether they exceed the limit of its tier (or the column given)."""
+    rows = with_policy(subs) if limit == "max_symbols" else subs
+    out = rows.groupBy(client).agg(F.countDistinct("symbol").alias("symbols"), F.max(limit).alias("allowed"))
+    return out.withColumn("violation", F.col("symbols") > F.col("allowed"))
+
+
+def desired_symbols(subs: DataFrame, client: str, acked: DataFrame, fresh: DataFrame, source_live: Column | None = None) -> DataFrame:
+    """Consumers of each symbol, their sorted list, and whether it is live: source live, acknowledged and fresh.
+
+    The list of a symbol grows with its subscribers; consumers alone is a plain count.
+    """
+    mark = lambda df, name: df.select("symbol").distinct().withColumn(name, F.lit(True))
+    out = subs.groupBy("symbol").agg(F.countDistinct(client).alias("consumers"), F.array_sort(F.collect_set(client)).alias("clients"))
+    out = out.join(mark(acked, "_acked"), "symbol", "left").join(mark(fresh, "_fresh"), "symbol", "left")
+    live = (F.lit(True) if source_live is None else source_live) & F.coalesce("_acked", F.lit(False)) & F.coalesce("_fresh", F.lit(False))
+    return out.withColumn("live", live).drop("_acked", "_fresh")
+
+
 def fanout_accounting(quotes: DataFrame, subs: DataFrame, payload: int = 256) -> DataFrame:
     """Deliveries by mode without building them: events of a symbol times its subscribers, decimated for each tier."""
     events = quotes.groupBy("symbol").agg(F.count("*").alias("events"))

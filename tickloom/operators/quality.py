@@ -82,6 +82,24 @@ def sequence_anomalies(rows: DataFrame, keys: list[str], order: list[str]) -> Da
     return out.withColumn("gap", F.greatest(F.lit(0), F.col("sequence") - F.col("previous") - 1)).withColumn("out_of_order", F.col("sequence") <= F.col("previous"))
 
 
+def stream_health(anomalies: DataFrame, keys: list[str], at: str, now: Column, valid_seconds: int = 300) -> DataFrame:
+    """The last anomaly of each key and whether it still counts: degraded for so long after it."""
+    out = anomalies.groupBy(*keys).agg(F.max(at).alias("last_anomaly"))
+    return out.withColumn("degraded", (F.col("last_anomaly") > now - F.expr(f"INTERVAL {valid_seconds} SECOND")) & (F.col("last_anomaly") <= now))
+
+
+def duplicate_counts(rows: DataFrame, keys: list[str], event: str = "event_id") -> DataFrame:
+    """Deliveries beyond the first of each event, by key: partial counts by event first."""
+    per = rows.groupBy(*keys, event).agg((F.count("*") - 1).alias("_x"))
+    return per.groupBy(*keys).agg(F.sum("_x").alias("duplicates"))
+
+
+def exhausted(failures: DataFrame, keys: list[str], order: list[str], limit: int = 3, transient: Column | None = None) -> DataFrame:
+    """The failure that is an entry's `limit`-th, which sends it to the dead letters; transient failures do not count."""
+    rows = failures if transient is None else failures.filter(~F.coalesce(transient, F.lit(False)))
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") == limit).drop("_r")
+
+
 def recorder_filter(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds duplicate (sequence not above the running maximum) and gap_size."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

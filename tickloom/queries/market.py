@@ -13,6 +13,8 @@ from tickloom.operators import fanout as fo
 from tickloom.operators import ledger as lg
 from tickloom.operators import metrics as mt
 from tickloom.operators import quality as ql
+from tickloom.operators import selection as se
+from tickloom.operators import wire as wi
 from tickloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,8 +132,7 @@ def _(s, d):
 
 @query("U1_union_layers", _TWO + f" SELECT symbol, open_time, count(*) AS layers FROM (SELECT {_C} FROM a UNION ALL SELECT {_C} FROM h) GROUP BY ALL")
 def _(s, d):
-    a, h = _two(s, d)
-    return a.unionByName(h).groupBy("symbol", "open_time").agg(F.count("*").alias("layers"))
+    return se.union_layers(*_two(s, d)).groupBy("symbol", "open_time").agg(F.count("*").alias("layers"))
 
 
 @query("K1_last_n_candles", f"SELECT {_C} FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 20")
@@ -141,8 +142,8 @@ def _(s, d):
 
 @query("K2_history_window", f"WITH r AS ({_ROLL.format('1 HOUR', 'c1')}) SELECT * FROM r WHERE open_time >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR AND open_time + INTERVAL 1 HOUR <= {NOW}")
 def _(s, d):
-    start = (fn.floor_micros(now(), 3600) - F.expr("INTERVAL 48 HOUR")).cast("timestamp_ntz")
-    return cd.rollup_candles(cd.candles_1m(fx.quotes(s, d).filter(F.col("provider_timestamp") >= start)), "1h", start, now()).select(*CANDLE)
+    start, end = se.history_window(now(), "1h", 48)
+    return cd.rollup_candles(cd.candles_1m(fx.quotes(s, d).filter(F.col("provider_timestamp") >= start)), "1h", start, end).select(*CANDLE)
 
 
 @query("K3_retain_hot", f"SELECT {_C} FROM c1 WHERE open_time + INTERVAL 60 SECOND + INTERVAL 5 DAY > {NOW}")
@@ -152,34 +153,33 @@ def _(s, d):
 
 @query("K4_retain_archive", f"SELECT {_C} FROM c1 WHERE open_time >= {NOW} - INTERVAL 10 DAY")
 def _(s, d):
-    return cd.candles_1m(fx.quotes(s, d)).filter(F.col("open_time") >= now() - F.expr("INTERVAL 10 DAY")).select(*CANDLE)
+    return se.retained_since(cd.candles_1m(fx.quotes(s, d)), "open_time", now(), 10 * 86_400).select(*CANDLE)
 
 
 @query("K5_retain_last_k", "SELECT symbol, event_id FROM quotes QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival DESC, event_id DESC) <= 5")
 def _(s, d):
-    w = Window.partitionBy(*_KEYS).orderBy(F.desc("arrival"), F.desc("event_id"))
-    return fx.quotes(s, d).withColumn("r", F.row_number().over(w)).filter("r <= 5").select("symbol", "event_id")
+    return se.newest(fx.quotes(s, d), _KEYS, ARRIVAL, 5).select("symbol", "event_id")
 
 
 @query("K6_cap_log", "SELECT event_id, arrival FROM quotes ORDER BY arrival DESC, event_id DESC LIMIT 500")
 def _(s, d):
-    return fx.quotes(s, d).orderBy(F.desc("arrival"), F.desc("event_id")).limit(500).select("event_id", "arrival")
+    return se.cap_log(fx.quotes(s, d), ARRIVAL, 500).select("event_id", "arrival")
 
 
 @query("K7_ordered_unique", "SELECT symbol, provider_timestamp, arg_max(price, arrival) AS price FROM deliveries GROUP BY ALL")
 def _(s, d):
-    return fx.deliveries(s, d).groupBy("symbol", "provider_timestamp").agg(F.max_by("price", "arrival").alias("price"))
+    return se.ordered_unique(fx.deliveries(s, d), ["symbol", "provider_timestamp"], ["arrival"], ["price"])
 
 
 @query("K8_first_n_records", "SELECT user_id, event_id FROM quotes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) <= 10")
 def _(s, d):
-    w = Window.partitionBy("user_id").orderBy(*ARRIVAL)
-    return fx.quotes(s, d).withColumn("r", F.row_number().over(w)).filter("r <= 10").select("user_id", "event_id")
+    return se.first_records(fx.quotes(s, d), ["user_id"], ARRIVAL, 10).select("user_id", "event_id")
 
 
-@query("A25_series_envelope", "WITH k AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 10) SELECT symbol, 10 AS requested_limit, count(*) AS returned_count, min(open_time) AS period_start, max(open_time) AS period_end, string_agg(close::VARCHAR, ',' ORDER BY open_time) AS closes FROM k GROUP BY symbol")
+@query("A25_series_envelope", "WITH k AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 10) SELECT symbol, 10 AS requested_limit, count(*) AS returned_count, min(open_time) AS period_start, max(open_time) AS period_end, string_agg(close::VARCHAR, ',' ORDER BY open_time) AS closes, CASE WHEN count(*) < 10 THEN 'fewer_candles_than_requested' ELSE '' END AS warnings FROM k GROUP BY symbol")
 def _(s, d):
-    return cd.series_envelope(cd.candles_1m(fx.quotes(s, d)), 10)
+    out = cd.series_envelope(cd.candles_1m(fx.quotes(s, d)), 10)
+    return out.select("symbol", "requested_limit", "returned_count", "period_start", "period_end", F.array_join(F.transform("candles", lambda c: c["close"].cast("string")), ",").alias("closes"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("P12_validate_candle_series", "SELECT symbol, open_time, CASE WHEN low <= 0 THEN 'prices' ELSE '' END AS errors FROM c1")
@@ -190,19 +190,18 @@ def _(s, d):
 @query("P14_chart_candles", "WITH " + _DELTA.format("arrival, event_id") + ", " + _BARS.format("arrival, event_id", "1 DAY") + " SELECT user_id, symbol, open_time, CASE volume_source WHEN 'updates' THEN 'updates' WHEN 'mixed' THEN 'mixed' ELSE 'volume' END AS activity_source, CASE WHEN volume_source = 'updates' THEN update_count ELSE volume END::DECIMAL(18,1) AS activity FROM b")
 def _(s, d):
     bars = cd.ohlcv(fx.points(s, d), 86_400, _KEYS, ARRIVAL)
-    src = F.when(F.col("volume_source").isin("updates", "mixed"), F.col("volume_source")).otherwise("volume")
-    return bars.select("user_id", "symbol", "open_time", src.alias("activity_source"), F.when(F.col("volume_source") == "updates", F.col("update_count")).otherwise(F.col("volume")).cast("decimal(18,1)").alias("activity"))
+    source, value = cd.chart_activity(F.col("volume_source"), F.col("update_count"), F.col("volume"))
+    return bars.select("user_id", "symbol", "open_time", source.alias("activity_source"), value.cast("decimal(18,1)").alias("activity"))
 
 
 @query("A23_activity_label", "WITH " + _DELTA.format("arrival, event_id") + " SELECT user_id, symbol, CASE WHEN count(DISTINCT source) > 1 THEN 'Activity' WHEN min(source) = 'updates' THEN 'Updates' ELSE 'Volume' END AS label FROM v GROUP BY ALL")
 def _(s, d):
-    v = cd.volume_delta(fx.points(s, d), _KEYS, ARRIVAL)
-    return v.groupBy(*_KEYS).agg(F.when(F.countDistinct("source") > 1, "Activity").when(F.min("source") == "updates", "Updates").otherwise("Volume").alias("label"))
+    return cd.activity_label(cd.volume_delta(fx.points(s, d), _KEYS, ARRIVAL), _KEYS)
 
 
-@query("A24_price_precision", "SELECT symbol, least(8, greatest(2, max(length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1)))))::INT AS places FROM quotes WHERE price > 0 GROUP BY symbol")
+@query("A24_price_precision", "SELECT symbol, places, round(10.0::DOUBLE ** -places, 9) AS min_move FROM (SELECT symbol, least(8, greatest(2, max(length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1)))))::INT AS places FROM quotes WHERE price > 0 GROUP BY symbol)")
 def _(s, d):
-    return fx.quotes(s, d).filter("price > 0").groupBy("symbol").agg(F.least(F.lit(8), F.greatest(F.lit(2), F.max(fn.decimal_places(F.col("price"))))).alias("places"))
+    return cd.price_precision(fx.quotes(s, d).filter("price > 0")).select("symbol", "places", F.round("min_move", 9).alias("min_move"))
 
 
 # --- sources, validation, projections -------------------------------------------------------------------------------
@@ -267,19 +266,25 @@ def _(s, d):
 @query("P5_drop_unavailable", "SELECT event_id, '{\"event_id\":' || event_id || CASE WHEN k % 3 = 0 THEN ',\"volume\":' || k ELSE '' END || '}' AS value FROM quotes")
 def _(s, d):
     q = fx.quotes(s, d).withColumn("volume", F.when(F.col("k") % 3 == 0, F.col("k")))
-    return q.select("event_id", F.to_json(F.struct("event_id", "volume"), {"ignoreNullFields": "true"}).alias("value"))
+    return q.select("event_id", wi.wire_json("event_id", "volume").alias("value"))
 
 
 @query("P6_filter_symbols", "SELECT event_id, symbol FROM quotes WHERE symbol IN ('CLICK', 'ERROR')")
 def _(s, d):
-    wanted = s.createDataFrame([(" click ",), ("ERROR",), ("error",)], "symbol string").select(fn.normalize_symbol(F.col("symbol")).alias("symbol")).distinct()
-    return fx.quotes(s, d).join(F.broadcast(wanted), "symbol", "left_semi").select("event_id", "symbol")
+    wanted = s.createDataFrame([(" click ",), ("ERROR",), ("error",)], "symbol string")
+    return wi.filter_symbols(fx.quotes(s, d), wanted).select("event_id", "symbol")
 
 
-@query("P7_entitlement_filter", "SELECT event_id, user_id % 4 = 0 OR symbol IN ('CLICK', 'VIEW') AS allowed FROM quotes")
+@query("P7_entitlement_filter", "SELECT event_id, user_id % 9 <> 0 AND (user_id % 4 = 0 OR symbol IN ('CLICK', 'VIEW')) AS allowed FROM quotes")
 def _(s, d):
-    allowed = F.when(F.col("user_id") % 4 != 0, F.array(F.lit("CLICK"), F.lit("VIEW")))
-    return fx.quotes(s, d).select("event_id", F.coalesce(F.array_contains(allowed, F.col("symbol")), F.lit(True)).alias("allowed"))
+    q = fx.quotes(s, d)
+    return se.entitled(q, _entitlements(q), "user_id").select("event_id", "allowed")
+
+
+def _entitlements(q):
+    """Every fourth user may have all symbols, the others two, and every ninth user is not known."""
+    some = F.when(F.col("user_id") % 4 != 0, F.array(F.lit("CLICK"), F.lit("VIEW")))
+    return q.filter("user_id % 9 <> 0").select("user_id").distinct().withColumn("allowed_symbols", some)
 
 
 @query("P8_history_tier_gate", "SELECT client_id, symbol FROM subscriptions WHERE tier <> 'basic'")
@@ -289,7 +294,7 @@ def _(s, d):
 
 @query("P9_aggressor_side", "SELECT message, pos, CASE side WHEN 'SELL' THEN 'buy' WHEN 'BUY' THEN 'sell' END AS aggressor FROM trades")
 def _(s, d):
-    return fx.trades(s, d).select("message", "pos", F.when(F.col("side") == "SELL", "buy").when(F.col("side") == "BUY", "sell").alias("aggressor"))
+    return fx.trades(s, d).select("message", "pos", wi.aggressor(F.col("side")).alias("aggressor"))
 
 
 @query("P10_freshness", f"SELECT event_id, greatest(0, (epoch_us({NOW}) - epoch_us(received_at)) // 1000) AS age_ms, greatest(0, (epoch_us({NOW}) - epoch_us(received_at)) // 1000) > 5000 AS stale FROM quotes")
@@ -297,17 +302,19 @@ def _(s, d):
     return ql.freshness(fx.quotes(s, d), now()).select("event_id", "age_ms", "stale")
 
 
-@query("P11_local_freshness", "SELECT event_id, k + 1000 AS age_ms, k % 9 = 0 OR k + 1000 > 1050 AS stale FROM quotes")
+@query("P11_local_freshness", "SELECT event_id, k + greatest(0, epoch_ms(received_at) - epoch_ms(provider_timestamp)) AS age_ms, k % 9 = 0 OR k + greatest(0, epoch_ms(received_at) - epoch_ms(provider_timestamp)) > 1050 AS stale FROM quotes")
 def _(s, d):
-    age = F.col("k") + 1000
-    return fx.quotes(s, d).select("event_id", age.alias("age_ms"), ((F.col("k") % 9 == 0) | (age > 1050)).alias("stale"))
+    q = fx.quotes(s, d)
+    age, stale = wi.local_freshness(F.col("k"), F.col("k") % 9 == 0, F.col("provider_timestamp"), F.col("received_at"), 1050)
+    return q.select("event_id", age.alias("age_ms"), stale.alias("stale"))
 
 
-@query("P13_redact_sensitive", "SELECT event_id, '[redacted]' AS token, symbol FROM quotes")
+@query("P13_redact_sensitive", "SELECT event_id, '[redacted]' AS token, symbol, '{\"event_id\":' || event_id || ',\"items\":[{\"API_Key\":\"[redacted]\",\"symbol\":\"' || symbol || '\"}]}' AS line FROM quotes")
 def _(s, d):
-    m = F.create_map(F.lit("auth_token"), F.col("provider"), F.lit("symbol"), F.col("symbol"))
-    clean = F.transform_values(m, lambda k, v: F.when(k.rlike("(?i)authorization|token|secret|password|credential|api_key"), F.lit("[redacted]")).otherwise(v))
-    return fx.quotes(s, d).select("event_id", clean["auth_token"].alias("token"), clean["symbol"].alias("symbol"))
+    q = fx.quotes(s, d)
+    nested = F.to_json(F.struct("event_id", F.array(F.struct(F.col("provider").alias("API_Key"), "symbol")).alias("items")))
+    flat = wi.redact_map(F.create_map(F.lit("auth_token"), F.col("provider"), F.lit("symbol"), F.col("symbol")))
+    return q.select("event_id", flat["auth_token"].alias("token"), flat["symbol"].alias("symbol"), wi.redact_json(nested).alias("line"))
 
 
 @query("P15_add_provenance", "SELECT event_id, 'tickloom' AS provenance_system, 'recorder' AS provenance_component FROM quotes")
@@ -322,21 +329,21 @@ def _(s, d):
     q = fx.quotes(s, d)
     kind = F.when(F.col("k") % 10 == 9, "heartbeat").when(F.col("k") % 2 == 0, "quote").otherwise("snapshot")
     lines = q.select(F.to_json(F.struct(kind.alias("type"), F.struct(F.when(F.col("k") % 2 == 0, F.col("event_id")).alias("event_id"), F.when(F.col("k") % 2 == 1, F.struct("event_id")).alias("quote")).alias("data"))).alias("value"))
-    m = lines.withColumn("m", F.from_json("value", "type string, data struct<event_id:long, quote:struct<event_id:long>>")).filter("m.type in ('quote', 'snapshot')")
-    return m.select(F.coalesce("m.data.quote.event_id", "m.data.event_id").alias("event_id"), F.col("m.type").alias("message_type"))
+    return wi.unwrap_envelope(lines, "event_id:long").select("event_id", "message_type")
 
 
-@query("P17_command_normalise", "SELECT client_id, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM subscriptions GROUP BY client_id")
+@query("P17_command_normalise", "SELECT client_id, string_agg(symbol, ',' ORDER BY symbol) AS symbols, CASE WHEN client_id % 5 = 0 THEN 'symbols_required' ELSE '' END AS errors FROM subscriptions GROUP BY client_id")
 def _(s, d):
     rows = fx.subscriptions(s, d).groupBy("client_id").agg(F.sort_array(F.collect_list("symbol")).alias("a"))
     raw = F.concat(F.transform("a", lambda x: F.concat(F.lit(" "), F.lower(x))), F.array(F.lit(" ")), F.col("a"))
-    return rows.select("client_id", F.array_join(F.array_distinct(F.filter(F.transform(raw, lambda x: F.upper(F.trim(x))), lambda x: x != "")), ",").alias("symbols"))
+    rows = rows.select("client_id", wi.command_symbols(raw).alias("a"))
+    empty = F.when(F.col("client_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("a"))
+    return rows.select("client_id", F.array_join("a", ",").alias("symbols"), wi.command_errors(F.lit("subscribe"), empty).alias("errors"))
 
 
 @query("P19_delivery_latency", "SELECT event_id, greatest(0, epoch_ms(received_at) - epoch_ms(provider_timestamp)) AS latency_ms FROM quotes")
 def _(s, d):
-    ms = F.unix_millis(F.col("received_at").cast("timestamp")) - F.unix_millis(F.col("provider_timestamp").cast("timestamp"))
-    return fx.quotes(s, d).select("event_id", F.greatest(F.lit(0), ms).alias("latency_ms"))
+    return fx.quotes(s, d).select("event_id", wi.delivery_latency_ms(F.col("received_at"), F.col("provider_timestamp")).alias("latency_ms"))
 
 
 @query("S7_dead_letter_sink", f"SELECT 'quotes' AS source, event_id AS entry_id, '{{\"symbol\":\"' || symbol || '\"}}' AS payload, {_PLAIN} AS error, 0 AS retry_count, received_at AS failed_at FROM quotes WHERE {_PLAIN} <> ''")
@@ -346,19 +353,20 @@ def _(s, d):
 
 @query("S10_replay_slice", "SELECT event_id, arrival FROM quotes WHERE symbol IN ('CLICK', 'VIEW') AND provider_timestamp >= TIMESTAMP '2024-01-05' AND provider_timestamp < TIMESTAMP '2024-01-12'")
 def _(s, d):
-    q = fx.quotes(s, d).filter("symbol IN ('CLICK', 'VIEW') AND provider_timestamp >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND provider_timestamp < TIMESTAMP_NTZ '2024-01-12 00:00:00'")
-    return q.orderBy("provider_timestamp", "event_id").select("event_id", "arrival")
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-05", "2024-01-12"))
+    return se.replay_slice(fx.quotes(s, d), ["CLICK", "VIEW"], "provider_timestamp", start, end, ["event_id"]).select("event_id", "arrival")
 
 
-@query("S11_control_stream", "SELECT user_id AS connection, symbol, k % 6 = 0 AS rejected FROM quotes")
+@query("S11_control_stream", "SELECT event_id AS entry_id, concat_ws(',', CASE WHEN k % 6 = 0 THEN 'action' END, CASE WHEN k % 7 = 0 THEN 'symbol' END) AS error FROM quotes")
 def _(s, d):
-    q = fx.quotes(s, d).withColumn("action", F.when(F.col("k") % 6 == 0, "noop").otherwise("subscribe"))
-    return q.select(F.col("user_id").alias("connection"), "symbol", (~F.col("action").isin("subscribe", "unsubscribe")).alias("rejected"))
+    q = fx.quotes(s, d).withColumn("action", F.when(F.col("k") % 6 == 0, "noop").otherwise("subscribe")).withColumn("symbol", F.when(F.col("k") % 7 == 0, F.concat("symbol", F.lit(" !"))).otherwise(F.col("symbol")))
+    bad = wi.judge_controls(q)
+    return ql.dead_letters(bad, "controls", "event_id", F.to_json(F.struct("action", "symbol")), F.col("received_at")).select("entry_id", "error").unionByName(bad.filter("errors = ''").select(F.col("event_id").alias("entry_id"), F.col("errors").alias("error")))
 
 
-@query("S12_capture_summary", "SELECT user_id AS session, count(*) AS records, min(provider_timestamp) AS started_at, max(provider_timestamp) AS finished_at, CASE WHEN count(*) >= 10 THEN 'max_records' ELSE 'stream_ended' END AS reason FROM quotes GROUP BY user_id")
+@query("S12_capture_summary", "SELECT *, reason = 'max_seconds' AS complete FROM (SELECT *, CASE WHEN records >= 10 THEN 'max_records' WHEN seconds >= 604800 THEN 'max_seconds' ELSE 'stream_ended' END AS reason FROM (SELECT user_id AS session, count(*) AS records, min(provider_timestamp) AS started_at, max(provider_timestamp) AS finished_at, floor(epoch(max(provider_timestamp)))::BIGINT - floor(epoch(min(provider_timestamp)))::BIGINT AS seconds FROM quotes GROUP BY user_id))")
 def _(s, d):
-    return fx.quotes(s, d).groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("records"), F.min("provider_timestamp").alias("started_at"), F.max("provider_timestamp").alias("finished_at"), F.when(F.count("*") >= 10, "max_records").otherwise("stream_ended").alias("reason"))
+    return wi.capture_summary(fx.quotes(s, d).withColumnRenamed("user_id", "session"), "session", "provider_timestamp", 10, 7 * 86_400)
 
 
 # --- sequence, duplicates, latest -------------------------------------------------------------------------------------
@@ -397,8 +405,7 @@ def _(s, d):
 
 @query("A19_duplicate_counts", "SELECT symbol, count(*) - count(DISTINCT event_id) AS duplicates FROM deliveries GROUP BY symbol")
 def _(s, d):
-    per = fx.deliveries(s, d).groupBy("symbol", "event_id").agg((F.count("*") - 1).alias("x"))
-    return per.groupBy("symbol").agg(F.sum("x").alias("duplicates"))
+    return ql.duplicate_counts(fx.deliveries(s, d), ["symbol"])
 
 
 @query("W4_latest_quote", "SELECT symbol, arg_max(event_id, (arrival, event_id)) AS event_id, arg_max(price, (arrival, event_id)) AS price FROM deliveries GROUP BY symbol")
@@ -422,25 +429,26 @@ def _(s, d):
 
 @query("J7_skip_seen_events", "SELECT event_id, arrival FROM deliveries WHERE event_id NOT IN (SELECT event_id FROM quotes WHERE k < 30)")
 def _(s, d):
-    seen = fx.quotes(s, d).filter("k < 30").select("event_id")
-    return fx.deliveries(s, d).join(seen, "event_id", "left_anti").select("event_id", "arrival")
+    return se.unseen(fx.deliveries(s, d), fx.quotes(s, d).filter("k < 30"), ["event_id"]).select("event_id", "arrival")
 
 
-@query("J8_duplicate_refresh", "WITH l AS (SELECT user_id, symbol, arg_max(event_id, (arrival, event_id)) AS event_id FROM quotes GROUP BY ALL) SELECT l.user_id, l.symbol, l.event_id, max(d.arrival) AS refreshed_at FROM l JOIN deliveries d USING (user_id, symbol, event_id) GROUP BY ALL")
+@query("J8_duplicate_refresh", "WITH l AS (SELECT user_id, symbol, arg_max(event_id, (arrival, event_id)) AS event_id, arg_max(k % 3, (arrival, event_id)) AS generation FROM quotes GROUP BY ALL) SELECT l.user_id, l.symbol, l.event_id, l.generation, max(d.arrival) FILTER (CASE WHEN d.arrival % 2 = 0 THEN d.k % 3 ELSE d.k % 3 - 1 END >= l.generation) AS refreshed_at FROM l LEFT JOIN deliveries d USING (user_id, symbol, event_id) GROUP BY ALL")
 def _(s, d):
-    rows = fx.quotes(s, d).groupBy(*_KEYS).agg(F.max_by("event_id", F.struct(*ARRIVAL)).alias("event_id"))
-    return rows.join(fx.deliveries(s, d), [*_KEYS, "event_id"]).groupBy(*_KEYS, "event_id").agg(F.max("arrival").alias("refreshed_at"))
+    generation = (F.col("k") % 3).alias("generation")
+    q = fx.quotes(s, d).select(*_KEYS, "event_id", "arrival", generation)
+    rows = q.groupBy(*_KEYS).agg(F.max_by("event_id", F.struct(*ARRIVAL)).alias("event_id"), F.max_by("generation", F.struct(*ARRIVAL)).alias("generation"))
+    repeats = fx.deliveries(s, d).select(*_KEYS, "event_id", "arrival", F.when(F.col("arrival") % 2 == 0, F.col("k") % 3).otherwise(F.col("k") % 3 - 1).alias("generation"))
+    return se.refreshed(rows, repeats, [*_KEYS, "event_id"], "arrival", "generation")
 
 
 @query("J9_generation_fence", "SELECT event_id FROM points QUALIFY generation = max(generation) OVER (PARTITION BY provider)")
 def _(s, d):
-    p = fx.points(s, d)
-    return p.join(p.groupBy("provider").agg(F.max("generation").alias("generation")), ["provider", "generation"], "left_semi").select("event_id")
+    return se.newest_generation(fx.points(s, d), ["provider"]).select("event_id")
 
 
 @query("W7_local_sequence", "SELECT event_id, row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) AS local_sequence FROM quotes")
 def _(s, d):
-    return fx.quotes(s, d).select("event_id", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)).cast("long").alias("local_sequence"))
+    return se.local_sequence(fx.quotes(s, d), _KEYS, ARRIVAL).select("event_id", "local_sequence")
 
 
 @query("W15_dedupe_first", "SELECT event_id, min(arrival) AS arrival FROM deliveries GROUP BY event_id")
@@ -455,14 +463,12 @@ def _(s, d):
 
 @query("W20_stream_health", f"WITH a AS (SELECT * FROM ({_PREV.format('provider, symbol', 'quotes')}) WHERE previous IS NOT NULL AND sequence <> previous + 1) SELECT provider, symbol, max(received_at) AS last_anomaly, max(received_at) > {NOW} - INTERVAL 86400 SECOND AND max(received_at) <= {NOW} AS degraded FROM a GROUP BY ALL")
 def _(s, d):
-    a = ql.sequence_anomalies(fx.quotes(s, d), ["provider", "symbol"], ARRIVAL).groupBy("provider", "symbol").agg(F.max("received_at").alias("last_anomaly"))
-    return a.withColumn("degraded", (F.col("last_anomaly") > now() - F.expr("INTERVAL 86400 SECOND")) & (F.col("last_anomaly") <= now()))
+    return ql.stream_health(ql.sequence_anomalies(fx.quotes(s, d), ["provider", "symbol"], ARRIVAL), ["provider", "symbol"], "received_at", now(), 86_400)
 
 
 @query("W21_retry_dlq", "SELECT user_id, event_id FROM quotes WHERE k % 4 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) = 3")
 def _(s, d):
-    w = Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)
-    return fx.quotes(s, d).filter("k % 4 = 0").withColumn("r", F.row_number().over(w)).filter("r = 3").select("user_id", "event_id")
+    return ql.exhausted(fx.quotes(s, d).filter("k % 4 = 0"), _KEYS, ARRIVAL, 3).select("user_id", "event_id")
 
 
 @query("S5_candle_archive_sink", f"SELECT {_C} FROM c1")
@@ -511,8 +517,7 @@ def _(s, d):
 
 @query("J1_fanout_join", "SELECT client_id, symbol, count(*) AS deliveries FROM quotes JOIN subscriptions USING (symbol) GROUP BY ALL")
 def _(s, d):
-    per = fx.quotes(s, d).groupBy("symbol").agg(F.count("*").alias("n"))
-    return fo.fanout(per, fx.subscriptions(s, d)).select("client_id", "symbol", F.col("n").alias("deliveries"))
+    return fo.fanout(fx.quotes(s, d).select("symbol", "event_id"), fx.subscriptions(s, d)).groupBy("client_id", "symbol").agg(F.count("*").alias("deliveries"))
 
 
 @query("J2_tier_policy_join", "SELECT client_id, symbol, CASE tier WHEN 'basic' THEN 1.0 WHEN 'pro' THEN 0.2 ELSE 0.1 END::DOUBLE AS interval_seconds FROM subscriptions")
@@ -522,11 +527,7 @@ def _(s, d):
 
 @query("W10_tier_decimation", "WITH n AS (SELECT event_id, symbol, user_id, row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) - 1 AS n FROM quotes) SELECT event_id, tier FROM n, (VALUES ('basic', 10), ('pro', 2), ('premium', 1)) t(tier, divisor) WHERE n % divisor = 0")
 def _(s, d):
-    n = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*ARRIVAL)) - 1
-    tiers = fo.policies(s).select("tier", fo.divisor(F.col("rate")).alias("divisor"))
-    kept = F.broadcast(tiers.agg(F.collect_list(F.struct("tier", "divisor")).alias("tiers")))  # three rows as one
-    rows = fx.quotes(s, d).withColumn("n", n).crossJoin(kept)
-    return rows.select("event_id", "n", F.inline("tiers")).filter("n % divisor = 0").select("event_id", "tier")
+    return fo.decimated(fx.quotes(s, d), _KEYS, ARRIVAL).select("event_id", "tier")
 
 
 _A11 = """WITH e AS (SELECT symbol, count(*) AS events FROM quotes GROUP BY 1), s AS (SELECT symbol, tier, count(*) AS subs, CASE tier WHEN 'basic' THEN 10 WHEN 'pro' THEN 2 ELSE 1 END AS divisor FROM subscriptions GROUP BY ALL),
@@ -542,8 +543,8 @@ def _(s, d):
 @query("A12_savings", _A11 + " SELECT (1 - smart_deliveries / baseline_deliveries) * 100 AS delivery_savings, (1 - smart_subscriptions / baseline_subscriptions) * 100 AS subscription_savings FROM t")
 def _(s, d):
     t = fo.fanout_accounting(fx.quotes(s, d), fx.subscriptions(s, d))
-    saved = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise((1 - F.col(a) / F.col(b)) * 100)
-    return t.select(saved("smart_deliveries", "baseline_deliveries").alias("delivery_savings"), saved("smart_subscriptions", "baseline_subscriptions").alias("subscription_savings"))
+    pairs = {"delivery_savings": ("baseline_deliveries", "smart_deliveries"), "subscription_savings": ("baseline_subscriptions", "smart_subscriptions")}
+    return t.select(*[fo.savings(F.col(a), F.col(b)).alias(name) for name, (a, b) in pairs.items()])
 
 
 @query("W12_conflate_window", "SELECT symbol, time_bucket(INTERVAL 10 SECOND, provider_timestamp) AS slot, arg_max(price, (arrival, event_id)) AS price, arg_max(event_id, (arrival, event_id)) AS event_id, count(*) - 1 AS coalesced FROM quotes GROUP BY ALL")
@@ -571,9 +572,18 @@ def _(s, d):
     return fo.slow_consumer_warnings(fx.quotes(s, d).withColumn("coalesced", F.col("k")), "user_id", ARRIVAL, 100).select("user_id", "event_id", "total")
 
 
-@query("W19_symbol_limit", "SELECT client_id, count(DISTINCT symbol) AS symbols, count(DISTINCT symbol) > 3 AS violation FROM subscriptions GROUP BY client_id")
+@query("W19_symbol_limit", "WITH a AS (SELECT client_id, tier, symbol FROM subscriptions UNION ALL SELECT DISTINCT client_id, tier, 'S' || n FROM subscriptions, range(1, 26) r(n) WHERE client_id % 50 = 0) SELECT client_id, count(DISTINCT symbol) AS symbols, max(CASE tier WHEN 'basic' THEN 20 WHEN 'pro' THEN 100 ELSE 500 END) AS allowed, count(DISTINCT symbol) > max(CASE tier WHEN 'basic' THEN 20 WHEN 'pro' THEN 100 ELSE 500 END) AS violation FROM a GROUP BY client_id")
 def _(s, d):
-    return fx.subscriptions(s, d).groupBy("client_id").agg(F.countDistinct("symbol").alias("symbols"), (F.countDistinct("symbol") > 3).alias("violation"))
+    return fo.symbol_limits(fx.subscriptions(s, d).unionByName(_many(s, d)), "client_id")
+
+
+def _many(s, d):
+    """Subscriptions of a few clients to more symbols than basic ones may have."""
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(25))).alias("n")
+    few = fx.subscriptions(s, d).filter("client_id % 50 = 0").select("client_id", "tier").distinct()
+    rows = few.select("client_id", "tier", numbers)
+    missing = [F.lit(None).cast(t).alias(c) for c, t in fx.subscriptions(s, d).dtypes if c not in ("client_id", "tier", "symbol")]
+    return rows.select("client_id", "tier", F.concat(F.lit("S"), "n").alias("symbol"), *missing)
 
 
 _W8 = """WITH i AS (SELECT connection, symbol, start, expires, max(expires) OVER (PARTITION BY connection, symbol ORDER BY start, expires ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
@@ -609,36 +619,36 @@ def _(s, d):
     return fo.subscription_stats(fx.intervals(s, d), now()).select("reduction")
 
 
-@query("A10_desired_symbols", "SELECT symbol, count(*) AS consumers, min(client_id) AS first_consumer, symbol IN ('CLICK', 'VIEW') AS live FROM subscriptions GROUP BY symbol")
+@query("A10_desired_symbols", "SELECT symbol, count(DISTINCT client_id) AS consumers, string_agg(client_id::VARCHAR, ',' ORDER BY client_id) AS clients, symbol NOT IN ('ERROR', 'VIEW') AND symbol IN (SELECT symbol FROM quotes) AS live FROM (SELECT DISTINCT client_id, symbol FROM subscriptions WHERE client_id % 20 = 0) GROUP BY symbol")
 def _(s, d):
-    acked = F.array(F.lit("CLICK"), F.lit("VIEW"))
-    return fx.subscriptions(s, d).groupBy("symbol").agg(F.count("*").alias("consumers"), F.min("client_id").alias("first_consumer")).withColumn("live", F.array_contains(acked, F.col("symbol")))
+    q = fx.quotes(s, d)
+    subs = fx.subscriptions(s, d).filter("client_id % 20 = 0")
+    out = fo.desired_symbols(subs, "client_id", q.filter("symbol <> 'ERROR'"), q.filter("symbol <> 'VIEW'"))
+    return out.select("symbol", "consumers", F.array_join(F.transform("clients", lambda c: c.cast("string")), ",").alias("clients"), "live")
 
 
 @query("U2_subscription_diff", "WITH o AS (SELECT user_id, symbol FROM quotes WHERE k < 50), n AS (SELECT user_id, symbol FROM quotes WHERE k >= 50) SELECT 'added' AS change, * FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'removed', * FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT 'kept', * FROM (SELECT * FROM o INTERSECT SELECT * FROM n)")
 def _(s, d):
     q = fx.quotes(s, d)
-    old, new = q.filter("k < 50").select("user_id", "symbol"), q.filter("k >= 50").select("user_id", "symbol")
-    parts = {"added": new.subtract(old), "removed": old.subtract(new), "kept": old.intersect(new)}
-    out = [df.select(F.lit(name).alias("change"), "user_id", "symbol") for name, df in parts.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return se.changes(*[q.filter(c).select("user_id", "symbol") for c in ("k < 50", "k >= 50")])
 
 
-@query("U3_denied_symbols", "SELECT client_id, symbol FROM subscriptions WHERE client_id % 4 <> 0 AND symbol NOT IN ('CLICK', 'VIEW')")
+@query("U3_denied_symbols", "SELECT DISTINCT client_id AS user_id, symbol FROM subscriptions WHERE client_id % 9 = 0 OR (client_id % 4 <> 0 AND symbol NOT IN ('CLICK', 'VIEW'))")
 def _(s, d):
-    allowed = F.array(F.lit("CLICK"), F.lit("VIEW"))
-    return fx.subscriptions(s, d).filter(F.col("client_id") % 4 != 0).groupBy("client_id").agg(F.collect_set("symbol").alias("wanted")).select("client_id", F.explode(F.array_except("wanted", allowed)).alias("symbol"))
+    subs = fx.subscriptions(s, d).select(F.col("client_id").alias("user_id"), "symbol")
+    return se.denied(subs, _entitlements(subs), "user_id")
 
 
-@query("U4_distinct_symbols", "SELECT DISTINCT symbol FROM quotes")
+@query("U4_distinct_symbols", "SELECT symbol, arg_min(event_id, (arrival, event_id)) AS event_id FROM quotes GROUP BY symbol")
 def _(s, d):
-    return fx.quotes(s, d).select("symbol").distinct()
+    return se.distinct_in_order(fx.quotes(s, d), "symbol", ARRIVAL).select("symbol", F.col("first.event_id").alias("event_id"))
 
 
 @query("U5_unique_warnings", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'stale,gap' ELSE 'gap,stale' END AS warnings FROM quotes")
 def _(s, d):
     a, b = F.array(F.lit("stale"), F.lit("gap")), F.array(F.lit("gap"), F.lit("stale"))
-    return fx.quotes(s, d).select("event_id", F.array_join(F.array_distinct(F.when(F.col("k") % 2 == 0, F.concat(a, b)).otherwise(F.concat(b, a))), ",").alias("warnings"))
+    even = F.col("k") % 2 == 0
+    return fx.quotes(s, d).select("event_id", F.array_join(se.unique_lists(F.when(even, a), F.when(even, b), F.when(~even, b), F.when(~even, a)), ",").alias("warnings"))
 
 
 @query("W16_token_bucket")
@@ -769,10 +779,11 @@ def _(s, d):
     return fo.with_policy(fx.subscriptions(s, d)).select("client_id", "symbol", F.col("capacity").cast("long").alias("capacity"))
 
 
-@query("F9_F10_text", "SELECT event_id, length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1))::INT AS places, k % 2 = 0 AS hex FROM quotes")
+@query("F9_F10_text", "SELECT event_id, length(regexp_extract(regexp_replace(price::VARCHAR, '0+$', ''), '\\.([0-9]+)$', 1))::INT AS places, CASE k % 3 WHEN 0 THEN round(price, 0)::DECIMAL(18,0)::VARCHAR WHEN 1 THEN round(price, 1)::DECIMAL(18,1)::VARCHAR ELSE price::VARCHAR END AS shown, k % 2 = 0 AS hex FROM quotes")
 def _(s, d):
     h = F.sha2(F.col("symbol").cast("binary"), 256)
-    return fx.quotes(s, d).select("event_id", fn.decimal_places(F.col("price")).alias("places"), fn.is_sha256_hex(F.when(F.col("k") % 2 == 0, h).otherwise(F.upper(F.concat(F.lit("x"), h)))).alias("hex"))
+    hexes = F.when(F.col("k") % 2 == 0, h).otherwise(F.upper(F.concat(F.lit("x"), h)))
+    return fx.quotes(s, d).select("event_id", fn.decimal_places(F.col("price")).alias("places"), fn.format_price(F.col("price"), (F.col("k") % 3).cast("int")).alias("shown"), fn.is_sha256_hex(hexes).alias("hex"))
 
 
 # --- ledger -----------------------------------------------------------------------------------------------------------
