@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalar as fn
 from tickloom.operators import candles as cd
 from tickloom.operators import fanout as fo
+from tickloom.operators import normalise as nm
 from tickloom.operators import quality as ql
 from tickloom.operators import selection as se
 from tickloom.operators import wire as wi
@@ -146,3 +147,12 @@ def test_symbols_wanted_and_limits(spark):
     failures = spark.createDataFrame([(1, i, i == 1) for i in range(4)], "entry long, at long, transient boolean")
     assert [r.at for r in ql.exhausted(failures, ["entry"], ["at"], 3).collect()] == [2] and [r.at for r in ql.exhausted(failures, ["entry"], ["at"], 3, F.col("transient")).collect()] == [3]
     assert math.isclose(spark.range(1).select(fo.savings(F.lit(200), F.lit(50)).alias("s")).first().s, 75.0)
+
+
+def test_asof_and_numbers_do_not_depend_on_slices(spark, sf_dir):
+    trades, tickers = fx.trades(spark, sf_dir), fx.tickers(spark, sf_dir)
+    rows = lambda width: sorted((r.message, r.pos, r.ticker and r.ticker.bid) for r in nm.asof_tickers(trades, tickers, width=width).collect())
+    assert rows(50) == rows(10**9) and any(r[2] for r in rows(50)) and not all(r[2] for r in rows(50))
+    few = trades.filter("pos = 1")
+    numbers = lambda width: sorted((r.product, r.message, r.i) for r in nm.numbered(few, "product", "message", "i", width).collect())
+    assert numbers(50) == numbers(10**9) and numbers(50)[0][2] == 1

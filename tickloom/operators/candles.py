@@ -140,7 +140,9 @@ def ohlcv(points: DataFrame, seconds: int, keys: list[str], order: list[str]) ->
 
 
 def completeness(bars: DataFrame, keys: list[str]) -> DataFrame:
-    return bars.withColumn("complete", F.col("open_time") < F.max("open_time").over(Window.partitionBy(*keys)))
+    """Adds complete: a later bucket of the key is there. The maximum is a partial sum that is joined back: a row a key."""
+    newest = bars.groupBy(*keys).agg(F.max("open_time").alias("_newest"))
+    return bars.join(newest, keys).withColumn("complete", F.col("open_time") < F.col("_newest")).drop("_newest")
 
 
 def validate_series(candles: DataFrame, seconds: int) -> DataFrame:
