@@ -39,24 +39,21 @@ def test_lm_arcs_and_rest_sum_to_one():
     assert math.isclose(total, 1.0) and one[0] == 0
 
 
-def test_lm_keeps_every_repeated_arc(spark):
-    """Pairs and triples that occur twice are arcs, however many tokens there are besides; a plain backoff model agrees."""
-    filler = [(100 + i, " ".join(f"f{i}x{j}" for j in range(5000))) for i in range(100)]  # half a million words
-    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green blue"), (3, "Red green blue red"), (4, "blue green"), *filler], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") == 3).collect()}
-    texts = {r.doc_id: ["<s>", *r.text.lower().split(), "</s>"] for r in docs.collect()}
+def plain_scores(texts, held):
+    """Log probabilities of texts (lists of words) by a backoff model written plainly."""
+    texts = {d: ["<s>", *ws, "</s>"] for d, ws in texts.items()}
     n = [Counter(), Counter(), Counter(), Counter()]
     for d, ws in texts.items():
-        if d != 3:
+        if d not in held:
             for k in (1, 2, 3):
                 n[k].update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
     n[2], n[3] = ({g: c for g, c in n[k].items() if c >= 2} for k in (2, 3))
-    tokens = sum(n[1].values()) - n[1][("<s>",)]
-    scale = tokens + len(n[1]) - 1 + 1
+    scale = sum(n[1].values()) - n[1][("<s>",)] + len(n[1]) - 1 + 1
     after = {}
     for k in (2, 3):
         for g in n[k]:
             after.setdefault(g[:-1], []).append(g[-1])
+    left = {}
 
     def p(h, w):
         if not h:
@@ -65,11 +62,32 @@ def test_lm_keeps_every_repeated_arc(spark):
             return (n[len(h) + 1][(*h, w)] - 0.5) / n[len(h)][h]
         if h not in after:
             return p(h[1:], w)
-        return p(h[1:], w) * (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+        if h not in left:
+            left[h] = (1 - sum(p(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return p(h[1:], w) * left[h]
+
+    return {d: sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws))) for d, ws in texts.items()}
 
+
+def test_lm_score_over_the_table(spark, sf_dir, monkeypatch):
+    """Every document's score against the plain model, with many chunks and shards."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(lm_score.shards, "SHARD_KEYS", 20_000)
+    docs = table(spark, sf_dir, "documents")
+    texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOWER)) for r in docs.collect()}
+    want = plain_scores(texts, {d for d in texts if zlib.crc32(str(d).encode()) % 7 == 2})
+    got = {r.doc_id: r.score for r in lm_score.score(docs, is_held()).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-5, abs_tol=1e-4) for d in want)
+
+
+def test_lm_keeps_every_repeated_arc(spark):
+    """Pairs and triples that occur twice are arcs, however many tokens there are besides; a plain backoff model agrees."""
+    filler = [(100 + i, " ".join(f"f{i}x{j}" for j in range(5000))) for i in range(100)]  # half a million words
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red green blue"), (3, "Red green blue red"), (4, "blue green"), *filler], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") == 3).collect()}
+    score = plain_scores({r.doc_id: r.text.lower().split() for r in docs.collect()}, {3})
     for d in (1, 2, 3, 4, 100):
-        ws = texts[d]
-        assert math.isclose(got[d].score, sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws))), rel_tol=1e-6)
+        assert math.isclose(got[d].score, score[d], rel_tol=1e-6)
     assert got[3].score > got[3].base_score + 5
 
 
@@ -88,6 +106,32 @@ def test_toxicity_on_held_out_labels(spark):
     bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     assert wins > 0.85
+    assert abs(np.mean(bad + good) - len(bad) / (len(bad) + len(good))) < 0.1  # calibrated: the mean score is near the share
+
+
+def test_toxicity_features_against_plain_counts(spark, sf_dir):
+    lexicon = {"idiot": 3.0, "scum": 2.0, "stup*": 1.5, "stupid*": 2.5, "lorem": 0.0}
+    texts = [r.text for r in table(spark, sf_dir, "documents").limit(40).collect()] + ["", None, "You IDIOT!!! st0pid sc*m you stupidest scumm, iiiidiot?", "éÉ ß 1d1ot", "a " * 2000 + "idiot"]
+    weights = toxicity.Weights(lexicon)
+    for text in texts:
+        low = (text or "").lower()
+        words = re.findall(r"[^\W\d_]+", low)
+
+        def weight(w):
+            starts = [v for k, v in lexicon.items() if k.endswith("*") and len(w) > len(k) - 1 and w.startswith(k[:-1])]
+            return max([lexicon.get(w, 0.0), *starts])
+
+        hits = [i for i, w in enumerate(words) if weight(w) > 0]
+        near = sum(any(w in toxicity.SECOND_PERSON for w in words[max(0, i - 5) : i + 6]) for i in hits)
+        n = max(1, len(words))
+        upper, letters = sum("A" <= c <= "Z" for c in text or ""), max(1, sum(c.isascii() and c.isalpha() for c in text or ""))
+        got = dict(zip(toxicity.NAMES, toxicity.features_of(text, weights), strict=True))
+        want = {
+            "log_words": math.log1p(len(words)), "density": len(hits) / n, "log_hits": math.log1p(len(hits)), "weight": math.log1p(sum(weight(words[i]) for i in hits)), "top_weight": max([weight(words[i]) for i in hits], default=0.0),
+            "distinct": math.log1p(len({words[i] for i in hits})), "near_second": near / max(1, len(hits)), "capitals": upper / letters, "shouting": sum(c in "!?" for c in text or "") / n,
+            "punctuation": sum(c.isascii() and 32 < ord(c) < 127 and not c.isalnum() for c in text or "") / n - sum(c in "{|}~" for c in text or "") / n,
+        }
+        assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items()), (text, got, want)
 
 
 def test_toxicity_edges(spark):

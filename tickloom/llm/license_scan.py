@@ -1,9 +1,10 @@
 """Licence scans with a positional index of rare words, in DataFrame functions alone.
 
-A template is a run of words with a mandatory key phrase. The rarest key word (highest IDF over all documents) anchors it:
-each place of the anchor in a file proposes one start, the key phrase must stand there word by word, and the template's rare
-words are then looked up at their relative positions. No rows are multiplied and no text is shuffled; only document counts of
-the template words (a fixed list) are gathered.
+A template is a run of words with a mandatory key phrase. Of a file's words the licence words of highest IDF (over all documents)
+are looked up: every key word must stand in a file that matches, so the rarest of a template's key words is the rarest that any
+file can offer it. Each of its places proposes a start for the template; the key phrase must stand there word by word; then the
+postings of the template's rare words are intersected at their relative positions, straight from the word list. No rows are
+multiplied and no text is shuffled; only document counts of the template words (a fixed list) are gathered.
 """
 
 from __future__ import annotations
