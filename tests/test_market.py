@@ -182,8 +182,8 @@ def test_symbol_stays_active_while_any_connection_holds_it(spark, sf_dir):
 
     at = lambda s: T0 + dt.timedelta(seconds=s)
     df = spark.createDataFrame([(1, "A", at(0), at(10)), (2, "A", at(5), at(30)), (1, "A", at(33), at(40)), (1, "A", at(60), at(70)), (2, "B", at(0), at(1))], "connection long, symbol string, start timestamp_ntz, expires timestamp_ntz")
-    got = sorted((r.symbol, r.activate_at, r.release_at, r.subscriptions) for r in fo.symbol_activations(df).collect())
-    assert got == [("A", at(0), at(43), 3), ("A", at(60), at(73), 1), ("B", at(0), at(4), 1)]
+    got = sorted((r.symbol, r.activate_at, r.release_at, r.subscriptions) for w in (5, 86_400) for r in fo.activations(df, width=w).collect())
+    assert got == sorted([("A", at(0), at(43), 3), ("A", at(60), at(73), 1), ("B", at(0), at(4), 1)] * 2)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
     for t in ("lineitem", "part", "orders"):

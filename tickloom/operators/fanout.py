@@ -132,26 +132,25 @@ def slow_consumer_warnings(rows: DataFrame, client: str, order: list[str], thres
     return keyed_fold(rows, [client], order, step, {"total": "long", "warns": "boolean"}).filter("warns").drop("warns")
 
 
-def activations(intervals: DataFrame, grace_seconds: int = 3, number: Column | None = None) -> DataFrame:
-    """Islands of a symbol's live subscriptions, joined over gaps up to the grace: activate_at, release_at, number."""
-    before = Window.partitionBy("symbol").orderBy("start", "expires", "connection").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("symbol").orderBy("start", "expires", "connection").rowsBetween(Window.unboundedPreceding, 0)
-    grace = F.expr(f"INTERVAL {grace_seconds} SECOND")
-    reach = F.max("expires").over(before)
-    rows = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + grace), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(upto))
-    return rows.groupBy("symbol", "_island").agg(F.min("start").alias("activate_at"), (F.max("expires") + grace).alias("release_at"), (F.count("*") if number is None else number).alias("subscriptions")).drop("_island")
-
-
-def symbol_activations(intervals: DataFrame, grace_seconds: int = 3) -> DataFrame:
-    """Islands of a symbol over all its connections: each connection's islands first, then these fewer rows by symbol.
+def activations(intervals: DataFrame, grace_seconds: int = 3, width: int = 86_400) -> DataFrame:
+    """Islands of a symbol's live subscriptions, joined over gaps up to the grace: activate_at, release_at, subscriptions.
 
-    An island stands for its intervals here: gaps within it are no longer than the grace, and its end comes without grace.
+    A symbol's intervals are ordered slice by slice of their start (`width` seconds), side by side. How far the slices before
+    reach, and how many islands they open, is carried over: a row a slice.
     """
-    pair = intervals.select(F.struct("connection", "symbol").alias("symbol"), "connection", "start", "expires")
-    own = activations(pair, grace_seconds)
+    slices = ["symbol", "_slice"]
+    rows = intervals.withColumn("_slice", F.floor(F.unix_seconds(F.col("start").cast("timestamp")) / width))
+    earlier = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*slices).orderBy("start", "expires", "connection")
     grace = F.expr(f"INTERVAL {grace_seconds} SECOND")
-    few = own.select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.connection").alias("connection"), F.col("activate_at").alias("start"), (F.col("release_at") - grace).alias("expires"), "subscriptions")
-    return activations(few, grace_seconds, F.sum("subscriptions"))
+    ends = rows.groupBy(*slices).agg(F.max("expires").alias("_end"))
+    rows = rows.join(ends.select(*slices, F.max("_end").over(earlier).alias("_reach")), slices)
+    reach = F.greatest(F.max("expires").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + grace), 1).otherwise(0))
+    opened = rows.groupBy(*slices).agg(F.sum("_new").alias("_n"))
+    rows = rows.join(opened.select(*slices, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), slices)
+    rows = rows.withColumn("_island", F.col("_before") + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("symbol", "_island").agg(F.min("start").alias("activate_at"), (F.max("expires") + grace).alias("release_at"), F.count("*").alias("subscriptions")).drop("_island")
 
 
 def subscription_stats(intervals: DataFrame, at: Column) -> DataFrame:

@@ -603,7 +603,7 @@ SELECT symbol, min(start) AS activate_at, max(expires) + INTERVAL 3 SECOND AS re
 
 @query("W8_symbol_activation", _W8_SYMBOL)
 def _(s, d):
-    return fo.symbol_activations(fx.intervals(s, d))
+    return fo.activations(fx.intervals(s, d))
 
 
 _A8 = f"WITH l AS (SELECT DISTINCT connection, symbol FROM intervals WHERE start <= {NOW} AND expires > {NOW}), t AS (SELECT count(*) AS client_subscriptions, count(DISTINCT symbol) AS unique_symbols FROM l)"
