@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import shards
-from tickloom.llm.common import discard, mix64, pieces_of, safe_id, shingle_hashes, stored, words_of
+from tickloom.llm.common import discard, mix64, pieces_of, safe_id, shingle_hashes, small, stored, words_of
 from tickloom.llm.ngram_join import PIECE, bitmap_bits, join_tiles
 
 BANDS, ROWS = 14, 4
@@ -118,6 +118,13 @@ def paragraphs(docs: DataFrame, least: int, k: int) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select(safe_id(), "text").mapInPandas(scan, _SCHEMA)
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted documents' texts with what stands in `wanted` for each: ids go to the texts first, if there are few enough of
+    them, so that other texts do not move."""
+    few = docs.select("doc_id", "text").join(small(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi")
+    return few.join(wanted, "doc_id")
+
+
 def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5), k: int = 5, across: bool = True) -> DataFrame:
     """One row a repeated paragraph: doc_id, paragraph (line number from 0), start, end, n_words, cluster_doc, cluster_paragraph, n_docs, removed.
 
@@ -142,7 +149,7 @@ def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5),
                 at = np.flatnonzero(np.isin(lines.f, np.concatenate(batch["ids"].to_list())))
                 yield pd.DataFrame({"id": lines.f[at], "s": [lines.set_of(i).tobytes() for i in at]})
 
-        found = docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(sets, "id long, s binary")
+        found = _texts_of(docs, wanted).mapInPandas(sets, "id long, s binary")
         return found.groupBy("id").agg(F.first("s").alias("s"))
 
     listed = classes.select("id", "n", F.explode("bands").alias("h"))
@@ -249,7 +256,7 @@ def passages(docs: DataFrame, run: int = RUN) -> DataFrame:
             yield pd.DataFrame({"ids": [part["doc_id"].to_list()], "texts": [part["text"].to_list()], "shared": [part["shared"].to_list()], "words": [int(part["text"].map(len).sum()) // 6 + 1]})
 
     schema = "ids array<long>, texts array<string>, shared array<array<long>>, words long"
-    chunks = stored(rows.join(near, "doc_id").mapInPandas(cut, schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    chunks = stored(_texts_of(rows, near).mapInPandas(cut, schema).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     discard(near)
     bits = shards.shard_bits(chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
 
