@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalar as fn
 from tickloom.operators import candles as cd
 from tickloom.operators import fanout as fo
+from tickloom.operators import metrics as mt
 from tickloom.operators import normalise as nm
 from tickloom.operators import quality as ql
 from tickloom.operators import selection as se
@@ -156,3 +157,24 @@ def test_asof_and_numbers_do_not_depend_on_slices(spark, sf_dir):
     few = trades.filter("pos = 1")
     numbers = lambda width: sorted((r.product, r.message, r.i) for r in nm.numbered(few, "product", "message", "i", width).collect())
     assert numbers(50) == numbers(10**9) and numbers(50)[0][2] == 1
+
+
+def test_rates_and_diagnostics(spark):
+    rows = [("s", at(0), 1, "a", True, None, None), ("s", at(5), 2, "b", False, "bad_json", None), ("s", at(6), 3, "a", True, None, "a"), ("s", at(20), 4, "a", False, "bad_json", "a"), ("t", at(0), 5, "a", False, None, None)]
+    df = spark.createDataFrame(rows, "session string, at timestamp_ntz, event_id long, channel string, ok boolean, error string, ack string")
+    got = {r.session: r for r in mt.session_diagnostics(df, "session", "channel", "at", F.col("ok"), "error", "ack").collect()}
+    s, t = got["s"], got["t"]
+    assert (s.messages, s.channels, s.max_gap_micros, s.projected, s.max_projected_gap_micros) == (4, 2, 14_000_000, 2, 6_000_000)
+    assert (s.by_channel, s.rejects, s.acks) == ({"a": 3, "b": 1}, {"bad_json": 2}, {"a": 2}) and (t.projected, t.max_projected_gap_micros, t.rejects) == (0, None, None)
+    rates = {r.session: (r.messages, r["bytes"], r.messages_per_second, r.bytes_per_second) for r in mt.run_rates(df, "session", "at", F.lit(100)).collect()}
+    assert rates == {"s": (4, 400, 0.2, 20.0), "t": (1, 100, None, None)}
+    one = mt.throughput(df, "at", ["session"], 60, 60, F.lit(100)).filter("session = 's'").first()
+    assert (one.n, one["bytes"], round(one.bytes_per_second, 6)) == (4, 400, round(400 / 60, 6))
+
+
+def test_backlog_with_age_and_missing_group(spark):
+    log = spark.createDataFrame([(i, at(10 * i)) for i in range(3)], "entry_id long, entered_at timestamp_ntz")
+    acks = spark.createDataFrame([("a", 0, at(1)), ("a", 1, None)], "`group` string, entry_id long, acked_at timestamp_ntz")
+    groups = spark.createDataFrame([("a",), ("none",)], "`group` string")
+    got = {r.group: (r.backlog, r.group_present, r.oldest_age_seconds) for r in mt.consumer_backlog(log, acks, groups, 10, F.lit("2026-08-04 10:01:00").cast("timestamp_ntz")).collect()}
+    assert got == {"a": (2, True, 50), "none": (3, False, 60)}

@@ -36,17 +36,47 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, qs: tuple[float,
     return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.bround((F.col("_n") - 1) * F.lit(q)) + 1, F.col(value))).alias(f"p{round(q * 100)}") for q in qs])
 
 
-def throughput(rows: DataFrame, at: str, keys: list[str], seconds: int, slide: int) -> DataFrame:
-    """Rows a second in sliding windows."""
+def throughput(rows: DataFrame, at: str, keys: list[str], seconds: int, slide: int, size: Column | None = None) -> DataFrame:
+    """Rows a second in sliding windows; with `size` (bytes of a row) also bytes and bytes a second."""
     w = F.window(F.col(at), f"{seconds} seconds", f"{slide} seconds")
-    return rows.groupBy(*keys, w.alias("_w")).agg(F.count("*").alias("n")).select(*keys, F.col("_w.start").alias("window_start"), "n", (F.col("n") / seconds).alias("per_second"))
+    sums = [F.count("*").alias("n")] if size is None else [F.count("*").alias("n"), F.sum(size).alias("bytes")]
+    rates = [(F.col(c) / seconds).alias(name) for c, name in (("n", "per_second"), ("bytes", "bytes_per_second"))][: len(sums)]
+    counted = rows.groupBy(*keys, w.alias("_w")).agg(*sums)
+    return counted.select(*keys, F.col("_w.start").alias("window_start"), *counted.columns[len(keys) + 1 :], *rates)
 
 
-def session_diagnostics(rows: DataFrame, session: str, channel: str, at: str) -> DataFrame:
-    """Messages, channels, first and last time and the longest silence of each session."""
+def run_rates(rows: DataFrame, run: str, at: str, size: Column) -> DataFrame:
+    """Messages and bytes of each run, its seconds, and both a second (null for runs that took no time)."""
+    out = rows.groupBy(run).agg(F.count("*").alias("messages"), F.sum(size).alias("bytes"), F.min(at).alias("_a"), F.max(at).alias("_b"))
+    out = out.withColumn("seconds", (F.unix_micros(F.col("_b").cast("timestamp")) - F.unix_micros(F.col("_a").cast("timestamp"))) / 1e6)
+    return out.select(run, "messages", "bytes", "seconds", F.try_divide("messages", "seconds").alias("messages_per_second"), F.try_divide("bytes", "seconds").alias("bytes_per_second"))
+
+
+def counts_by(rows: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """A map of counts by the values of a column of few values (channels, error types), for each key."""
+    per = rows.filter(F.col(by).isNotNull()).groupBy(key, by).agg(F.count("*").alias("_n"))
+    return per.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "_n")))).alias(name))
+
+
+def session_diagnostics(rows: DataFrame, session: str, channel: str, at: str, projected: Column | None = None, error: str | None = None, ack: str | None = None) -> DataFrame:
+    """Messages, channels, first and last time and the longest silence of each session.
+
+    With `projected` (which messages became events): their number and longest silence, and messages by channel; with `error` and
+    `ack`, columns that name a reject's type and an acknowledged channel: counts by these.
+    """
     w = Window.partitionBy(session).orderBy(at, "event_id")
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp")))
-    return rows.withColumn("_gap", gap).groupBy(session).agg(F.count("*").alias("messages"), F.countDistinct(channel).alias("channels"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("_gap").alias("max_gap_micros"))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    sums = [F.count("*").alias("messages"), F.countDistinct(channel).alias("channels"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("_gap").alias("max_gap_micros")]
+    out = rows.withColumn("_gap", micros - F.lag(micros).over(w))
+    if projected is not None:
+        mine = F.when(projected, micros)
+        out = out.withColumn("_own", mine - F.last(mine, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        sums += [F.count_if(projected).alias("projected"), F.max("_own").alias("max_projected_gap_micros")]
+    out = out.groupBy(session).agg(*sums)
+    maps = ([(channel, "by_channel")] if projected is not None else []) + [(c, n) for c, n in ((error, "rejects"), (ack, "acks")) if c]
+    for by, name in maps:
+        out = out.join(counts_by(rows, session, by, name), session, "left")
+    return out
 
 
 def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen: int, now: Column | None = None) -> DataFrame:
