@@ -22,6 +22,7 @@ BROADCAST_ROWS = 500_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,9 +71,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """stored() as a table in so many buckets of a key: joins and groupings by the key then move none of its rows again."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table_name}"
+    with _cleaning(spark):
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(table_name)
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.table(table_name)
+    _PATHS[out], _TABLES[out] = path, table_name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more: what was made from them has to be stored itself by now."""
     for df in tables:
+        if name := _TABLES.pop(df, None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         at, files = _file_system(df.sparkSession, _PATHS.pop(df))
         files.delete(at, True)
 

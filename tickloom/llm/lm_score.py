@@ -3,9 +3,9 @@
 Every training word, begin and end of a text is counted over all training documents. Pairs and triples that occur twice or more
 are arcs, at every corpus size. A missing arc follows the failure arc to the shorter history, at the history's backoff weight;
 the last history has every word. The automaton is never held in one place: texts are cut into chunks, and each chunk asks the
-shards of the key space. First it sends a few bits of each distinct pair and triple, which rules out most that occur once; then
-the whole keys of words and of what is left, for their counts; then the histories among them, for their backoff weights. With
-these it passes through its texts from left to right: the state at a place is the longest history there that has arcs. Of the
+shards of the key space. First it sends its words, and a few bits of each distinct pair and triple, which rules out most that
+occur once; then the whole keys of what is left, for their counts; then the histories among them, by the numbers that shards
+have given them, for the sums behind their backoff weights. With these it passes through its texts from left to right: the state at a place is the longest history there that has arcs. Of the
 chunks that hold an arc, one adds it to its history.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import shards
-from tickloom.llm.common import discard, hash_words, mix64, real_id, safe_id, stored, utf8
+from tickloom.llm.common import discard, hash_words, mix64, real_id, safe_id, stored, stored_by, utf8
 
 #: Occurrences that make a pair or triple an arc, at every size.
 LEAST = 2
@@ -110,48 +110,83 @@ class _Stream:
         return np.bincount(self.at[k][train], minlength=len(self.keys[k])).astype("uint64")
 
 
-def _repeats(_k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """1 for each short key that occurs twice or more, or that shares its bits with others that do."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    return [(np.bincount(inverse, counts) >= LEAST).astype("uint8")[inverse]], 0
+def _totals(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[list[np.ndarray], int]:
+    """Twice the whole count of each key (0 below `least`), and one more at one of its places; and its number in the shard."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(number, counts).astype("uint64")
+    total[total < least] = 0
+    out = total[number] * np.uint64(2)
+    out[first] += (total > 0).astype("uint64")
+    return [out, number.astype("uint32")], int((total > 0).sum())
 
 
-def _total(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Twice the whole count of each key, and one more at one of its places; pairs and triples that occur once have 0."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, counts).astype("uint64")
-    if k > 1:
-        total[total < LEAST] = 0
-    out = total[inverse] * np.uint64(2)
-    out[first] += (total > 0).astype("uint64")
-    return [out], int((total > 0).sum()) if k == 1 else 0
+def _words_and_repeats(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Words: their totals. Short keys: 1 for each that occurs twice or more, or shares its bits with others that do."""
+    if k == 1:
+        return _totals(keys, counts, 1)
+    _, number = np.unique(keys, return_inverse=True)
+    return [(np.bincount(number, counts) >= LEAST).astype("uint8")[number]], 0
 
 
-def _backoff(history: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-    """log10 of what a history's arcs leave, over what the shorter history gives to words without an arc."""
-    left = 1 - np.bincount(history, p, n)
-    free = 1 - np.bincount(history, lower, n)
-    return np.log10(np.maximum(left, 1e-9) / np.maximum(free, 1e-9))
+def _pairs_and_triples(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Their totals; triples are no histories and need no numbers."""
+    out, _ = _totals(keys, counts, LEAST)
+    return out[: 4 - k], 0
+
+
+def _sums(_k: int, numbers: np.ndarray, *parts: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Whole sums of each history, from the sums over the arcs that chunks own."""
+    _, history = np.unique(numbers, return_inverse=True)
+    return [np.bincount(history, x).astype("uint64")[history] for x in parts], 0
 
 
-def _weight(_k: int, keys: np.ndarray, p: np.ndarray, lower: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Backoff weight of each history, from the sums over its arcs that chunks give."""
-    known, history = np.unique(keys, return_inverse=True)
-    return [_backoff(history, p, lower, len(known))[history].astype("float32")], 0
+def _backoff(taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 of what a history's arcs leave, over what the shorter history gives to words without an arc."""
+    return np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - lower, 1e-9))
 
 
 class _Arcs:
-    """Whole counts and probabilities of a chunk's grams; 0 for pairs and triples that are no arcs."""
+    """Whole counts and probabilities of a chunk's grams; 0 for pairs and triples that are no arcs.
+
+    Twice the count less the discount is a whole number, so sums over arcs are exact wherever they are made.
+    """
 
-    def __init__(self, s: _Stream, answers, scale: int):
-        self.count, self.owned, self.p = {}, {}, {}
+    def __init__(self, s: _Stream, row, scale: int):
+        self.count, self.owned, self.number, self.p = {}, {}, {}, {}
         for k in (1, 2, 3):
+            answers = row.sieve if k == 1 else row.counts
             x = shards.numbers_of(answers, k, 0, "uint64")
             self.count[k], self.owned[k] = (x >> np.uint64(1)).astype("float64"), (x & np.uint64(1)).astype(bool)
+            if k < 3:
+                self.number[k] = shards.numbers_of(answers, k, 1, "uint32")
+        self.scale, self.history, self.last = scale, {}, {}
+        self.twice = {k: np.where(self.count[k] > 0, 2 * self.count[k] - 2 * DISCOUNT, 0) for k in (2, 3)}
         self.p[1] = (self.count[1] + 1) / scale
-        self.history = {k: s.at[k - 1][s.first[k] - 1] for k in (2, 3)}
         for k in (2, 3):
-            self.p[k] = np.where(self.count[k] > 0, self.count[k] - DISCOUNT, 0) / np.maximum(self.count[k - 1][self.history[k]], 1)
+            self.history[k], self.last[k] = s.at[k - 1][s.first[k] - 1], s.at[k - 1][s.first[k]]
+            self.p[k] = self.twice[k] / 2 / np.maximum(self.count[k - 1][self.history[k]], 1)
+
+    def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Over the arcs of order k that this chunk owns, for each history: twice their discounted counts, and the numerators of
+        the lower order's probabilities of their words."""
+        own = self.owned[k] & (self.count[k] > 0)
+        lower = self.count[1] + 1 if k == 2 else self.twice[2]
+        n = len(self.count[k - 1])
+        return tuple(np.bincount(self.history[k][own], x[own], n).astype("uint64") for x in (self.twice[k], lower[self.last[k]]))
+
+    def asked(self, k: int) -> np.ndarray:
+        """Grams that may be histories of arcs."""
+        return np.flatnonzero(self.count[k] >= LEAST)
+
+    def weights(self, k: int, s: _Stream, answers) -> np.ndarray:
+        """Backoff weight of each history of order k - 1; 0 for those without arcs, and at the end for no history."""
+        out = np.zeros(len(self.count[k - 1]) + 1)
+        at = self.asked(k - 1)
+        taken, lower = (shards.numbers_of(answers, k - 1, i, "uint64").astype("float64") for i in (0, 1))
+        # A pair's arcs end in pairs that start with its second word.
+        under = float(self.scale) if k == 2 else 2 * self.count[1][s.at[1][s.first[2][at]]]
+        out[at] = _backoff(taken / (2 * self.count[k - 1][at]), lower / under)
+        return out
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -162,7 +197,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     other than doc_id and text are not read. Texts of any length are taken whole; a long one is a chunk of its own.
     """
     rows = docs.select(safe_id(), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    chunks = stored(_chunks(rows), "chunks")
+    # In buckets of the chunk, so that later passes meet their answers without moving the chunks again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = stored_by(_chunks(rows), "chunks", "chunk", parts)
     sizes = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("places", "train", "n_docs")]).first()
     tokens = sizes["train"]
     bits = shards.shard_bits(sizes["places"])
@@ -172,53 +209,46 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 s = _Stream(row)
-                out = [r for k in (2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k] >> np.uint64(64 - short), np.minimum(s.counts(k), LEAST).astype("uint8"), width=short)]
+                out = [*shards.requests(1, row.chunk, bits, s.keys[1], s.counts(1))]
+                out += [r for k in (2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k] >> np.uint64(64 - short), np.minimum(s.counts(k), LEAST).astype("uint64"), width=short)]
                 yield pd.DataFrame(out, columns=_REQUEST)
 
-    asked = chunks.mapInPandas(ask_repeats, shards.REQUEST)
-    sieve = stored(shards.by_chunk(shards.answered(asked, ["uint8"], _repeats), "sieve"), "sieve")
-    sieved = chunks.join(sieve, "chunk", "left")
+    first = stored_by(shards.answered(chunks.mapInPandas(ask_repeats, shards.REQUEST), ["uint64"], _words_and_repeats), "first", "chunk", parts)
+    distinct = first.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] - (sizes["n_docs"] > 0)  # begin is no word
+    scale = tokens + distinct + 1
+    sieved = chunks.join(shards.by_chunk(first, "sieve"), "chunk")
 
     def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 s = _Stream(row, row.sieve)
-                out = [r for k in (1, 2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k], s.counts(k))]
+                out = [r for k in (2, 3) for r in shards.requests(k, row.chunk, bits, s.keys[k], s.counts(k))]
                 yield pd.DataFrame(out, columns=_REQUEST)
 
-    totals = stored(shards.answered(sieved.mapInPandas(ask_counts, shards.REQUEST), ["uint64"], _total), "totals")
-    distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] - (sizes["n_docs"] > 0)  # begin is no word
-    scale = tokens + distinct + 1
-    counted = sieved.join(shards.by_chunk(totals, "counts"), "chunk")
+    totals = stored_by(shards.answered(sieved.mapInPandas(ask_counts, shards.REQUEST), ["uint64"], _pairs_and_triples), "totals", "chunk", parts)
+    counted = sieved.join(shards.by_chunk(totals, "counts"), "chunk", "left")
 
-    def ask_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 s = _Stream(row, row.sieve)
-                arcs, out = _Arcs(s, row.counts, scale), []
+                arcs, out = _Arcs(s, row, scale), []
                 for k in (2, 3):
-                    own = arcs.owned[k] & (arcs.count[k] > 0)
-                    lower = arcs.p[k - 1][s.at[k - 1][s.first[k]]]
-                    n = len(s.keys[k - 1])
-                    p, low = (np.bincount(arcs.history[k][own], x[own], n) for x in (arcs.p[k], lower))
-                    asked = arcs.count[k - 1] >= LEAST
-                    out += shards.requests(k - 1, row.chunk, bits, s.keys[k - 1][asked], p[asked], low[asked])
+                    at = arcs.asked(k - 1)
+                    out += shards.requests(k - 1, row.chunk, bits, s.keys[k - 1][at], *(x[at] for x in arcs.sums(k)), send=arcs.number[k - 1][at])
                 yield pd.DataFrame(out, columns=_REQUEST)
 
-    weights = shards.answered(counted.mapInPandas(ask_weights, shards.REQUEST), ["float64", "float64"], _weight)
-    weights = stored(shards.by_chunk(weights, "weights"), "weights")
+    sums = stored_by(shards.answered(counted.mapInPandas(ask_sums, shards.REQUEST), ["uint64", "uint64"], _sums), "sums", "chunk", parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 s = _Stream(row, row.sieve)
-                arcs = _Arcs(s, row.counts, scale)
+                arcs = _Arcs(s, row, scale)
                 one = np.where(s.begin, 0.0, np.log10(arcs.p[1])[s.at[1]])
                 weight = one
                 for k in (2, 3):
-                    back = np.zeros(len(s.keys[k - 1]) + 1)  # 0 for histories without arcs, and at the end for no history
-                    asked = np.flatnonzero(arcs.count[k - 1] >= LEAST)
-                    back[asked] = shards.numbers_of(row.weights, k - 1, 0, "float32")
+                    back = arcs.weights(k, s, row.sums)
                     p = np.append(arcs.p[k], 0.0)[s.at[k]]
                     history = np.concatenate([[-1], s.at[k - 1][:-1]])
                     with np.errstate(divide="ignore"):
@@ -230,6 +260,6 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = stored(counted.join(weights, "chunk", "left").mapInPandas(run, schema), "scores")
-    discard(chunks, sieve, totals, weights)
+    out = stored(counted.join(shards.by_chunk(sums, "sums"), "chunk", "left").mapInPandas(run, schema), "scores")
+    discard(chunks, first, totals, sums)
     return out.select(real_id(), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

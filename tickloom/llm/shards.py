@@ -45,13 +45,17 @@ def shard_bits(keys: int) -> int:
     return max(0, (-(-keys // SHARD_KEYS) - 1).bit_length())
 
 
-def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray, width: int = 64) -> Iterator[tuple]:
-    """Rows (n, shard, chunk, keys, numbers) of sorted keys of so many bits, one a shard that has any."""
+def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray, width: int = 64, send: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows (n, shard, chunk, keys, numbers) of sorted keys of so many bits, one a shard that has any.
+
+    `send` goes in the keys' place where it is given: numbers by which the shard knows the keys, in the same order.
+    """
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)) if bits else []
     edges = [0, *cuts, len(keys)]
+    sent = keys if send is None else send.astype("uint64")
     for shard, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
-            yield n, shard, chunk, packed(keys[a:b]), [planes(x[a:b]) for x in numbers]
+            yield n, shard, chunk, packed(sent[a:b]), [planes(x[a:b]) for x in numbers]
 
 
 REQUEST = "n int, shard int, chunk long, keys binary, numbers array<binary>"
