@@ -153,15 +153,16 @@ def repeated(docs: DataFrame, least: int = 20, share: tuple[int, int] = (4, 5),
         return found.groupBy("id").agg(F.first("s").alias("s"))
 
     listed = classes.select("id", "n", F.explode("bands").alias("h"))
-    parts = join_tiles(listed, classes.select("id", "n", "bits"), contents, share, lambda k, na, nb: k >= 1)
+    parts = stored(join_tiles(listed, classes.select("id", "n", "bits"), contents, share, lambda k, na, nb: k >= 1), "parts")
     plain = rows.select("doc_id", "paragraph", "start", "end", "n_words", "f")
-    named = stored(plain.join(parts.withColumnRenamed("id", "f"), "f", "left").withColumn("c", F.coalesce("component_id", "f")).drop("component_id", "f").distinct(), "named")
-    discard(rows, classes)
+    named = stored(plain.join(small(parts.withColumnRenamed("id", "f"), parts.count()), "f", "left").withColumn("c", F.coalesce("component_id", "f")).drop("component_id", "f").distinct(), "named")
+    discard(rows, classes, parts)
     docs_of = named.select("c", "doc_id").distinct().groupBy("c").agg(F.count("*").alias("n_docs"))
     size = named.groupBy("c").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "paragraph")).alias("first")).filter("m > 1").join(docs_of, "c")
     if across:
         size = size.filter("n_docs > 1")
-    out = named.join(size.select("c", "n_docs", "first"), "c")
+    size = stored(size.select("c", "n_docs", "first"), "clusters")
+    out = named.join(small(size, size.count()), "c")
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("paragraph") != F.col("first.paragraph"))
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("cluster_doc"), F.col("first.paragraph").alias("cluster_paragraph"), "n_docs", removed.alias("removed"))
 
@@ -247,9 +248,9 @@ def passages(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     chosen = stored(rows.mapInPandas(halves, "h long, doc_id long"), "halves")
     # Sums of a task come first, so a passage that a third of all documents hold is one row a task.
-    shared = chosen.groupBy("h").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("h")
-    near = stored(chosen.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "near")
-    discard(chosen)
+    shared = stored(chosen.groupBy("h").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("h"), "shared")
+    near = stored(chosen.join(small(shared, shared.count()), "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "near")
+    discard(chosen, shared)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces_of(batches, CHUNK):
