@@ -25,11 +25,11 @@ from tickloom.llm.common import discard, hash_words, mix64, real_id, safe_id, st
 LEAST = 2
 #: Taken off each arc's count and given to the failure arc.
 DISCOUNT = 0.5
-#: Bits of a key, after those that name its shard, that tell apart what occurs once: of two million keys of a shard, one in
+#: Bits of a key, after those that name its shard, that tell apart what occurs once: of a million keys of a shard, one in
 #: sixty shares them with another by chance, and is then asked for whole as well.
-SHORT = 27
+SHORT = 26
 #: Bytes of text that close a chunk.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 _BEGIN, _END = np.uint64(0x5BE6137A0C4D92F1), np.uint64(0xE4D1A2B39C587F06)
 _FACTOR = (None, None, np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407))
 

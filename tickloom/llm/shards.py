@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys of a shard, about.
-SHARD_KEYS = 2_000_000
+SHARD_KEYS = 1_000_000
 
 
 def planes(x: np.ndarray) -> bytes:
