@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import lattice_dedup, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
+from tickloom.llm import lattice_dedup, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
 from tickloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -63,10 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op2_license_scan": license_scan.sql(),
     "op7_topk_search": topk_search.sql(),
     "op10_mixing": mixing.sql(),
+    "op11_lexical_search": lexical_search.sql(),
 }
