@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import lattice_dedup, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
+from tickloom.llm import lattice_dedup, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity, whitening
 from tickloom.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {
