@@ -71,6 +71,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the session's file system closes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
 def stored_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     """stored() as a table in so many buckets of a key: joins and groupings by the key then move none of its rows again."""
     spark = df.sparkSession
@@ -121,6 +129,21 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: A group of copies with more than this share of all rows is hot; there are fewer than its inverse of them.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows with the one row of their group, which counts them in `copies`; total: all rows, those without a group included.
+
+    Hot groups, of which there are fewer than 1 / HOT_SHARE, go to the rows; the others, each small, meet them by a shuffle.
+    """
+    hot = F.col("copies") > max(1, int(total * HOT_SHARE))
+    few = F.broadcast(groups.filter(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(groups.filter(~hot), keys, how)
+    return rows.join(few, keys).unionByName(rest)
+
+
 #: Stands for a null id inside Python functions, where nulls would turn ids into floating point numbers.
 NO_ID = -(1 << 63)
 

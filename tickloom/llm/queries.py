@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import lattice_dedup, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity, whitening
-from tickloom.llm.common import table
+from tickloom.llm import lattice_dedup, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, pii, substring_dedup, topk_search, toxicity, warc, whitening
+from tickloom.llm.common import scratch_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +85,5 @@ SQL: dict[str, str] = {
     "op7_topk_search": topk_search.sql(),
     "op10_mixing": mixing.sql(),
     "op11_lexical_search": lexical_search.sql(),
+    "op13_warc": warc.sql(),
 }

@@ -14,16 +14,14 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, stored
+from tickloom.llm.common import discard, join_groups, stored
 
 SCALE, SHIFT = 64, 1_000_000
 #: Scaled entries beyond this are held there, so that x stays within 64 bits.
 _HELD = 9e18
-#: Groups of copies with more than this share of the rows are hot; there are fewer than its inverse of them.
-HOT_SHARE = 0.001
 #: Variance, as a share of the greatest, up to which a component counts as having none.
 _NONE = 1e-13
 
@@ -167,7 +165,7 @@ def whiten(vectors: DataFrame, components: int = 16, weights: str = "one", id_co
     done = distinct.select("k1", "k2", "copies", "x").mapInPandas(once, "k1 long, k2 long, copies long, deviation decimal(38,0), z array<double>")
     done = stored(done, "whitened-vectors")
     named = rows.filter(F.size("x") == width).select("id", "k1", "k2")
-    back = _join_back(named, done, total)
+    back = join_groups(named, done, ["k1", "k2"], total)
     discard(groups)
     explained = F.array(*[F.lit(v).cast("double") for v in fit.explained])
     out = back.select("id", "copies", "deviation", F.posexplode("z").alias("at", "whitened"))
@@ -177,14 +175,6 @@ def whiten(vectors: DataFrame, components: int = 16, weights: str = "one", id_co
     )
 
 
-def _join_back(named: DataFrame, done: DataFrame, total: int) -> DataFrame:
-    """Rows with what was made of their vector. Hot groups, of which there are fewer than 1 / HOT_SHARE, go to the rows; the
-    rows of the others, each group small, move by their key."""
-    hot: Column = F.col("copies") > max(1, int(total * HOT_SHARE))
-    few = F.broadcast(done.filter(hot))
-    return named.join(few, ["k1", "k2"]).unionByName(named.join(few.select("k1", "k2"), ["k1", "k2"], "left_anti").join(done.filter(~hot), ["k1", "k2"]))
-
-
 def digest(whitened: DataFrame) -> DataFrame:
     """The rows with deviation as a long, null where 64 bits do not hold it."""
     return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
