@@ -15,7 +15,9 @@ from tickloom.operators import ledger as lg
 from tickloom.operators import metrics as mt
 from tickloom.operators import quality as ql
 from tickloom.plans import fixtures as fx
+from tickloom.operators.machines import TemporalGuard
 from tickloom.streaming import jobs
+from tickloom.streaming.stateful import machine_stream
 
 T0 = dt.datetime(2026, 8, 4, 10, 0)
 
@@ -81,13 +83,6 @@ def test_temporal_integrity(spark):
     assert judged(spark, [(1, 1, 5, 1), (2, 2, None, 2), (2, 3, 5, 3), (2, 3, 6, 4)])[2:] == [("quarantined", "sequence_regression", 0), ("accepted", "advanced", 0)]
 
 
-def test_temporal_guard_forgets_the_oldest_ids():
-    state, row = None, {"generation": 1, "sequence": None}
-    for i in range(4):
-        state, _ = ql.temporal_step(state, row | {"provider_timestamp": i, "event_id": i}, retention=3)
-    assert list(state[3]) == [1, 2, 3]
-
-
 def test_temporal_integrity_over_the_table(spark, sf_dir):
     """The fold against a plain loop over all points."""
     got = {(r.provider, r.symbol, r.arrival, r.event_id): (r.outcome, r.reason, r.missing) for r in ql.temporal_integrity(fx.points(spark, sf_dir), ["provider", "symbol"], ["arrival", "event_id"]).collect()}
@@ -310,7 +305,7 @@ def test_stateful_stream_equals_fold_and_lag_is_kept(spark, sf_dir, tmp_path):
     try:
         for part in (p.filter(F.col("arrival") <= cut), p.filter(F.col("arrival") > cut)):  # two runs over one checkpoint: state survives a restart
             part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            stream = jobs.stateful(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")), ["provider", "symbol"], ["arrival", "event_id"], ql.temporal_step, ql.TEMPORAL)
+            stream = machine_stream(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")), ["provider", "symbol"], "provider_timestamp", ["arrival", "event_id"], TemporalGuard(), arrival=True)
             run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
             run.awaitTermination()
     finally:

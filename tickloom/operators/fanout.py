@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import TIERS, buffer_capacity, delivery_interval, floor_time
 from tickloom.operators.fold import keyed_fold
+from tickloom.operators.machines import Connections, Throttle, TokenBucket, WindowLimit, run_machine
 
 
 def policies(spark: SparkSession) -> DataFrame:
@@ -75,26 +76,13 @@ def conflate_window(quotes: DataFrame, seconds: int) -> DataFrame:
     return quotes.groupBy("symbol", floor_time(F.col("provider_timestamp"), seconds).alias("slot")).agg(F.max_by("price", at).alias("price"), F.max_by("event_id", at).alias("event_id"), (F.count("*") - 1).alias("coalesced"))
 
 
-def conflate_latest(rows: DataFrame, keys: list[str], at: str, seconds: Column | str = "interval_seconds") -> DataFrame:
+def conflate_latest(rows: DataFrame, keys: list[str], at: str, seconds: str = "interval_seconds") -> DataFrame:
     """Exact throttle with trailing edge: adds sent_at and replaced (a later quote took its place before it was due).
 
     A quote goes at once if the interval has passed since the last send; else it waits for last send plus interval, and a
-    newer one takes its place. The fold marks what each row does; a waiting row's end is known at the next row of its key.
+    newer one takes its place.
     """
-    nxt = F.lead(at).over(Window.partitionBy(*keys).orderBy(at, "arrival"))
-
-    def step(state, row):
-        import datetime
-
-        gap = datetime.timedelta(seconds=float(row["interval_seconds"]))
-        now, later = row[at], row["_next"]
-        last = state
-        due = now if last is None or now - last >= gap else last + gap
-        if later is not None and due > now and later < due:
-            return last, (None, True)
-        return due, (due, False)
-
-    return keyed_fold(rows.withColumn("_next", nxt), keys, [at, "arrival"], step, {"sent_at": "timestamp_ntz", "replaced": "boolean"}).drop("_next")
+    return run_machine(rows, keys, at, ["arrival"], Throttle(seconds))
 
 
 def bounded_buffer(rows: DataFrame, client: str, n: int) -> DataFrame:
@@ -161,34 +149,22 @@ def subscription_stats(intervals: DataFrame, at: Column) -> DataFrame:
     return out.withColumn("ratio", ratio).withColumn("reduction", 1 - F.col("unique_symbols") / F.greatest("client_subscriptions", F.lit(1)))
 
 
-def token_bucket(requests: DataFrame, key: str, at: str, rpm: int) -> DataFrame:
-    """Which requests a bucket admits: capacity max(5, ceil(rpm / 6)), refilled at rpm / 60 a second."""
-    import math
+def token_bucket(requests: DataFrame, key: str, at: str, rpm: Column | int | str, cost: str | None = None, burst: str | None = None) -> DataFrame:
+    """Which requests a bucket admits and what remains. rpm is a number or a column (of the client's tier, by with_policy);
+    `cost` and `burst` name columns: tokens of a request, and the capacity where it is not max(5, ceil(rpm / 6))."""
+    rows = requests.withColumn("_rpm", F.col(rpm) if isinstance(rpm, str) else F.lit(rpm).cast("long") if isinstance(rpm, int) else rpm)
+    return run_machine(rows, [key], at, ["event_id"], TokenBucket("_rpm", cost, burst)).drop("_rpm")
 
-    capacity, refill = max(5, math.ceil(rpm / 6)), rpm / 60
 
-    def step(state, row):
-        if rpm <= 0:
-            return state, (False, 0.0)
-        level, last = state or (float(capacity), row[at])
-        level = min(capacity, level + max(0.0, (row[at] - last).total_seconds()) * refill)
-        ok = level >= 1
-        level -= ok
-        return (level, row[at]), (bool(ok), float(level))
-
-    return keyed_fold(requests, [key], [at, "event_id"], step, {"allowed": "boolean", "remaining": "double"})
-
-
-def anchored_window_limit(requests: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
+def anchored_window_limit(requests: DataFrame, key: str, at: str, limit: int | str, seconds: int = 60) -> DataFrame:
     """The first request opens a window; the first `limit` requests in it are allowed."""
+    return run_machine(requests, [key], at, ["event_id"], WindowLimit(limit, seconds))
 
-    def step(state, row):
-        if state is None or (row[at] - state[0]).total_seconds() >= seconds:
-            state = (row[at], 0)
-        state = (state[0], state[1] + 1)
-        return state, (state[1] <= limit,)
 
-    return keyed_fold(requests, [key], [at, "event_id"], step, {"allowed": "boolean"})
+def connection_leases(events: DataFrame, client: str, at: str, order: list[str], most: int | str = "max_connections", seconds: int = 60) -> DataFrame:
+    """Which acquire, heartbeat and release events take effect under a limit of living connections, and how many live then."""
+    rows = with_policy(events) if most == "max_connections" and most not in events.columns else events
+    return run_machine(rows, [client], at, order, Connections(most, seconds))
 
 
 def connection_limit(sessions: DataFrame, key: str, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.fold import keyed_fold
+from tickloom.operators.machines import FailureCount, FirstWithin, TemporalGuard, run_machine
 
 
 def reasons(rules: dict[str, Column]) -> Column:
@@ -66,12 +66,7 @@ def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def dedupe_ttl(rows: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFrame:
     """Accepts a key's first row and every row at least the TTL after the last accepted one; repeats do not extend it."""
-
-    def step(state, row):
-        fresh = state is None or (row[at] - state).total_seconds() >= ttl_seconds
-        return (row[at] if fresh else state), (bool(fresh),)
-
-    return keyed_fold(rows, [key], [at, "arrival"], step, {"accepted": "boolean"})
+    return run_machine(rows, [key], at, ["arrival"], FirstWithin(ttl_seconds))
 
 
 def sequence_anomalies(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,6 +95,12 @@ def exhausted(failures: DataFrame, keys: list[str], order: list[str], limit: int
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") == limit).drop("_r")
 
 
+def exhausted_within(failures: DataFrame, keys: list[str], at: str, order: list[str], limit: int = 3, seconds: int = 3600, transient: Column | None = None) -> DataFrame:
+    """exhausted() with counts that are forgotten `seconds` after an entry's last failure; each renewed count may reach the limit."""
+    rows = failures if transient is None else failures.filter(~F.coalesce(transient, F.lit(False)))
+    return run_machine(rows, keys, at, order, FailureCount(limit, seconds)).filter("exhausted").drop("exhausted")
+
+
 def recorder_filter(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds duplicate (sequence not above the running maximum) and gap_size."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,43 +109,14 @@ def recorder_filter(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.withColumn("duplicate", dup).withColumn("gap_size", F.when(dup | prev.isNull() | F.col("sequence").isNull(), 0).otherwise(F.col("sequence") - prev - 1).cast("long"))
 
 
-#: Event ids of a key that the temporal guard remembers.
-SEEN = 10_000
-
-
-def temporal_step(state, row, retention: int = SEEN):
-    """One step of the temporal guard, for the fold and for the stream: (next state, (outcome, reason, missing)).
-
-    Checked in order: generation, repeated event, timestamp (whatever the generation), sequence (unless the generation has
-    advanced). Only accepted rows move the state; a null sequence leaves the last one. The `retention` newest ids are kept.
-    """
-    gen, ts, seq, eid = row["generation"], row["provider_timestamp"], row["sequence"], row["event_id"]
-    if state is None:
-        return (gen, ts, seq, {eid: None}), ("accepted", "initial", 0)
-    g, t, s, seen = state
-    if gen < g:
-        return state, ("quarantined", "stale_generation", 0)
-    if eid in seen:
-        return state, ("duplicate", "duplicate_event", 0)
-    if ts < t:
-        return state, ("quarantined", "timestamp_rollback", 0)
-    both = seq is not None and s is not None
-    if gen == g and both and seq <= s:
-        return state, ("quarantined", "sequence_regression", 0)
-    gap = seq - s - 1 if gen == g and both else 0
-    reason = "generation_advanced" if gen > g else "sequence_gap" if gap > 0 else "same_timestamp" if ts == t else "advanced"
-    seen[eid] = None
-    if len(seen) > retention:
-        del seen[next(iter(seen))]
-    return (gen, ts, seq if seq is not None else s, seen), ("accepted", reason, max(0, gap))
-
-
-TEMPORAL = {"outcome": "string", "reason": "string", "missing": "long"}
+def temporal_integrity(points: DataFrame, keys: list[str], order: list[str], retention: int = 10_000, resets: bool = True) -> DataFrame:
+    """Adds outcome, reason and missing of the temporal guard's state machine."""
+    return run_machine(points, keys, "provider_timestamp", order, TemporalGuard(retention, resets), arrival=True)
 
 
-def temporal_integrity(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds outcome, reason and missing of the temporal guard's state machine."""
-    return keyed_fold(points, keys, order, temporal_step, TEMPORAL)
+def quarantine_log(judged: DataFrame, at: str, order: list[str], most: int = 500) -> DataFrame:
+    """The newest quarantined rows of all keys, as many as a guard's log keeps."""
+    return judged.filter("outcome = 'quarantined'").orderBy(F.desc(at), *[F.desc(c) for c in order]).limit(most)
 
 
 def rollbacks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -456,7 +456,16 @@ def _(s, d):
     return ql.first_seen(fx.deliveries(s, d), "event_id", ["arrival"]).select("event_id", "arrival")
 
 
-@query("W15_dedupe_ttl")
+def _walk(rows: str, key: str, order: str, first: str, then: str) -> str:
+    """A recursive walk over each key's rows: `first` and `then` are the columns of the state at row r, `then` after state s."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM {rows}),
+ s AS (SELECT {key}, i, {first} FROM r WHERE i = 1 UNION ALL SELECT r.{key}, r.i, {then} FROM s JOIN r ON r.{key} = s.{key} AND r.i = s.i + 1) SELECT * FROM s"""
+
+
+_TTL = "r.received_at - s.last >= INTERVAL 3600 SECOND"
+
+
+@query("W15_dedupe_ttl", "SELECT event_id, arrival, accepted FROM (" + _walk("deliveries", "event_id", "received_at, arrival", "arrival, received_at AS last, true AS accepted", f"r.arrival, CASE WHEN {_TTL} THEN r.received_at ELSE s.last END, {_TTL}") + ")")
 def _(s, d):
     return ql.dedupe_ttl(fx.deliveries(s, d), "event_id", "received_at", 3600).select("event_id", "arrival", "accepted")
 
@@ -466,6 +475,14 @@ def _(s, d):
     return ql.stream_health(ql.sequence_anomalies(fx.quotes(s, d), ["provider", "symbol"], ARRIVAL), ["provider", "symbol"], "received_at", now(), 86_400)
 
 
+_KEPT = "r.received_at - s.last < INTERVAL 86400 SECOND"
+
+
+@query("W21_retry_expiry", "SELECT event_id, n AS retries FROM (" + _walk("(SELECT *, user_id || symbol AS key FROM quotes WHERE k % 4 = 0)", "key", "received_at, arrival", "event_id, received_at AS last, 1::BIGINT AS n", f"r.event_id, r.received_at, CASE WHEN {_KEPT} THEN s.n + 1 ELSE 1 END") + ") WHERE n = 2")
+def _(s, d):
+    return ql.exhausted_within(fx.quotes(s, d).filter("k % 4 = 0"), _KEYS, "received_at", ["arrival"], 2, 86_400).select("event_id", "retries")
+
+
 @query("W21_retry_dlq", "SELECT user_id, event_id FROM quotes WHERE k % 4 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY arrival, event_id) = 3")
 def _(s, d):
     return ql.exhausted(fx.quotes(s, d).filter("k % 4 = 0"), _KEYS, ARRIVAL, 3).select("user_id", "event_id")
@@ -552,10 +569,15 @@ def _(s, d):
     return fo.conflate_window(fx.quotes(s, d), 10)
 
 
-@query("W11_conflate_latest")
+_SLOT = "coalesce(greatest(r.received_at, s.last + r.gap), r.received_at)"
+_LOST = f"coalesce({_SLOT} > r.received_at AND r.later < {_SLOT}, false)"
+
+
+@query("W11_conflate_latest", "SELECT event_id, CASE WHEN NOT replaced THEN last END AS sent_at, replaced FROM (" + _walk("(SELECT *, user_id || symbol AS key, to_seconds(CASE WHEN user_id % 20 < 14 THEN 3600 WHEN user_id % 20 < 19 THEN 1800 ELSE 600 END) AS gap, lead(received_at) OVER (PARTITION BY user_id, symbol ORDER BY received_at, arrival) AS later FROM quotes)", "key", "received_at, arrival", "event_id, received_at AS last, false AS replaced", f"r.event_id, CASE WHEN {_LOST} THEN s.last ELSE {_SLOT} END, {_LOST}") + ")")
 def _(s, d):
-    rows = fx.quotes(s, d).withColumn("interval_seconds", F.lit(3600.0))
-    return fo.conflate_latest(rows, _KEYS, "received_at").select("event_id", "sent_at", "replaced")
+    """A quote's slot is the later of its arrival and the last send plus its client's interval; one that comes before takes it."""
+    gap = F.when(fx.tier_of() == "basic", 3600.0).when(fx.tier_of() == "pro", 1800.0).otherwise(600.0)
+    return fo.conflate_latest(fx.quotes(s, d).withColumn("interval_seconds", gap), _KEYS, "received_at").select("event_id", "sent_at", "replaced")
 
 
 @query("W13_bounded_buffer", "WITH m AS (SELECT user_id, symbol, max(received_at) AS received_at, arg_max(event_id, (received_at, arrival)) AS event_id FROM quotes GROUP BY ALL) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY received_at DESC, symbol) <= 2")
@@ -586,16 +608,6 @@ def _many(s, d):
     return rows.select("client_id", "tier", F.concat(F.lit("S"), "n").alias("symbol"), *missing)
 
 
-_W8 = """WITH i AS (SELECT connection, symbol, start, expires, max(expires) OVER (PARTITION BY connection, symbol ORDER BY start, expires ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
-n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + INTERVAL 3 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY connection, symbol ORDER BY start, expires ROWS UNBOUNDED PRECEDING) AS island FROM i)
-SELECT connection || symbol AS symbol, min(start) AS activate_at, max(expires) + INTERVAL 3 SECOND AS release_at, count(*) AS subscriptions FROM n GROUP BY connection, symbol, island"""
-
-
-@query("W8_upstream_activation", _W8)
-def _(s, d):
-    return fo.activations(fx.intervals(s, d).withColumn("symbol", F.concat(F.col("connection").cast("string"), "symbol")))
-
-
 _W8_SYMBOL = """WITH i AS (SELECT symbol, start, expires, max(expires) OVER (PARTITION BY symbol ORDER BY start, expires ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + INTERVAL 3 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY start, expires ROWS UNBOUNDED PRECEDING) AS island FROM i)
 SELECT symbol, min(start) AS activate_at, max(expires) + INTERVAL 3 SECOND AS release_at, count(*) AS subscriptions FROM n GROUP BY symbol, island"""
@@ -651,12 +663,28 @@ def _(s, d):
     return fx.quotes(s, d).select("event_id", F.array_join(se.unique_lists(F.when(even, a), F.when(even, b), F.when(~even, b), F.when(~even, a)), ",").alias("warnings"))
 
 
-@query("W16_token_bucket")
+def _bucket(cost: str, capacity: str, rpm: str) -> str:
+    level = f"least({capacity}::DOUBLE, s.remaining + (epoch_us(r.ts) - epoch_us(s.ts)) / 1000000::DOUBLE * ({rpm} / 60::DOUBLE))"
+    first = f"event_id, ts, {capacity} >= {cost} AS allowed, ({capacity} - CASE WHEN {capacity} >= {cost} THEN {cost} ELSE 0 END)::DOUBLE AS remaining".replace("r.", "")
+    return _walk("(SELECT *, CASE WHEN user_id % 20 < 14 THEN 120 WHEN user_id % 20 < 19 THEN 600 ELSE 3000 END AS tier_rpm FROM ev)", "user_id", "ts, event_id", first, f"r.event_id, r.ts, {level} >= {cost}, {level} - CASE WHEN {level} >= {cost} THEN {cost} ELSE 0 END")
+
+
+@query("W16_token_bucket", f"SELECT event_id, allowed, remaining FROM ({_bucket('1', '5', '30')})")
 def _(s, d):
     return fo.token_bucket(fx.events(s, d).select("user_id", "ts", "event_id"), "user_id", "ts", 30).select("event_id", "allowed", "remaining")
 
 
-@query("W17_anchored_window_limit")
+@query("W16_tiered_bucket", f"SELECT event_id, allowed, round(remaining, 6) AS remaining FROM ({_bucket('(1 + r.k % 40)', '(CASE WHEN r.k % 2 = 0 THEN 30 ELSE greatest(5, ceil(r.tier_rpm / 6)) END)', 'r.tier_rpm')})")
+def _(s, d):
+    """Each tier's own rate; requests of different costs; some with a burst capacity of their own."""
+    rows = fx.events(s, d).select("user_id", "ts", "event_id", fx.tier_of().alias("tier"), (1 + F.col("k") % 40).alias("cost"), F.when(F.col("k") % 2 == 0, 30).cast("long").alias("burst"))
+    return fo.token_bucket(fo.with_policy(rows), "user_id", "ts", "rpm", "cost", "burst").select("event_id", "allowed", F.round("remaining", 6).alias("remaining"))
+
+
+_OVER = "r.ts - s.opened >= INTERVAL 86400 SECOND"
+
+
+@query("W17_anchored_window_limit", "SELECT event_id, n <= 2 AS allowed FROM (" + _walk("ev", "user_id", "ts, event_id", "event_id, ts AS opened, 1 AS n", f"r.event_id, CASE WHEN {_OVER} THEN r.ts ELSE s.opened END, CASE WHEN {_OVER} THEN 1 ELSE s.n + 1 END") + ")")
 def _(s, d):
     return fo.anchored_window_limit(fx.events(s, d).select("user_id", "ts", "event_id"), "user_id", "ts", 2, 86_400).select("event_id", "allowed")
 
@@ -666,6 +694,25 @@ def _(s, d):
     return fo.connection_limit(fx.intervals(s, d), "connection", 2).select("connection", "start", "expires", "allowed")
 
 
+_LEASES = """WITH RECURSIVE l AS (SELECT user_id, event_id, ts + to_minutes(m) AS moment, CASE WHEN m = 0 THEN 'acquire' WHEN k % 2 = 1 THEN 'heartbeat' ELSE 'release' END AS event, CASE WHEN user_id % 20 < 14 THEN 2 WHEN user_id % 20 < 19 THEN 5 ELSE 20 END AS most
+  FROM ev, (VALUES (0), (300)) v(m)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, event, event_id) AS i FROM l),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS event, false AS allowed, []::STRUCT(id BIGINT, until TIMESTAMP)[] AS leases FROM l
+  UNION ALL SELECT user_id, i, event_id, event, took, CASE WHEN event = 'release' OR NOT took THEN others ELSE list_append(others, {'id': event_id, 'until': moment + INTERVAL 3 DAY}) END
+  FROM (SELECT *, CASE WHEN event = 'acquire' THEN len(live) + CASE WHEN len(live) = len(others) THEN 1 ELSE 0 END <= most ELSE len(live) > len(others) END AS took
+   FROM (SELECT *, list_filter(live, lambda x: x.id <> event_id) AS others FROM (SELECT r.*, list_filter(s.leases, lambda x: x.until > r.moment) AS live FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))))
+ SELECT event_id, event, allowed, len(leases) AS connections FROM s WHERE i > 0"""
+
+
+@query("W18_connection_leases", f"SELECT * FROM ({_LEASES})")
+def _(s, d):
+    """Connections with leases of three days and the limits of their tiers; after five hours half are renewed, the others released."""
+    log = fx.events(s, d).select("user_id", "event_id", fx.tier_of().alias("tier"), "k", "ts", F.explode(F.array(F.lit(0), F.lit(300))).alias("m"))
+    event = F.when(F.col("m") == 0, "acquire").when(F.col("k") % 2 == 1, "heartbeat").otherwise("release")
+    log = log.select("user_id", "tier", "event_id", F.col("event_id").alias("connection_id"), (F.col("ts") + F.make_dt_interval(mins=F.col("m"))).alias("at"), event.alias("event"))
+    return fo.connection_leases(log, "user_id", "at", ["event", "event_id"], seconds=259_200).select("event_id", "event", "allowed", "connections")
+
+
 # --- usage, metrics, alerts -------------------------------------------------------------------------------------------
 
 _USAGE = "WITH u AS (SELECT DISTINCT ON (idempotency_key) * FROM usage ORDER BY idempotency_key, event_id)"

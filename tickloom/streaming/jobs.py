@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
 from collections import deque
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tickloom.operators.candles import merge_candles
@@ -128,39 +125,6 @@ def latest_table(spark: SparkSession, target: str, before: int | None = None) ->
     return None if newest is None else rows.filter(F.col("batch") == newest).drop("batch")
 
 
-class Fold(StatefulProcessor):
-    """A fold's step function over a stream: the state of a key lives in the state store from batch to batch."""
-
-    def __init__(self, step: Callable, order: list[str], added: list[str]):
-        self.step, self.order, self.added = step, order, added
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("state", "value binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else None
-        out = []
-        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            state, new = self.step(state, row)
-            out.append(new)
-        self.kept.update((pickle.dumps(state),))
-        yield pd.concat([batch, pd.DataFrame(out, columns=self.added, dtype=object)], axis=1)
-
-    def close(self) -> None:
-        pass
-
-
-def stateful(rows: DataFrame, keys: list[str], order: list[str], step: Callable, added: dict[str, str]) -> DataFrame:
-    """keyed_fold over a stream, with the same step functions: a batch's rows of a key are taken in order, batches as they come.
-
-    Needs the RocksDB state store, which it names in the session's settings.
-    """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{n}` {t}" for n, t in added.items()])
-    return rows.groupBy(*keys).transformWithStateInPandas(Fold(step, order, list(added)), schema, "Append", "None")
-
-
 class LagListener(StreamingQueryListener):
     """Keeps the newest progress of each query: batches, rows, speeds and what its sources still hold."""
 
