@@ -280,23 +280,6 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-def test_sinks_take_each_event_once(spark, sf_dir, tmp_path):
-    """Events delivered again in other batches, and batches that run again, change nothing."""
-    q = fx.quotes(spark, sf_dir).select("symbol", "provider_timestamp", "event_id", "price", "arrival").withColumn("provider_timestamp", F.col("provider_timestamp").cast("timestamp"))
-    batches = [q.filter("event_id % 2 = 0"), q.filter("event_id % 3 = 0"), q]
-    archive, rows, newest = jobs.archive_batch(str(tmp_path / "a")), jobs.append_new(str(tmp_path / "r"), ["event_id"]), jobs.keep_latest(str(tmp_path / "l"), "symbol", ["arrival", "event_id"], ["price"])
-    for n in (0, 1, 1, 2, 2):
-        for sink in (archive, rows, newest):
-            sink(batches[n], n)
-    got = jobs.read_archive(spark, str(tmp_path / "a")).select("symbol", F.col("open_time").cast("timestamp_ntz"), "open", "close", "n")
-    want = cd.candles_1m(fx.quotes(spark, sf_dir)).select("symbol", "open_time", "open", "close", "n")
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
-    kept = spark.read.parquet(str(tmp_path / "r" / "rows"))
-    assert kept.count() == kept.select("event_id").distinct().count() == q.count()
-    latest = {r.symbol: r.event_id for r in jobs.latest_table(spark, str(tmp_path / "l")).collect()}
-    assert latest == {r.symbol: r.event_id for r in ql.latest(q, "symbol", ["arrival", "event_id"], ["event_id"]).collect()}
-
-
 def test_stateful_stream_equals_fold_and_lag_is_kept(spark, sf_dir, tmp_path):
     p = fx.points(spark, sf_dir).select("provider", "symbol", "arrival", "event_id", "generation", "sequence", "provider_timestamp")
     cut = p.agg(F.percentile_approx("arrival", 0.5)).first()[0]

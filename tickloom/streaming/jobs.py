@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tickloom.operators.candles import merge_candles
 from tickloom.operators.quality import latest
+from tickloom.streaming.store import Store
 
 
 def quote_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,90 +38,82 @@ def fanout(quotes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return quotes.join(subscriptions, "symbol")
 
 
-def _fresh(batch: DataFrame, batch_id: int, keys: list[str], store: str, day: Column | None = None) -> DataFrame:
-    """The batch's rows whose keys no other batch has stored, once each; their keys are stored under this batch's number.
+def _query(batch: DataFrame) -> str:
+    """The streaming query that runs a foreachBatch function: its checkpoint's id."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
-    A batch that runs again sees the keys of the others alone and replaces its own, so it gives the same rows again. With `day`,
-    keys are stored by day and only the days of the batch are read.
-    """
-    rows = batch.withColumn("_day", F.lit("all") if day is None else F.date_format(day, "yyyy-MM-dd")).dropDuplicates(keys)
-    rows = rows.persist()
-    try:
-        known = rows.sparkSession.read.schema(StructType([*[f for f in rows.schema if f.name in keys], StructField("batch", LongType()), StructField("_day", StringType())])).parquet(store)
-        known = known.filter(F.col("batch") != batch_id).join(F.broadcast(rows.select("_day").distinct()), "_day", "left_semi")  # a batch has few days
-        rows_new = rows.join(known.select(*keys), keys, "left_anti")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows_new = rows
-    rows_new = rows_new.persist()
-    rows_new.select(*keys, "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{store}/batch={batch_id}")
-    rows.unpersist()
-    return rows_new.drop("_day")
 
+def archive_store(spark: SparkSession, target: str, **sizes: int) -> Store:
+    """Partial minute candles; merging them is associative and commutative, so late rows of any age count."""
+    return Store(spark, target, ["event_id"], merge_candles, **sizes)
 
-def archive_batch(target: str):
-    """A foreachBatch function that adds partial candles, one folder a batch: a batch that runs again replaces its own.
 
-    Each event counts once, also when another batch delivers it again. Readers merge the partials (they are associative and
-    commutative), so late rows of any age count and nothing is dropped.
-    """
+def archive_batch(target: str, **sizes: int):
+    """A foreachBatch function that adds partial candles. Each event counts once, whichever batch or query delivers it again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        store, query = archive_store(batch.sparkSession, target, **sizes), _query(batch)
+        if store.done(batch_id, query):
+            return
         at = F.struct("provider_timestamp", "event_id")
-        minute = F.date_trunc("minute", "provider_timestamp").alias("open_time")
-        fresh = _fresh(batch, batch_id, ["event_id"], f"{target}/events", F.col("provider_timestamp"))
-        part = fresh.groupBy("symbol", minute).agg(
+        rows = batch.select("symbol", "provider_timestamp", "event_id", "price").persist()
+        fresh = store.fresh(rows, ["provider_timestamp"]).persist()
+        part = fresh.groupBy("symbol", F.date_trunc("minute", "provider_timestamp").alias("open_time")).agg(
             F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").alias("n"),
             F.min("provider_timestamp").alias("first_ts"), F.max("provider_timestamp").alias("last_ts"), F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id"),
         )
-        part.write.mode("overwrite").parquet(f"{target}/candles/batch={batch_id}")
+        store.commit(part, batch_id, query, fresh)
         fresh.unpersist()
+        rows.unpersist()
 
     return write
 
 
-def read_archive(spark: SparkSession, target: str) -> DataFrame:
-    """The merged minute candles of an archive written by archive_batch."""
-    return merge_candles(spark.read.parquet(f"{target}/candles").drop("batch"))
+def read_archive(spark: SparkSession, target: str) -> DataFrame | None:
+    """The merged minute candles of an archive written by archive_batch; None where there is none."""
+    return archive_store(spark, target).read()
 
 
-def append_new(target: str, keys: list[str]):
-    """A foreachBatch function that stores each key's first row and skips keys already stored, by whichever batch."""
+def append_new(target: str, keys: list[str], order: list[str] | None = None, **sizes: int):
+    """A foreachBatch function that stores each key's first row (of a batch by `order`) and skips keys already stored, by
+    whichever batch or query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = _fresh(batch, batch_id, keys, f"{target}/keys")
-        fresh.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        store, query = Store(batch.sparkSession, target, keys, **sizes), _query(batch)
+        if store.done(batch_id, query):
+            return
+        rows = batch.persist()
+        fresh = store.fresh(rows, order).persist()
+        store.commit(fresh, batch_id, query)
         fresh.unpersist()
+        rows.unpersist()
 
     return write
 
 
-def keep_latest(target: str, key: str, order: list[str], values: list[str]):
-    """A foreachBatch function that keeps the last row of each key: each batch writes the whole table (a row a key) anew, from
-    the newest before its own, so a batch that runs again gives the same table."""
+def read_new(spark: SparkSession, target: str, keys: list[str]) -> DataFrame | None:
+    """The rows that append_new stored."""
+    return Store(spark, target, keys).read()
+
+
+def latest_store(spark: SparkSession, target: str, key: str, order: list[str], values: list[str], **sizes: int) -> Store:
+    names = [*order, *[v for v in values if v not in order]]
+    return Store(spark, target, None, lambda rows: latest(rows, key, order, names), **sizes)
+
+
+def keep_latest(target: str, key: str, order: list[str], values: list[str], **sizes: int):
+    """A foreachBatch function that keeps the last row of each key: a batch adds its own last rows, and merges leave one a key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(key, *order, *[v for v in values if v not in order])
-        before = latest_table(batch.sparkSession, target, batch_id)
-        if before is not None:
-            rows = rows.unionByName(before)
-        names = rows.columns[1:]
-        latest(rows, key, order, names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        store = latest_store(batch.sparkSession, target, key, order, values, **sizes)
+        store.commit(store.merge(batch), batch_id, _query(batch))
 
     return write
 
 
-def latest_table(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest table that keep_latest wrote (before a batch); None where there is none."""
-    try:
-        rows = spark.read.parquet(target)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    newest = (rows if before is None else rows.filter(F.col("batch") < before)).agg(F.max("batch")).first()[0]
-    return None if newest is None else rows.filter(F.col("batch") == newest).drop("batch")
+def latest_table(spark: SparkSession, target: str, key: str, order: list[str], values: list[str]) -> DataFrame | None:
+    """A row a key: the last of all that keep_latest was given; None where nothing was."""
+    return latest_store(spark, target, key, order, values).read()
 
 
 class LagListener(StreamingQueryListener):
