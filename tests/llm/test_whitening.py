@@ -66,3 +66,18 @@ def test_whiten_edges(spark):
     n, xs = 50, [64 * 10**9 * i + 10**6 for i in range(50)]
     for r in whitening.whiten(big).collect():
         assert int(r.deviation) == (n * xs[r.vec_id] - sum(xs)) ** 2
+
+
+def test_more_partitions_than_dimensions(spark):
+    """Tasks without any row leave nothing."""
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "20"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        df = spark.createDataFrame([(i, [float(i % 3), float(i % 2)], 0, "") for i in range(12)], SCHEMA)
+        got = whitening.whiten(df).collect()
+        assert len(got) == 24 and {r.n for r in got} == {6} and max(r.identity_error for r in got) < 1e-9
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)

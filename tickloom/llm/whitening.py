@@ -77,7 +77,8 @@ def _gram(distinct: DataFrame, project: Callable[[np.ndarray], np.ndarray], widt
         for batch in batches:
             for i, row in zip(batch["i"], batch["row"], strict=True):
                 total[i] = total[i] + row if i in total else row
-        yield pd.DataFrame({"i": list(total), "row": list(total.values())})
+        if total:
+            yield pd.DataFrame({"i": list(total), "row": list(total.values())})
 
     schema = "i int, row array<double>"
     out = np.zeros((width, width))
