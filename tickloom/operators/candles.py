@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import TIMEFRAMES, ceil_time, decimal_places, floor_time
+from tickloom.operators.scan import last_before, scan
 
 
 def candles_1m(quotes: DataFrame, seconds: int = 60) -> DataFrame:
@@ -120,12 +121,11 @@ def retained(rows: DataFrame, now: Column, seconds: int, bucket_seconds: int = 6
 
 def volume_delta(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds volume and source: the last size, else the rise of the cumulative volume (a fall is a reset), else one update."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last("cumulative", ignorenulls=True).over(before)
-    cum = F.col("cumulative")
+    points = scan(points, keys, order, {"_previous": last_before("cumulative")})
+    prev, cum = F.col("_previous"), F.col("cumulative")
     delta = F.when(prev.isNull(), F.lit(0)).when(cum < prev, cum).otherwise(cum - prev)
     source = F.when(F.col("last_size").isNotNull(), "last_size").when(cum.isNotNull(), "cumulative").otherwise("updates")
-    return points.withColumn("volume", F.when(F.col("last_size").isNotNull(), F.col("last_size")).when(cum.isNotNull(), delta).otherwise(F.lit(1)).cast("decimal(18,1)")).withColumn("source", source)
+    return points.withColumn("volume", F.when(F.col("last_size").isNotNull(), F.col("last_size")).when(cum.isNotNull(), delta).otherwise(F.lit(1)).cast("decimal(18,1)")).withColumn("source", source).drop("_previous")
 
 
 def ohlcv(points: DataFrame, seconds: int, keys: list[str], order: list[str]) -> DataFrame:

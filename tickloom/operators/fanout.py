@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalar import TIERS, buffer_capacity, delivery_interval, floor_time
 from tickloom.operators.fold import keyed_fold
 from tickloom.operators.machines import Connections, Throttle, TokenBucket, WindowLimit, run_machine
+from tickloom.operators.scan import running_count, running_max, running_sum, scan
 
 
 def policies(spark: SparkSession) -> DataFrame:
@@ -32,9 +33,8 @@ def divisor(rate: Column, provider_rate: int = 10) -> Column:
 
 def decimated(rows: DataFrame, keys: list[str], order: list[str], provider_rate: int = 10) -> DataFrame:
     """A row for each quote and tier that gets it: of a key's quotes, tier t gets those whose number (from 0) its divisor divides."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(max(1, round(provider_rate / v[2]))).alias("divisor")) for t, v in TIERS.items()])
-    return rows.withColumn("n", n).select("*", F.inline(tiers)).filter("n % divisor = 0").drop("divisor")
+    return scan(rows, keys, order, {"n": running_count()}).select("*", F.inline(tiers)).filter("n % divisor = 0").drop("divisor")
 
 
 def savings(before: Column, after: Column) -> Column:
@@ -123,21 +123,12 @@ def slow_consumer_warnings(rows: DataFrame, client: str, order: list[str], thres
 def activations(intervals: DataFrame, grace_seconds: int = 3, width: int = 86_400) -> DataFrame:
     """Islands of a symbol's live subscriptions, joined over gaps up to the grace: activate_at, release_at, subscriptions.
 
-    A symbol's intervals are ordered slice by slice of their start (`width` seconds), side by side. How far the slices before
-    reach, and how many islands they open, is carried over: a row a slice.
+    A symbol's intervals are ordered slice by slice of their start (`width` seconds), side by side.
     """
-    slices = ["symbol", "_slice"]
-    rows = intervals.withColumn("_slice", F.floor(F.unix_seconds(F.col("start").cast("timestamp")) / width))
-    earlier = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy(*slices).orderBy("start", "expires", "connection")
-    grace = F.expr(f"INTERVAL {grace_seconds} SECOND")
-    ends = rows.groupBy(*slices).agg(F.max("expires").alias("_end"))
-    rows = rows.join(ends.select(*slices, F.max("_end").over(earlier).alias("_reach")), slices)
-    reach = F.greatest(F.max("expires").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
-    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + grace), 1).otherwise(0))
-    opened = rows.groupBy(*slices).agg(F.sum("_new").alias("_n"))
-    rows = rows.join(opened.select(*slices, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), slices)
-    rows = rows.withColumn("_island", F.col("_before") + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order, grace = ["start", "expires", "connection"], F.expr(f"INTERVAL {grace_seconds} SECOND")
+    rows = scan(intervals, ["symbol"], order, {"_reach": running_max("expires")}, width)
+    rows = rows.withColumn("_new", (F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + grace)).cast("long"))
+    rows = scan(rows, ["symbol"], order, {"_island": running_sum("_new", inclusive=True)}, width)
     return rows.groupBy("symbol", "_island").agg(F.min("start").alias("activate_at"), (F.max("expires") + grace).alias("release_at"), F.count("*").alias("subscriptions")).drop("_island")
 
 

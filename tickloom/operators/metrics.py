@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.scan import islands, last_before, scan
+from tickloom.plans.lineage import cut
+
 #: Upper bounds in seconds of the latency histogram.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
@@ -29,11 +32,46 @@ def histogram_quantile(hist: DataFrame, keys: list[str], q: float) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("le"))), F.max("le")).alias("value"))
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
-    """Exact percentiles at index round((n - 1) q), half to even."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.bround((F.col("_n") - 1) * F.lit(q)) + 1, F.col(value))).alias(f"p{round(q * 100)}") for q in qs])
+#: Value ranges that a key's values are counted by at once, and the rows of a range that one task may sort.
+RANGES, RANGE_ROWS = 256, 100_000
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, qs: tuple[float, ...], ranges: int = RANGES, most: int = RANGE_ROWS) -> DataFrame:
+    """Exact percentiles at index round((n - 1) q), half to even; null values do not count.
+
+    Values are counted by ranges between a key's least and greatest; the range that holds the rank is cut again until it has at
+    most `most` rows or one value. Only those rows are sorted, so no key is sorted in one task.
+    """
+    values = rows.filter(F.col(value).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"))
+    named = [f"_k{i}" for i in range(len(keys))]
+    targets = F.array(*[F.struct(F.lit(i).alias("_q"), F.bround((F.col("_n") - 1) * F.lit(q)).cast("long").alias("_rank")) for i, q in enumerate(qs)])
+    wanted = values.groupBy(*named).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select("*", F.inline(targets))
+    lo, hi, v = (F.col(c).cast("double") for c in ("_lo", "_hi", "_v"))
+
+    def inside(of: DataFrame) -> DataFrame:
+        """The values of each wanted range, with its bounds."""
+        there = of.select(*[F.col(k).alias(f"{k}_") for k in named], "_q", "_rank", "_lo", "_hi")
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in named]
+        return values.join(there, [*same, F.col("_v").between(F.col("_lo"), F.col("_hi"))]).drop(*[f"{k}_" for k in named])
+
+    done = []
+    while True:
+        wanted = cut(wanted)  # a row for each key and percentile
+        wide = wanted.filter((F.col("_n") > most) & (lo < hi))
+        if not wide.limit(1).count():
+            break
+        done.append(wanted.filter(~((F.col("_n") > most) & (lo < hi))))
+        place = F.least(F.floor((v - lo) / (hi - lo) * ranges), F.lit(ranges - 1))
+        counts = inside(wide).groupBy(*named, "_q", "_rank", place.alias("_cut")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*named, "_q").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = counts.withColumn("_rank", F.col("_rank") - before).filter((F.col("_rank") >= 0) & (F.col("_rank") < F.col("_n")))
+        wanted = held.select(*named, "_n", "_lo", "_hi", "_q", "_rank")
+    found = reduce(DataFrame.unionByName, done, wanted)
+    order = F.row_number().over(Window.partitionBy(*named, "_q").orderBy("_v"))
+    sorted_ = inside(found.filter("_lo <> _hi")).withColumn("_r", order - 1).filter("_r = _rank").select(*named, "_q", "_v")
+    both = found.filter("_lo = _hi").select(*named, "_q", F.col("_lo").alias("_v")).unionByName(sorted_)
+    out = both.groupBy(*named).agg(*[F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(f"p{round(q * 100)}") for i, q in enumerate(qs)])
+    return out.withColumnsRenamed(dict(zip(named, keys, strict=True)))
 
 
 def throughput(rows: DataFrame, at: str, keys: list[str], seconds: int, slide: int, size: Column | None = None) -> DataFrame:
@@ -64,13 +102,12 @@ def session_diagnostics(rows: DataFrame, session: str, channel: str, at: str, pr
     With `projected` (which messages became events): their number and longest silence, and messages by channel; with `error` and
     `ack`, columns that name a reject's type and an acknowledged channel: counts by these.
     """
-    w = Window.partitionBy(session).orderBy(at, "event_id")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     sums = [F.count("*").alias("messages"), F.countDistinct(channel).alias("channels"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("_gap").alias("max_gap_micros")]
-    out = rows.withColumn("_gap", micros - F.lag(micros).over(w))
+    mine = F.when(F.lit(False) if projected is None else projected, micros)
+    out = scan(rows, [session], [at, "event_id"], {"_last": last_before(micros), "_last_own": last_before(mine)}).withColumn("_gap", micros - F.col("_last"))
     if projected is not None:
-        mine = F.when(projected, micros)
-        out = out.withColumn("_own", mine - F.last(mine, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        out = out.withColumn("_own", mine - F.col("_last_own"))
         sums += [F.count_if(projected).alias("projected"), F.max("_own").alias("max_projected_gap_micros")]
     out = out.groupBy(session).agg(*sums)
     maps = ([(channel, "by_channel")] if projected is not None else []) + [(c, n) for c, n in ((error, "rejects"), (ack, "acks")) if c]
@@ -103,11 +140,9 @@ def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen:
 
 def outages(samples: DataFrame, keys: list[str], at: list[str], failed: Column) -> DataFrame:
     """From the first failed attempt to the next success: since, until (null while it lasts) and reconnects (failed attempts)."""
-    w = Window.partitionBy(*keys).orderBy(*at)
-    rows = samples.withColumn("_bad", F.coalesce(failed, F.lit(False)))
-    rows = rows.withColumn("_turn", (F.col("_bad") & ~F.coalesce(F.lag("_bad").over(w), F.lit(False))).cast("int"))
-    rows = rows.withColumn("_outage", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_outage > 0")
-    return rows.groupBy(*keys, "_outage").agg(F.min(F.when(F.col("_bad"), F.col(at[0]))).alias("since"), F.min(F.when(~F.col("_bad"), F.col(at[0]))).alias("until"), F.count_if("_bad").alias("reconnects")).drop("_outage")
+    rows = islands(samples, keys, at, failed, "_run").withColumn("_outage", F.ceil(F.col("_run") / 2)).filter("_outage > 0")
+    bad = F.col("_run_on")
+    return rows.groupBy(*keys, "_outage").agg(F.min(F.when(bad, F.col(at[0]))).alias("since"), F.min(F.when(~bad, F.col(at[0]))).alias("until"), F.count_if(bad).alias("reconnects")).drop("_outage")
 
 
 #: Alert rules over sampled metrics: name, condition, seconds that it must hold, severity.
@@ -142,10 +177,8 @@ def alerts(samples: DataFrame, keys: list[str], at: str, rules: tuple = ALERTS)
     return reduce(DataFrame.unionByName, out)
 
 
-def true_for(samples: DataFrame, keys: list[str], at: str, condition: Column, least_seconds: int) -> DataFrame:
-    """Stretches of consecutive samples that meet a condition for at least so long."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    rows = samples.withColumn("_on", F.coalesce(condition, F.lit(False)))
-    rows = rows.withColumn("_turn", (F.col("_on") != F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int")).withColumn("_island", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.filter("_on").groupBy(*keys, "_island").agg(F.min(at).alias("since"), F.max(at).alias("until"), F.count("*").alias("samples")).drop("_island")
+def true_for(samples: DataFrame, keys: list[str], at: str, condition: Column, least_seconds: int, order: list[str] | None = None) -> DataFrame:
+    """Stretches of consecutive samples that meet a condition for at least so long; `order` breaks ties of time."""
+    rows = islands(samples, keys, [at, *(order or [])], condition, "_run")
+    out = rows.filter("_run_on").groupBy(*keys, "_run").agg(F.min(at).alias("since"), F.max(at).alias("until"), F.count("*").alias("samples")).drop("_run")
     return out.filter(F.unix_seconds(F.col("until").cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp")) >= least_seconds)

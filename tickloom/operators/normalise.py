@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import uuid5
+from tickloom.operators.scan import last_before, running_count, scan
 
 
 #: Arrival numbers in a slice: a product's rows are ordered slice by slice, side by side.
@@ -15,31 +16,20 @@ SLICE = 1_000_000
 def asof_tickers(trades: DataFrame, tickers: DataFrame, at: str = "arrival", width: int = SLICE) -> DataFrame:
     """Adds the whole latest ticker of the product that arrived before the trade (or with it); null where there is none.
 
-    One union and one window on product and slice of arrival: no range join, and a busy product is many tasks. What a slice
-    starts with is carried over from the last ticker of the slices before, a row each.
+    One union and one scan by slices of arrival: no range join, and a busy product is many tasks.
     """
     values = [c for c in tickers.columns if c != "product"]
     names = [c for c in trades.columns if c not in ("product", at)]
     ticker_type = tickers.select(F.struct(*values).alias("x")).schema["x"].dataType
     t = trades.select("product", at, F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(ticker_type).alias("ticker"))
     k = tickers.select("product", at, F.lit(0).alias("_side"), F.lit(None).cast(t.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("ticker"))
-    both = t.unionByName(k).withColumn("_slice", F.floor(F.col(at) / width))
-    before = Window.partitionBy("product").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = both.groupBy("product", "_slice").agg(F.max_by("ticker", F.when(F.col("_side") == 0, F.col(at))).alias("_end"))
-    starts = ends.select("product", "_slice", F.last("_end", ignorenulls=True).over(before).alias("_start"))
-    w = Window.partitionBy("product", "_slice").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.join(starts, ["product", "_slice"]).withColumn("ticker", F.coalesce(F.last("ticker", ignorenulls=True).over(w), "_start"))
-    return both.filter("_side = 1").select("product", at, "_row.*", "ticker")
+    both = scan(t.unionByName(k), ["product"], [at, "_side"], {"_last": last_before("ticker", inclusive=True)}, width)
+    return both.filter("_side = 1").select("product", at, "_row.*", F.col("_last").alias("ticker"))
 
 
 def numbered(rows: DataFrame, key: str, at: str, name: str, width: int = SLICE) -> DataFrame:
-    """Adds the row's number in its key by `at`, from 1: numbers within slices, after the rows of the slices before."""
-    rows = rows.withColumn("_slice", F.floor(F.col(at) / width))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    starts = sizes.select(key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(at))
-    return rows.join(starts, [key, "_slice"]).withColumn(name, (F.col("_start") + own).cast("long")).drop("_slice", "_start")
+    """Adds the row's number in its key by `at`, from 1."""
+    return scan(rows, [key], [at], {name: running_count(inclusive=True)}, width)
 
 
 def trade_batches(trades: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.machines import FailureCount, FirstWithin, TemporalGuard, run_machine
+from tickloom.operators.scan import running_max, scan
 
 
 def reasons(rules: dict[str, Column]) -> Column:
@@ -60,8 +61,7 @@ def dead_letters(rows: DataFrame, source: str, key: str, payload: Column, failed
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in arrival order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")).select("_first.*")
 
 
 def dedupe_ttl(rows: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFrame:
@@ -71,9 +71,7 @@ def dedupe_ttl(rows: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFram
 
 def sequence_anomalies(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Gaps and out-of-order rows against the running maximum of the sequence; rows in order and first rows are left out."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max("sequence").over(before)
-    out = rows.filter("sequence IS NOT NULL").withColumn("previous", prev).filter("previous IS NOT NULL AND sequence <> previous + 1")
+    out = scan(rows.filter("sequence IS NOT NULL"), keys, order, {"previous": running_max("sequence")}).filter("previous IS NOT NULL AND sequence <> previous + 1")
     return out.withColumn("gap", F.greatest(F.lit(0), F.col("sequence") - F.col("previous") - 1)).withColumn("out_of_order", F.col("sequence") <= F.col("previous"))
 
 
@@ -103,10 +101,10 @@ def exhausted_within(failures: DataFrame, keys: list[str], at: str, order: list[
 
 def recorder_filter(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds duplicate (sequence not above the running maximum) and gap_size."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max("sequence").over(before)
+    prev = F.col("_previous")
     dup = F.coalesce(F.col("sequence") <= prev, F.lit(False))
-    return rows.withColumn("duplicate", dup).withColumn("gap_size", F.when(dup | prev.isNull() | F.col("sequence").isNull(), 0).otherwise(F.col("sequence") - prev - 1).cast("long"))
+    gap = F.when(dup | prev.isNull() | F.col("sequence").isNull(), 0).otherwise(F.col("sequence") - prev - 1).cast("long")
+    return scan(rows, keys, order, {"_previous": running_max("sequence")}).withColumn("duplicate", dup).withColumn("gap_size", gap).drop("_previous")
 
 
 def temporal_integrity(points: DataFrame, keys: list[str], order: list[str], retention: int = 10_000, resets: bool = True) -> DataFrame:
@@ -121,8 +119,7 @@ def quarantine_log(judged: DataFrame, at: str, order: list[str], most: int = 500
 
 def rollbacks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows earlier than the running maximum of their key: temporal_integrity where generation is constant and sequences are null."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("latest", F.max("provider_timestamp").over(before)).filter("provider_timestamp < latest")
+    return scan(rows, keys, order, {"latest": running_max("provider_timestamp")}).filter("provider_timestamp < latest")
 
 
 def freshness(rows: DataFrame, now: Column, limit_seconds: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import TIMEFRAMES, floor_micros
+from tickloom.operators.scan import running_count, scan
 
 
 def _ranked(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -36,7 +37,7 @@ def ordered_unique(rows: DataFrame, keys: list[str], order: list[str], values: l
 
 def local_sequence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds local_sequence: the row's number in its key, from 1."""
-    return rows.withColumn("local_sequence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return scan(rows, keys, order, {"local_sequence": running_count(inclusive=True)})
 
 
 def history_window(end: Column, timeframe: str, limit: int) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
@@ -15,6 +15,7 @@ from tickloom.operators import metrics as mt
 from tickloom.operators import quality as ql
 from tickloom.operators import selection as se
 from tickloom.operators import wire as wi
+from tickloom.operators.intervals import interval_join
 from tickloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -537,6 +538,13 @@ def _(s, d):
     return fo.fanout(fx.quotes(s, d).select("symbol", "event_id"), fx.subscriptions(s, d)).groupBy("client_id", "symbol").agg(F.count("*").alias("deliveries"))
 
 
+@query("J1_subscribed_quotes", "SELECT event_id, connection, start FROM (SELECT *, provider_timestamp AS at FROM quotes) q JOIN intervals i USING (symbol) WHERE i.start <= q.at AND q.at < i.expires")
+def _(s, d):
+    """Each quote to each subscription of its symbol that is live at its time."""
+    held = fx.intervals(s, d).select("symbol", "connection", "start", "expires")
+    return interval_join(fx.quotes(s, d).select("event_id", "symbol", "provider_timestamp"), held, ["symbol"], "provider_timestamp", "start", "expires").select("event_id", "connection", "start")
+
+
 @query("J2_tier_policy_join", "SELECT client_id, symbol, CASE tier WHEN 'basic' THEN 1.0 WHEN 'pro' THEN 0.2 ELSE 0.1 END::DOUBLE AS interval_seconds FROM subscriptions")
 def _(s, d):
     return fo.with_policy(fx.subscriptions(s, d)).select("client_id", "symbol", F.col("interval_seconds").cast("double").alias("interval_seconds"))
@@ -781,17 +789,9 @@ def _(s, d):
     return mt.outages(fx.quotes(s, d), ["user_id"], ["provider_timestamp", "event_id"], F.col("k") < 60)
 
 
-def _islands(q, condition, seconds):
-    rows = q.withColumn("_at", F.struct("provider_timestamp", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("_at")
-    rows = rows.withColumn("_rank", F.row_number().over(w))
-    out = mt.true_for(rows, ["user_id"], "provider_timestamp", condition, seconds)
-    return out
-
-
 @query("W9_alert_for", _ISLANDS.format("(k > 20)", "provider_timestamp, event_id") + " SELECT user_id, min(provider_timestamp) AS since, max(provider_timestamp) AS until, count(*) AS samples FROM i WHERE k > 20 GROUP BY user_id, island HAVING floor(epoch(max(provider_timestamp))) - floor(epoch(min(provider_timestamp))) >= 7200")
 def _(s, d):
-    return _islands(fx.quotes(s, d), F.col("k") > 20, 7200)
+    return mt.true_for(fx.quotes(s, d), ["user_id"], "provider_timestamp", F.col("k") > 20, 7200, ["event_id"])
 
 
 @query("A26_gateway_metrics", f"SELECT 'provider_events' AS metric, symbol AS label, count(*) AS value FROM deliveries GROUP BY symbol UNION ALL SELECT 'deduplicated', symbol, count(*) - count(DISTINCT event_id) FROM deliveries GROUP BY symbol UNION ALL SELECT 'stale_reads', symbol, count(*) FILTER (k > 50) FROM quotes GROUP BY symbol UNION ALL SELECT 'gaps', symbol, count(*) FROM ({_PREV.format('provider, symbol', 'quotes')}) WHERE sequence > previous + 1 GROUP BY symbol")
