@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_groups import brute, shingles
 from tests.llm.test_packing import ids_of, whole
+from tests.llm.test_pii import brute_force
 from tickloom.llm import mixing, pii, toxicity
 from tickloom.llm.common import stored, table
 
@@ -34,7 +35,7 @@ def test_stages(spark, sf_dir):
             if a >= at:
                 want += before[r.doc_id][at:a] + f"[{kind.upper()}]"
             at = max(at, b)
-        assert r.text == want + before[r.doc_id][at:] and r.n_chars == len(r.text) and pii.brute_force(r.text)[0] == [0, 0, 0, 0]
+        assert r.text == want + before[r.doc_id][at:] and r.n_chars == len(r.text) and brute_force(r.text)[0] == [0, 0, 0, 0]
     assert clean.columns == columns and clean.count() == len(before)
 
     mixed = stored(stages["mixing"](spark, clean, sf_dir), "mixing")
