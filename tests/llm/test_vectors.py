@@ -59,6 +59,16 @@ def planted(n=300, copies=12, seed=3):
     return v, (np.arange(len(v)) % n) % 3
 
 
+def test_lattice_of_any_magnitude_and_label(spark):
+    """Squares that overflow or vanish link as others do; labels may be text, and only equal ones meet."""
+    pairs = [([1e200, 0.0], [1e200, 1e190]), ([1e-200, 0.0], [3e-200, 1e-210]), ([1.0, 2.0], [2e150, 4e150])]
+    rows = [(2 * i + k, v, f"label {i}") for i, pair in enumerate(pairs) for k, v in enumerate(pair)] + [(10, [1e200, 0.0], "other"), (11, [1e200, 1e200], "label 0"), (12, [1.0, 2.0], None)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    for i in range(3):
+        assert got[2 * i] == (1, 2 * i, True) and got[2 * i + 1] == (1, 2 * i, False)
+    assert all(got[i] == (0, i, True) for i in (10, 11, 12))
+
+
 def test_lattice_recall_and_precision(spark):
     v, label = planted()
     df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], SCHEMA)
@@ -68,7 +78,7 @@ def test_lattice_recall_and_precision(spark):
     true = near.sum(1) - 1
     rows = lattice_dedup.near_duplicates(df).orderBy("vec_id").collect()
     got = np.array([r.n_links for r in rows])
-    assert (got <= true).all() and got.sum() >= 0.97 * true.sum()
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum()
     root = list(range(len(v)))
     for i in range(len(v)):  # the smallest id reachable, by relabelling
         for j in np.flatnonzero(near[i]):

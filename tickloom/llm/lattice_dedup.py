@@ -94,7 +94,9 @@ class Codes:
 
 
 def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the vectors scaled by powers of two (which rounds nothing) so that no square overflows or vanishes."""
     v = np.stack(vectors).astype("float64")
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     norm = np.sqrt((v * v).sum(axis=1))
     return v / norm[:, None], v
 
@@ -146,7 +148,7 @@ def _compare(group: pd.DataFrame, codes: np.ndarray, v: np.ndarray, least: float
 def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 8, probes: int = 8, scale: float = 1.0, seed: int = 8) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
-    Only vectors of the same label meet. Vectors that are null, empty, zero or hold null or non-finite components, and those
+    Only vectors of the same label meet; a label may be of any type. Vectors that are null, empty, zero or hold null or non-finite components, and those
     without label, link with nothing: no links, their own component, kept. Rows repeated under one vec_id are vectors of their
     own: they link with each other and count in n_links. An empty table gives no rows; other columns are not read. Recall against
     brute force is measured in the tests (above 0.99 at these parameters).
@@ -154,7 +156,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 8, pr
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0)
     alike = [F.xxhash64("label", "embedding"), F.xxhash64(F.lit(1), "embedding", "label")]
-    rows = vectors.filter(usable).select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"), alike[0].alias("h"), alike[1].alias("g"))
+    rows = vectors.filter(usable).select("vec_id", F.xxhash64("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"), alike[0].alias("h"), alike[1].alias("g"))
     classes = stored(rows.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
     kept: dict[int, Codes] = {}
 
