@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def quote_rules() -> dict[str, Column]:
     }
 
 
-def evidence_rules() -> dict[str, Column]:
-    """Rules of rich quotes: semantics, capabilities, sizes and versions; true where broken."""
-    c, has = F.col, lambda name: F.array_contains("capabilities", name)
+def evidence_rules(c: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Rules of rich quotes: semantics, capabilities, sizes and versions; true where broken. `c` gives a field's column."""
+    has = lambda name: F.array_contains(c("capabilities"), name)
     there = lambda *names: F.coalesce(*[c(n).cast("string") for n in names]).isNotNull()
     volumes, flow, depth = there("volume", "buy_volume", "sell_volume", "trade_count"), there("buy_volume", "sell_volume"), there("bid_depth", "ask_depth")
     rich = volumes | depth | there("volume_kind", "volume_unit", "depth_unit", "depth_levels")
@@ -34,7 +36,7 @@ def evidence_rules() -> dict[str, Column]:
         "V11": (c("volume_kind") == "cumulative") & c("window_ms").isNotNull(), "V12": (c("volume_unit") == "quote_notional") & c("volume_currency").isNull(),
         "V13": (c("volume_unit") != "quote_notional") & c("volume_currency").isNotNull(), "V14": c("window_ms") <= 0,
         "V15": (c("depth_unit") == "quote_notional") & c("depth_currency").isNull(), "V16": (c("depth_unit") != "quote_notional") & c("depth_currency").isNotNull(), "V17": ~c("depth_levels").between(1, 20),
-        "V18": rich & (F.regexp_extract("schema_version", r"^1\.([0-9]+)$", 1).try_cast("int") < 1), "V19": volumes & c("volume_kind").isNull(),
+        "V18": rich & (F.regexp_extract(c("schema_version"), r"^1\.([0-9]+)$", 1).try_cast("int") < 1), "V19": volumes & c("volume_kind").isNull(),
         "V20": (c("volume").isNotNull() & ~has("volume")) | (c("trade_count").isNotNull() & ~has("trade_count")),
         "V21": (c("buy_volume").isNull() != c("sell_volume").isNull()) | (flow & ~has("aggressor_flow")) | (c("buy_volume") + c("sell_volume") > c("volume")),
         "V22": (c("bid_depth").isNull() != c("ask_depth").isNull()) | (depth & (c("depth_levels").isNull() | (c("depth_levels") != 1) | ~has("top_of_book_depth"))),

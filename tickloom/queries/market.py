@@ -15,6 +15,7 @@ from tickloom.operators import metrics as mt
 from tickloom.operators import quality as ql
 from tickloom.operators import selection as se
 from tickloom.operators import wire as wi
+from tickloom.operators.contract import check_quotes
 from tickloom.operators.intervals import interval_join
 from tickloom.plans import fixtures as fx
 
@@ -249,6 +250,32 @@ def _(s, d):
     return ql.validate(rich(s, d), ql.evidence_rules()).select("event_id", "errors")
 
 
+_CONTRACT = """SELECT event_id, concat_ws(',', CASE WHEN k % 47 = 0 THEN '$.more: unknown' END, CASE WHEN k % 43 = 0 THEN 'price: range' END, CASE WHEN k % 41 = 0 THEN 'sequence: type' END, CASE WHEN k % 37 = 0 THEN 'provider: missing' END,
+  CASE WHEN k % 31 = 0 THEN 'capabilities: enum' END, CASE WHEN k % 29 = 0 THEN 'volume_semantics.more: unknown' END, CASE WHEN k % 23 = 0 THEN 'volume_semantics.kind: enum' END, CASE WHEN k % 19 = 0 THEN 'volume_semantics.currency: length' END, CASE WHEN k % 17 = 0 THEN 'depth_semantics: type' END) AS broken, k FROM quotes"""
+
+
+@query("P3_nested_contract", f"SELECT event_id, replace(broken, '$.more', 'more') AS broken, CASE WHEN broken <> '' THEN '' ELSE concat_ws(',', CASE WHEN k % 13 = 0 THEN 'V8' END, CASE WHEN k % 11 = 0 THEN 'V10' END, CASE WHEN k % 7 = 0 THEN 'V21' END) END AS errors FROM ({_CONTRACT})")
+def _(s, d):
+    """Whole records as JSON with volume and depth semantics; violations of fields and between fields planted by k."""
+    at = lambda n: F.col("k") % n == 0
+    text = lambda c: c.cast("string")
+    stamp = F.concat(F.date_format("provider_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    volume = F.struct(
+        F.when(at(23), "weekly").otherwise("interval").alias("kind"), F.lit("base_asset").alias("unit"), F.when(~at(11), 1000).alias("aggregation_window_ms"), F.when(at(19), "X").alias("currency"), F.lit("native").alias("origin"),
+        F.when(at(29), 1).alias("more"),
+    )
+    whole = F.struct(
+        F.lit("1.1").alias("schema_version"), F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(text(F.col("event_id")), 12, "0")).alias("event_id"), F.lower("symbol").alias("symbol"),
+        text(F.when(at(43), -F.col("price")).otherwise(F.abs("price") + 1)).alias("price"), F.lit("5.01").alias("bid"), F.when(at(13), "5.00").otherwise("5.02").alias("ask"), stamp.alias("provider_timestamp"),
+        F.when(at(41), "1.5").otherwise("7").alias("sequence"), F.when(~at(37), F.col("provider")).alias("provider"), F.array(F.lit("level1_quote"), F.lit("volume"), F.lit("top_of_book_depth"), F.when(at(31), "weird").otherwise("aggressor_flow")).alias("capabilities"),
+        F.lit("10").alias("volume"), F.lit("6").alias("buy_volume"), F.when(at(7), "4.5").otherwise("4").alias("sell_volume"), F.lit("1").alias("bid_depth"), F.lit("0").alias("ask_depth"), volume.alias("volume_semantics"),
+        F.when(at(47), 1).alias("more"),
+    )
+    depth = F.when(at(17), ',"depth_semantics":"top"}').otherwise(',"depth_semantics":{"unit":"contracts","origin":"native"}}')
+    lines = fx.quotes(s, d).select("event_id", F.concat(F.regexp_replace(F.to_json(whole), r"\}$", ""), depth).alias("value"))
+    return check_quotes(lines).select("event_id", "broken", "errors")
+
+
 @query("P4_validate_wire_quotes", "SELECT event_id, CASE WHEN price > 0 THEN '' ELSE 'price' END AS errors FROM quotes")
 def _(s, d):
     lines = fx.quotes(s, d).select("event_id", F.to_json(F.struct(F.col("price").cast("string").alias("price"), F.col("bid").cast("string").alias("bid"), F.col("ask").cast("string").alias("ask"), F.concat(F.date_format("provider_timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("at"), F.lit(1).alias("extra"))).alias("value"))
