@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.scan import islands, last_before, scan
+from tickloom.operators.scan import islands, last_before, running_count, scan
 from tickloom.plans.lineage import cut
 
 #: Upper bounds in seconds of the latency histogram.
@@ -116,26 +116,43 @@ def session_diagnostics(rows: DataFrame, session: str, channel: str, at: str, pr
     return out
 
 
-def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen: int, now: Column | None = None) -> DataFrame:
+def consumer_backlog(log: DataFrame, acks: DataFrame, groups: DataFrame, maxlen: int, now: Column | None = None, consumer: str | None = None) -> DataFrame:
     """Pending, undelivered, backlog, its share of maxlen and the headroom of each group; a group without rows has seen nothing.
 
-    With `now`, and entered_at in the log: group_present, and the age in seconds of the oldest entry not acked (0 if none).
+    `acks` has a row for each delivery, claim or acknowledgement (acked_at) of an entry: however often one is delivered or acked,
+    it counts once. Rows of entries that the log no longer has do not count. With `now`, and entered_at in the log: group_present,
+    and the age in seconds of the oldest entry not acked (0 if none). With `consumer`, a column of `acks`: consumers.
     """
     total = log.agg(F.count("*").alias("entries"))
-    mine = acks.join(log.select("entry_id"), "entry_id", "left_semi")
+    once = acks.groupBy("group", "entry_id").agg(F.max("acked_at").alias("acked_at"))
+    mine = once.join(log.select("entry_id"), "entry_id", "left_semi")
     seen = mine.groupBy("group").agg(F.count("*").alias("delivered"), F.count("acked_at").alias("acked"))
     out = groups.join(seen, "group", "left").withColumn("group_present", F.col("delivered").isNotNull())
     out = out.crossJoin(F.broadcast(total)).na.fill(0, ["delivered", "acked"])  # total is one row
     out = out.withColumn("pending", F.col("delivered") - F.col("acked")).withColumn("undelivered", F.col("entries") - F.col("delivered"))
     out = out.withColumn("backlog", F.col("pending") + F.col("undelivered"))
     columns = ["group", "pending", "undelivered", "backlog", (F.col("backlog") / maxlen).alias("ratio"), F.greatest(F.lit(0), maxlen - F.col("backlog")).alias("headroom")]
+    if consumer is not None:
+        counted = acks.groupBy("group").agg(F.countDistinct(consumer).alias("consumers"))
+        out = out.join(counted, "group", "left").na.fill(0, ["consumers"])
+        columns.append("consumers")
     if now is None:
         return out.select(*columns)
-    # The groups are few; each entry is looked up once a group.
-    open_ = log.select("entry_id", "entered_at").join(F.broadcast(groups.select("group")), how="cross").join(mine.filter("acked_at IS NOT NULL").select("group", "entry_id"), ["group", "entry_id"], "left_anti")
-    oldest = open_.groupBy("group").agg(F.min("entered_at").alias("oldest"))
-    age = F.coalesce(F.greatest(F.lit(0), F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("oldest").cast("timestamp"))), F.lit(0))
-    return out.join(oldest, "group", "left").select(*columns, "group_present", age.alias("oldest_age_seconds"))
+    low = low_watermark(log, mine.filter("acked_at IS NOT NULL"))
+    age = F.coalesce(F.greatest(F.lit(0), F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("entered_at").cast("timestamp"))), F.lit(0))
+    first = log.agg(F.min("entered_at").alias("_first"))  # one row, for groups that have acked nothing
+    out = out.join(low, "group", "left").crossJoin(F.broadcast(first)).withColumn("entered_at", F.when(F.col("acked") == 0, F.col("_first")).otherwise(F.col("entered_at")))
+    return out.select(*columns, "group_present", age.alias("oldest_age_seconds"))
+
+
+def low_watermark(log: DataFrame, acked: DataFrame) -> DataFrame:
+    """(group, entered_at) of the first log entry that a group has not acked, null where it has acked all; groups that have acked
+    nothing have no row. Entries are numbered by time once; a group's acked entries, numbered among themselves, agree with those
+    numbers up to the first gap: no pair of a group and an entry that is open is ever made."""
+    numbers = scan(log.select("entry_id", "entered_at"), [], ["entered_at", "entry_id"], {"_n": running_count()})
+    mine = scan(acked.select("group", "entry_id").join(numbers, "entry_id"), ["group"], ["_n"], {"_r": running_count()})
+    gaps = mine.groupBy("group").agg(F.coalesce(F.min(F.when(F.col("_n") > F.col("_r"), F.col("_r"))), F.count("*")).alias("_n"))
+    return gaps.join(numbers.select("_n", "entered_at"), "_n", "left").select("group", "entered_at")
 
 
 def outages(samples: DataFrame, keys: list[str], at: list[str], failed: Column) -> DataFrame:
@@ -145,6 +162,38 @@ def outages(samples: DataFrame, keys: list[str], at: list[str], failed: Column)
     return rows.groupBy(*keys, "_outage").agg(F.min(F.when(bad, F.col(at[0]))).alias("since"), F.min(F.when(~bad, F.col(at[0]))).alias("until"), F.count_if(bad).alias("reconnects")).drop("_outage")
 
 
+def counter_increase(samples: DataFrame, keys: list[str], at: str, counters: list[str], seconds: int = 300, width: int = 86_400) -> DataFrame:
+    """Adds `counter`_increase: how much each counter of a series has risen over the `seconds` up to a sample, both ends
+    included, from the first sample in that time; a fall is a reset, after which the counter starts from zero.
+
+    A series is cut into slices of `width` seconds (at least `seconds`); rows near a slice's end are also in the next, as what
+    its first rows look back on. Nothing is extrapolated to the ends of the time.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = scan(samples, keys, [at], {f"_was_{c}": last_before(c) for c in counters}, width).withColumn("_at", micros)
+    rise = lambda c: F.when(F.col(f"_was_{c}").isNull() | F.col(c).isNull(), 0).when(F.col(c) < F.col(f"_was_{c}"), F.col(c)).otherwise(F.col(c) - F.col(f"_was_{c}"))
+    step, reach = max(width, seconds) * 1_000_000, seconds * 1_000_000
+    rows = rows.withColumns({f"_rise_{c}": rise(c) for c in counters}).withColumn("_own", F.floor(F.col("_at") / step))
+    rows = rows.withColumn("_slice", F.explode(F.array_distinct(F.array("_own", F.floor((F.col("_at") + reach) / step)))))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(-reach, 0)
+    found = {f"{c}_increase": F.sum(f"_rise_{c}").over(w) - F.first(f"_rise_{c}").over(w) for c in counters}
+    return rows.withColumns(found).filter("_slice = _own").select(*samples.columns, *found)
+
+
+def latency_quantile(samples: DataFrame, keys: list[str], at: str, bounds: dict[str, float], q: float = 0.95) -> DataFrame:
+    """(keys, at, value): the quantile of a cumulative histogram whose counts over the last minutes stand in the columns of
+    `bounds` (column to upper bound, infinity for the last); null where nothing was counted."""
+    cells = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(c).cast("double").alias("n")) for c, b in sorted(bounds.items(), key=lambda x: x[1])])
+    total = F.get(cells, F.lit(len(bounds) - 1))["n"]
+    rank = F.lit(q) * total
+    # the first cell that reaches the rank; what it holds lies between the bound before and its own
+    ahead = F.size(F.filter(cells, lambda c: c["n"] < rank))
+    cell, below = F.get(cells, ahead), F.get(cells, ahead - 1)
+    low, before = F.coalesce(below["le"], F.lit(0.0)), F.coalesce(below["n"], F.lit(0.0))
+    inside = F.when(cell["le"] == float("inf"), low).otherwise(low + (cell["le"] - low) * F.try_divide(rank - before, cell["n"] - before))
+    return samples.select(*keys, at, F.when(total > 0, inside).alias("value"))
+
+
 #: Alert rules over sampled metrics: name, condition, seconds that it must hold, severity.
 ALERTS = (
     ("provider_disconnected", "provider_connected = 0", 30, "critical"),
@@ -165,20 +214,39 @@ ALERTS = (
 )
 
 
+#: Seconds over which the rules look at counters, and the counters behind their columns.
+LOOK_BACK = 300
+RATES = {"coalesced_rate": "coalesced_total", "auth_failure_rate": "auth_failures_total", "stale_read_rate": "stale_reads_total"}
+INCREASES = {"usage_dropped_increase": "usage_dropped_total"}
+
+
+def alert_columns(samples: DataFrame, instance: str, at: str, buckets: dict[str, float]) -> DataFrame:
+    """The rules' rates, increase and latency at each time, from raw counters and histogram buckets (column to upper bound) of all
+    instances: each counter on its own, then sums over the instances that were sampled at that time."""
+    counters = [*RATES.values(), *INCREASES.values(), *buckets]
+    risen = counter_increase(samples.select(instance, at, *counters), [instance], at, counters, LOOK_BACK)
+    total = cut(risen.groupBy(at).agg(*[F.sum(f"{c}_increase").alias(c) for c in counters]))  # a row a time; read more than once
+    latency = latency_quantile(total, [], at, buckets).withColumnRenamed("value", "delivery_latency_p95")
+    rates = [*[(F.col(c) / LOOK_BACK).alias(name) for name, c in RATES.items()], *[F.col(c).alias(name) for name, c in INCREASES.items()]]
+    return total.select(at, *rates).join(latency, at)
+
+
 def alerts(samples: DataFrame, keys: list[str], at: str, rules: tuple = ALERTS) -> DataFrame:
     """Firing stretches of every rule whose columns the samples have: alert, severity, keys, since, until, samples."""
-    out = []
-    for name, condition, seconds, severity in rules:
-        if all(word in samples.columns for word in re.findall(r"[a-z_][a-z_0-9]*", condition)):
-            fired = true_for(samples, keys, at, F.expr(condition), seconds)
-            out.append(fired.select(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), *keys, "since", "until", "samples"))
-    if not out:
+    mine = [r for r in rules if all(word in samples.columns for word in re.findall(r"[a-z_][a-z_0-9]*", r[1]))]
+    if not mine:
         raise ValueError("the samples have the columns of no rule")
-    return reduce(DataFrame.unionByName, out)
+    states = F.array(*[F.struct(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), F.lit(seconds).alias("_least"), F.coalesce(F.expr(condition), F.lit(False)).alias("_on")) for name, condition, seconds, severity in mine])
+    rows = cut(samples.select(*keys, at, F.inline(states)))  # a row for each rule; all rules in one pass, which reads them more than once
+    return _stretches(rows, ["alert", "severity", "_least", *keys], at, F.col("_on"), F.col("_least")).select("alert", "severity", *keys, "since", "until", "samples")
 
 
 def true_for(samples: DataFrame, keys: list[str], at: str, condition: Column, least_seconds: int, order: list[str] | None = None) -> DataFrame:
     """Stretches of consecutive samples that meet a condition for at least so long; `order` breaks ties of time."""
-    rows = islands(samples, keys, [at, *(order or [])], condition, "_run")
+    return _stretches(samples, keys, at, condition, F.lit(least_seconds), order)
+
+
+def _stretches(rows: DataFrame, keys: list[str], at: str, condition: Column, least: Column, order: list[str] | None = None) -> DataFrame:
+    rows = islands(rows, keys, [at, *(order or [])], condition, "_run")
     out = rows.filter("_run_on").groupBy(*keys, "_run").agg(F.min(at).alias("since"), F.max(at).alias("until"), F.count("*").alias("samples")).drop("_run")
-    return out.filter(F.unix_seconds(F.col("until").cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp")) >= least_seconds)
+    return out.filter(F.unix_seconds(F.col("until").cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp")) >= least)

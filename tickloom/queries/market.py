@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
@@ -18,6 +18,7 @@ from tickloom.operators import wire as wi
 from tickloom.operators.contract import check_quotes
 from tickloom.operators.intervals import interval_join
 from tickloom.plans import fixtures as fx
+from tickloom.plans.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -797,13 +798,20 @@ def _(s, d):
     return mt.session_diagnostics(fx.quotes(s, d), "user_id", "symbol", "provider_timestamp")
 
 
-@query("A20_consumer_backlog", "WITH g(\"group\", p) AS (VALUES ('live', 1), ('archive', 2), ('missing', 0)), a AS (SELECT 'live' AS \"group\", event_id, k % 3 <> 0 AS acked FROM quotes UNION ALL SELECT 'archive', event_id, true FROM quotes WHERE k < 40), t AS (SELECT \"group\", count(event_id) AS delivered, count(*) FILTER (acked) AS acked, (SELECT count(*) FROM quotes) AS entries FROM g LEFT JOIN a USING (\"group\") GROUP BY ALL) SELECT \"group\", delivered - acked AS pending, entries - delivered AS undelivered, entries - acked AS backlog, (entries - acked) / 100000 AS ratio, greatest(0, 100000 - (entries - acked)) AS headroom FROM t")
+_A20 = """WITH g("group", p) AS (VALUES ('live', 1), ('archive', 2), ('missing', 0)), a AS (SELECT 'live' AS "group", event_id, k % 3 <> 0 AS acked, k % 4 AS consumer FROM quotes UNION ALL SELECT 'live', event_id, false, 9 FROM quotes WHERE k % 5 = 0 UNION ALL SELECT 'archive', event_id, true, 0 FROM quotes WHERE k < 40),
+o AS (SELECT "group", event_id, bool_or(acked) AS acked FROM a GROUP BY ALL), n AS (SELECT "group", count(DISTINCT consumer) AS consumers FROM a GROUP BY ALL), open AS (SELECT g."group", min(q.received_at) AS oldest FROM g, quotes q WHERE NOT EXISTS (FROM o WHERE o."group" = g."group" AND o.event_id = q.event_id AND o.acked) GROUP BY ALL),
+t AS (SELECT "group", count(event_id) AS delivered, count(*) FILTER (acked) AS acked, (SELECT count(*) FROM quotes) AS entries FROM g LEFT JOIN o USING ("group") GROUP BY ALL)"""
+
+
+@query("A20_consumer_backlog", f"{_A20} SELECT \"group\", delivered - acked AS pending, entries - delivered AS undelivered, entries - acked AS backlog, (entries - acked) / 100000 AS ratio, greatest(0, 100000 - (entries - acked)) AS headroom, coalesce(consumers, 0) AS consumers, delivered > 0 AS group_present, coalesce(greatest(0, floor(epoch({NOW})) - floor(epoch(oldest))), 0)::BIGINT AS oldest_age_seconds FROM t LEFT JOIN n USING (\"group\") LEFT JOIN open USING (\"group\")")
 def _(s, d):
-    q = fx.quotes(s, d)
-    live = q.select(F.lit("live").alias("group"), F.col("event_id").alias("entry_id"), F.when(F.col("k") % 3 != 0, F.col("received_at")).alias("acked_at"))
-    archive = q.filter("k < 40").select(F.lit("archive").alias("group"), F.col("event_id").alias("entry_id"), F.col("received_at").alias("acked_at"))
+    """Deliveries, claims by another consumer and acknowledgements of one stream's entries by two groups; a third has none."""
+    q, at = fx.quotes(s, d), lambda c: F.when(c, F.col("received_at"))
+    row = lambda rows, group, acked, consumer: rows.select(F.lit(group).alias("group"), F.col("event_id").alias("entry_id"), acked.alias("acked_at"), consumer.cast("long").alias("consumer"))
+    live = row(q, "live", at(F.col("k") % 3 != 0), F.col("k") % 4).unionByName(row(q.filter("k % 5 = 0"), "live", at(F.lit(False)), F.lit(9)))
     groups = s.createDataFrame([("live",), ("archive",), ("missing",)], "group string")
-    return mt.consumer_backlog(q.select(F.col("event_id").alias("entry_id")), live.unionByName(archive), groups, 100_000)
+    log = q.select(F.col("event_id").alias("entry_id"), F.col("received_at").alias("entered_at"))
+    return mt.consumer_backlog(log, live.unionByName(row(q.filter("k < 40"), "archive", at(F.lit(True)), F.lit(0))), groups, 100_000, now(), "consumer")
 
 
 _ISLANDS = "WITH t AS (SELECT *, CASE WHEN {0} <> coalesce(lag({0}) OVER w, false) THEN 1 ELSE 0 END AS turn FROM quotes WINDOW w AS (PARTITION BY user_id ORDER BY {1})), i AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY {1} ROWS UNBOUNDED PRECEDING) AS island FROM t)"
@@ -821,6 +829,58 @@ def _(s, d):
     return mt.true_for(fx.quotes(s, d), ["user_id"], "provider_timestamp", F.col("k") > 20, 7200, ["event_id"])
 
 
+_LE = {f"le_{i}": b for i, b in enumerate((*mt.LATENCY_BOUNDS, float("inf")))}
+
+
+def monitored(s, d):
+    """Raw metrics of five instances, sampled every 15 seconds: gauges, counters that start again every 100 samples, and a latency
+    histogram; their course goes by the sample's number n and the event's k."""
+    n = F.row_number().over(Window.partitionBy("instance").orderBy("event_id"))
+    rows = fx.events(s, d).select((F.col("user_id") % 5).alias("instance"), "event_id", "k").withColumn("n", n.cast("long"))
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("n") * 15)
+    phase = lambda length, first: (F.col("n") % length) < first
+    run = Window.partitionBy("instance", F.floor(F.col("n") / 100)).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rises = {"coalesced_total": F.when(phase(80, 40), 10 * F.col("k")).otherwise(F.col("k")), "auth_failures_total": F.when(phase(60, 25), 20).otherwise(10), "stale_reads_total": F.when(phase(90, 45), 5).otherwise(1), "usage_dropped_total": F.when(F.col("n") % 70 == 0, 1).otherwise(0)}
+    seconds = F.col("k") / F.when(phase(100, 50), 200.0).otherwise(1000.0)
+    rises |= {c: F.when(seconds <= b, 1).otherwise(0) for c, b in _LE.items()}
+    flag = lambda c: c.cast("int")
+    gauges = {
+        "provider_connected": flag(~phase(50, 4)), "client_subscriptions": F.col("k"), "unique_upstream_subscriptions": flag(~phase(70, 5)), "pending_entries": F.when(phase(40, 12), 1001).otherwise(7), "archive_up": flag(~phase(45, 6)),
+        "archive_monitor_up": flag(~phase(55, 6)), "archive_group_present": flag(~phase(65, 6)), "archive_consumers": flag(~phase(35, 9)), "archive_backlog": F.when(phase(35, 3), 0).otherwise(F.col("k")), "archive_oldest_age": F.when(phase(80, 40), 400).otherwise(10),
+        "archive_backlog_ratio": F.when(phase(120, 30), 0.6).when(phase(120, 50), 0.9).otherwise(0.1),
+    }
+    return rows.select("instance", at.alias("at"), *[F.sum(v).over(run).alias(c) for c, v in rises.items()], *[v.alias(c) for c, v in gauges.items()])
+
+
+def _monitored_sql() -> str:
+    run = "OVER (PARTITION BY instance, n // 100 ORDER BY n ROWS UNBOUNDED PRECEDING)"
+    late = "k / (CASE WHEN n % 100 < 50 THEN 200.0 ELSE 1000.0 END)::DOUBLE"
+    cells = ", ".join(f"sum(CASE WHEN {late} <= {'1e308' if b == float('inf') else b} THEN 1 ELSE 0 END) {run} AS {c}" for c, b in _LE.items())
+    counters = ["coalesced_total", "auth_failures_total", "stale_reads_total", "usage_dropped_total", *_LE]
+    rises = ", ".join(f"CASE WHEN lag({c}) OVER s IS NULL THEN 0 WHEN {c} < lag({c}) OVER s THEN {c} ELSE {c} - lag({c}) OVER s END AS {c}" for c in counters)
+    spans = ", ".join(f"sum({c}) OVER r - first_value({c}) OVER r AS {c}" for c in counters)
+    sums = ", ".join(f"sum({c}) AS {c}" for c in counters)
+    le = ", ".join(f"({i}, {0 if i == 0 else mt.LATENCY_BOUNDS[i - 1]}, {'NULL' if b == float('inf') else b}, le_{i}, {'0' if i == 0 else f'le_{i - 1}'})" for i, b in enumerate(_LE.values()))
+    gauge = lambda length, first: f"CASE WHEN n % {length} < {first} THEN 0 ELSE 1 END"
+    return f"""WITH e AS (SELECT *, '2024-01-01'::TIMESTAMP + to_seconds(15 * n) AS moment FROM (SELECT user_id % 5 AS instance, k, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM ev)),
+m AS (SELECT instance, moment, sum(CASE WHEN n % 80 < 40 THEN 10 * k ELSE k END) {run} AS coalesced_total, sum(CASE WHEN n % 60 < 25 THEN 20 ELSE 10 END) {run} AS auth_failures_total, sum(CASE WHEN n % 90 < 45 THEN 5 ELSE 1 END) {run} AS stale_reads_total, sum(CASE WHEN n % 70 = 0 THEN 1 ELSE 0 END) {run} AS usage_dropped_total, {cells} FROM e),
+d AS (SELECT instance, moment, {rises} FROM m WINDOW s AS (PARTITION BY instance ORDER BY moment)), i AS (SELECT instance, moment, {spans} FROM d WINDOW r AS (PARTITION BY instance ORDER BY moment RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW)), u AS (SELECT moment, {sums} FROM i GROUP BY moment),
+c AS (SELECT moment, x.*, le_10 AS total FROM u, LATERAL (VALUES {le}) x(i, low, le, n, before)), p AS (SELECT moment, arg_min(CASE WHEN le IS NULL THEN low ELSE low + (le - low) * (0.95 * total - before) / (n - before) END, i) AS p95 FROM c WHERE total > 0 AND n >= 0.95 * total GROUP BY moment),
+g AS (SELECT NULL::BIGINT AS instance, moment, v.* FROM u LEFT JOIN p USING (moment), LATERAL (VALUES ('high_delivery_latency', coalesce(p95 > 0.25, false), 120, 'warning'), ('high_coalescing', coalesced_total / 300 > 100, 120, 'warning'), ('authentication_failures', auth_failures_total / 300 > 5, 120, 'warning'), ('stale_reads', stale_reads_total / 300 > 1, 120, 'warning'), ('usage_buffer_drops', usage_dropped_total > 0, 60, 'warning')) v(alert, is_on, least, severity)
+ UNION ALL SELECT instance, moment, v.* FROM e, LATERAL (VALUES ('provider_disconnected', n % 50 < 4, 30, 'critical'), ('no_active_upstream_subscriptions', k > 0 AND n % 70 < 5, 30, 'critical'), ('consumer_lag', n % 40 < 12, 60, 'critical'), ('archive_exporter_down', n % 45 < 6, 60, 'critical'), ('archive_monitor_unavailable', n % 55 < 6, 60, 'critical'),
+  ('archive_group_missing', n % 65 < 6, 60, 'critical'), ('archive_no_consumers', n % 35 < 9 AND n % 35 >= 3 AND k > 0, 60, 'critical'), ('archive_backlog_stale', n % 80 < 40 AND n % 35 >= 3 AND k > 0, 300, 'warning'), ('archive_trim_risk', n % 120 < 30, 300, 'warning'), ('archive_trim_imminent', n % 120 >= 30 AND n % 120 < 50, 120, 'critical')) v(alert, is_on, least, severity)),
+h AS (SELECT *, sum(CASE WHEN is_on THEN 0 ELSE 1 END) OVER (PARTITION BY alert, instance ORDER BY moment ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT alert, severity, instance, min(moment) AS since, max(moment) AS until, count(*) AS samples FROM h WHERE is_on GROUP BY alert, severity, instance, run, least HAVING epoch(max(moment)) - epoch(min(moment)) >= least"""
+
+
+@query("W9_alert_table", _monitored_sql())
+def _(s, d):
+    """All rules: those on counters and the histogram over the sum of the instances, those on gauges for each instance."""
+    rows = cut(monitored(s, d))
+    total = mt.alerts(mt.alert_columns(rows, "instance", "at", _LE), [], "at").withColumn("instance", F.lit(None).cast("long"))
+    return mt.alerts(rows.drop(*_LE), ["instance"], "at").unionByName(total)
+
+
 @query("A26_gateway_metrics", f"SELECT 'provider_events' AS metric, symbol AS label, count(*) AS value FROM deliveries GROUP BY symbol UNION ALL SELECT 'deduplicated', symbol, count(*) - count(DISTINCT event_id) FROM deliveries GROUP BY symbol UNION ALL SELECT 'stale_reads', symbol, count(*) FILTER (k > 50) FROM quotes GROUP BY symbol UNION ALL SELECT 'gaps', symbol, count(*) FROM ({_PREV.format('provider, symbol', 'quotes')}) WHERE sequence > previous + 1 GROUP BY symbol")
 def _(s, d):
     q, r = fx.quotes(s, d), fx.deliveries(s, d)
