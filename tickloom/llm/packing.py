@@ -9,6 +9,8 @@ rank intervals for each length; every piece finds its place by its rank among th
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,44 +30,62 @@ _CACHE: dict = {}
 
 
 class PieceEncoder:
-    """Byte-level BPE of whole texts by the library `tokenizers`. The ids of each pre-token are kept, as most of a text is
-    frequent words. Strings of the vocabulary's added tokens are single ids, as the library takes them, and are split off first.
+    """Ids of whole texts as the library `tokenizers` gives them for a byte-level BPE file.
+
+    Where the file's merges stand in the order of their ids, and nothing else is set, merging by rank is merging by id: then
+    `tiktoken`, which is several times as fast on rare words, gives the same ids, and is taken. The library itself takes every
+    other file, and texts with a very long word. Strings of the vocabulary's added tokens are single ids, as the library takes
+    them, and are split off first.
     """
 
-    def __init__(self, tokenizer_path: str | None, most_kept: int = 300_000):
+    def __init__(self, tokenizer_path: str | None):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self._tokens = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
-        added = sorted((t.content for t in self._tokens.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self._split = regex.compile(f"({'|'.join(map(regex.escape, added))})").split if added else None
-        self._added = added
-        self._find = regex.compile(public_tokenizers.PATTERN).findall
-        self._kept: dict[str, bytes] = {}
-        self._most = most_kept
+        path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+        self._tokens = Tokenizer.from_file(path)
+        self._added = {t.content: i for i, t in self._tokens.get_added_tokens_decoder().items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})").split
+        with open(path, encoding="utf-8") as file:
+            self._ranks = _ranks(json.load(file), set(self._added), public_tokenizers.PATTERN)
 
-    def _words(self, text: str) -> list[str]:
-        """Pre-tokens, and added tokens whole; a pre-token ends where an added token begins."""
-        if not any(t in text for t in self._added):
-            return self._find(text)
-        return [w for i, part in enumerate(self._split(text)) for w in ([part] if i % 2 else self._find(part))]
+    def _plain(self, text: str) -> list[int]:
+        if self._ranks is None or _LONG_WORD.search(text):
+            return self._tokens.encode(text, add_special_tokens=False).ids
+        return self._ranks.encode_ordinary(text)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        kept, words = self._kept, self._words(text)
-        out = [kept.get(w) for w in words]
-        if None in out:
-            if len(kept) > self._most:
-                kept.clear()
-            for i, ids in enumerate(out):
-                if ids is None:
-                    w = words[i]
-                    ids = kept.get(w) or np.asarray(self._tokens.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                    if len(w) < 64:
-                        kept[w] = ids
-                    out[i] = ids
-        return b"".join(out)
+        if not any(t in text for t in self._added):
+            ids = self._plain(text)
+        else:
+            ids = [n for i, part in enumerate(self._split(text)) for n in ([self._added[part]] if i % 2 else self._plain(part))]
+        return np.asarray(ids, "<u4").tobytes()
+
+
+#: A word whose merges by rank would take time that grows with the square of its length.
+_LONG_WORD = re.compile(r"\S{2000}")
+
+
+def _ranks(spec: dict, added: set[str], pattern: str):
+    """The file's tokens by their bytes, for merging by id; None where that is not the same as merging by rank."""
+    import tiktoken
+
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab = {t: i for t, i in model.get("vocab", {}).items() if t not in added}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [vocab.get(a + b, -1) for a, b in merges]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    alone = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+    if not (plain and alone and all(a < b for a, b in pairwise(made)) and len(vocab) == len(merges) + 256):
+        return None
+    # A byte stands for itself where it prints, else for the next character from 256 on.
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(printed)]
+    byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(other)}
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks={bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}, special_tokens={})
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = 1024, quantum: int = 64, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
