@@ -667,11 +667,10 @@ def _(s, d):
     return fo.subscription_stats(fx.intervals(s, d), now()).select("reduction")
 
 
-@query("A10_desired_symbols", "SELECT symbol, count(DISTINCT client_id) AS consumers, string_agg(client_id::VARCHAR, ',' ORDER BY client_id) AS clients, symbol NOT IN ('ERROR', 'VIEW') AND symbol IN (SELECT symbol FROM quotes) AS live FROM (SELECT DISTINCT client_id, symbol FROM subscriptions WHERE client_id % 20 = 0) GROUP BY symbol")
+@query("A10_desired_symbols", "SELECT symbol, count(DISTINCT client_id) AS consumers, string_agg(client_id::VARCHAR, ',' ORDER BY client_id) AS clients, symbol NOT IN ('ERROR', 'VIEW') AND symbol IN (SELECT symbol FROM quotes) AS live FROM (SELECT DISTINCT client_id, symbol FROM subscriptions) GROUP BY symbol")
 def _(s, d):
     q = fx.quotes(s, d)
-    subs = fx.subscriptions(s, d).filter("client_id % 20 = 0")
-    out = fo.desired_symbols(subs, "client_id", q.filter("symbol <> 'ERROR'"), q.filter("symbol <> 'VIEW'"))
+    out = fo.desired_symbols(fx.subscriptions(s, d), "client_id", q.filter("symbol <> 'ERROR'"), q.filter("symbol <> 'VIEW'"))
     return out.select("symbol", "consumers", F.array_join(F.transform("clients", lambda c: c.cast("string")), ",").alias("clients"), "live")
 
 
