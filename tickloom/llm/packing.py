@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -41,15 +42,21 @@ class PieceEncoder:
     def __init__(self, tokenizer_path: str | None):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-        self._tokens = Tokenizer.from_file(path)
-        self._added = {t.content: i for i, t in self._tokens.get_added_tokens_decoder().items()}
+        self._path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+        with open(self._path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         longest_first = sorted(self._added, key=len, reverse=True)
         self._split = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})").split
-        with open(path, encoding="utf-8") as file:
-            self._ranks = _ranks(json.load(file), set(self._added), public_tokenizers.PATTERN)
+        self._ranks = _ranks(spec, set(self._added), public_tokenizers.PATTERN)
+
+    @cached_property
+    def _tokens(self):
+        """The library's tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
 
     def _plain(self, text: str) -> list[int]:
         if self._ranks is None or _LONG_WORD.search(text):
