@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import mixing, ngram_join, packing, pii, toxicity
@@ -56,12 +59,25 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+#: Bytes of the batches that Python tasks are given: texts are long, and workers keep what they have grown to from stage to stage.
+BATCH = "8m"
+
+
+def _in_small_batches(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_join", keep_one_of_each_group),
-    ("pii", mask_personal_data),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("ngram_join", _in_small_batches(keep_one_of_each_group)),
+    ("pii", _in_small_batches(mask_personal_data)),
+    ("mixing", _in_small_batches(mix_sources)),
+    ("packing", _in_small_batches(pack_sequences)),
 ]
 #: Tokenizers, trees and components have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
