@@ -79,6 +79,42 @@ def test_lm_score_over_the_table(spark, sf_dir, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-5, abs_tol=1e-4) for d in want)
 
 
+def test_lm_names_are_exact_and_short():
+    """Different pairs of numbers have different names of as many bits as both, spread over all of them."""
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(64), np.arange(256), indexing="ij"))
+    names = lm_score._named(left, right, (6, 8))
+    assert len(np.unique(names)) == 64 * 256 and int(names.max()) < 1 << 14
+    assert abs(np.bincount(names[left < 4] >> np.uint64(10), minlength=16) - 64).max() < 32
+    far = np.random.default_rng(5).integers(0, 1 << 40, 2000)
+    assert len(np.unique(lm_score._named(far, far[::-1], (40, 40)))) == 2000
+
+
+def test_lm_moves_little(spark, sf_dir, monkeypatch):
+    """Bytes of keys that the rounds ask for: at most six a token, also in small chunks."""
+    moved, answered = [], lm_score.shards.answered
+
+    def spied(asked, *args, **kwargs):
+        moved.append(asked.agg(F.sum(F.octet_length("keys"))).first()[0])
+        return answered(asked, *args, **kwargs)
+
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200_000)
+    monkeypatch.setattr(lm_score.shards, "answered", spied)
+    rows = lm_score.score(table(spark, sf_dir, "documents"), is_held()).collect()
+    assert sum(moved) < 6 * sum(r.n_tokens for r in rows)
+
+
+def test_lm_few_words_in_many_shards(spark, monkeypatch):
+    """Names may be shorter than the bits that would name a shard."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(lm_score.shards, "SHARD_KEYS", 10)
+    words = np.array(["a", "b"])
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(words[rng.integers(0, 2, 200)])) for i in range(20)], "doc_id long, text string")
+    want = plain_scores({r.doc_id: r.text.split() for r in docs.collect()}, {4})
+    got = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") == 4).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-6) for d in want)
+
+
 def test_lm_keeps_every_repeated_arc(spark):
     """Pairs and triples that occur twice are arcs, however many tokens there are besides; a plain backoff model agrees."""
     filler = [(100 + i, " ".join(f"f{i}x{j}" for j in range(5000))) for i in range(100)]  # half a million words

@@ -45,37 +45,43 @@ def shard_bits(keys: int) -> int:
     return max(0, (-(-keys // SHARD_KEYS) - 1).bit_length())
 
 
-def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray, width: int = 64, send: np.ndarray | None = None) -> Iterator[tuple]:
-    """Rows (n, shard, chunk, keys, numbers) of sorted keys of so many bits, one a shard that has any.
-
-    `send` goes in the keys' place where it is given: numbers by which the shard knows the keys, in the same order.
-    """
+def requests(n: int, chunk: int, bits: int, keys: np.ndarray, *numbers: np.ndarray, width: int = 64) -> Iterator[tuple]:
+    """Rows (n, shard, chunk, keys, numbers) of sorted keys of so many bits, one a shard that has any."""
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)) if bits else []
     edges = [0, *cuts, len(keys)]
-    sent = keys if send is None else send.astype("uint64")
     for shard, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
-            yield n, shard, chunk, packed(sent[a:b]), [planes(x[a:b]) for x in numbers]
+            yield n, shard, chunk, packed(keys[a:b]), [planes(x[a:b]) for x in numbers]
 
 
 REQUEST = "n int, shard int, chunk long, keys binary, numbers array<binary>"
 
 
-def answered(asked: DataFrame, dtypes: list[str], answer: Callable[..., tuple[list[np.ndarray], int]]) -> DataFrame:
+def answered(asked: DataFrame, dtypes: list[str], answer: Callable[..., tuple[list[np.ndarray], int]], ranks: int | None = None) -> DataFrame:
     """(n, shard, chunk, answers, total): `answer` takes n, all keys of a shard and their numbers, and gives numbers in the same
-    order and one total, which stands on one row of the shard."""
+    order and one total, which stands on one row of the shard. Keys come in the order of their chunks; a kind n may have fewer
+    numbers than others. `ranks`: which answers are numbers of the shard's keys in their order; these go as differences, and a
+    column `ranked` has how many the shard has at most."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
         keys = [unpacked(k) for k in rows["keys"]]
         edges = np.cumsum([0, *map(len, keys)])
-        numbers = [np.concatenate([unplanes(x[i], t) for x in rows["numbers"]]) for i, t in enumerate(dtypes)]
+        numbers = [np.concatenate([unplanes(x[i], t) for x in rows["numbers"]]) for i, t in enumerate(dtypes[: len(rows["numbers"].iloc[0])])]
         found, total = answer(int(rows["n"].iloc[0]), np.concatenate(keys), *numbers)
         out = rows[["n", "shard", "chunk"]].copy()
-        out["answers"] = [[planes(x[a:b]) for x in found] for a, b in zip(edges, edges[1:], strict=False)]
+        out["answers"] = [[packed(x[a:b]) if i == ranks else planes(x[a:b]) for i, x in enumerate(found)] for a, b in zip(edges, edges[1:], strict=False)]
         out["total"] = [total] + [0] * (len(out) - 1)
+        if ranks is not None:
+            out["ranked"] = int(found[ranks].max()) + 1
         return out
 
-    return asked.groupBy("n", "shard").applyInPandas(run, "n int, shard int, chunk long, answers array<binary>, total long")
+    return asked.groupBy("n", "shard").applyInPandas(run, "n int, shard int, chunk long, answers array<binary>, total long" + (", ranked long" if ranks is not None else ""))
+
+
+def rank_bits(found: DataFrame) -> int:
+    """Bits that hold every rank in answers with ranks."""
+    return max(1, ((found.agg(F.max("ranked")).first()[0] or 1) - 1).bit_length())
 
 
 def by_chunk(found: DataFrame, name: str) -> DataFrame:
@@ -87,3 +93,9 @@ def numbers_of(answers: list | None, n: int, at: int, dtype: str) -> np.ndarray:
     """All numbers that a chunk was given for its keys of kind n, in their order."""
     parts = [unplanes(a["answers"][at], dtype) for a in (answers if answers is not None else []) if a["n"] == n]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def ranks_of(answers: list | None, n: int, at: int, bits: int) -> np.ndarray:
+    """All ranks that a chunk was given for its keys of kind n, with so many bits a rank and the shard ahead: as sorted as the keys."""
+    parts = [unpacked(a["answers"][at]).astype("int64") + (a["shard"] << bits) for a in (answers if answers is not None else []) if a["n"] == n]
+    return np.concatenate(parts) if parts else np.zeros(0, "int64")
