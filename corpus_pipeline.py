@@ -59,25 +59,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-#: Bytes of the batches that Python tasks are given: texts are long, and workers keep what they have grown to from stage to stage.
-BATCH = "8m"
+#: Bytes of the batches that Python tasks are given: texts are long, and as many stand in an executor's direct memory.
+BATCH = "2m"
+#: How Python workers allocate: what they free goes back to the system, and not to pools that they keep from stage to stage.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
 
-def _in_small_batches(stage: Callable) -> Callable:
+def _in_little_memory(stage: Callable) -> Callable:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        for name, value in WORKERS.items():
+            spark.sparkContext.environment.setdefault(name, value)
         return stage(spark, docs, sf_dir)
 
     return run
 
 
 STAGES = [
-    ("toxicity", _in_small_batches(drop_toxic)),
-    ("ngram_join", _in_small_batches(keep_one_of_each_group)),
-    ("pii", _in_small_batches(mask_personal_data)),
-    ("mixing", _in_small_batches(mix_sources)),
-    ("packing", _in_small_batches(pack_sequences)),
+    ("toxicity", _in_little_memory(drop_toxic)),
+    ("ngram_join", _in_little_memory(keep_one_of_each_group)),
+    ("pii", _in_little_memory(mask_personal_data)),
+    ("mixing", _in_little_memory(mix_sources)),
+    ("packing", _in_little_memory(pack_sequences)),
 ]
 #: Tokenizers, trees and components have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None

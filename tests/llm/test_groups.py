@@ -36,6 +36,17 @@ def brute(sets):
     return {k: find(k) for k in sets}
 
 
+def test_common_shingles_whatever_the_batches(spark):
+    texts = [f"these are the words of every text and {i}" for i in range(20)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = Counter(h for s in ngram_join.shingle_sets(texts) for h in s.tolist())
+    want = sorted(h for h, n in want.items() if n >= ngram_join.COMMON)
+    assert want and ngram_join.common_shingles(docs).tolist() == want
+    with common.one_a_batch(spark):
+        assert ngram_join.common_shingles(docs).tolist() == want
+        assert not len(ngram_join.common_shingles(docs.filter("text IS NULL"))) and not len(ngram_join.common_shingles(docs.limit(0)))
+
+
 def test_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sets = {r.doc_id: shingles(r.text) for r in docs.collect()}

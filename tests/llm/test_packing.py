@@ -1,3 +1,5 @@
+import contextlib
+import io
 import zlib
 
 import numpy as np
@@ -52,6 +54,14 @@ def test_edges(spark):
     assert [(r.start, r.length) for r in again] == [(0, 1), (0, 1)] and {r.offset for r in again} == {0, 1}
 
 
+def test_plan_starts_no_python(spark):
+    """A table of places made from a list is an RDD of Python's, whose workers stay on the executors."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        packing.pack(docs).explain("simple")
+    assert "LocalTableScan" in said.getvalue() and "ExistingRDD" not in said.getvalue()
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(1)
     histogram = {int(k): int(n) for k, n in zip(range(1, 1025, 7), rng.integers(1, 40, 200))}

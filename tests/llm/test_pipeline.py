@@ -51,6 +51,31 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in stages["packing"](spark, mixed, sf_dir).collect()} == {r.doc_id for r in rows}
 
 
+def test_workers_give_memory_back(spark, sf_dir):
+    """What a stage's workers have freed goes back to the system: between stages they hold little more than at their start."""
+    dict(cp.STAGES)["pii"](spark, table(spark, sf_dir, "documents"), sf_dir)
+
+    def held(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+        for batch in batches:
+            before = resident()
+            for _ in range(3):  # arrays of 1 to 8 MB, as of texts in pieces, with a small object behind each
+                arrays, small = [], []
+                for size in range(1, 9):
+                    arrays.append(np.ones(size * 125_000))
+                    arrays.append(pa.array(arrays[-1].tolist()))
+                    small.append(np.ones(1000))
+                del arrays
+            batch["mb"], batch["pool"] = resident() - before, pa.default_memory_pool().backend_name
+            yield batch
+
+    row = spark.range(1, numPartitions=1).mapInPandas(held, "id long, mb double, pool string").first()
+    assert row.pool == "system" and row.mb < 12
+
+
 def mixing_words(text):
     return [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
 

@@ -34,8 +34,8 @@ LARGE, ROUNDS, WORTH = 16_384, 4, 20
 PAIRED = 32
 #: Sets in a block, and shingles in it.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Characters of text that are hashed together.
-PIECE = 1_000_000
+#: Characters of text that are hashed together, and those whose shingles are counted together.
+PIECE, COUNTED = 1_000_000, 8_000_000
 
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
@@ -51,16 +51,27 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
 def common_shingles(docs: DataFrame, k: int = 5) -> np.ndarray:
     """Sorted hashes of shingles that many documents share, gathered from every task's own counts.
 
-    Only an ordering hint: the join gives the same groups whatever is in it.
+    Only an ordering hint: the join gives the same groups whatever is in it. Texts are hashed in pieces, and the sets of several
+    pieces are counted together, whatever the batches that they came in.
     """
 
+    def repeated(sets: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        own = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        own.sort()
+        again = own[1:][own[1:] == own[:-1]]
+        if len(again):
+            value, n = np.unique(again, return_counts=True)
+            yield pd.DataFrame({"h": value.view("int64"), "n": n + 1})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in pieces_of(batches, 8 * PIECE):
-            own = np.sort(np.concatenate([*shingle_sets(batch["text"].to_list(), k), np.zeros(0, np.uint64)]))
-            again = own[1:][own[1:] == own[:-1]]
-            if len(again):
-                value, n = np.unique(again, return_counts=True)
-                yield pd.DataFrame({"h": value.view("int64"), "n": n + 1})
+        sets, held = [], 0
+        for batch in pieces_of(batches, PIECE):
+            sets += shingle_sets(batch["text"].to_list(), k)
+            held += sum(len(t) + 1 if t else 1 for t in batch["text"])
+            if held >= COUNTED:
+                yield from repeated(sets)
+                sets, held = [], 0
+        yield from repeated(sets)
 
     rows = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     top = rows.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toPandas()  # bounded by COMMON_MOST numbers

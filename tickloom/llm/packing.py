@@ -19,12 +19,14 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import real_id, safe_id, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PLACES = ("length", "low", "high", "copies", "first_sequence", "first_offset")
 #: Pieces of one length that one window task ranks at most, on average.
 RANKED = 2_000
 _CACHE: dict = {}
@@ -289,7 +291,9 @@ def pack(docs: DataFrame, capacity: int = 1024, quantum: int = 64, tokenizer_pat
     pieces = stored(tokenized_pieces(docs, capacity, quantum, tokenizer_path), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     spark = docs.sparkSession
-    places = spark.createDataFrame(intervals(plan(histogram, capacity)), "length long, low long, high long, copies long, first_sequence long, first_offset long")
+    rows = intervals(plan(histogram, capacity))
+    # An Arrow table is read by the JVM alone; from a list Spark would start Python workers of another kind, which stay.
+    places = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(PLACES)}))
     groups = [1] * (capacity + 1)
     for length, n in histogram.items():
         groups[length] = -(-n // RANKED)
