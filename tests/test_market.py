@@ -16,6 +16,7 @@ from tickloom.operators import metrics as mt
 from tickloom.operators import quality as ql
 from tickloom.plans import fixtures as fx
 from tickloom.operators.machines import TemporalGuard
+from tickloom.queries.market import QUERIES
 from tickloom.streaming import jobs
 from tickloom.streaming.stateful import machine_stream
 
@@ -255,6 +256,15 @@ def test_ledger_goes_on_after_a_sound_chain_alone(spark):
         lg.continue_ledger(bad, rows, "ledger", "line", ["arrival"], ["price"], "later").collect()
 
 
+def test_prices_of_zero_are_not_tampered_with(spark, tmp_path):
+    """Of a provider's records 97, 194, 291, ... those with a price above zero break its ledger, as the SQL has it."""
+    prices = {97: 0.0, 194: 5.0, 195: 5.0, 291: 7.0, 388: None, 485: 1.0}
+    rows = [(i, T0 + dt.timedelta(seconds=i), user, "view", price, '{"k": 1}') for user in (1, 2) for i, price in prices.items() if user == 1 or i not in (194, 291)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["L3_first_violation"](spark, str(tmp_path)).collect()] == [("P1", 1, "record_hash mismatch")]
+    assert sorted((r.provider, r.line) for r in QUERIES["L2_verify_ledger"](spark, str(tmp_path)).filter("violation IS NOT NULL").collect()) == [("P1", 1), ("P1", 3)]
+
+
 def test_backlog_without_group(spark):
     log = spark.createDataFrame([(1,), (2,), (3,)], "entry_id long")
     acks = spark.createDataFrame([("a", 1, None)], "`group` string, entry_id long, acked_at timestamp_ntz")
