@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import threading
 import uuid
 from decimal import Decimal as D
 
@@ -196,6 +197,26 @@ def test_buffer_counts(spark):
     assert got == {1: (1, 1, 2), 2: (1, 2, 2)}
 
 
+def test_deliveries_are_counted_without_making_them(spark, tmp_path):
+    """Equal to the rows of the fan-out, with nulls and repeated rows; 4 * 10^10 deliveries of the query end in time."""
+    q = spark.createDataFrame([(s, i) for i, s in enumerate(["A", "A", "A", "B", None, "C"])], "symbol string, event_id long")
+    subs = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (None, "A"), (2, "B"), (1, None), (3, "D")], "client_id long, symbol string")
+    rows = fo.fanout(q, subs).groupBy("client_id", "symbol").agg(F.count("*").alias("deliveries"))
+    counted = fo.delivery_counts(q, subs, "client_id")
+    assert counted.columns == rows.columns and sorted(map(str, counted.collect())) == sorted(map(str, rows.collect())) and counted.count() == 4
+    events = spark.range(200_000).selectExpr("id AS event_id", "timestamp_ntz'2026-08-04 10:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.sparkContext.addJobTag("fan-out")
+    late = threading.Timer(90, spark.sparkContext.cancelJobsWithTag, ["fan-out"])
+    late.start()
+    try:
+        got = QUERIES["J1_fanout_join"](spark, str(tmp_path)).agg(F.count("*"), F.min("deliveries"), F.max("deliveries")).first()
+    finally:
+        late.cancel()
+        spark.sparkContext.removeJobTag("fan-out")
+    assert tuple(got) == (200_000, 200_000, 200_000)
+
+
 def test_volume_sources(spark):
     df = spark.createDataFrame([("s", 1, D("100"), None), ("s", 2, D("105"), None), ("s", 3, D("107"), D("2"))], "k string, arrival long, cumulative decimal(18,1), last_size decimal(18,1)")
     assert [float(r.volume) for r in cd.volume_delta(df, ["k"], ["arrival"]).orderBy("arrival").collect()] == [0, 5, 2]

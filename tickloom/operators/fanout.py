@@ -27,6 +27,15 @@ def fanout(quotes: DataFrame, subs: DataFrame) -> DataFrame:
     return quotes.join(subs, "symbol")
 
 
+def delivery_counts(quotes: DataFrame, subs: DataFrame, client: str) -> DataFrame:
+    """Deliveries of each client and symbol: the rows of fanout() by these, counted without making them.
+
+    Both sides are counted before they meet, so the work grows with quotes and subscriptions, not with their product.
+    """
+    sent, held = quotes.groupBy("symbol").agg(F.count("*").alias("_sent")), subs.groupBy(client, "symbol").agg(F.count("*").alias("_held"))
+    return fanout(sent, held).select(client, "symbol", (F.col("_sent") * F.col("_held")).alias("deliveries"))
+
+
 def divisor(rate: Column, provider_rate: int = 10) -> Column:
     return F.greatest(F.lit(1), F.bround(F.lit(float(provider_rate)) / rate)).cast("long")
 
