@@ -104,3 +104,30 @@ def test_intervals_are_few_cells(spark):
         got = spark.range(1).select(_cells(F.lit(first).cast("long"), F.lit(last).cast("long"), 32, 4).alias("c")).first().c
         covered = sorted(m for c in got for m in range(c._cell * 32**c._level, (c._cell + 1) * 32**c._level))
         assert covered == list(range(first, last + 1)) and len(got) < 4 * 62 + 20
+
+
+def test_interval_join_moves_little(spark):
+    """Intervals of minutes, days, years and without an end, from before 1970 on: the rows of a plain join, and few bytes on the disk."""
+    n = 5_000
+    minutes = "CASE WHEN event_id % 500 = 0 THEN 3000000000 WHEN event_id % 250 = 0 THEN 3000000 WHEN event_id % 50 = 0 THEN 5000 ELSE 1 + event_id % 100 END"
+    q = spark.range(n).selectExpr("id AS event_id", "concat('PURCHASE', id % 5) AS symbol", "timestamp_ntz'1969-12-20 00:00:07' + make_dt_interval(0, 0, 0, id * 518.4) AS at")
+    h = q.selectExpr("event_id AS connection", "symbol", "at AS start", f"CAST(timestamp_micros(unix_micros(timestamp(at)) + 60000000 * ({minutes})) AS timestamp_ntz) AS expires")
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("event_id", "connection").cast("decimal(38,0)"))).first()
+    want = total(q.join(h, "symbol").filter("start <= at AND at < expires"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = written()
+        got = total(interval_join(q, h, ["symbol"], "at", "start", "expires"))
+        moved = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tuple(got) == tuple(want) and got[0] > 2 * n
+    assert 20 * n < moved < 400 * n, moved / n
